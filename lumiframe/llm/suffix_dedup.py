@@ -68,12 +68,13 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: bytes, starts: np.ndarray, stops: np.ndarray, gram: int, length: int = LENGTH):
-    """hash, content, start, windows of the segments of the windows that start in [starts, stops) of data.
+    """hash, content, start, windows, inner of the segments of the windows that start in [starts, stops) of data.
 
-    The ranges must leave room for the windows. content is a hash of the segment's grams in order.
+    The ranges must leave room for the windows. content is a hash of the segment's grams in order; inner tells that the
+    least gram stands at several places of the segment, without which its own windows all differ.
     """
     width = length - gram + 1
-    ones = [np.array([], np.uint64)] * 2 + [np.array([], np.int64)] * 2
+    ones = [np.array([], np.uint64)] * 2 + [np.array([], np.int64)] * 2 + [np.array([], bool)]
     parts = []
     for a, b in zip(starts, stops, strict=True):
         for s in range(a, b, _PIECE):
@@ -98,8 +99,12 @@ def segments(data: bytes, starts: np.ndarray, stops: np.ndarray, gram: int, leng
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers)])
         inverse = np.cumprod(np.full(len(h), np.uint64(pow(int(_A), -1, 1 << 64)), np.uint64))
         content = _mixed((sums[last + width - 1] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _B)
-        got.append((least[first], content, first + s, last - first))
-    return [np.concatenate(x) if got else o for x, o in zip(zip(*got) if got else [()] * 4, ones, strict=True)]
+        reach = last - first + width - 1
+        ends = np.cumsum(reach)
+        same = h[np.repeat(first - ends + reach, reach) + np.arange(ends[-1])] == np.repeat(least[first], reach)
+        inner = np.add.reduceat(same, ends - reach, dtype=np.int64) > 1
+        got.append((least[first], content, first + s, last - first, inner))
+    return [np.concatenate(x) if got else o for x, o in zip(zip(*got) if got else [()] * 5, ones, strict=True)]
 
 
 def repeated_windows(blocks: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -215,10 +220,10 @@ def _segment_rows(docs: DataFrame, gram: int, length: int, only_hash: bool) -> D
                         stops.append(off + s + n)
                 off += len(t)
             base = np.cumsum([0, *map(len, texts)])
-            # small documents are hashed together where possible: one range at a time keeps windows within documents
-            h, c, s, n = segments(b"".join(flat), np.array(starts, np.int64), np.array(stops, np.int64), gram, length)
+            h, c, s, n, inner = segments(b"".join(flat), np.array(starts, np.int64), np.array(stops, np.int64), gram, length)
             if only_hash:
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+                # a segment that may repeat its own windows counts twice
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, h[inner]]).view(np.int64))], names=["h"])
                 continue
             row_of = np.searchsorted(base, s, side="right") - 1
             k1, k2 = (np.asarray(b.column(i))[row_of] if len(s) else np.array([], np.int64) for i in (0, 1))
