@@ -43,6 +43,11 @@ def compose(a: Column, b: Column) -> Column:
     return F.array(*cells)
 
 
+def composed(a: Column, b: Column) -> Column:
+    """As compose(), for maps that are long expressions."""
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda t: compose(t["a"], t["b"]))
+
+
 def fold(transforms: Column, order: str = "ord", matrix: str = "m") -> Column:
     """Product of an array of structs in ascending order, the first being outermost; identity for an empty array."""
     return F.aggregate(F.array_sort(transforms, lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)), literal(IDENTITY), lambda acc, t: compose(acc, t[matrix]))
@@ -52,14 +57,24 @@ def determinant(m: Column) -> Column:
     return m[0] * (m[5] * m[10] - m[6] * m[9]) - m[1] * (m[4] * m[10] - m[6] * m[8]) + m[2] * (m[4] * m[9] - m[5] * m[8])
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value computed once, where body names it many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def inverse(m: Column) -> Column:
     """Inverse map by cofactors; null where the determinant is 0."""
-    d = F.when(determinant(m) != 0, determinant(m))
-    a, b, c, e, f, g, i, j, k = (m[n] for n in (0, 1, 2, 4, 5, 6, 8, 9, 10))
-    q = [f * k - g * j, c * j - b * k, b * g - c * f, g * i - e * k, a * k - c * i, c * e - a * g, e * j - f * i, b * i - a * j, a * f - b * e]
-    q = [x / d for x in q]
-    t = [-(q[3 * r] * m[3] + q[3 * r + 1] * m[7] + q[3 * r + 2] * m[11]) for r in range(3)]
-    return F.array(q[0], q[1], q[2], t[0], q[3], q[4], q[5], t[1], q[6], q[7], q[8], t[2])
+
+    def cofactors(m: Column) -> Column:
+        a, b, c, e, f, g, i, j, k = (m[n] for n in (0, 1, 2, 4, 5, 6, 8, 9, 10))
+        return F.array(f * k - g * j, c * j - b * k, b * g - c * f, g * i - e * k, a * k - c * i, c * e - a * g, e * j - f * i, b * i - a * j, a * f - b * e, a * (f * k - g * j) - b * (e * k - g * i) + c * (e * j - f * i), m[3], m[7], m[11])
+
+    def divided(q: Column) -> Column:
+        d = F.when(q[9] != 0, q[9])
+        t = [-(q[3 * r] * q[10] + q[3 * r + 1] * q[11] + q[3 * r + 2] * q[12]) / d for r in range(3)]
+        return F.array(*[x for r in range(3) for x in (q[3 * r] / d, q[3 * r + 1] / d, q[3 * r + 2] / d, t[r])])
+
+    return bind(bind(m, cofactors), divided)
 
 
 def bounds(m: Column, low: list[Column], high: list[Column]) -> tuple[list[Column], list[Column]]:
