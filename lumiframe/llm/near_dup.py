@@ -196,7 +196,8 @@ def exact_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT, widt
     """
     sizes = groups.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / block_shingles), F.lit(1)).cast("int").alias("blocks"))
     dealt = materialize(groups.join(sizes, "group").select("rep", "set_id", "group", "blocks"), "groups")
-    texts = docs.select("doc_id", "text").join(dealt, F.col("doc_id") == F.col("rep"))
+    # the groups grow with the corpus, so they are never broadcast: texts are shuffled once, at every size
+    texts = docs.select("doc_id", "text").hint("merge").join(dealt, F.col("doc_id") == F.col("rep"))
     rows = _block_pairs(texts, "blocks", "rep").select("group", "bi", "bj", "rep", "set_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "group", "bi", "bj").sortWithinPartitions("group", "bi", "bj")
