@@ -7,6 +7,7 @@ of the pairs beside it.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 from itertools import chain
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from lumiframe.llm.common import text_bytes, with_columns_from
 
 #: Pretokens whose ids a task remembers, at most; beyond, it starts anew.
-MOST_REMEMBERED = 400_000
+MOST_REMEMBERED = 600_000
 #: Fixed values of the byte-level format: contractions, and the code points that count as white space.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -47,11 +48,14 @@ class Vocabulary:
         self.token_bytes: list[bytes] = [b""] * self.size
         for t, i in chain(ids.items(), self.added.items()):
             self.token_bytes[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
-        #: pair of ids as one number -> (rank, id of the merged token)
+        #: pair of ids as one number -> (rank, id of the merged token); the stride leaves room for marks of -1 and -2
+        self.stride = self.size + 2
         self.merges: dict[int, tuple[int, int]] = {}
         for rank, m in enumerate(d["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
-            self.merges[ids[a] * self.size + ids[b]] = (rank, ids[a + b])
+            self.merges[ids[a] * self.stride + ids[b]] = (rank, ids[a + b])
+        self.pair_array = np.array(sorted(self.merges), dtype=np.int64)
+        self.byte_array = np.array([-1 if i is None else i for i in self.byte_ids], dtype=np.int64)
 
 
 class Encoder:
@@ -78,58 +82,68 @@ class Encoder:
 
     def learn(self, new: list[str]) -> None:
         """Encode pretokens together and remember them."""
-        v, size, merges = self.v, self.v.size, self.v.merges
-        symbols: list[int] = []
-        starts: list[int] = []
+        v, stride, merges = self.v, self.v.stride, self.v.merges
         todo = []
         for t in new:
             if self.special is not None and t in v.added:
                 self.known[t] = (v.added[t],)
-                continue
-            starts.append(len(symbols))
-            todo.append(t)
-            symbols.extend(v.byte_ids[b] for b in t.encode())
-            symbols.append(-1)
+            else:
+                todo.append(t)
+        encoded = [t.encode() for t in todo]
+        # a byte's symbol each, with -1 before the first pretoken and after every one
+        starts = np.cumsum([1, *[len(b) + 1 for b in encoded]])
+        flat = np.full(starts[-1], -1, np.int64)
+        inside = np.ones(len(flat), bool)
+        inside[0] = False
+        inside[starts[1:] - 1] = False
+        flat[inside] = v.byte_array[np.frombuffer(b"".join(encoded), np.uint8)]
+        # the index: for each pair that has a rank, its places in ascending order
+        pairs = flat[:-1] * stride + flat[1:]
+        at = np.searchsorted(v.pair_array, pairs)
+        hit = np.flatnonzero(v.pair_array.take(at, mode="clip") == pairs)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        cuts = np.flatnonzero(np.diff(pairs[hit])) + 1
+        places: dict[int, list[int]] = {int(pairs[x[0]]): x.tolist() for x in np.split(hit, cuts) if len(x)}
+        symbols = flat.tolist()
         n = len(symbols)
-        after = list(range(1, n + 1))  # the next live symbol; -1 in symbols ends a pretoken, and a merged symbol is -2
+        after = list(range(1, n + 1))  # the next live symbol; a merged one's right half becomes -2
         before = list(range(-1, n - 1))
-        places: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            a, b = symbols[i], symbols[i + 1]
-            if a >= 0 and b >= 0:
-                pair = a * size + b
-                if pair in merges:
-                    places.setdefault(pair, []).append(i)
         active = [(merges[p][0], p) for p in places]
         heapq.heapify(active)
+        find, push = places.get, heapq.heappush
         while active:
             _, pair = heapq.heappop(active)
-            a, b = divmod(pair, size)
+            a, b = divmod(pair, stride)
             merged = merges[pair][1]
-            at = places.pop(pair)
-            at.sort()
-            for i in at:
-                if symbols[i] != a:
-                    continue
+            base = merged * stride
+            own = places.pop(pair)
+            own.sort()
+            for i in own:
                 j = after[i]
-                if symbols[j] != b:
+                if symbols[i] != a or symbols[j] != b:
                     continue
                 symbols[i], symbols[j] = merged, -2
                 k = after[i] = after[j]
+                h = before[i]
                 before[k] = i
-                for left, right, p in ((symbols[before[i]] if before[i] >= 0 else -1, merged, before[i]), (merged, symbols[k], i)):
-                    if left >= 0 and right >= 0 and (beside := left * size + right) in merges:
-                        if beside in places:
-                            places[beside].append(p)
-                        else:
-                            places[beside] = [p]
-                            heapq.heappush(active, (merges[beside][0], beside))
-        for t, s in zip(todo, starts, strict=True):
-            ids, i = [], s
-            while symbols[i] != -1:
-                ids.append(symbols[i])
-                i = after[i]
-            self.known[t] = tuple(ids)
+                beside = symbols[h] * stride + merged
+                if beside in merges:
+                    if (list_ := find(beside)) is not None:
+                        list_.append(h)
+                    else:
+                        places[beside] = [h]
+                        push(active, (merges[beside][0], beside))
+                beside = base + symbols[k]
+                if beside in merges:
+                    if (list_ := find(beside)) is not None:
+                        list_.append(i)
+                    else:
+                        places[beside] = [i]
+                        push(active, (merges[beside][0], beside))
+        ends = starts.tolist()
+        known = self.known
+        for t, s, e in zip(todo, ends, ends[1:], strict=False):
+            known[t] = tuple([x for x in symbols[s : e - 1] if x >= 0])
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         pieces = [self.pretokens(t) for t in texts]
@@ -143,6 +157,12 @@ class Encoder:
         return [list(chain.from_iterable(map(get, p))) for p in pieces]
 
 
+@functools.lru_cache(2)
+def shared_encoder(vocabulary: str, special: bool = True) -> Encoder:
+    """The encoder of this worker process: what it remembers serves its later tasks too."""
+    return Encoder(Vocabulary(vocabulary), special)
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """df with the token ids of each whole text; a null or empty text has none.
 
@@ -152,7 +172,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     """
 
     def make():
-        encoder = Encoder(Vocabulary(vocabulary))
+        encoder = shared_encoder(vocabulary)
 
         def work(column: pa.Array):
             found = encoder([b.decode("utf-8", "replace") for b in text_bytes(column)])
@@ -172,7 +192,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     """
 
     def make():
-        tokens = Vocabulary(vocabulary).token_bytes
+        tokens = shared_encoder(vocabulary).v.token_bytes
         lengths = np.array([*map(len, tokens)], dtype=np.int64)
         flat = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         starts = np.cumsum(lengths) - lengths

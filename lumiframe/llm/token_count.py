@@ -25,12 +25,12 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: str, eod: int, key
     ordinary text here, so eod stands at ends only. Null and empty texts are eod alone. The files are complete when
     this returns; a retried task replaces its own.
     """
-    from lumiframe.llm.bpe import Encoder, Vocabulary
+    from lumiframe.llm.bpe import shared_encoder
 
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(vocabulary), special=False)
+        encoder = shared_encoder(vocabulary, special=False)
         kind = token_type(max(encoder.v.size, eod + 1))
         part, k, out, keys = TaskContext.get().partitionId(), 0, None, []
 
