@@ -26,12 +26,12 @@ def overlap_pairs(df: DataFrame, key: str, axes: list[tuple[str, str]], cell: fl
     cell = cell or typical_extent(df, *axes[0])
     ends = [c for a in axes for c in a]
     cols = list(dict.fromkeys([key, *ends, *keep]))
-    dealt = df.withColumn("cell", F.explode(_cells(F.col(axes[0][0]), F.col(axes[0][1]), cell)))
-    a = dealt.select("cell", *[F.col(c).alias(f"{c}_a") for c in cols])
-    b = dealt.select("cell", *[F.col(c).alias(f"{c}_b") for c in cols])
+    dealt = df.withColumn("grid_cell", F.explode(_cells(F.col(axes[0][0]), F.col(axes[0][1]), cell)))
+    a = dealt.select("grid_cell", *[F.col(c).alias(f"{c}_a") for c in cols])
+    b = dealt.select("grid_cell", *[F.col(c).alias(f"{c}_b") for c in cols])
     meets = functools.reduce(lambda x, y: x & y, [(F.col(f"{lo}_a") <= F.col(f"{hi}_b")) & (F.col(f"{lo}_b") <= F.col(f"{hi}_a")) for lo, hi in axes])
-    first = F.floor(F.greatest(F.col(f"{axes[0][0]}_a"), F.col(f"{axes[0][0]}_b")) / cell) == F.col("cell")
-    return a.join(b, "cell").where((F.col(f"{key}_a") < F.col(f"{key}_b")) & meets & first).drop("cell")
+    first = F.floor(F.greatest(F.col(f"{axes[0][0]}_a"), F.col(f"{axes[0][0]}_b")) / cell) == F.col("grid_cell")
+    return a.join(b, "grid_cell").where((F.col(f"{key}_a") < F.col(f"{key}_b")) & meets & first).drop("grid_cell")
 
 
 def overlap_interval(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> tuple[Column, Column]:

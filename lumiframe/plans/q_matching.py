@@ -151,11 +151,11 @@ def balance_weights(spark, d):
     return O.balance_weights(m, groups).select("a", "b", "r", F.round("weight", 6).alias("weight"))
 
 
-SCORED = "WITH m AS (SELECT a, b, 1.0::DOUBLE AS weight, r / 7 AS distance, (a % 10) / 10.0::DOUBLE AS quality FROM edge WHERE a <> b), s AS (SELECT a, b, sum(weight * (1.01 - least(1, greatest(0.01, quality))) * distance) / sum(weight) AS score FROM m GROUP BY a, b), g AS (SELECT v, count(*) AS d FROM (SELECT a AS v FROM s UNION ALL SELECT b FROM s) GROUP BY v) "
+SCORED = "WITH m AS (SELECT a, b, 1.0::DOUBLE AS weight, sqrt(r) AS distance, (a % 10) / 10.0::DOUBLE AS quality FROM edge WHERE a <> b), s AS (SELECT a, b, sum(weight * (1.01 - least(1, greatest(0.01, quality))) * distance) / sum(weight) AS score FROM m GROUP BY a, b), g AS (SELECT v, count(*) AS d FROM (SELECT a AS v FROM s UNION ALL SELECT b FROM s) GROUP BY v) "
 
 
 def scored(spark, d):
-    return B.edge(spark, d).where("a <> b").select("a", "b", F.lit(1.0).alias("weight"), (F.col("r") / 7).alias("distance"), ((F.col("a") % 10) / 10).alias("quality"))
+    return B.edge(spark, d).where("a <> b").select("a", "b", F.lit(1.0).alias("weight"), F.sqrt("r").alias("distance"), ((F.col("a") % 10) / 10).alias("quality"))
 
 
 @query(sql(SCORED + "SELECT s.a, s.b, round(score, 3) AS score, x.d AS d_a, y.d AS d_b FROM s JOIN g x ON x.v = s.a JOIN g y ON y.v = s.b", "edge"))
