@@ -9,6 +9,7 @@ The rounds stop at LENGTH; suffixes that no boundary has parted by then start wi
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from lumiframe.llm.common import bounded_batches, discard, materialize, release_
 
 #: Bytes of a repeated string; bytes of the grams of each pass, the last one the whole window; different segments of one hash that a
 #: pass takes (those with more go to the next pass, whose last one has one segment a hash); windows of a segment; bytes of one transform.
-LENGTH, GRAMS, MOST_SEGMENTS, MOST_WINDOWS, BLOCK = 200, (0.32, 0.8, 1.0), 1024, 256, 1 << 18
+LENGTH, GRAMS, MOST_SEGMENTS, MOST_WINDOWS, BLOCK = 200, (0.32, 0.8, 1.0), 1024, 256, 1 << 16
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _PIECE = 1 << 20
@@ -67,14 +68,15 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segments(data: bytes, starts: np.ndarray, stops: np.ndarray, gram: int, length: int = LENGTH):
-    """hash, content, start, windows, inner of the segments of the windows that start in [starts, stops) of data.
+def segments(data: bytes, starts: np.ndarray, stops: np.ndarray, gram: int, length: int = LENGTH, hash_only: bool = False):
+    """hash, content, start, windows of the segments of the windows that start in [starts, stops) of data.
 
-    The ranges must leave room for the windows. content is a hash of the segment's grams in order; inner tells that the
-    least gram stands at several places of the segment, without which its own windows all differ.
+    The ranges must leave room for the windows. content is a hash of the segment's grams in order. hash_only: the hash
+    alone, and once more where the least gram stands at several places of its segment, without which the segment's own
+    windows all differ.
     """
     width = length - gram + 1
-    ones = [np.array([], np.uint64)] * 2 + [np.array([], np.int64)] * 2 + [np.array([], bool)]
+    ones = [np.array([], np.uint64)] * 2 + [np.array([], np.int64)] * 2
     parts = []
     for a, b in zip(starts, stops, strict=True):
         for s in range(a, b, _PIECE):
@@ -94,22 +96,40 @@ def segments(data: bytes, starts: np.ndarray, stops: np.ndarray, gram: int, leng
             cuts = [np.arange(f, l, MOST_WINDOWS) for f, l in zip(first[long], last[long], strict=True)]
             first = np.sort(np.concatenate([first[~long], *cuts]))
             last = np.concatenate([first[1:], [e - s]])
+        if hash_only:
+            reach = last - first + width - 1
+            ends = np.cumsum(reach)
+            same = h[np.repeat(first - ends + reach, reach) + np.arange(ends[-1])] == np.repeat(least[first], reach)
+            inner = np.add.reduceat(same, ends - reach, dtype=np.int32) > 1
+            got.append((np.concatenate([least[first], least[first][inner]]),))
+            continue
         # content: a polynomial of the mixed gram hashes, shifted to start at power 0
-        powers = np.cumprod(np.full(len(h), _A, np.uint64))
+        powers, inverse = _powers(len(h))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers)])
-        inverse = np.cumprod(np.full(len(h), np.uint64(pow(int(_A), -1, 1 << 64)), np.uint64))
         content = _mixed((sums[last + width - 1] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _B)
-        reach = last - first + width - 1
-        ends = np.cumsum(reach)
-        same = h[np.repeat(first - ends + reach, reach) + np.arange(ends[-1])] == np.repeat(least[first], reach)
-        inner = np.add.reduceat(same, ends - reach, dtype=np.int64) > 1
-        got.append((least[first], content, first + s, last - first, inner))
-    return [np.concatenate(x) if got else o for x, o in zip(zip(*got) if got else [()] * 5, ones, strict=True)]
+        got.append((least[first], content, first + s, last - first))
+    if hash_only:
+        return np.concatenate([x for (x,) in got]) if got else ones[0]
+    return [np.concatenate(x) if got else o for x, o in zip(zip(*got) if got else [()] * 4, ones, strict=True)]
 
 
-def repeated_windows(blocks: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+@functools.lru_cache(2)
+def _all_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumprod(np.full(n, _A, np.uint64)), np.cumprod(np.full(n, np.uint64(pow(int(_A), -1, 1 << 64)), np.uint64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the content hash's base and of its inverse."""
+    a, b = _all_powers(max(_PIECE, 1 << (n - 1).bit_length()))
+    return a[:n], b[:n]
+
+
+def repeated_windows(blocks: list[bytes], length: int = LENGTH, copies: np.ndarray | None = None) -> list[np.ndarray]:
     """For each byte string, the places where a window starts that also starts elsewhere in any of them.
 
+    A string that stands for several copies enters the transform once; each of its suffixes counts as often in the
+    intervals, so one that is alone in its interval is repeated too.
+
     The suffix order is settled to `length` bytes only; order among suffixes with equal windows doesn't matter for the
     intervals of shorter prefixes.
     """
@@ -130,28 +150,38 @@ def repeated_windows(blocks: list[bytes], length: int = LENGTH) -> list[np.ndarr
         if j:
             s[to_end < j] = 0
         key = key << np.uint64(9) | s
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     have = 7
     new = np.ones(total, bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
     new |= to_end[order] < have
+    # a suffix's rank is the first slot of its group
     rank = np.empty(total, np.int64)
-    rank[order] = np.cumsum(new) - 1
-    while have < length and not new.all():
-        second = np.zeros(total, np.int64)
-        second[: total - have] = rank[have:] + 1
-        order = np.argsort(rank * (total + 1) + second, kind="stable")
-        r, q = rank[order], second[order]
-        new[1:] = (r[1:] != r[:-1]) | (q[1:] != q[:-1])
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(total), 0))
+    # only groups of several suffixes are sorted further; they keep the slots that their group has
+    while have < length:
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        slots = np.flatnonzero(~alone)
+        if not len(slots):
+            break
+        part = order[slots]
+        group = rank[part]
+        second = np.where(part + have < total, rank[np.minimum(part + have, total - 1)] + 1, 0)
+        moved = np.argsort(group * (total + 1) + second)
+        part, group, second = part[moved], group[moved], second[moved]
+        order[slots] = part
+        cut = np.ones(len(slots), bool)
+        cut[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
         have *= 2
-        new |= to_end[order] < have
-        rank = np.empty(total, np.int64)
-        rank[order] = np.cumsum(new) - 1
+        cut |= to_end[part] < have
+        new[slots] = cut
+        rank[part] = np.maximum.accumulate(np.where(cut, slots, 0))
 
     # the transform: the symbol before each suffix. A stable sort of it gives, for each suffix, the place of its tail, the
     # suffix without its first symbol; suffixes that start with a mark have none that matters
     bwt = np.where(order > 0, text[order - 1], 0).astype(np.uint16)
-    tail = np.argsort(bwt, kind="stable").astype(np.int32)
+    tail = np.argsort(bwt, kind="stable")
     head = text[order]
 
     # boundary[i]: suffixes i - 1 and i are known to differ within the bytes of the rounds so far
@@ -160,20 +190,27 @@ def repeated_windows(blocks: list[bytes], length: int = LENGTH) -> list[np.ndarr
     boundary[1:total] = (head[1:] != head[:-1]) | (head[1:] == 0)
     open_ = np.flatnonzero(~boundary[:total])
     low, high = tail[open_ - 1], tail[open_]
+    known = -1
     for _ in range(length - 1):
         # an interval of prefixes of l bytes, extended backwards by a byte, is cut where a boundary lies between the tails
         number = np.cumsum(boundary[:total], dtype=np.int32)
-        cut = number[low] != number[high]
-        if not cut.any():
-            break
-        boundary[open_[cut]] = True
-        keep = ~cut
-        open_, low, high = open_[keep], low[keep], high[keep]
-        if not len(open_):
+        if number[-1] == known or not len(open_):
             break
+        known = number[-1]
+        cut = number.take(low) != number.take(high)
+        at = np.flatnonzero(cut)
+        boundary[open_.take(at)] = True
+        # those that are cut are cut again until they are swept out, which is done when there are many
+        if len(at) * 8 > len(cut):
+            keep = ~cut
+            open_, low, high = open_[keep], low[keep], high[keep]
+    open_ = open_[~boundary[open_]]
     shared = np.zeros(total, bool)
     shared[open_] = True
     shared[open_ - 1] = True
+    if copies is not None:
+        # the members of an interval of one suffix are its string's copies
+        shared |= np.repeat(copies, sizes + 1)[order] > 1
     at = np.sort(order[shared])
     at = at[to_end[at] >= length]
     owner = np.searchsorted(ends, at)
@@ -220,11 +257,12 @@ def _segment_rows(docs: DataFrame, gram: int, length: int, only_hash: bool) -> D
                         stops.append(off + s + n)
                 off += len(t)
             base = np.cumsum([0, *map(len, texts)])
-            h, c, s, n, inner = segments(b"".join(flat), np.array(starts, np.int64), np.array(stops, np.int64), gram, length)
+            where = b"".join(flat), np.array(starts, np.int64), np.array(stops, np.int64), gram, length
             if only_hash:
                 # a segment that may repeat its own windows counts twice
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, h[inner]]).view(np.int64))], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(segments(*where, hash_only=True).view(np.int64))], names=["h"])
                 continue
+            h, c, s, n = segments(*where)
             row_of = np.searchsorted(base, s, side="right") - 1
             k1, k2 = (np.asarray(b.column(i))[row_of] if len(s) else np.array([], np.int64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), k1, k2, (s - base[row_of]).astype(np.int32), n.astype(np.int32))], names=["h", "c", "k1", "k2", "start", "n"])
@@ -240,16 +278,8 @@ def _expand(bodies: DataFrame, length: int, block: int) -> DataFrame:
         size = 0
 
         def work(rows):
-            blocks, owner = [], []
-            for i, (_, _, copies, body) in enumerate(rows):
-                # copies beyond the second can't change what is repeated
-                for _ in range(min(2, copies)):
-                    blocks.append(body)
-                    owner.append(i)
-            found: dict[int, np.ndarray] = {}
-            for i, places in zip(owner, repeated_windows(blocks, length), strict=True):
-                found.setdefault(i, places)
-            out = [(rows[i][0], rows[i][1], [{"start": int(s), "n": int(n)} for s, n in zip(*runs(p), strict=True)]) for i, p in found.items() if len(p)]
+            places = repeated_windows([r[3] for r in rows], length, np.array([r[2] for r in rows]))
+            out = [(r[0], r[1], [{"start": int(s), "n": int(n)} for s, n in zip(*runs(p), strict=True)]) for r, p in zip(rows, places, strict=True) if len(p)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], kind)], names=["h", "c", "runs"])
 
@@ -259,7 +289,7 @@ def _expand(bodies: DataFrame, length: int, block: int) -> DataFrame:
                     yield work(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3]) * min(2, row[2])
+                size += len(row[3])
         if held:
             yield work(held)
 
