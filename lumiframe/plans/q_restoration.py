@@ -44,12 +44,12 @@ def histogram_match(spark, d):
     return h.select("setup_a", "setup_b", R("slope", 5).alias("slope"), R("intercept", 4).alias("intercept"), R("lo", 5).alias("lo"), R("hi", 5).alias("hi"))
 
 
-FIELD = "SELECT s.setup, CAST(c.i AS INT) AS cell, 0.5::DOUBLE + (s.setup * 8 + c.i) % 10 / 10.0::DOUBLE AS a, (s.setup + c.i * 3) % 7 - 3.0::DOUBLE AS b FROM range(8) s(setup), range(8) c(i)"
+FIELD = "SELECT s.setup, CAST(c.i AS INT) AS cell, 0.512345::DOUBLE + (s.setup * 8 + c.i) % 10 / 7.0::DOUBLE AS a, (s.setup + c.i * 3) % 7 - 3.0::DOUBLE AS b FROM range(8) s(setup), range(8) c(i)"
 
 
 def field(spark, d):
     f = spark.range(64).select((F.col("id") / 8).cast("int").alias("setup"), (F.col("id") % 8).cast("int").alias("cell"))
-    return f.select("setup", "cell", (0.5 + (F.col("setup") * 8 + F.col("cell")) % 10 / 10.0).alias("a"), ((F.col("setup") + F.col("cell") * 3) % 7 - 3.0).alias("b"))
+    return f.select("setup", "cell", (0.512345 + (F.col("setup") * 8 + F.col("cell")) % 10 / 7.0).alias("a"), ((F.col("setup") + F.col("cell") * 3) % 7 - 3.0).alias("b"))
 
 
 @query(sql(f"WITH f AS ({FIELD}), v AS (SELECT *, (x - 16.0) / 32 AS pos, floor((x - 16.0) / 32) AS c FROM voxel), w AS (SELECT v.*, pos - c AS t, greatest(0, least(7, c)) AS c0, greatest(0, least(7, c + 1)) AS c1 FROM v) SELECT w.setup, w.x, round(least(255, greatest(0, v * ((1 - t) * p.a + t * q.a) + (1 - t) * p.b + t * q.b)), 5) AS v FROM w JOIN f p ON p.setup = w.setup AND p.cell = c0 JOIN f q ON q.setup = w.setup AND q.cell = c1", "voxel"))

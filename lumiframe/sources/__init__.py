@@ -1 +1 @@
-"""Readers and writers."""
+"""Readers and writers: block stores, project files, point tables, pyramids, virtual views."""
