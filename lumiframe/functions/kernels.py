@@ -314,7 +314,8 @@ def convolve(image: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     pad = [(k // 2, k - 1 - k // 2) for k in kernel.shape]
     x = np.pad(image, pad, mode="symmetric")
     shape = [x.shape[i] + kernel.shape[i] - 1 for i in range(x.ndim)]
-    y = np.fft.irfftn(np.fft.rfftn(x, shape) * np.fft.rfftn(kernel, shape), shape)
+    axes = tuple(range(x.ndim))
+    y = np.fft.irfftn(np.fft.rfftn(x, shape, axes) * np.fft.rfftn(kernel, shape, axes), shape, axes)
     return y[tuple(slice(kernel.shape[i] - 1, kernel.shape[i] - 1 + image.shape[i]) for i in range(x.ndim))]
 
 

@@ -63,7 +63,7 @@ def view_transform(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interest_point(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("tp", "setup", "label").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    w = Window.partitionBy("tp", "setup", "label").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     rows = table(spark, d, "lineitem").select("*", (F.col("l_linenumber") - 1).cast("int").alias("tp"), F.col("l_suppkey").cast("int").alias("setup"), F.col("l_returnflag").alias("label"))
     return rows.select("tp", "setup", "label", (F.row_number().over(w) - 1).alias("id"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 2500).alias("y"), (F.col("l_discount") * 100).alias("z"), F.col("l_extendedprice").alias("intensity"))
 
@@ -96,7 +96,7 @@ CTE = {
     "all_view": "SELECT s.*, CAST(t.tp AS INT) AS tp FROM view_setup s, range(7) t(tp)",
     "view": "SELECT * FROM all_view WHERE (tp + setup) % 13 <> 0",
     "model": "SELECT *, CAST(7 * setup % 50 AS DOUBLE) AS tx, CAST(11 * setup % 40 AS DOUBLE) AS ty, CAST(3 * setup % 10 AS DOUBLE) AS tz FROM view",
-    "point": "SELECT CAST(l_linenumber - 1 AS INT) AS tp, CAST(l_suppkey AS INT) AS setup, l_returnflag AS label, CAST(row_number() OVER (PARTITION BY l_linenumber, l_suppkey, l_returnflag ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) - 1 AS INT) AS id, l_quantity AS x, l_extendedprice / 2500 AS y, l_discount * 100 AS z, l_extendedprice AS intensity FROM lineitem",
+    "point": "SELECT CAST(l_linenumber - 1 AS INT) AS tp, CAST(l_suppkey AS INT) AS setup, l_returnflag AS label, CAST(row_number() OVER (PARTITION BY l_linenumber, l_suppkey, l_returnflag ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax) - 1 AS INT) AS id, l_quantity AS x, l_extendedprice / 2500 AS y, l_discount * 100 AS z, l_extendedprice AS intensity FROM lineitem",
     "voxel": "SELECT CAST(user_id % 8 AS INT) AS setup, CAST(event_id % 256 AS INT) AS x, avg(value) AS v FROM events GROUP BY ALL",
     "voxel2": "SELECT CAST(l_suppkey AS INT) AS setup, l_quantity AS x, l_extendedprice AS v FROM lineitem",
     "edge": "SELECT o_custkey AS a, (o_custkey * 31 + o_orderkey) % 1500 AS b, o_totalprice AS r FROM orders",
