@@ -109,6 +109,33 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM f
 """
 
+OP5 = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS s FROM w),
+h AS (SELECT doc_id, md5(array_to_string(s, chr(1)) || len(s)) AS h FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM h a JOIN h b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS reach FROM u UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.reach = u.a),
+m AS (SELECT doc_id, min(reach) AS m FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.m, d.doc_id) AS component_id, coalesce(m.m, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
+
+OP6 = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 400)) AS w FROM t, unnest(range(n - 199)) q(i) WHERE n >= 200),
+g AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY w) > 1),
+k AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS cut FROM g),
+o AS (SELECT doc_id, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM k),
+p AS (SELECT doc_id, span, min(i) AS a, max(i) + 200 AS z FROM o GROUP BY 1, 2),
+e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+r AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM e JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN r USING (doc_id)
+"""
+
 OP7 = """
 WITH c AS (SELECT vec_id, list_sum(list_transform(range(32), lambda i: CASE WHEN coalesce(embedding[i + 1], 0) > 0 THEN 1::BIGINT << i::BIGINT ELSE 0 END))::BIGINT AS lo,
                   list_sum(list_transform(range(32), lambda i: CASE WHEN coalesce(embedding[i + 33], 0) > 0 THEN 1::BIGINT << i::BIGINT ELSE 0 END))::BIGINT AS hi
@@ -122,5 +149,5 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    out = {"op2_mixing": OP2, "op3_warc": OP3, "op7_hamming_topk": OP7}
+    out = {"op2_mixing": OP2, "op3_warc": OP3, "op5_minhash": OP5, "op6_suffix_array": OP6, "op7_hamming_topk": OP7}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
