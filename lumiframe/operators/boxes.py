@@ -128,3 +128,80 @@ def points_of_parts(points: DataFrame, parts: DataFrame, axis: str = "x") -> Dat
 def fake_points(voxels: Column, density: float, least: int, most: int) -> Column:
     """Number of made-up points of an overlap: density per million voxels, within bounds."""
     return F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(voxels * F.lit(density) / 1e6))).cast("int")
+
+
+def farthest_pairs(points: DataFrame, by: list[str]) -> DataFrame:
+    """by, id_a, id_b, d2: the two points of each group that are farthest apart; ties by (id_a, id_b); groups of one have none.
+
+    A pair longer than a known one has both ends at least (that length - largest radius) from the centre; the known one
+    is the longest from an extreme point of an axis. So only points near the rim are paired.
+    """
+    centre = points.groupBy(*by).agg(*[F.avg(c).alias(f"c{c}") for c in AXES], *[F.max_by(F.struct(*AXES), c).alias(f"e{c}") for c in AXES])
+    p = points.join(centre, by)
+    square = lambda q, r: sum((F.pow(q(c) - r(c), 2) for c in AXES[1:]), F.pow(q(AXES[0]) - r(AXES[0]), 2))
+    p = p.withColumn("rim", F.sqrt(square(F.col, lambda c: F.col(f"c{c}"))))
+    known = F.greatest(*[F.sqrt(square(F.col, lambda c, e=e: F.col(f"e{e}")[c])) for e in AXES])
+    bound = p.groupBy(*by).agg((F.max(known) - F.max("rim")).alias("least"))
+    rim = p.join(bound, by).where(F.col("rim") >= F.col("least") - 1e-9)
+    a = rim.select(*by, F.col("id").alias("id_a"), *[F.col(c).alias(f"a{c}") for c in AXES])
+    b = rim.select(*by, F.col("id").alias("id_b"), *[F.col(c).alias(f"b{c}") for c in AXES])
+    pairs = a.join(b, by).where("id_a < id_b").withColumn("d2", square(lambda c: F.col(f"a{c}"), lambda c: F.col(f"b{c}")))
+    best = F.max_by(F.struct("id_a", "id_b", "d2"), F.struct("d2", -F.col("id_a"), -F.col("id_b")))
+    return pairs.groupBy(*by).agg(best.alias("p")).select(*by, "p.id_a", "p.id_b", "p.d2")
+
+
+def rotation_xyz(a: float, b: float, c: float) -> list[list[float]]:
+    import numpy as np
+
+    def about(i: int, t: float) -> np.ndarray:
+        m = np.eye(3)
+        j, k = (i + 1) % 3, (i + 2) % 3
+        m[j, j], m[j, k], m[k, j], m[k, k] = np.cos(t), -np.sin(t), np.sin(t), np.cos(t)
+        return m
+
+    return (about(2, c) @ about(1, b) @ about(0, a)).tolist()
+
+
+def smallest_box(points: DataFrame, steps: int = 8, first: float = 0.4, margin: float = 0.0) -> dict:
+    """Rotation of the axes under which the box around all points is smallest, found by halving steps.
+
+    Each of the steps measures the 27 neighbouring rotations in one aggregate over the points, which stay where they
+    are, and goes to the best. Returns angles, low and high ends (grown by the margin's share) and volume; None without points.
+    """
+    from itertools import product
+
+    angles, size, best = (0.0, 0.0, 0.0), first, None
+    for _ in range(steps):
+        tries = [tuple(a + size * d for a, d in zip(angles, move, strict=True)) for move in product((-1, 0, 1), repeat=3)]
+        ends = []
+        for t in tries:
+            for row in rotation_xyz(*t):
+                at = sum((F.col(c) * F.lit(v) for c, v in zip(AXES[1:], row[1:], strict=True)), F.col("x") * F.lit(row[0]))
+                ends += [F.min(at), F.max(at)]
+        got = list(points.agg(*ends).first())
+        if got[0] is None:
+            return None
+        boxes_ = [[(got[6 * i + 2 * k], got[6 * i + 2 * k + 1]) for k in range(3)] for i in range(27)]
+        volume = [(b[0][1] - b[0][0]) * (b[1][1] - b[1][0]) * (b[2][1] - b[2][0]) for b in boxes_]
+        k = min(range(27), key=lambda i: (volume[i], sum(abs(x) for x in tries[i])))
+        if best is None or volume[k] < best["volume"]:
+            angles = tries[k]
+            grow = [margin * (h - l) for l, h in boxes_[k]]
+            best = {"angles": angles, "low": [l - g for (l, _), g in zip(boxes_[k], grow, strict=True)], "high": [h + g for (_, h), g in zip(boxes_[k], grow, strict=True)], "volume": volume[k]}
+        size /= 2
+    return best
+
+
+def add_fake_points(overlaps: DataFrame, density: float, least: int, most: int, error: float, label: str, seed: int = 23424459) -> DataFrame:
+    """Made-up corresponding points in the overlaps of sub-views (setup_a, setup_b, lo_x .. hi_z): both sides, a row each.
+
+    Places come from hashes of the pair, the point's number and the seed, so reruns agree; the second side is off by up
+    to `error` on each axis.
+    """
+    volume = (F.col("hi_x") - F.col("lo_x") + 1) * (F.col("hi_y") - F.col("lo_y") + 1) * (F.col("hi_z") - F.col("lo_z") + 1)
+    p = overlaps.withColumn("id", F.explode(F.sequence(F.lit(0), fake_points(volume, density, least, most) - 1)))
+    draw = lambda *salt: F.pmod(F.xxhash64("setup_a", "setup_b", "id", F.lit(seed), *[F.lit(s) for s in salt]), F.lit(1 << 30)) / float(1 << 30)
+    for c in AXES:
+        p = p.withColumn(c, F.col(f"lo_{c}") + draw(c) * (F.col(f"hi_{c}") - F.col(f"lo_{c}")))
+    side = lambda s, off: p.select(F.col(s).alias("setup"), F.lit(label).alias("label"), F.concat_ws("-", "setup_a", "setup_b", "id").alias("point"), *[(F.col(c) + off(c)).alias(c) for c in AXES])
+    return side("setup_a", lambda c: F.lit(0.0)).unionByName(side("setup_b", lambda c: (draw(c, "error") * 2 - 1) * error))

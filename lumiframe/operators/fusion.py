@@ -123,3 +123,17 @@ def content_weight(signal: DataFrame, by: list[str], axis: str, value: str, smal
     near = lambda r: Window.partitionBy(*by).orderBy(axis).rangeBetween(-r, r)
     s = signal.withColumn("dev", F.pow(F.col(value) - F.avg(value).over(near(small)), 2))
     return s.withColumn("content", F.avg("dev").over(near(large))).drop("dev")
+
+
+def approximate_min_max(voxels: DataFrame, by: list[str], share: float, value: str = "v", seed: int = 1) -> DataFrame:
+    """Least and largest value of a share of each image's voxels, chosen by hash: bounds from within."""
+    chosen = F.pmod(F.xxhash64(*by, "x", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))
+    return min_max(voxels.where(chosen), by, value)
+
+
+def merge_rgb(red: DataFrame, green: DataFrame, blue: DataFrame, key: list[str]) -> DataFrame:
+    """Three fused images as one: values 0 to 255 by voxel, 0 where a colour has none."""
+    tagged = [d.select(*key, F.lit(c).alias("colour"), "v") for c, d in (("r", red), ("g", green), ("b", blue))]
+    both = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    pick = lambda c: F.coalesce(F.max(F.when(F.col("colour") == c, F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col("v"))))), F.lit(0.0)).alias(c)
+    return both.groupBy(*key).agg(pick("r"), pick("g"), pick("b"))

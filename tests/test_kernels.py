@@ -181,3 +181,91 @@ def test_raw_volumes(spark, tmp_path):
     blocks.register(spark)
     rows = spark.read.format("rawvolume").option("path", str(tmp_path)).option("dims", "4,3,7").option("planes", "3").load().orderBy("oz").collect()
     assert [r["oz"] for r in rows] == [0, 3, 6] and np.array_equal(np.concatenate([r["data"] for r in rows]), v.ravel())
+
+
+def test_arrays_of_five_dimensions(spark, tmp_path):
+    import json
+
+    from lumiframe.sources import images
+
+    v = rng.integers(0, 99, (2, 3, 2, 5, 7)).astype("<i4")
+    root = tmp_path / "a"
+    root.mkdir()
+    (root / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": list(v.shape), "chunks": [1, 1, 2, 3, 4], "dtype": "<i4", "compressor": {"id": "gzip", "level": 1}, "fill_value": 7, "order": "C", "filters": None, "dimension_separator": "/"}))
+    full = np.full((2, 3, 2, 6, 8), 0, "<i4")
+    full[:, :, :, :5, :7] = v
+    for t, c, y, x in np.ndindex(2, 3, 2, 2):
+        if (t, c, y, x) == (1, 2, 0, 1):
+            v[t, c, :, :3, 4:] = 7  # a missing chunk has the fill value
+            continue
+        f = root / f"{t}/{c}/0/{y}/{x}"
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(images.encode(full[t, c, :, 3 * y : 3 * y + 3, 4 * x : 4 * x + 4].tobytes(), {"id": "gzip"}))
+    images.register(spark)
+    got = np.zeros((2, 5, 7))
+    for r in spark.read.format("zarrarray").option("path", str(root)).option("t", "1").option("c", "2").load().collect():
+        got[r["oz"] : r["oz"] + r["nz"], r["oy"] : r["oy"] + r["ny"], r["ox"] : r["ox"] + r["nx"]] = np.reshape(r["data"], (r["nz"], r["ny"], r["nx"]))
+    assert np.array_equal(got, v[1, 2])
+    with pytest.raises(ValueError, match="isn't supported"):
+        images.decode(b"", {"id": "blosc"})
+
+
+def test_tiff():
+    from lumiframe.sources import images
+
+    for kind in ("u1", "<u2", "<f4"):
+        v = rng.integers(0, 200, (3, 4, 5)).astype(kind)
+        b = images.tiff_bytes(v)
+        at = lambda n, o, b=b: b[o : o + n]
+        assert np.array_equal([images.tiff_plane(t, at) for t in images.tiff_pages(at)], v)
+    with pytest.raises(ValueError, match="not a TIFF"):
+        list(images.tiff_pages(lambda n, o: b"nothing!"[:n]))
+
+
+def test_boxes_of_points(spark):
+    p = rng.uniform(-1, 1, (400, 3)) * [10, 4, 1]
+    turned = p @ np.array(boxes.rotation_xyz(0.2, -0.3, 0.25)).T
+    df = spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(turned)], "g int, id int, x double, y double, z double")
+    plain = np.prod(np.ptp(turned, axis=0))
+    best = boxes.smallest_box(df, margin=0.1)
+    assert best["volume"] < 0.6 * plain and best["volume"] < 1.2 * np.prod(np.ptp(p, axis=0))
+    r = boxes.farthest_pairs(df, ["g"]).first()
+    d = ((turned[:, None] - turned[None]) ** 2).sum(2)
+    assert math.isclose(r["d2"], d.max()) and math.isclose(d[r["id_a"], r["id_b"]], d.max())
+    assert boxes.smallest_box(df.limit(0)) is None and boxes.farthest_pairs(df.limit(1), ["g"]).count() == 0
+
+
+def test_sampled_ends_lie_within(spark):
+    df = spark.createDataFrame([(s, i, float(i)) for s in range(2) for i in range(500)], "setup int, x int, v double")
+    for r in fusion.approximate_min_max(df, ["setup"], 0.3).collect():
+        assert 0 <= r["lo"] < 30 and 470 < r["hi"] <= 499
+
+
+def test_project_versions_and_file_lists(spark, tmp_path):
+    from lumiframe.sources import filenames, project
+
+    at = str(tmp_path / "p")
+    for i in range(8):
+        project.backups(at, spark)
+        spark.range(i).coalesce(1).write.parquet(at)
+    assert spark.read.parquet(at).count() == 7 and [spark.read.parquet(f"{at}~{k}").count() for k in range(1, 6)] == [6, 5, 4, 3, 2]
+    assert not (tmp_path / "p~6").exists()
+    for n in ("img_t0_c1.tif", "img_t1_c1.tif", "img_t12_c1.tif", "note.txt"):
+        (tmp_path / "f").mkdir(exist_ok=True)
+        (tmp_path / "f" / n).write_bytes(b"x")
+    files = filenames.file_list(spark, str(tmp_path / "f"))
+    assert files.count() == 4
+    assert [(r["position"], r["values"], r["varies"]) for r in filenames.detect_pattern(files).orderBy("position").collect()] == [(0, 3, True), (1, 1, False)]
+
+
+def test_streams_join_as_tables_do(spark, tmp_path):
+    from lumiframe.streaming import intervals
+
+    rows = [(i, i % 3, 1e9 + i * 100) for i in range(40)]
+    e = spark.createDataFrame(rows, "id long, k long, s double").select("id", "k", F.timestamp_seconds("s").alias("ts"))
+    e.write.parquet(str(tmp_path / "in"))
+    want = sorted((r["id_a"], r["id_b"]) for r in intervals.pairs_in_range(e, e, "k", "ts", 400).collect())
+    s = lambda: spark.readStream.schema(e.schema).parquet(str(tmp_path / "in"))
+    q = intervals.pairs_in_range(s(), s(), "k", "ts", 400).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r["id_a"], r["id_b"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want and want
