@@ -75,7 +75,16 @@ def shifted(spark, d):
     return p.select("task", "id", "x", "y", "z"), q.select("task", "id", "x", "y", "z")
 
 
-DISTINCT = "(SELECT tp, setup, label FROM point GROUP BY ALL HAVING count(*) > 4)"
+def found(spark, d, matches):
+    """task, n, off of matches: how many there are, and how far their places are from the known shift at most."""
+    a, b = shifted(spark, d)
+    m = matches.join(a.toDF("task", "id_a", "xa", "ya", "za"), ["task", "id_a"]).join(b.toDF("task", "id_b", "xb", "yb", "zb"), ["task", "id_b"])
+    off = F.abs(F.col("xb") - F.col("xa") - 3) + F.abs(F.col("yb") - F.col("ya") + 2) + F.abs(F.col("zb") - F.col("za") - 1)
+    return m.groupBy("task").agg(F.count(F.lit(1)).alias("n"), (F.round(F.max(off), 6) + 0.0).alias("off"))
+
+
+#: Every point finds one that looks like it, and lies where the shift says; lists of four and fewer have too few neighbours.
+FOUND = sql("SELECT concat(tp, '-', setup, '-', label) AS task, count(*) AS n, 0.0::DOUBLE AS off FROM point GROUP BY tp, setup, label HAVING count(*) > 4", "point")
 
 
 @query()
@@ -83,14 +92,14 @@ def redundant_descriptor_matches(spark, d):
     return M.descriptor_matches(*shifted(spark, d), "redundant", 3.0, threshold=1e9)
 
 
-@query()
+@query(FOUND)
 def fast_descriptor_matches(spark, d):
-    return M.descriptor_matches(*shifted(spark, d), "fast", 10.0)
+    return found(spark, d, M.descriptor_matches(*shifted(spark, d), "fast", 10.0))
 
 
-@query()
+@query(FOUND)
 def geometric_hashing_matches(spark, d):
-    return M.descriptor_matches(*shifted(spark, d), "hashing", 10.0)
+    return found(spark, d, M.descriptor_matches(*shifted(spark, d), "hashing", 10.0))
 
 
 def true_matches(spark, d):
@@ -119,7 +128,7 @@ def interpolated_model(spark, d):
     return m.select("task", F.posexplode("m").alias("i", "v")).select("task", F.col("i").cast("long").alias("i"), (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query()
+@query(sql("SELECT concat(tp, '-', setup, '-', label) AS task, CASE WHEN count(*) >= 3 THEN 0.0::DOUBLE END AS error FROM point WHERE id % 4 <> 3 GROUP BY tp, setup, label", "point"))
 def rigid_models(spark, d):
     out = M.fit_models(true_matches(spark, d).where("id_a % 4 <> 3"), "rigid")
     return out.select("task", F.round("error", 6).alias("error"))
