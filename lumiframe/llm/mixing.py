@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumiframe.llm.common import words
+from lumiframe.llm.common import materialize, words
 
 #: No source is taken more often than this; weights repeat over the sources in order of code points, null last.
 MOST_REPEATS, WEIGHTS, SEED = 3, (1, 2, 3), "mix"
@@ -36,6 +36,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return per.select("source", "source_size", F.least(F.col("cap"), F.coalesce(level, F.lit(0.0)) * F.col("w")).alias("target"))
 
 
+def rate() -> Column:
+    """Copies per document of a source, of its target and size; at most MOST_REPEATS."""
+    return F.least(F.lit(float(MOST_REPEATS)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
+
+
+def drawn(key: str, seed: str) -> Column:
+    """floor(s_rate), plus one if the key's number in [0, 1) is below the fraction."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    return F.floor("s_rate") + F.when(draw < F.col("s_rate") - F.floor("s_rate"), 1).otherwise(0)
+
+
+def written_targets(sizes: DataFrame) -> DataFrame:
+    """targets() as a table whose size is known before the join is planned: small, it is broadcast and texts stay where they are; else both sides are shuffled."""
+    return materialize(targets(sizes), "targets").withColumnRenamed("source", "s_source")
+
+
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """key, source, size, source_size, target, copies of every row of docs.
 
@@ -44,15 +60,9 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     counts as an empty one, a null text has no token, and null is a source of its own. Other columns are ignored.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"))
-    plan = targets(rows.select("source", "size")).withColumnRenamed("source", "s_source")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    rate = F.least(F.lit(float(MOST_REPEATS)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
-    return (
-        rows.join(plan, F.col("source").eqNullSafe(F.col("s_source")))
-        .withColumn("rate", rate)
-        .withColumn("copies", F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0))
-        .select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"))
-    )
+    plan = written_targets(rows.select("source", "size"))
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("s_source"))).withColumn("s_rate", rate())
+    return joined.select("doc_id", "source", "size", "source_size", "target", drawn("doc_id", seed).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
@@ -61,9 +71,6 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     n = len(own)
     plain = docs.toDF(*[f"c{i}" for i in range(n)])
     at = {c: f"c{i}" for i, c in reversed(list(enumerate(own)))}
-    plan = targets(plain.select(F.col(at[source]).alias("source"), words(at[text]).alias("size"))).withColumnRenamed("source", "s_source")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(at[key]).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    rate = F.least(F.lit(float(MOST_REPEATS)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0)))
-    out = plain.join(plan, F.col(at[source]).eqNullSafe(F.col("s_source"))).withColumn("s_rate", rate)
-    out = out.withColumn("s_n", (F.floor("s_rate") + F.when(draw < F.col("s_rate") - F.floor("s_rate"), 1).otherwise(0)).cast("int"))
+    plan = written_targets(plain.select(F.col(at[source]).alias("source"), words(at[text]).alias("size")))
+    out = plain.join(plan, F.col(at[source]).eqNullSafe(F.col("s_source"))).withColumn("s_rate", rate()).withColumn("s_n", drawn(at[key], seed).cast("int"))
     return out.where("s_n > 0").withColumn("s_copy", F.explode(F.sequence(F.lit(1), F.col("s_n")))).select(*[f"c{i}" for i in range(n)]).toDF(*own)
