@@ -88,6 +88,7 @@ def ranks(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     placed = materialize(placed, "ranks")
     sizes = placed.groupBy("r_part").count()
     offsets = sizes.select("r_part", F.coalesce(F.sum("count").over(Window.orderBy("r_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("r_before"))
+    offsets = materialize(offsets, "offsets")  # a row per range: known to be small when the join is planned
     n = sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     return placed.join(offsets, "r_part").withColumn("rank", F.col("r_before") + F.col("r_place")).drop("r_part", "r_place", "r_before"), n
 

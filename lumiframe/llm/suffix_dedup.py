@@ -350,7 +350,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, grams: tuple[float, ...
     both = found[0]
     for x in found[1:]:
         both = both.unionByName(x)
-    return both.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return materialize(both.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
