@@ -37,9 +37,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
-    warc.write(warc.plan(table(spark, sf_dir, "pages")), folder)
+    files = warc.write(warc.plan(table(spark, sf_dir, "pages")), folder)
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
-    return warc.read(spark, folder, payloads=False).where("kind <> 'gap'").select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
+    return warc.read(spark, folder, payloads=False, files=files).where("kind <> 'gap'").select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, vocabulary = shared_path(spark, "tokens"), bpe.Vocabulary(tokenizer())
     eod = vocabulary.added["<|endoftext|>"]
     order = token_count.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer(), eod)
-    return order.join(token_count.scan(spark, folder, eod, vocabulary.size), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+    return order.join(token_count.scan(spark, folder, eod, vocabulary.size, files=order), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,8 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: str, eod: int, key
     """Write the tokens of each text and eod after it to flat files; returns their order as doc_id, file, ordinal.
 
     Identifiers are little-endian uint16, or uint32 where the vocabulary needs it. Strings of special tokens are
-    ordinary text here, so eod stands at ends only. Null and empty texts are eod alone. The files are complete when
-    this returns; a retried task replaces its own.
+    ordinary text here, so eod stands at ends only. Null and empty texts are eod alone. Every attempt of a task has
+    names of its own; the returned table has those of the committed ones, whose files are complete.
     """
     from lumiframe.llm.bpe import shared_encoder
 
@@ -32,19 +31,25 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: str, eod: int, key
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(vocabulary, special=False)
         kind = token_type(max(encoder.v.size, eod + 1))
-        part, k, out, keys = TaskContext.get().partitionId(), 0, None, []
+        task, k, out, keys = TaskContext.get(), 0, None, []
+        name = lambda: f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{k:04d}.tok"
 
         def close():
             out.close()
             n = len(keys)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([f"part-{part:05d}-{k:04d}.tok"] * n, pa.string()), pa.array(range(n), pa.int64())], names=["doc_id", "file", "ordinal"])
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name()] * n, pa.string()), pa.array(range(n), pa.int64())], names=["doc_id", "file", "ordinal"])
 
         try:
             for b in batches:
                 if out is None:
-                    out, keys = Output(folder, f"part-{part:05d}-{k:04d}.tok"), []
-                found = encoder([t.decode("utf-8", "replace") for t in text_bytes(b.column(1))])
-                out.write(np.fromiter(chain.from_iterable(x + [eod] for x in found), dtype=kind).tobytes())
+                    out, keys = Output(folder, name()), []
+                ids, sizes = encoder.flat([t.decode("utf-8", "replace") for t in text_bytes(b.column(1))])
+                stops = np.cumsum(sizes + 1) - 1
+                tokens = np.full(len(ids) + len(sizes), eod, kind)
+                inside = np.ones(len(tokens), bool)
+                inside[stops] = False
+                tokens[inside] = ids
+                out.write(tokens.tobytes())
                 keys.extend(b.column(0).to_pylist())
                 if out.size >= file_bytes:
                     yield close()
@@ -64,7 +69,7 @@ def token_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def scan(spark: SparkSession, folder: str, eod: int, size: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(spark: SparkSession, folder: str, eod: int, size: int, block_bytes: int = BLOCK_BYTES, files: DataFrame | None = None) -> DataFrame:
     """file, ordinal, n_tokens, terminated of every document of the token files of a folder.
 
     Blocks are searched for eod alone. A prefix scan over the blocks of each file then gives the documents before a
@@ -73,11 +78,13 @@ def scan(spark: SparkSession, folder: str, eod: int, size: int, block_bytes: int
     """
     kind = np.dtype(token_type(size))
     step = max(1, block_bytes // kind.itemsize)
-    files = [(n, s // kind.itemsize) for n, s in listing(folder, ".tok")]
-    table = spark.createDataFrame(files, "file string, tokens long").where("tokens > 0")
+    found = [(n, s // kind.itemsize) for n, s in listing(folder, ".tok")]
+    table = spark.createDataFrame(found, "file string, tokens long").where("tokens > 0")
+    if files is not None:
+        table = table.join(files.select("file").distinct(), "file", "left_semi")
     blocks = table.select("file", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tokens - 1) div {step}"))).alias("block"))
     # dealt over the default parallelism: a block is a task's unit of memory
-    blocks = blocks.repartition(max(1, min(sum(-(-t // step) for _, t in files), 4 * spark.sparkContext.defaultParallelism)))
+    blocks = blocks.repartition(max(1, min(sum(-(-t // step) for _, t in found), 4 * spark.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)

@@ -65,18 +65,23 @@ def plan(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "
     Repeated rows of the smallest key are responses all.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.sha1("payload"))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first_id")).withColumnRenamed("sha", "f_sha")
+    # written out, so that Spark can split the join's partition of a payload that very many pages share
+    first = materialize(rows.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first_id")), "first-pages").withColumnRenamed("sha", "f_sha")
     joined = rows.join(first, rows["sha"] == first["f_sha"], "left")
     return joined.select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 
 def write(planned: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write the records of plan() to archives of a folder; returns file, records, bytes of each. A retried task replaces its own."""
+    """Write the records of plan() to archives of a folder; returns file, records, bytes of each.
+
+    Every attempt of a task has names of its own, and the returned table lists the files of those that were committed:
+    give it to read(), and files of lost or repeated attempts don't count, in whatever order these had their rows.
+    """
     bounded_batches(planned.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k, out, n = TaskContext.get().partitionId(), 0, None, 0
-        name = lambda: f"part-{part:05d}-{k:04d}.warc.gz"
+        task, k, out, n = TaskContext.get(), 0, None, 0
+        name = lambda: f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{k:04d}.warc.gz"
 
         def done():
             out.close()
@@ -245,14 +250,18 @@ def parse(data: bytes) -> tuple[dict, int]:
     return {"kind": kind, "record_id": strip(h.get("warc-record-id")), "refers_to": strip(h.get("warc-refers-to")), "uri": h.get("warc-target-uri"), "payload_digest": digest, "payload_bytes": size, "payload": payload if kind != "revisit" else None}, i + 4 + n
 
 
-def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+def read(spark: SparkSession, folder: str, payloads: bool = True, files: DataFrame | None = None) -> DataFrame:
     """Records of the archives of a folder, and a row of kind `gap` with the reason for each stretch of bytes that was passed over.
 
-    Without `payloads` that column is null, after its checks. Folders without archives give no row.
+    files: a table whose column `file` names the archives to read, all of the folder's if there is none. Without
+    `payloads` that column is null, after its checks. Folders without archives give no row.
     """
-    files = listing(folder, ".warc.gz") + listing(folder, ".warc")
+    found = listing(folder, ".warc.gz") + listing(folder, ".warc")
     names = [f.name for f in RECORD.fields]
-    table = spark.createDataFrame(files, "name string, size long").repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)), "name")
+    table = spark.createDataFrame(found, "name string, size long")
+    if files is not None:
+        table = table.join(files.select(F.col("file").alias("name")), "name", "left_semi")
+    table = table.repartition(max(1, min(len(found), 4 * spark.sparkContext.defaultParallelism)), "name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

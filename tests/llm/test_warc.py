@@ -4,6 +4,7 @@ from base64 import b32encode
 
 from lumiframe.llm import warc
 from lumiframe.llm.common import shared_path
+from lumiframe.llm.files import Output
 
 
 def salvaged(data):
@@ -46,7 +47,11 @@ def test_round_trip(spark):
     folder = shared_path(spark, "warc")
     files = warc.write(warc.plan(pages), folder, 20000)
     assert files.agg({"records": "sum"}).first()[0] == len(rows)
-    got = [r for r in warc.read(spark, folder).collect()]
+    lost = Output(folder, "part-00000-lost-0000.warc.gz")  # of an attempt that wasn't committed
+    lost.write(warc.record("urn:page:3", "u", b"<p>same</p>", None))
+    lost.close()
+    assert warc.read(spark, folder).count() == len(rows) + 1
+    got = warc.read(spark, folder, files=files).collect()
     assert sorted(r["kind"] for r in got if r["kind"] != "gap") == sorted(["revisit"] * 3 + ["response"] * 6)
     first = {}
     for i, _, h in rows:
