@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 from lumiframe.llm.common import text_bytes, with_columns_from
 
 #: Pretokens whose ids a task remembers, at most; beyond, it starts anew.
-MOST_REMEMBERED = 600_000
+MOST_REMEMBERED = 400_000
 #: Fixed values of the byte-level format: contractions, and the code points that count as white space.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -66,7 +67,7 @@ class Encoder:
         import regex
 
         self.v = vocabulary
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as int32, far smaller than lists of numbers
         body = rf" ?%s+| ?%s+| ?[^{SPACES}%s]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
         self.plain = re.compile(f"{CONTRACTIONS}|" + body % ("[A-Za-z]", "[0-9]", "A-Za-z0-9"))
         self.general = regex.compile(f"{CONTRACTIONS}|" + body % (r"\p{L}", r"\p{N}", r"\p{L}\p{N}"))
@@ -86,7 +87,7 @@ class Encoder:
         todo = []
         for t in new:
             if self.special is not None and t in v.added:
-                self.known[t] = (v.added[t],)
+                self.known[t] = array("i", [v.added[t]]).tobytes()
             else:
                 todo.append(t)
         encoded = [t.encode() for t in todo]
@@ -143,18 +144,23 @@ class Encoder:
         ends = starts.tolist()
         known = self.known
         for t, s, e in zip(todo, ends, ends[1:], strict=False):
-            known[t] = tuple([x for x in symbols[s : e - 1] if x >= 0])
+            known[t] = array("i", [x for x in symbols[s : e - 1] if x >= 0]).tobytes()
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
         pieces = [self.pretokens(t) for t in texts]
         if len(self.known) > MOST_REMEMBERED:
             self.known.clear()
-        new = set().union(*pieces) if pieces else set()
-        new.difference_update(self.known)
-        if new:
-            self.learn(sorted(new))
+        known = self.known
+        if new := sorted({t for p in pieces for t in p if t not in known}):
+            self.learn(new)
         get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, p))) for p in pieces]
+        parts = [b"".join(map(get, p)) for p in pieces]
+        return np.frombuffer(b"".join(parts), np.int32), np.array([len(p) // 4 for p in parts], np.int64)
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        ids, sizes = self.flat(texts)
+        return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(sizes) else []
 
 
 @functools.lru_cache(2)
@@ -175,10 +181,8 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
         encoder = shared_encoder(vocabulary)
 
         def work(column: pa.Array):
-            found = encoder([b.decode("utf-8", "replace") for b in text_bytes(column)])
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            flat = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(ends[-1]))
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            ids, sizes = encoder.flat([b.decode("utf-8", "replace") for b in text_bytes(column)])
+            return [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids))]
 
         return work
 
