@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,9 +19,9 @@ BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 def bounded_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session; a stricter setting of the user's stays."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, None)
-        digits = "".join(c for c in now or "" if c.isdigit())
-        if not digits or int(digits) > most or int(digits) <= 0:
+        now = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", (spark.conf.get(key, None) or "").strip().lower())
+        size = int(now[1]) << (10 * " kmgtp".index(now[2] or " ")) if now else 0
+        if not 0 < size <= most:
             spark.conf.set(key, str(most))
 
 
