@@ -39,3 +39,23 @@ def tile_place(i: Column, columns: int, rows: int, by_rows: bool = True, snake:
     x, y = (fast, slow) if by_rows else (slow, fast)
     del slow_n
     return (x if right else columns - 1 - x), (y if down else rows - 1 - y)
+
+
+def views_from_names(files: DataFrame, roles: dict[int, str], name: str = "name") -> DataFrame:
+    """Files of the most common name pattern with the attributes that its numbers stand for (position -> attribute), and a setup each.
+
+    Setups number the distinct attributes other than `tp`, in their order; without a `tp` role all files are of timepoint 0.
+    """
+    from pyspark.sql import Window
+
+    s = files.withColumns({"n_skeleton": skeleton(F.col(name)), "n_parts": number_parts(F.col(name))})
+    best = s.groupBy("n_skeleton").count().agg(F.max_by("n_skeleton", F.struct("count", "n_skeleton")).alias("best"))
+    own = s.join(best, F.col("n_skeleton") == F.col("best"), "left_semi")
+    own = own.withColumns({a: F.get("n_parts", F.lit(p)).cast("int") for p, a in roles.items()}).drop("n_skeleton", "n_parts")
+    if "tp" not in roles.values():
+        own = own.withColumn("tp", F.lit(0))
+    by = sorted(a for a in roles.values() if a != "tp")
+    if not by:
+        return own.withColumn("setup", F.lit(0))
+    setups = own.select(*by).distinct().withColumn("setup", (F.row_number().over(Window.orderBy(*by)) - 1).cast("int"))
+    return own.join(setups, by)

@@ -256,6 +256,8 @@ def test_project_versions_and_file_lists(spark, tmp_path):
     files = filenames.file_list(spark, str(tmp_path / "f"))
     assert files.count() == 4
     assert [(r["position"], r["values"], r["varies"]) for r in filenames.detect_pattern(files).orderBy("position").collect()] == [(0, 3, True), (1, 1, False)]
+    views = filenames.views_from_names(files, {0: "tp", 1: "channel"})
+    assert sorted((r["tp"], r["setup"], r["channel"], r["name"]) for r in views.collect()) == [(0, 0, 1, "img_t0_c1.tif"), (1, 0, 1, "img_t1_c1.tif"), (12, 0, 1, "img_t12_c1.tif")]
 
 
 def test_streams_join_as_tables_do(spark, tmp_path):
