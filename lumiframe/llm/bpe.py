@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from lumiframe.llm.common import text_bytes, with_columns_from
 
-#: Pretokens whose ids a task remembers, at most; beyond, it starts anew.
-MOST_REMEMBERED = 400_000
+#: Pretokens whose ids a worker remembers before it turns to a new set, and keeps of the old one what is asked for.
+MOST_REMEMBERED = 100_000
 #: Fixed values of the byte-level format: contractions, and the code points that count as white space.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -67,7 +67,9 @@ class Encoder:
         import regex
 
         self.v = vocabulary
-        self.known: dict[str, bytes] = {}  # ids as int32, far smaller than lists of numbers
+        # ids as int32, far smaller than lists of numbers; what no batch has asked for since the last turn is forgotten
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         body = rf" ?%s+| ?%s+| ?[^{SPACES}%s]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
         self.plain = re.compile(f"{CONTRACTIONS}|" + body % ("[A-Za-z]", "[0-9]", "A-Za-z0-9"))
         self.general = regex.compile(f"{CONTRACTIONS}|" + body % (r"\p{L}", r"\p{N}", r"\p{L}\p{N}"))
@@ -150,10 +152,12 @@ class Encoder:
         """Ids of all texts one after the other, and how many each has."""
         pieces = [self.pretokens(t) for t in texts]
         if len(self.known) > MOST_REMEMBERED:
-            self.known.clear()
-        known = self.known
-        if new := sorted({t for p in pieces for t in p if t not in known}):
-            self.learn(new)
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        if new := {t for p in pieces for t in p if t not in known}:
+            seen = new.intersection(before)
+            known.update((t, before[t]) for t in seen)
+            self.learn(sorted(new - seen))
         get = self.known.__getitem__
         parts = [b"".join(map(get, p)) for p in pieces]
         return np.frombuffer(b"".join(parts), np.int32), np.array([len(p) // 4 for p in parts], np.int64)
