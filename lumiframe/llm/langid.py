@@ -20,6 +20,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGUAGES = 240, 1024, 160 << 10, 256
 LEVEL, MARGIN = 6, 0.002
 #: Texts of fewer bytes are followed by zeros, without which zstandard stores them as they are and all sizes tie.
 SHORT, ZEROS = 1024, b"\0" * 512
+#: Texts of more bytes are compressed in pieces of equal size: a dictionary helps each of them, so the score doesn't fall with the length.
+PIECE = 64 << 10
 UNKNOWN = "und"
 
 
@@ -66,7 +68,9 @@ class Classifier:
         data = words.encode()
         if len(data) < SHORT:
             data += ZEROS
-        sizes = [len(c.compress(data)) for c in self.coders]
+        n, view = -(-len(data) // PIECE), memoryview(data)
+        pieces = [view[i * len(data) // n : (i + 1) * len(data) // n] for i in range(n)]
+        sizes = [sum(len(c.compress(p)) for p in pieces) for c in self.coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.langs[0], 1.0
@@ -79,7 +83,7 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", m
 
     Null, empty and letterless texts are `und` with score 0, and rejected; so is everything where no language was
     learned. Equal sizes go to the language that is first by name, with score 0, and are rejected, as is any score
-    below the margin. Texts are compressed whole. Columns of df with these names are replaced; all others stay.
+    below the margin. Texts are compressed whole, those beyond PIECE bytes piece by piece. Columns of df with these names are replaced; all others stay.
     """
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast(dictionaries)  # at most MAX_LANGUAGES x DICT_BYTES

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 
 from lumiframe.llm import langid, queries
@@ -44,3 +46,20 @@ def test_ties_are_rejected(spark):
     same = b"abc def ghi " * 10
     r = langid.predict(spark.createDataFrame([(1, "abc def ghi")], "doc_id long, text string"), {"x": same, "a": same}).first()
     assert r["lang_pred"] == "a" and r["score"] == 0 and r["rejected"]
+
+
+def test_long_clean_texts_are_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null and lang is not null")
+    dictionaries = langid.fit(docs.where(~langid.held_out()))
+    words = {l: [] for l in dictionaries}
+    for r in docs.where(langid.held_out()).select("lang", "text").collect():
+        words[r["lang"]] += r["text"].split()
+    rng = random.Random(1)
+    long = [(l, " ".join(rng.choices(w, k=1_400_000))[: 6 << 20]) for l, w in words.items()]
+    assert len(long) == 4 and all(len(t) > 5 << 20 for _, t in long)
+    out = langid.predict(spark.createDataFrame(long, "lang string, text string").repartition(4), dictionaries).drop("text").collect()
+    assert sorted(r["lang"] for r in out) == sorted(words)
+    assert all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in out), out
+    classify = langid.Classifier(dictionaries)
+    short = {l: classify(t[: 1 << 20].encode())[1] for l, t in long}
+    assert all(0.8 * short[r["lang"]] < r["score"] < 1.25 * short[r["lang"]] for r in out)
