@@ -21,9 +21,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id. Of repeated rows one stays; rows without a doc_id all do."""
-    found = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("kept_id")).select(*docs.columns).dropDuplicates(["doc_id"])
+    """One document of each group: that with the smallest doc_id. Of rows with equal doc_id and text one stays; rows without a doc_id all do."""
+    found = near_dup.kept_texts(docs).toDF("kept_id", "kept_text")
+    told = docs.withColumn("text_id", near_dup.text_id())
+    kept = told.join(found, (F.col("doc_id") == F.col("kept_id")) & (F.col("text_id") == F.col("kept_text"))).dropDuplicates(["doc_id", "text_id"]).select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

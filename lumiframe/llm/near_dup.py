@@ -67,8 +67,13 @@ def signer(symbols: int = SYMBOLS):
     return sign
 
 
+def text_id(text: str = "text") -> F.Column:
+    """Tells apart the texts that stand under one key."""
+    return F.xxhash64(F.col(text))
+
+
 def profile(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_id, signature of each row; the latter two are null where there is no shingle."""
+    """doc_id, n_shingles, set_id, signature, text_id (a hash of the text) of each row; set and signature are null where there is no shingle."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +81,11 @@ def profile(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         for b in batches:
             sets = [shingles(t, width) for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([sign(s) if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "set_id", "signature"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()), pa.array([sign(s) if len(s) else None for s in sets], pa.binary()), b.column(2)],
+                names=["doc_id", "n_shingles", "set_id", "signature", "text_id"],
             )
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), text_id(text).alias("text_id")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary, text_id long")
 
 
 def index_keys(signature: str = "signature") -> F.Column:
@@ -191,14 +196,17 @@ def candidate_edges(classes: DataFrame, near: int = NEAR, block: int = BLOCK) ->
 def exact_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT, width: int = WIDTH, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """a, b: edges that connect all pairs within a group that are linked on full sets: 100 * intersection >= percent * union.
 
-    docs: doc_id, text; groups: rep (a doc_id), set_id, n_shingles, group. Groups beyond a block are compared block by
-    block, every pair of blocks in a task of its own.
+    docs: doc_id, text; groups: rep (a doc_id), set_id, n_shingles, group. Where a doc_id stands on different texts, groups
+    also has text_id, which says whose set it is, and node, which the edges then connect instead of rep. Groups beyond a
+    block are compared block by block, every pair of blocks in a task of its own.
     """
     sizes = groups.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / block_shingles), F.lit(1)).cast("int").alias("blocks"))
-    dealt = materialize(groups.join(sizes, "group").select("rep", "set_id", "group", "blocks"), "groups")
+    node = F.col("node" if "node" in groups.columns else "rep").alias("node")
+    told = [c for c in groups.columns if c == "text_id"]
+    dealt = materialize(groups.join(sizes, "group").select("rep", node, "set_id", "group", "blocks", *told), "groups")
     # the groups grow with the corpus, so they are never broadcast: texts are shuffled once, at every size
-    texts = docs.select("doc_id", "text").hint("merge").join(dealt, F.col("doc_id") == F.col("rep"))
-    rows = _block_pairs(texts, "blocks", "rep").select("group", "bi", "bj", "rep", "set_id", "text")
+    texts = docs.select(F.col("doc_id").alias("rep"), *[text_id().alias(c) for c in told], "text").hint("merge").join(dealt, ["rep", *told])
+    rows = _block_pairs(texts, "blocks", "node").select("group", "bi", "bj", "node", "set_id", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "group", "bi", "bj").sortWithinPartitions("group", "bi", "bj")
     bounded_batches(docs.sparkSession)
@@ -227,15 +235,15 @@ def exact_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT, widt
             out = []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 g = t.slice(s, e - s)
-                sets, reps, seen = [], [], set()
-                for rep, want, text in zip(g.column(3).to_pylist(), g.column(4).to_pylist(), text_bytes(g.column(5).combine_chunks()), strict=True):
+                sets, nodes, seen = [], [], set()
+                for node, want, text in zip(g.column(3).to_pylist(), g.column(4).to_pylist(), text_bytes(g.column(5).combine_chunks()), strict=True):
                     own = shingles(text, width)
-                    if rep not in seen and set_id(own) == want:
-                        seen.add(rep)
+                    if node not in seen and set_id(own) == want:
+                        seen.add(node)
                         sets.append(own)
-                        reps.append(rep)
+                        nodes.append(node)
                 if len(sets) > 1:
-                    out += links(np.array(reps), sets)
+                    out += links(np.array(nodes), sets)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     found = materialize(rows.mapInArrow(run, "a long, b long"), "links")
@@ -243,25 +251,46 @@ def exact_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT, widt
     return found
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, near: int = NEAR) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs; other columns are ignored.
+def _labelled(docs: DataFrame, key: str, text: str, percent: int, near: int) -> DataFrame:
+    """doc_id, text_id, n_shingles of every row of docs, and first_id, first_text: those of the first document of its component.
 
-    component_id is the smallest doc_id that links reach, itself included. Rows with equal sets are one class, so copies
-    cost their count. Null, empty and blank texts have no shingle and no link. A row without a key forms no link but to
-    its class: it takes the class's component, or null if it has none, and isn't kept. Repeated rows agree.
+    The latter are null where there is no shingle, or a row without a key has no class.
     """
     spark = docs.sparkSession
     rows = materialize(profile(docs, key, text), "profile")
-    classes = materialize(rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles")), "classes")
-    edges = candidate_edges(classes, near)
+    sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_id")).alias("first"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"))
+    sets = materialize(sets.select("set_id", F.col("first.doc_id").alias("rep"), F.col("first.text_id").alias("text_id"), "signature", "n_shingles"), "sets")
+    # a doc_id may stand on different texts, so classes are told apart by nodes: numbers in the order of doc_id and set
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    classes = materialize(sets.repartitionByRange(parts, "rep", "set_id").sortWithinPartitions("rep", "set_id").withColumn("node", F.monotonically_increasing_id()), "classes")
+    edges = candidate_edges(classes.select(F.col("node").alias("rep"), "signature"), near)
     found = components(edges)
-    groups = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).select(F.col("node").alias("rep"), F.col("component").alias("group"))
-    groups = classes.drop("signature").join(groups, "rep")
+    groups = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).select("node", F.col("component").alias("group"))
+    groups = classes.drop("signature").join(groups, "node")
     links = exact_links(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), groups, percent)
     reached = components(links)
-    labels = classes.select("set_id", "rep").join(reached, F.col("rep") == F.col("node"), "left").select(F.col("set_id").alias("c_set"), F.coalesce("component", "rep").alias("c_id"))
+    first = classes.select(F.col("node").alias("component"), F.col("rep").alias("first_id"), F.col("text_id").alias("first_text"))
+    labels = classes.select("set_id", "node").join(reached, "node", "left").select(F.col("set_id").alias("c_set"), F.coalesce("component", "node").alias("component")).join(first, "component").drop("component")
     labels = materialize(labels, "labels")
-    discard(edges, links)
+    discard(edges, links, sets)
     release_shuffles(spark)
-    out = rows.join(labels, F.col("set_id") == F.col("c_set"), "left").withColumn("component_id", F.coalesce("c_id", "doc_id"))
+    return rows.join(labels, F.col("set_id") == F.col("c_set"), "left").select("doc_id", "text_id", "n_shingles", "first_id", "first_text")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, near: int = NEAR) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs; other columns are ignored.
+
+    component_id is the smallest doc_id that links reach, itself included. Rows with equal sets are one class, so copies
+    cost their count. Null, empty and blank texts have no shingle and no link. A row without a key forms no link but to
+    its class: it takes the class's component, or null if it has none, and isn't kept. Repeated rows agree; rows of one
+    doc_id with different texts are documents of their own, which only their texts link.
+    """
+    out = _labelled(docs, key, text, percent, near).withColumn("component_id", F.coalesce("first_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def kept_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, near: int = NEAR) -> DataFrame:
+    """doc_id, text_id of one text of each component, and of every text without a shingle; rows without a key are left out."""
+    out = _labelled(docs, key, text, percent, near)
+    same = (F.col("doc_id") == F.col("first_id")) & (F.col("text_id") == F.col("first_text"))
+    return out.where(F.col("doc_id").isNotNull() & F.coalesce(same, F.lit(True))).select("doc_id", "text_id").distinct()

@@ -114,3 +114,23 @@ def test_components(spark):
             parent[max(top(a), top(b))] = min(top(a), top(b))
     want = {i: top(i) for i in range(300) if top(i) != i}
     assert {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_one_doc_id_on_different_texts(spark):
+    rows = [(d % 40, t) for d, t in corpus(7)]
+    rows += rows[:5]
+    assert len({d for d, _ in rows}) < len({t for _, t in rows})
+    assert got(near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_the_stage_drops_only_equal_rows_and_copies(spark):
+    import corpus_pipeline
+
+    word = lambda i, n: [f"w{i}x{j}" for j in range(n)]
+    a, b, c = word(1, 60), word(2, 60), word(3, 60)
+    near = lambda w: [*w[:-1], "other"]
+    texts = [(9, a), (9, b), (9, b), (12, near(a)), (3, near(b)), (20, c), (20, near(c))]
+    docs = spark.createDataFrame([(d, " ".join(w), "en", "web", 1) for d, w in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert [k for k in kept if k[0] != 20] == [(3, " ".join(near(b))), (9, " ".join(a))]
+    assert len([k for k in kept if k[0] == 20]) == 1
