@@ -7,7 +7,8 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,6 +24,7 @@ FILE_BYTES, READ_BYTES, LEVEL = 64 << 20, 1 << 18, 5
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+LINE_ENDS = re.compile(rb"[\r\n]*")
 
 RECORD = T.StructType(
     [
@@ -117,7 +119,9 @@ class Salvage:
 
     A member or record that fails a check (gzip's crc, version line, header, length, digests) is passed over: the next
     gzip member that begins with a version line, or the next version line that begins a sound record, is looked for
-    from the byte after the failed one's first. The bytes between are one gap. Memory: one record, and READ_BYTES.
+    from the byte after the failed one's first. The bytes between are one gap. A member may hold many records: once its
+    crc is right, a record in it that fails a check is passed over in the same way, and every record and gap of it has the
+    member's offset and length. Memory: one plain record or unpacked member, and READ_BYTES.
     """
 
     def __init__(self, read_at, size: int):
@@ -128,7 +132,7 @@ class Salvage:
         gap, why = None, ""
         while at < self.size:
             try:
-                rec, end = self._one(at)
+                recs, end = self._one(at)
             except (Damaged, zlib.error, UnicodeError, ValueError) as e:
                 if gap is None:
                     gap, why = at, f"{type(e).__name__}: {e}"
@@ -137,25 +141,54 @@ class Salvage:
             if gap is not None:
                 yield {"offset": gap, "length": at - gap, "kind": "gap", "problem": why}
                 gap = None
-            yield {"offset": at, "length": end - at} | rec
+            for rec in recs:
+                yield {"offset": at, "length": end - at} | rec
             at = end
         if gap is not None:
             yield {"offset": gap, "length": self.size - gap, "kind": "gap", "problem": why}
 
-    def _one(self, at: int) -> tuple[dict, int]:
+    def _one(self, at: int) -> tuple[Iterable[dict], int]:
         start = self.read_at(7, at)
         if start[:3] == GZIP:
             data, end = self._member(at)
-            if data[:7] != VERSION:
-                raise Damaged("a member without a version line")
-            rec, used = parse(data)
-            if data[used:].strip(b"\r\n"):
-                raise Damaged("a member goes on after its record")
-            return rec, end
+            found = self._inside(data)
+            first = next(found, None)
+            before = [first] if first and first["kind"] == "gap" else []
+            if before:
+                first = next(found, None)
+            if first is None:
+                raise Damaged(before[0]["problem"] if before else "an empty member")
+            return chain(before, [first], found), end
         if start == VERSION:
-            return self._plain(at)
+            rec, end = self._plain(at)
+            return [rec], end
         raise Damaged("neither a gzip member nor a version line")
 
+    def _inside(self, data: bytes) -> Iterator[dict]:
+        """Records of an unpacked member, and a gap for each stretch between them that fails a check."""
+        at, gap, why = 0, None, ""
+        while at < len(data):
+            try:
+                if data[at : at + 7] != VERSION:
+                    raise Damaged("a member without a version line" if at == 0 else "no version line after a record")
+                rec, used = parse(data, at)
+                end = LINE_ENDS.match(data, used).end()
+                if end < len(data) and data[used : used + 4] != b"\r\n\r\n":
+                    raise Damaged("no record end where the length says")
+            except ValueError as e:
+                if gap is None:
+                    gap, why = at, str(e)
+                at = data.find(b"WARC/1.", at + 1)
+                at = len(data) if at < 0 else at
+                continue
+            if gap is not None:
+                yield {"kind": "gap", "problem": f"bytes {gap} to {at} of a member: {why}"}
+                gap = None
+            yield rec
+            at = end
+        if gap is not None:
+            yield {"kind": "gap", "problem": f"bytes {gap} to {at} of a member: {why}"}
+
     def _member(self, at: int) -> tuple[bytes, int]:
         d, parts, fed = zlib.decompressobj(31), [], at
         while not d.eof:
@@ -220,12 +253,12 @@ def length_of(h: dict[str, str]) -> int:
     return int(h["content-length"])
 
 
-def parse(data: bytes) -> tuple[dict, int]:
-    """A record at the start of data, and the bytes it has without the end mark; Damaged if a check fails."""
-    i = data.find(b"\r\n\r\n")
+def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
+    """The record that begins at a place of data, and the place where it ends without the end mark; Damaged if a check fails."""
+    i = data.find(b"\r\n\r\n", at, at + 64 * READ_BYTES)
     if i < 0:
         raise Damaged("a header without an end")
-    h = headers(data[:i])
+    h = headers(data[at:i])
     n = length_of(h)
     block = data[i + 4 : i + 4 + n]
     if len(block) < n:

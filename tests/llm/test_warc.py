@@ -70,3 +70,21 @@ def test_round_trip(spark):
     empty = shared_path(spark, "warc")
     warc.write(warc.plan(pages.limit(0)), empty)
     assert warc.read(spark, empty).count() == 0
+
+
+def test_salvage_of_a_member_with_many_records():
+    recs = [zlib.decompress(warc.record(f"urn:page:{i}", "http://x/", b"some text %d" % i * 30, None), 31) for i in range(5)]
+    pack = lambda parts: (c := zlib.compressobj(5, zlib.DEFLATED, 31)).compress(b"".join(parts)) + c.flush()
+    one = pack(recs)
+    assert salvaged(one) == [("response", 0, len(one), f"urn:page:{i}") for i in range(5)]
+    names = lambda data: [(k, i) for k, _, _, i in salvaged(data)]
+    bad = recs[2].replace(b"some text", b"same text", 1)
+    sound = [("response", f"urn:page:{i}") for i in range(5)]
+    for k in range(5):
+        want = [*sound[:k], ("gap", None), *sound[k + 1 :]]
+        assert names(pack([*recs[:k], recs[k].replace(b"some text", b"same text", 1), *recs[k + 1 :]])) == want
+    assert names(pack([bad])) == [("gap", None)] and names(pack([b"junk"])) == [("gap", None)]
+    # other members around it, and one that is cut
+    alone = warc.record("urn:page:9", "http://x/", b"alone", None)
+    assert names(alone + one + alone) == [("response", "urn:page:9"), *sound, ("response", "urn:page:9")]
+    assert names(one[:-9] + alone) == [("gap", None), ("response", "urn:page:9")]
