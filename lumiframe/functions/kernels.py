@@ -74,22 +74,72 @@ def map_back(m: np.ndarray, size: np.ndarray, model: str = "rigid") -> np.ndarra
 # ---- robust estimation ------------------------------------------------------------------------------------------
 
 
+#: Cells of a dense array that a kernel holds at a time, and the chance of having missed a larger consensus at which RANSAC ends.
+AT_ONCE, MISSED = 1 << 21, 1e-12
+
+
+def samples(rng: np.random.Generator, n: int, k: int, rounds: int) -> np.ndarray:
+    """`rounds` rows of k different places of 0..n-1; for k = 1 each place once if that is fewer."""
+    if k == 1 and n <= rounds:
+        return np.arange(n)[:, None]
+    out = rng.integers(0, n, (rounds, k))
+    while True:
+        ordered = np.sort(out, axis=1)
+        again = np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(1))
+        if not len(again):
+            return out
+        out[again] = rng.integers(0, n, (len(again), k))
+
+
+def fit_many(model: str, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The 3 x 4 maps of many small samples (samples, points, 3); NaN where the points don't determine one."""
+    cp, cq = p.mean(1), q.mean(1)
+    if model in ("identity", "translation"):
+        a = np.broadcast_to(np.eye(3), (len(p), 3, 3))
+        cp = cq if model == "identity" else cp
+    else:
+        x, y = p - cp[:, None], q - cq[:, None]
+        if model == "affine":
+            left, right = np.einsum("sni,snj->sij", x, x), np.einsum("sni,snj->sij", x, y)
+            flat = np.abs(np.linalg.det(left)) <= 1e-12 * np.maximum(np.trace(left, axis1=1, axis2=2), 1e-300) ** 3
+            left[flat] = np.eye(3)
+            a = np.linalg.solve(left, right).transpose(0, 2, 1)
+            a[flat] = np.nan
+        else:
+            u, _, vt = np.linalg.svd(np.einsum("sni,snj->sij", x, y))
+            flip = np.sign(np.linalg.det(u @ vt))
+            vt[:, 2] *= np.where(flip == 0, 1, flip)[:, None]
+            a = (u @ vt).transpose(0, 2, 1)
+            if model == "similarity":
+                turned = np.einsum("sij,snj->sni", a, x)
+                with np.errstate(all="ignore"):
+                    a = a * ((turned * y).sum((1, 2)) / (x * x).sum((1, 2)))[:, None, None]
+    return np.concatenate([a, (cq - np.einsum("sij,sj->si", a, cp))[:, :, None]], axis=2)
+
+
 def ransac(p: np.ndarray, q: np.ndarray, model: str, epsilon: float, least_ratio: float, rounds: int, least: int, seed: int) -> np.ndarray:
-    """Places of the inliers of the best model; empty if they are too few. The seed fixes the samples."""
+    """Places of the inliers of the best model; empty if they are too few. The seed fixes the samples.
+
+    All samples are drawn at once and their models tried in arrays of bounded size; it ends early once a larger
+    consensus than the best would have been met but for a chance of MISSED.
+    """
     n, k = len(p), max(1, LEAST_POINTS[model])
     if n < max(least, k):
         return np.array([], int)
-    rng = np.random.default_rng(seed)
+    picks = samples(np.random.default_rng(seed), n, k, rounds)
     best = np.array([], int)
-    for _ in range(rounds):
-        pick = rng.choice(n, k, replace=False)
-        try:
-            m = FITS[model](p[pick], q[pick])
-        except np.linalg.LinAlgError:
-            continue
-        ok = np.flatnonzero(((transform(m, p) - q) ** 2).sum(1) < epsilon**2)
-        if len(ok) > len(best):
-            best = ok
+    step = max(1, min(len(picks), AT_ONCE // (3 * n)))
+    for at in range(0, len(picks), step):
+        pick = picks[at : at + step]
+        maps = fit_many(model, p[pick], q[pick])
+        off = np.einsum("sij,nj->sni", maps[:, :, :3], p) + maps[:, None, :, 3] - q
+        with np.errstate(invalid="ignore"):
+            ok = (off * off).sum(2) < epsilon**2
+        counts = ok.sum(1)
+        if counts.max() > len(best):
+            best = np.flatnonzero(ok[counts.argmax()])
+        if (1 - (len(best) / n) ** k) ** (at + step) < MISSED:
+            break
     if len(best) < max(least, k) or len(best) < least_ratio * n:
         return np.array([], int)
     for _ in range(20):
@@ -126,16 +176,19 @@ def ransac_line(p: np.ndarray, q: np.ndarray, epsilon: float, least_ratio: float
     n = len(p)
     if n < max(least, 2):
         return np.array([], int)
-    rng = np.random.default_rng(seed)
+    picks = samples(np.random.default_rng(seed), n, 2, rounds)
+    picks = picks[p[picks[:, 0]] != p[picks[:, 1]]]
     best = np.array([], int)
-    for _ in range(rounds):
-        i, j = rng.choice(n, 2, replace=False)
-        if p[i] == p[j]:
-            continue
+    step = max(1, min(max(1, len(picks)), AT_ONCE // n))
+    for at in range(0, len(picks), step):
+        i, j = picks[at : at + step].T
         m = (q[j] - q[i]) / (p[j] - p[i])
-        ok = np.flatnonzero(np.abs(m * (p - p[i]) + q[i] - q) < epsilon)
-        if len(ok) > len(best):
-            best = ok
+        ok = np.abs(m[:, None] * (p[None, :] - p[i][:, None]) + q[i][:, None] - q[None, :]) < epsilon
+        counts = ok.sum(1)
+        if counts.max() > len(best):
+            best = np.flatnonzero(ok[counts.argmax()])
+        if (1 - (len(best) / n) ** 2) ** (at + step) < MISSED:
+            break
     while len(best) >= max(least, 2):
         line = fit_line(p[best], q[best])
         if line is None:
@@ -157,9 +210,7 @@ def icp(p: np.ndarray, q: np.ndarray, model: str, reach: float, rounds: int, lea
     last, pairs, done = None, np.empty((0, 2), int), 0
     for done in range(1, rounds + 1):
         x = transform(m, p)
-        d = ((x[:, None, :] - q[None, :, :]) ** 2).sum(2)
-        j = d.argmin(1)
-        e = np.sqrt(d[np.arange(len(p)), j])
+        j, e = nearest_rows(x, q)
         i = np.flatnonzero(e <= reach)
         used = np.bincount(j[i], minlength=len(q))
         i = i[used[j[i]] == 1]
@@ -177,11 +228,39 @@ def icp(p: np.ndarray, q: np.ndarray, model: str, reach: float, rounds: int, lea
 # ---- descriptors ------------------------------------------------------------------------------------------------
 
 
+def row_blocks(n: int, width: int) -> list[slice]:
+    """Slices of n rows of `width` cells, so that a dense array over one of them has at most about AT_ONCE cells."""
+    step = max(1, AT_ONCE // max(1, width))
+    return [slice(i, min(n, i + step)) for i in range(0, n, step)]
+
+
+def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of squared differences of rows of a by rows of b."""
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        d = a[:, i, None] - b[None, :, i]
+        out += d * d
+    return out
+
+
+def nearest_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a the place of the nearest row of b, the first of equal ones, and its distance."""
+    at, far = np.zeros(len(a), int), np.full(len(a), np.inf)
+    for rows in row_blocks(len(a), len(b)):
+        d = square_distances(a[rows], b)
+        at[rows] = d.argmin(1)
+        far[rows] = np.sqrt(d[np.arange(len(d)), at[rows]])
+    return at, far
+
+
 def nearest_others(x: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k nearest other points of each point, by distance and place."""
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    return np.argsort(d, axis=1, kind="stable")[:, :k]
+    """Places of the k nearest other points of each point, by distance and place; distances are held for a block of rows."""
+    out = np.empty((len(x), min(k, max(0, len(x) - 1))), int)
+    for rows in row_blocks(len(x), len(x)):
+        d = square_distances(x[rows], x)
+        d[np.arange(len(d)), np.arange(rows.start, rows.stop)] = np.inf
+        out[rows] = np.argsort(d, axis=1, kind="stable")[:, : out.shape[1]]
+    return out
 
 
 def subsets(n: int, k: int) -> list[tuple[int, ...]]:
@@ -214,7 +293,7 @@ def local_frames(x: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
 
 
 def ratio_matches(d: np.ndarray, ratio: float, strict: bool, threshold: float = np.inf) -> np.ndarray:
-    """(row, column) of the best candidate of each row that beats the second by a factor; a second is needed."""
+    """(row, column) of the best candidate of each row of distances that beats the second by a factor; a second is needed."""
     if d.shape[1] < 2 or not len(d):
         return np.empty((0, 2), int)
     order = np.argsort(d, axis=1, kind="stable")[:, :2]
@@ -224,6 +303,12 @@ def ratio_matches(d: np.ndarray, ratio: float, strict: bool, threshold: float =
     return np.stack([np.flatnonzero(ok), order[ok, 0]], 1)
 
 
+def matches_by_ratio(a: np.ndarray, b: np.ndarray, ratio: float, strict: bool, threshold: float = np.inf, distance=square_distances) -> np.ndarray:
+    """ratio_matches() of the distances of rows of a from rows of b, a block of rows at a time."""
+    found = [ratio_matches(distance(a[rows], b), ratio, strict, threshold) + [rows.start, 0] for rows in row_blocks(len(a), len(b))]
+    return np.concatenate(found) if found else np.empty((0, 2), int)
+
+
 # ---- images -----------------------------------------------------------------------------------------------------
 
 

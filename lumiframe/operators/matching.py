@@ -35,6 +35,38 @@ def best_two(candidates: DataFrame, left: str, right: str, distance: str) -> Dat
     return two.groupBy(left).agg(pick(1, right).alias(right), pick(1, distance).alias("best"), pick(2, distance).alias("second"))
 
 
+def nearest_two(a: DataFrame, b: DataFrame, block: int = 1 << 12) -> DataFrame:
+    """id_a, id_b, best, second: of each row of a (id, vec) the nearest row of b in squared distance, ties by id, and the next distance.
+
+    Every row of a is compared with every row of b, block by block: both sides are dealt to blocks of about `block` rows,
+    a task compares a pair of blocks in arrays of bounded size, and two rows per row of a and block are shuffled. That
+    is a stated query set against all rows; rows without an id or a vector are left out, null components count as 0.
+    """
+    a, b = (x.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("id is not null and vec is not null") for x in (a, b))
+    blocks = [max(1, -(-x.count() // block)) for x in (a, b)]
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = a.withColumn("block_a", own(blocks[0])).withColumn("block_b", every(blocks[1]))
+    right = b.withColumn("block_b", own(blocks[1])).withColumn("block_a", every(blocks[0]))
+
+    def work(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(q):
+            return pd.DataFrame({"id_a": [], "id_b": [], "d": []}).astype({"id_a": "int64", "id_b": "int64", "d": "float64"})
+        q = q.sort_values("id")
+        width = max(max(map(len, p["vec"])), max(map(len, q["vec"])))
+        full = lambda v: np.array([np.pad(np.nan_to_num(np.asarray(x, float)), (0, width - len(x))) for x in v])
+        x, y, ids = full(p["vec"]), full(q["vec"]), q["id"].to_numpy()
+        out = []
+        for rows in K.row_blocks(len(x), len(y)):
+            d = K.square_distances(x[rows], y)
+            order = np.argsort(d, axis=1, kind="stable")[:, :2]
+            out.append(pd.DataFrame({"id_a": np.repeat(p["id"].to_numpy()[rows], order.shape[1]), "id_b": ids[order].ravel(), "d": np.take_along_axis(d, order, 1).ravel()}))
+        return pd.concat(out)
+
+    near = left.groupBy("block_a", "block_b").cogroup(right.groupBy("block_a", "block_b")).applyInPandas(work, "id_a long, id_b long, d double")
+    return best_two(near, "id_a", "id_b", "d")
+
+
 def ratio_filter(two: DataFrame, ratio: float, strict: bool, threshold: float | None = None) -> DataFrame:
     """Matches whose best candidate beats the second by a factor; without a second there is none."""
     best, second = F.col("best") * ratio, F.col("second")
@@ -83,8 +115,7 @@ def descriptor_matches(a: DataFrame, b: DataFrame, method: str, ratio: float, ne
         x, y = p[XYZ].to_numpy(float), q[XYZ].to_numpy(float)
         nx, ny = K.nearest_others(x, k), K.nearest_others(y, k)
         if method == "redundant":
-            d = K.redundant_distance(x[nx] - x[:, None], y[ny] - y[:, None], neighbours)
-            m = K.ratio_matches(d, ratio, True, threshold)
+            m = K.matches_by_ratio(x[nx] - x[:, None], y[ny] - y[:, None], ratio, True, threshold, lambda u, v: K.redundant_distance(u, v, neighbours))
         else:
             own_a, own_b, va, vb = [], [], [], []
             for s in K.subsets(k, neighbours):
@@ -95,8 +126,8 @@ def descriptor_matches(a: DataFrame, b: DataFrame, method: str, ratio: float, ne
             own_a, own_b, va, vb = (np.concatenate(v) for v in (own_a, own_b, va, vb))
             fa, fb = np.isfinite(va).all(1), np.isfinite(vb).all(1)
             own_a, own_b, va, vb = own_a[fa], own_b[fb], va[fa], vb[fb]
-            d = ((va[:, None] - vb[None]) ** 2).sum(2) / (3 if method == "fast" else 1)
-            m = K.ratio_matches(d, ratio, False, threshold)
+            scale = 3 if method == "fast" else 1
+            m = K.matches_by_ratio(va, vb, ratio, False, threshold, lambda u, v: K.square_distances(u, v) / scale)
             m = np.unique(np.stack([own_a[m[:, 0]], own_b[m[:, 1]]], 1), axis=0) if len(m) else m
         if not len(m):
             return empty

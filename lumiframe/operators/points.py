@@ -32,21 +32,21 @@ def renumber(points: DataFrame, by: list[str] | None = None) -> DataFrame:
     return points.withColumn("id", F.row_number().over(Window.partitionBy(*(by or VIEW)).orderBy("id")) - 1)
 
 
-def thin_out(points: DataFrame, low: float, high: float, keep: bool, radius: float) -> DataFrame:
+def thin_out(points: DataFrame, low: float, high: float, keep: bool) -> DataFrame:
     """Points whose distance to the nearest other point of their list is in [low, high], kept or cut; ids are renumbered.
 
     A point without any other isn't in a range.
     """
     key = [*VIEW, "id"]
-    d = spatial.nearest_distance(points.select(*key, *AXES), points.select(*key, *AXES), AXES, key, VIEW, True, radius)
+    d = spatial.nearest_distance(points.select(*key, *AXES), points.select(*key, *AXES), AXES, key, VIEW, True)
     inside = d.where(F.col("d").between(low, high)).select(*key)
     return renumber(points.join(inside, key, "left_semi" if keep else "left_anti"))
 
 
-def relative_thin_out(points: DataFrame, others: DataFrame, low: float, high: float, keep: bool, radius: float) -> DataFrame:
+def relative_thin_out(points: DataFrame, others: DataFrame, low: float, high: float, keep: bool) -> DataFrame:
     """As thin_out(), by the distance to the nearest point of another label of the same view."""
     key, view = [*VIEW, "id"], ["tp", "setup"]
-    d = spatial.nearest_distance(points.select(*key, *AXES), others.select(*key, *AXES), AXES, key, view, False, radius)
+    d = spatial.nearest_distance(points.select(*key, *AXES), others.select(*key, *AXES), AXES, key, view, False)
     inside = d.where(F.col("d").between(low, high)).select(*key)
     return renumber(points.join(inside, key, "left_semi" if keep else "left_anti"))
 

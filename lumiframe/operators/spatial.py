@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumiframe.operators.iterate import materialize
+
 
 def _cells(low: Column, high: Column, cell: float) -> Column:
     return F.sequence(F.floor(low / cell), F.floor(high / cell))
@@ -54,19 +56,21 @@ def distance_squared(axes: list[str]) -> Column:
 def within_radius(a: DataFrame, b: DataFrame, axes: list[str], radius: float, by: list[str] | None = None) -> DataFrame:
     """Pairs of rows of a and b at most radius apart, with d2; columns get _a and _b. by: columns that must agree.
 
-    Cells have the radius's size, so b is dealt to 3^n cells around each row and a to its own.
+    Cells are two radii wide, so the ball around a row of b touches at most two of them on an axis: b is dealt to
+    2^n cells at most, a to its own. The dealt side has many times the rows that its file tells of, so it's never
+    broadcast. Rows with a null coordinate or a null in `by` have no pair.
     """
     by = by or []
-    left = a.select(*[F.col(c).alias(f"{c}_a") for c in a.columns], *[F.floor(F.col(c) / radius).alias(f"cell_{i}") for i, c in enumerate(axes)])
+    cell = 2.0 * radius
+    left = a.select(*[F.col(c).alias(f"{c}_a") for c in a.columns], *[F.floor(F.col(c) / cell).alias(f"cell_{i}") for i, c in enumerate(axes)])
     right = b.select(*[F.col(c).alias(f"{c}_b") for c in b.columns])
     for i, c in enumerate(axes):
-        at = F.floor(F.col(f"{c}_b") / radius)
-        right = right.withColumn(f"cell_{i}", F.explode(F.array(at - 1, at, at + 1)))
+        right = right.withColumn(f"cell_{i}", F.explode(_cells(F.col(f"{c}_b") - radius, F.col(f"{c}_b") + radius, cell)))
     for c in by:
         right = right.withColumn(f"same_{c}", F.col(f"{c}_b"))
         left = left.withColumn(f"same_{c}", F.col(f"{c}_a"))
     on = [f"cell_{i}" for i in range(len(axes))] + [f"same_{c}" for c in by]
-    out = left.join(right, on).withColumn("d2", distance_squared(axes)).where(F.col("d2") <= radius * radius)
+    out = left.join(right.hint("merge"), on).withColumn("d2", distance_squared(axes)).where(F.col("d2") <= radius * radius)
     return out.drop(*on)
 
 
@@ -79,24 +83,80 @@ def nearest(a: DataFrame, b: DataFrame, axes: list[str], key_a: list[str], key_b
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def nearest_distance(points: DataFrame, others: DataFrame, axes: list[str], key: list[str], by: list[str], skip_self: bool, first_radius: float) -> DataFrame:
-    """key, d: distance of each point to the nearest of others that agrees on `by`; points without any are left out.
+#: Points of a leaf of the tree of boxes, and nodes of a node above, as powers of two; bits of a coordinate in the order along the leaves.
+LEAF_BITS, FAN_BITS, ORDER_BITS = 4, 3, 16
+
+
+def _interleaved(columns: list[Column], low: list[float], high: list[float]) -> Column:
+    """Places of cells along the curve that takes one bit of each coordinate in turn."""
+    out = F.lit(0).cast("long")
+    most = (1 << ORDER_BITS) - 1
+    for i, (c, lo, hi) in enumerate(zip(columns, low, high, strict=True)):
+        at = F.least(F.lit(most), F.floor((c - lo) / max(hi - lo, 1e-300) * most)).cast("long")
+        for bit in range(ORDER_BITS):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(at, bit).bitwiseAND(F.lit(1)), bit * len(columns) + i))
+    return out
+
 
-    Radii double from first_radius: points that found a neighbour are done, the rest go on, until all are or the
-    radius spans the data. The rows of a round are those that the last one left.
+def box_tree(rows: DataFrame, axes: list[str], by: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """rows with `node`, the leaf of each, and the levels of a tree of boxes over the leaves of each list, the finest first.
+
+    A list's rows are put in the order of a curve; runs of 2^LEAF_BITS places are leaves, and 2^FAN_BITS neighbouring
+    nodes make one of the next level, up to that where no list has more than 2^FAN_BITS + 1 nodes. The order is a sort by
+    range and places are counted per partition, so no task holds a list. A level: by, node, n, lo_i and hi_i of each axis.
     """
-    ends = others.agg(*[F.max(c).alias(f"hi{i}") for i, c in enumerate(axes)], *[F.min(c).alias(f"lo{i}") for i, c in enumerate(axes)]).first()
-    mine = points.agg(*[F.max(c).alias(f"hi{i}") for i, c in enumerate(axes)], *[F.min(c).alias(f"lo{i}") for i, c in enumerate(axes)]).first()
-    if ends[0] is None or mine[0] is None:
-        return points.select(*key, F.lit(0.0).alias("d")).limit(0)
+    ends = rows.agg(*[f(c).alias(f"{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i, c in enumerate(axes)]).first()
     n = len(axes)
-    span = sum((max(ends[i], mine[i]) - min(ends[n + i], mine[n + i])) ** 2 for i in range(n)) ** 0.5 + 1e-9
-    done, left, radius = None, points, first_radius
-    while True:
-        radius = min(radius, span)
-        near = nearest(left, others, axes, key, key, radius, by, 1, skip_self).select(*[F.col(f"{c}_a").alias(c) for c in key], F.sqrt("d2").alias("d"))
-        done = near if done is None else done.unionByName(near)
-        if radius >= span:
-            return done
-        left = left.join(near.select(*key), key, "left_anti")
-        radius *= 8
+    low, high = [float(x or 0) for x in ends[:n]], [float(x or 0) for x in ends[n:]]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    curve = rows.withColumn("b_curve", _interleaved([F.col(c) for c in axes], low, high))
+    placed = curve.repartitionByRange(parts, *by, "b_curve").sortWithinPartitions(*by, "b_curve").drop("b_curve")
+    placed = materialize(placed.withColumn("b_part", F.spark_partition_id()).withColumn("b_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    # a row per partition
+    before = F.coalesce(F.sum("count").over(Window.orderBy("b_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = materialize(placed.groupBy("b_part").count().select("b_part", before.alias("b_before")))
+    ranked = placed.join(F.broadcast(offsets), "b_part").withColumn("node", F.shiftright(F.col("b_before") + F.col("b_place"), LEAF_BITS)).drop("b_part", "b_place", "b_before")
+    box = [f(c).alias(f"{e}_{i}") for i, c in enumerate(axes) for e, f in (("lo", F.min), ("hi", F.max))]
+    levels = [materialize(ranked.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("n"), *box))]
+    up = [f(f"{e}_{i}").alias(f"{e}_{i}") for i in range(n) for e, f in (("lo", F.min), ("hi", F.max))]
+    while (levels[-1].groupBy(*by).count().agg(F.max("count")).first()[0] or 0) > (1 << FAN_BITS) + 1:
+        levels.append(materialize(levels[-1].withColumn("node", F.shiftright("node", FAN_BITS)).groupBy(*by, "node").agg(F.sum("n").alias("n"), *up)))
+    return ranked, levels
+
+
+def nearest_distance(points: DataFrame, others: DataFrame, axes: list[str], key: list[str], by: list[str], skip_self: bool) -> DataFrame:
+    """key, d: distance of each point to the nearest of others that agrees on `by`; points without any are left out.
+
+    Others are put in a tree of boxes, and points go down it level by level: a box is entered only if it's nearer than
+    the farthest place of some box that is known to hold another point. So a point meets a few boxes at each level and
+    a few leaves, wherever it lies and however dense the others are; equal places are settled by their box. Each level
+    is a join by node and a window by point. Rows with a null coordinate or a null in `by` take no part.
+    """
+    whole = functools.reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*axes, *by]])
+    rows, levels = box_tree(others.where(whole).select(*dict.fromkeys([*key, *by, *axes])), axes, by)
+    own = list(dict.fromkeys([*key, *by]))
+    gap = lambda i, c: F.greatest(F.col(f"lo_{i}") - F.col(c), F.col(c) - F.col(f"hi_{i}"), F.lit(0.0))
+    far = lambda i, c: F.greatest(F.abs(F.col(c) - F.col(f"lo_{i}")), F.abs(F.col(c) - F.col(f"hi_{i}")))
+    least = functools.reduce(lambda x, y: x + y, [gap(i, c) * gap(i, c) for i, c in enumerate(axes)])
+    most = functools.reduce(lambda x, y: x + y, [far(i, c) * far(i, c) for i, c in enumerate(axes)])
+    most = F.when(F.col("n") > (1 if skip_self else 0), most)
+    by_point = Window.partitionBy(*key)
+    at = points.where(whole).select(*own, *axes, F.lit(None).cast("double").alias("bound"))
+    for level in reversed(levels):
+        if "node" in at.columns:
+            level = level.withColumn("above", F.shiftright("node", FAN_BITS))
+            met = at.withColumnRenamed("node", "above").join(level.hint("merge"), [*by, "above"]).drop("above")
+        else:
+            met = at.join(level.hint("merge"), by)
+        met = met.withColumns({"nearest": least, "bound": F.least("bound", F.min(most).over(by_point)), "first": F.row_number().over(by_point.orderBy(least, "node"))})
+        # the first box stays in any case: its row carries the bound
+        at = met.where((F.col("first") == 1) | F.col("bound").isNull() | (F.col("nearest") < F.col("bound"))).select(*own, *axes, "bound", "node")
+        if level is not levels[0]:
+            at = materialize(at)
+    left = at.select(*[F.col(c).alias(f"{c}_a") for c in [*own, *axes]], "bound", "node", *[F.col(c).alias(f"same_{c}") for c in by])
+    right = rows.select(*[F.col(c).alias(f"{c}_b") for c in [*own, *axes]], "node", *[F.col(c).alias(f"same_{c}") for c in by])
+    d2 = distance_squared(axes)
+    if skip_self:
+        d2 = F.when(~functools.reduce(lambda x, y: x & y, [F.col(f"{c}_a") == F.col(f"{c}_b") for c in key]), d2)
+    out = left.join(right.hint("merge"), ["node", *[f"same_{c}" for c in by]]).groupBy(*[F.col(f"{c}_a").alias(c) for c in key]).agg(F.least(F.min("bound"), F.min(d2)).alias("d2"))
+    return out.where("d2 is not null").select(*key, F.sqrt("d2").alias("d"))

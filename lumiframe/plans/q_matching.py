@@ -18,15 +18,9 @@ DESC = "WITH d AS (SELECT a.vec_id AS i, b.vec_id AS j, list_sum(list_transform(
 
 @query(DESC + "SELECT i AS id_a, j AS id_b, round(best, 6) AS best, round(second, 6) AS second FROM t WHERE best * 1.05 <= second")
 def ratio_match(spark, d):
-    """Descriptors of even ids against those of odd ids, in blocks of queries: the best two of each, and the ratio test."""
-    e = B.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    a = e.where("vec_id % 2 = 0").toDF("id_a", "va")
-    b = e.where("vec_id % 2 = 1").toDF("id_b", "vb")
-    # every query meets every candidate, dealt by blocks of the candidates
-    n = 8
-    left = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = b.withColumn("block", F.pmod(F.hash("id_b"), F.lit(n)))
-    two = M.best_two(left.join(right, "block").withColumn("d", M.square_distance("va", "vb")).select("id_a", "id_b", "d"), "id_a", "id_b", "d")
+    """Descriptors of even ids against those of odd ids: the best two of each, and the ratio test."""
+    e = B.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    two = M.nearest_two(e.where("id % 2 = 0"), e.where("id % 2 = 1"))
     return M.ratio_filter(two, 1.05, False).select("id_a", "id_b", F.round("best", 6).alias("best"), F.round("second", 6).alias("second"))
 
 

@@ -36,7 +36,7 @@ CROSS = "SELECT a.tp, a.setup, a.label, a.id, sqrt(min((a.x - b.x) ** 2 + (a.y -
 
 def self_distance(spark, d):
     p = B.interest_point(spark, d)
-    return spatial.nearest_distance(p, p, P.AXES, KEY, P.VIEW, True, 8.0)
+    return spatial.nearest_distance(p, p, P.AXES, KEY, P.VIEW, True)
 
 
 @query(sql(f"SELECT tp, setup, label, id, round(d, 6) AS d FROM ({NEAREST})", "point"))
@@ -47,7 +47,7 @@ def nearest_self(spark, d):
 @query(sql(f"SELECT tp, setup, label, id, round(d, 6) AS d FROM ({CROSS})", "point"))
 def nearest_cross(spark, d):
     p = B.interest_point(spark, d)
-    out = spatial.nearest_distance(p.where("label = 'N'"), p.where("label <> 'N'"), P.AXES, KEY, ["tp", "setup"], False, 8.0)
+    out = spatial.nearest_distance(p.where("label = 'N'"), p.where("label <> 'N'"), P.AXES, KEY, ["tp", "setup"], False)
     return out.select(*KEY, F.round("d", 6).alias("d"))
 
 
@@ -66,13 +66,13 @@ THIN = "SELECT p.tp, p.setup, p.label, CAST(row_number() OVER (PARTITION BY p.tp
 
 @query(sql(THIN.format(join="ANTI JOIN", source=NEAREST), "point"))
 def thin_out(spark, d):
-    return P.thin_out(B.interest_point(spark, d), 2.0, 6.0, False, 8.0).select(*KEY, F.round("x", 6).alias("x"))
+    return P.thin_out(B.interest_point(spark, d), 2.0, 6.0, False).select(*KEY, F.round("x", 6).alias("x"))
 
 
 @query(sql(THIN.format(join="SEMI JOIN", source=CROSS), "point"))
 def relative_thin_out(spark, d):
     p = B.interest_point(spark, d)
-    return P.relative_thin_out(p.where("label = 'N'"), p.where("label <> 'N'"), 2.0, 6.0, True, 8.0).select(*KEY, F.round("x", 6).alias("x"))
+    return P.relative_thin_out(p.where("label = 'N'"), p.where("label <> 'N'"), 2.0, 6.0, True).select(*KEY, F.round("x", 6).alias("x"))
 
 
 HIST = "WITH n AS ({source}), e AS (SELECT min(d) AS lo, (max(d) - min(d) + 1e-6) / 100 AS w FROM n) SELECT CAST(floor((d - lo) / w) AS INT) AS bin, count(*) AS n, round(min(lo) + (CAST(floor((d - lo) / w) AS INT) + 0.5) * min(w), 6) AS centre FROM n, e GROUP BY floor((d - lo) / w)"
@@ -86,7 +86,7 @@ def distance_histogram(spark, d):
 @query(sql(HIST.format(source=CROSS), "point"))
 def relative_distance_histogram(spark, d):
     p = B.interest_point(spark, d)
-    near = spatial.nearest_distance(p.where("label = 'N'"), p.where("label <> 'N'"), P.AXES, KEY, ["tp", "setup"], False, 8.0)
+    near = spatial.nearest_distance(p.where("label = 'N'"), p.where("label <> 'N'"), P.AXES, KEY, ["tp", "setup"], False)
     return P.histogram(near, "d").select("bin", "n", F.round("centre", 6).alias("centre"))
 
 

@@ -143,7 +143,7 @@ def test_nearest_distance(spark):
     r = random.Random(3)
     rows = [(g, i, r.uniform(0, 100) ** 2, r.uniform(0, 5)) for g in range(3) for i in range(30)] + [(9, 0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "g int, i int, x double, y double")
-    out = {(x["g"], x["i"]): x["d"] for x in spatial.nearest_distance(df, df, ["x", "y"], ["g", "i"], ["g"], True, 0.5).collect()}
+    out = {(x["g"], x["i"]): x["d"] for x in spatial.nearest_distance(df, df, ["x", "y"], ["g", "i"], ["g"], True).collect()}
     for g, i, x, y in rows:
         others = [math.dist((x, y), (p, q)) for h, j, p, q in rows if h == g and j != i]
         assert (g, i) in out if others else (g, i) not in out
