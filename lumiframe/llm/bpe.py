@@ -1,8 +1,10 @@
 """Byte-pair encoding and decoding with a pair occurrence index.
 
-The pretokens that a task sees are encoded together: an index maps each pair of neighbouring symbols to all its
-positions, a heap gives the pairs that have a rank in ascending order, and merging a pair's positions updates the lists
-of the pairs beside it.
+A partition is encoded in bounded runs, one per Arrow batch: the pretokens of a run that the worker doesn't remember are
+encoded together. An index maps each pair of neighbouring symbols to all its positions in the run, a heap gives the
+pairs that have a rank in ascending order, and merging a pair's positions updates the lists of the pairs beside it.
+All positions of a rank are merged before the next rank. That equals merging pretoken by pretoken as long as every token
+is made by one merge only; files in which two merges make one token are refused.
 """
 
 from __future__ import annotations
@@ -34,12 +36,25 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
+def refuse(d: dict) -> None:
+    """Raise for what a tokenizer file may ask for and this encoder doesn't do."""
+    model = d["model"]
+    if d.get("normalizer") is not None:
+        raise ValueError("normalizers aren't supported")
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("ignore_merges", "dropout", "fuse_unk", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")):
+        raise ValueError("only plain byte-pair models are supported")
+    # `normalized` says nothing where there is no normalizer
+    if any(t.get(k) for t in d["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that strip spaces or match single words aren't supported")
+
+
 class Vocabulary:
     """Merges and tokens of a byte-level BPE tokenizer file in JSON."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             d = json.load(f)
+        refuse(d)
         ids = d["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.size = max([*ids.values(), *self.added.values()], default=0) + 1
@@ -55,6 +70,8 @@ class Vocabulary:
         for rank, m in enumerate(d["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges[ids[a] * self.stride + ids[b]] = (rank, ids[a + b])
+        if len({token for _, token in self.merges.values()}) < len(d["model"]["merges"]):
+            raise ValueError("a token that two merges make")
         self.pair_array = np.array(sorted(self.merges), dtype=np.int64)
         self.byte_array = np.array([-1 if i is None else i for i in self.byte_ids], dtype=np.int64)
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumiframe.operators.iterate import discard, materialize, shared_dir, shared_path
+
+__all__ = ["bounded_batches", "discard", "materialize", "shared_dir", "shared_path", "text_bytes", "with_columns_from", "words"]
+
 #: Rows and bytes of one Arrow batch at most, so that very long texts don't add up in a Python worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -25,47 +27,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; unset (as in tests), one of our own is made and set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="lumiframe-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lumiframe/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, and any executor may be lost."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lumiframe_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._lumiframe_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def with_columns_from(df: DataFrame, inputs: list[str], make: Callable[[], Callable[..., list[pa.Array]]], fields: list[T.StructField]) -> DataFrame:
     """df with the columns that a Python function makes of whole Arrow columns; every other column passes through.
 

@@ -1,38 +1,5 @@
-"""Connected components of an edge table by alternating stars; every round is a few joins and aggregates, written out."""
+"""Connected components of an edge table by alternating stars."""
 
-from __future__ import annotations
+from lumiframe.operators.iterate import stars as components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lumiframe.llm.common import discard, materialize
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component (its smallest node) of every node of an edge table of longs that isn't the smallest of its component.
-
-    Edges with a null end and loops are left out; repeated edges count once. No node's neighbours are ever gathered:
-    the minimum of a node's neighbours is an aggregate, which is written out before it is joined, so that the join is of
-    two plain exchanges and Spark splits the partition of a hot node.
-    """
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    now = materialize(edges.where(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct(), "edges")
-    state = _state(now)
-    while True:
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
-        parent = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), "parent")
-        small = large.join(parent, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(parent.select("hi", F.col("m").alias("lo"))).distinct()
-        after = materialize(small, "edges")
-        discard(least, large, parent)
-        after_state = _state(after)
-        discard(now)
-        now = after
-        if after_state == state:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-        state = after_state
+__all__ = ["components"]

@@ -8,42 +8,44 @@ lower-cased first.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumiframe.llm.common import text_bytes, with_columns_from
+from lumiframe.llm.common import discard, materialize, text_bytes, with_columns_from
 
-#: The training sample: so many documents of a language, so many characters of each, so many dictionary bytes, so many languages.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, MAX_LANGUAGES = 240, 1024, 160 << 10, 256
+#: The training sample: so many texts of a language, so many characters of each, so many bytes of a dictionary and of all dictionaries.
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, ALL_BYTES = 240, 1024, 160 << 10, 256 << 20
 #: zstandard's level, and the least share of the runner-up's bytes that the winner must save.
 LEVEL, MARGIN = 6, 0.002
-#: Texts of fewer bytes are followed by zeros, without which zstandard stores them as they are and all sizes tie.
-SHORT, ZEROS = 1024, b"\0" * 512
-#: Texts of more bytes are compressed in pieces of equal size: a dictionary helps each of them, so the score doesn't fall with the length.
+#: Texts are compressed in pieces of equal size, of so many bytes at most: a dictionary helps each of them, so the score doesn't fall with the length.
 PIECE = 64 << 10
+#: What follows every piece: zstandard stores a few bytes as they are, and without it the sizes of all short texts would tie.
+FILLER = b"\0" * 512
 UNKNOWN = "und"
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """Dictionaries by language from the rows of `labelled` whose text and language aren't null.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
+    """Dictionaries by language from the rows of `labelled` whose text and language aren't null; all languages are learned.
 
-    Counts cover all rows. The sample is bounded: at most sample_docs texts of a language, those with the smallest
-    hash of the key, SAMPLE_CHARS characters of each and DICT_BYTES bytes in all; of more than MAX_LANGUAGES languages
-    the most frequent (then first by name) are learned. An empty table gives no dictionary.
+    The sample of a language is its sample_docs different texts with the smallest hashes, found over all rows; copies
+    count once, and keys play no part. Of each, SAMPLE_CHARS characters are used, of all DICT_BYTES bytes, and less
+    where there are so many languages that all dictionaries would take more than ALL_BYTES. So what is collected is
+    bounded by these parameters. An empty table gives no dictionary.
     """
-    rows = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("fit")), F.lit(1 << 30)).alias("h")).where("l is not null and t is not null")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return {}
-    # twice as many as needed in expectation: the smallest hashes are among them but for a vanishing chance
-    cut = F.create_map(*[x for r in counts for x in (F.lit(r["l"]), F.lit(int(min(1.0, 2 * sample_docs / r["count"]) * (1 << 30))))])
-    picked = rows.where(F.col("h") < F.element_at(cut, F.col("l"))).select("l", "h", F.substring("t", 1, SAMPLE_CHARS).alias("t")).collect()
-    by: dict[str, list] = {r["l"]: [] for r in counts}
-    for r in sorted(picked, key=lambda r: (r["l"], r["h"], r["t"])):
-        if len(by[r["l"]]) < sample_docs:
-            by[r["l"]].append(r["t"].lower().encode("utf-8", "replace"))
-    return {l: b"\n".join(x)[:DICT_BYTES] for l, x in by.items() if any(x)}
+    rows = labelled.select(F.col(lang).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null").withColumn("h", F.xxhash64("t", F.lit("fit")))
+    smallest = rows.select("l", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("place") <= sample_docs)
+    chosen = materialize(smallest.select("l", "h"), "language-samples")
+    n = chosen.agg(F.count_distinct("l")).first()[0]
+    most = min(DICT_BYTES, ALL_BYTES // max(1, n))
+    # the first texts by hash that fill a dictionary are enough
+    picked = rows.join(chosen, ["l", "h"]).groupBy("l", "h").agg(F.min(F.substring("t", 1, min(SAMPLE_CHARS, most))).alias("t"))
+    picked = picked.withColumn("before", F.coalesce(F.sum(F.octet_length("t")).over(Window.partitionBy("l").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    by: dict[str, list] = {}
+    for r in sorted(picked.where(F.col("before") < most).select("l", "h", "t").collect(), key=lambda r: (r["l"], r["h"])):
+        by.setdefault(r["l"], []).append(r["t"].lower().encode("utf-8", "replace"))
+    discard(chosen)
+    return {l: b"\n".join(x)[:most] for l, x in by.items() if any(x)}
 
 
 class Classifier:
@@ -66,10 +68,8 @@ class Classifier:
         if not self.coders or not self.letter.search(words):
             return UNKNOWN, 0.0
         data = words.encode()
-        if len(data) < SHORT:
-            data += ZEROS
-        n, view = -(-len(data) // PIECE), memoryview(data)
-        pieces = [view[i * len(data) // n : (i + 1) * len(data) // n] for i in range(n)]
+        n = -(-len(data) // PIECE)
+        pieces = [data[i * len(data) // n : (i + 1) * len(data) // n] + FILLER for i in range(n)]
         sizes = [sum(len(c.compress(p)) for p in pieces) for c in self.coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
@@ -83,10 +83,12 @@ def predict(df: DataFrame, dictionaries: dict[str, bytes], text: str = "text", m
 
     Null, empty and letterless texts are `und` with score 0, and rejected; so is everything where no language was
     learned. Equal sizes go to the language that is first by name, with score 0, and are rejected, as is any score
-    below the margin. Texts are compressed whole, those beyond PIECE bytes piece by piece. Columns of df with these names are replaced; all others stay.
+    below the margin. Texts are compressed whole, piece by piece, each piece followed by FILLER. Columns of df with these
+    names are replaced; all others stay. The dictionaries are broadcast, and each worker digests them: with the zstandard
+    tables, about four times their bytes, ALL_BYTES at most before that.
     """
     sc = df.sparkSession.sparkContext
-    shared = sc.broadcast(dictionaries)  # at most MAX_LANGUAGES x DICT_BYTES
+    shared = sc.broadcast(dictionaries)  # ALL_BYTES at most
 
     def make():
         classify = Classifier(shared.value)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumiframe.llm.common import text_bytes, with_columns_from
+from lumiframe.llm.common import materialize, text_bytes, with_columns_from
 
 #: Payloads are padded with 255 to a positive multiple of this; bands of AC coefficients; blocks that one EOB run covers at most.
 UNIT, BANDS, MOST_RUN = 576, ((1, 5), (6, 63)), 32767
@@ -415,10 +415,14 @@ def load(df: DataFrame, media: str = "media", tensors: bool = True) -> DataFrame
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The digest columns of store() and load() for every text of df."""
+    """The digest columns of store() and load() for every text of df: media are written to the shared folder and read back.
+
+    Null and empty texts are padding alone; equal texts, and so repeated rows, give equal values; a null key stays. Other
+    columns of df, whatever their names, are ignored.
+    """
     rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     stored = store(rows).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "media")
-    return load(stored, tensors=False).select(
+    return load(materialize(stored, "media"), tensors=False).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),

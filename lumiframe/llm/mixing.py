@@ -17,7 +17,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     What a source can't take is shared among the others by weight until none is above its limit. In closed form:
     with the sources in order of limit/weight, the first i are at their limit and the others get level x weight, for
     the first level that no next source's limit is below. An empty table gives no row; a source without tokens gets 0.
-    The table of sources has a row per source, so its windows are small whatever the documents count.
+    The table of sources has a row per source, and its windows put them in one task: meant for up to some millions of
+    sources, whatever the documents count.
     """
     per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())

@@ -2,8 +2,13 @@
 
 A signature has SYMBOLS symbols of 16 bits. Two of them are near if at most NEAR symbols differ. Cut into CHUNKS
 chunks, near signatures have a chunk with at most NEAR // CHUNKS = 1 errors; so every chunk is indexed once for each
-symbol that may be wrong, and all near pairs share a key. At similarity 0.85 a symbol differs with probability 0.15,
-and more than 15 of 32 do with about 1e-5; larger groups are connected by many pairs.
+symbol that may be wrong, and all near pairs share a key. At similarity s a symbol differs with probability 1 - s: more
+than 15 of 32 do with 1.4e-4 at 0.8 and 3.5e-6 at 0.85; larger groups are connected by many pairs.
+
+Large buckets and candidate groups are worked off in two rounds. First they are dealt to blocks, and each block meets
+the first one, the pivots, in a task of its own: rows are shipped about twice, whatever the group's size. As near
+copies mostly lie near some pivot, that mostly connects a group. Then only what isn't in a group's largest component
+meets all other blocks, so that no pair goes unseen.
 """
 
 from __future__ import annotations
@@ -16,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumiframe.llm.common import bounded_batches, discard, materialize, release_shuffles, text_bytes
+from lumiframe.llm.common import bounded_batches, discard, materialize, text_bytes
 from lumiframe.llm.components import components
 
 #: Words of a shingle; symbols of a signature, its chunks, and the symbols that may differ; the link's percentage.
-WIDTH, SYMBOLS, CHUNKS, NEAR, PERCENT = 5, 32, 8, 15, 85
+WIDTH, SYMBOLS, CHUNKS, NEAR, PERCENT = 5, 32, 8, 15, 80
 #: Members of a bucket, and members and shingles of a candidate group, that one task compares; larger ones are compared block by block.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
@@ -147,28 +152,71 @@ def _groups(table: pa.Table, n_keys: int) -> np.ndarray:
     return np.concatenate([[0], change, [table.num_rows]])
 
 
-def _block_pairs(df: DataFrame, blocks: str, by: str) -> DataFrame:
-    """Each row of a group of B blocks once for every pair of blocks that has its own; a group of one block stays as it is."""
-    own = F.pmod(F.xxhash64(F.col(by), F.lit("block")), F.col(blocks)).cast("int")
-    out = df.withColumn("own_block", own).withColumn("other_block", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int"))))
-    # a block meets itself in its pair with each other block
-    out = out.where((F.col(blocks) == 1) | (F.col("own_block") != F.col("other_block")))
-    return out.withColumn("bi", F.least("own_block", "other_block")).withColumn("bj", F.greatest("own_block", "other_block")).drop("own_block", "other_block")
+def _with_pivots(df: DataFrame, by: str) -> DataFrame:
+    """Round one: each row of a group of `blocks` blocks in the task of its block, (0, block), and the first block's rows in all of them."""
+    own = F.pmod(F.xxhash64(F.col(by), F.lit("block")), F.col("blocks")).cast("int")
+    out = df.withColumn("bi", F.lit(0)).withColumn("own_block", own)
+    every = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("own_block") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("own_block"))
+    return out.withColumn("bj", F.explode(every)).drop("own_block")
+
+
+def _rest_pairs(members: DataFrame, edges: DataFrame, group: str, node: str) -> DataFrame | None:
+    """Round two: group, node, bi, bj: what isn't in the largest component of a group of several blocks, against the group's others.
+
+    members: group, node, blocks, per_block. Null if round one connected every such group. The rest is dealt to blocks of
+    about `per_block` rows; block i of them meets block j of the whole group in task (i, j).
+    """
+    large = members.where("blocks > 1").select(group, node, "per_block")
+    if large.isEmpty():
+        return None
+    label = components(edges).withColumnRenamed("node", "l_node")
+    marked = materialize(large.join(label, F.col(node) == F.col("l_node"), "left").select(group, node, "per_block", F.coalesce("component", node).alias("component")), "marked")
+    sizes = marked.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n"), F.min("per_block").alias("per_block"))
+    # of each group: its size, its largest component, and how many rows that leaves
+    sums = sizes.groupBy(group).agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.min("per_block").alias("per_block")).where("parts > 1")
+    sums = materialize(sums.select(F.col(group).alias("s_group"), F.ceil(F.col("n") / F.col("per_block")).cast("int").alias("n_all"), F.ceil((F.col("n") - F.col("top.n")) / F.col("per_block")).cast("int").alias("n_rest"), F.col("top.component").alias("top")), "open")
+    if sums.isEmpty():
+        discard(marked, sums)
+        return None
+    at = lambda n: F.pmod(F.xxhash64(F.col(node), F.lit("rest")), F.col(n)).cast("int")
+    open_ = marked.drop("per_block").join(sums, F.col(group) == F.col("s_group"))
+    others = open_.withColumn("bj", at("n_all")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)))
+    rest = open_.where("component <> top").withColumn("bi", at("n_rest")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)))
+    out = materialize(others.unionByName(rest).select(group, node, "bi", "bj").distinct(), "rest")
+    discard(marked, sums)
+    return out
 
 
 def candidate_edges(classes: DataFrame, near: int = NEAR, block: int = BLOCK) -> DataFrame:
     """a, b: edges that connect all pairs of classes (rep, signature) whose signatures differ in at most `near` symbols.
 
-    Of a bucket's near pairs a spanning forest is given. `near` is at most 2 * CHUNKS - 1.
+    Equal signatures are one member of the index, linked with the smallest class that has it. Of a bucket's near pairs a
+    spanning forest is given. `near` is at most 2 * CHUNKS - 1. Rows shipped: 4 * CHUNKS keys a signature that shares
+    one, twice those in buckets beyond a block, and what _rest_pairs() tells. Classes without a signature have no edge.
     """
     if near // CHUNKS > 1:
         raise ValueError(f"near is at most {2 * CHUNKS - 1}")
-    keyed = classes.select("rep", F.explode(index_keys()).alias("key"))
+    classes = classes.where("signature is not null")
+    first = materialize(classes.groupBy("signature").agg(F.min("rep").alias("rep")), "signatures")
+    equal = classes.join(first.select(F.col("signature").alias("f_signature"), F.col("rep").alias("a")), F.col("signature") == F.col("f_signature")).where("rep <> a").select("a", F.col("rep").alias("b"))
+    keyed = first.select("rep", F.explode(index_keys()).alias("key"))
     shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = materialize(keyed.join(shared, "key").select("key", "rep", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "members")
-    full = members.join(classes.select("rep", "signature"), "rep")
-    dealt = _block_pairs(full, "blocks", "rep").select("key", "bi", "bj", "rep", "signature")
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = materialize(keyed.join(shared, "key").select("key", "rep", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.lit(block).alias("per_block")), "members")
+    signatures = first.select("rep", "signature")
+    one = _near_edges(_with_pivots(members.join(signatures, "rep"), "rep").select("key", "bi", "bj", "rep", "signature"), near)
+    rest = _rest_pairs(members, one, "key", "rep")
+    more = [] if rest is None else [_near_edges(rest.join(signatures, "rep").select("key", "bi", "bj", "rep", "signature"), near)]
+    edges = one.unionByName(equal)
+    for x in more:
+        edges = edges.unionByName(x)
+    out = materialize(edges, "candidates")
+    discard(first, shared, members, one, *more, *([] if rest is None else [rest]))
+    return out
+
+
+def _near_edges(dealt: DataFrame, near: int) -> DataFrame:
+    """a, b: a spanning forest of the near pairs of each task (key, bi, bj) of rows (..., rep, signature)."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,28 +236,33 @@ def candidate_edges(classes: DataFrame, near: int = NEAR, block: int = BLOCK) ->
             out = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
 
-    edges = materialize(dealt.mapInArrow(run, "a long, b long").distinct(), "candidates")
-    discard(shared, members)
-    return edges
+    return materialize(dealt.mapInArrow(run, "a long, b long").distinct(), "near-edges")
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT, width: int = WIDTH, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """a, b: edges that connect all pairs within a group that are linked on full sets: 100 * intersection >= percent * union.
 
-    docs: doc_id, text; groups: rep (a doc_id), set_id, n_shingles, group. Where a doc_id stands on different texts, groups
-    also has text_id, which says whose set it is, and node, which the edges then connect instead of rep. Groups beyond a
-    block are compared block by block, every pair of blocks in a task of its own.
+    docs: doc_id, text; groups: rep (a doc_id, null where its texts have none), set_id, n_shingles, group. Where a doc_id
+    stands on different texts, groups also has text_id, which says whose set it is, and node, which the edges then
+    connect instead of rep. A group beyond a block's members or shingles is worked off in the two rounds of this module,
+    so each of its texts is shipped about twice, and once more for each block of those that round one left apart.
     """
-    sizes = groups.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / block_shingles), F.lit(1)).cast("int").alias("blocks"))
+    sizes = groups.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / block_shingles), F.lit(1)).cast("int").alias("blocks"), F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(block_shingles) * F.count(F.lit(1)) / F.greatest(F.lit(1), F.sum("n_shingles"))))).cast("int").alias("per_block"))
     node = F.col("node" if "node" in groups.columns else "rep").alias("node")
     told = [c for c in groups.columns if c == "text_id"]
-    dealt = materialize(groups.join(sizes, "group").select("rep", node, "set_id", "group", "blocks", *told), "groups")
-    # the groups grow with the corpus, so they are never broadcast: texts are shuffled once, at every size
-    texts = docs.select(F.col("doc_id").alias("rep"), *[text_id().alias(c) for c in told], "text").hint("merge").join(dealt, ["rep", *told])
-    rows = _block_pairs(texts, "blocks", "node").select("group", "bi", "bj", "node", "set_id", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "group", "bi", "bj").sortWithinPartitions("group", "bi", "bj")
-    bounded_batches(docs.sparkSession)
+    dealt = materialize(groups.join(sizes, "group").select("rep", node, "set_id", "group", "blocks", "per_block", *told), "groups")
+    texts = docs.select(F.col("doc_id").alias("t_rep"), *[text_id().alias(f"t_{c}") for c in told], "text")
+    same = F.col("t_rep").eqNullSafe(F.col("rep"))
+    for c in told:
+        same = (F.col(f"t_{c}") == F.col(c)) & same
+
+    def compare(places: DataFrame) -> DataFrame:
+        # the groups grow with the corpus, so they are never broadcast: texts are shuffled once, at every size
+        rows = texts.hint("merge").join(places, same).select("group", "bi", "bj", "node", "set_id", "text")
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartition(parts, "group", "bi", "bj").sortWithinPartitions("group", "bi", "bj")
+        bounded_batches(docs.sparkSession)
+        return materialize(rows.mapInArrow(run, "a long, b long"), "links")
 
     def links(reps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         n = len(sets)
@@ -246,7 +299,13 @@ def exact_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT, widt
                     out += links(np.array(nodes), sets)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    found = materialize(rows.mapInArrow(run, "a long, b long"), "links")
+    found = compare(_with_pivots(dealt, "node"))
+    rest = _rest_pairs(dealt, found, "group", "node")
+    if rest is not None:
+        more = compare(rest.select(F.col("group").alias("r_group"), F.col("node").alias("r_node"), "bi", "bj").join(dealt, (F.col("r_group") == F.col("group")) & (F.col("r_node") == F.col("node"))))
+        both = materialize(found.unionByName(more), "links")
+        discard(found, more, rest)
+        found = both
     discard(dealt)
     return found
 
@@ -254,26 +313,28 @@ def exact_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT, widt
 def _labelled(docs: DataFrame, key: str, text: str, percent: int, near: int) -> DataFrame:
     """doc_id, text_id, n_shingles of every row of docs, and first_id, first_text: those of the first document of its component.
 
-    The latter are null where there is no shingle, or a row without a key has no class.
+    First is the smallest doc_id, and where no text has one, any but always the same. Both are null where there is no shingle.
     """
     spark = docs.sparkSession
     rows = materialize(profile(docs, key, text), "profile")
-    sets = rows.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min(F.struct("doc_id", "text_id")).alias("first"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"))
+    # a least pair with the missing keys last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")).alias("first")
+    sets = rows.where("n_shingles > 0").groupBy("set_id").agg(first, F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles"))
     sets = materialize(sets.select("set_id", F.col("first.doc_id").alias("rep"), F.col("first.text_id").alias("text_id"), "signature", "n_shingles"), "sets")
     # a doc_id may stand on different texts, so classes are told apart by nodes: numbers in the order of doc_id and set
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    classes = materialize(sets.repartitionByRange(parts, "rep", "set_id").sortWithinPartitions("rep", "set_id").withColumn("node", F.monotonically_increasing_id()), "classes")
+    order = [F.col("rep").asc_nulls_last(), F.col("set_id").asc()]
+    classes = materialize(sets.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "classes")
     edges = candidate_edges(classes.select(F.col("node").alias("rep"), "signature"), near)
     found = components(edges)
     groups = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).select("node", F.col("component").alias("group"))
     groups = classes.drop("signature").join(groups, "node")
     links = exact_links(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), groups, percent)
     reached = components(links)
-    first = classes.select(F.col("node").alias("component"), F.col("rep").alias("first_id"), F.col("text_id").alias("first_text"))
-    labels = classes.select("set_id", "node").join(reached, "node", "left").select(F.col("set_id").alias("c_set"), F.coalesce("component", "node").alias("component")).join(first, "component").drop("component")
+    head = classes.select(F.col("node").alias("component"), F.col("rep").alias("first_id"), F.col("text_id").alias("first_text"))
+    labels = classes.select("set_id", "node").join(reached, "node", "left").select(F.col("set_id").alias("c_set"), F.coalesce("component", "node").alias("component")).join(head, "component").drop("component")
     labels = materialize(labels, "labels")
-    discard(edges, links, sets)
-    release_shuffles(spark)
+    discard(edges, links, sets, classes)
     return rows.join(labels, F.col("set_id") == F.col("c_set"), "left").select("doc_id", "text_id", "n_shingles", "first_id", "first_text")
 
 
@@ -281,16 +342,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """doc_id, n_shingles, component_id, kept of every row of docs; other columns are ignored.
 
     component_id is the smallest doc_id that links reach, itself included. Rows with equal sets are one class, so copies
-    cost their count. Null, empty and blank texts have no shingle and no link. A row without a key forms no link but to
-    its class: it takes the class's component, or null if it has none, and isn't kept. Repeated rows agree; rows of one
-    doc_id with different texts are documents of their own, which only their texts link.
+    cost their count. Null, empty and blank texts have no shingle and no link. A row without a key links as any other,
+    has its component's doc_id, null if none has one, and isn't kept. Repeated rows agree; rows of one doc_id with
+    different texts are documents of their own, which only their texts link. Keys are numbers or text of whole numbers;
+    other text raises.
     """
-    out = _labelled(docs, key, text, percent, near).withColumn("component_id", F.coalesce("first_id", "doc_id"))
+    out = _labelled(docs, key, text, percent, near).withColumn("component_id", F.when(F.col("first_text").isNotNull(), F.col("first_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def kept_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, near: int = NEAR) -> DataFrame:
-    """doc_id, text_id of one text of each component, and of every text without a shingle; rows without a key are left out."""
+    """doc_id, text_id of one text of each component, and of every text without a shingle; doc_id is null where no text of a component has one."""
     out = _labelled(docs, key, text, percent, near)
-    same = (F.col("doc_id") == F.col("first_id")) & (F.col("text_id") == F.col("first_text"))
-    return out.where(F.col("doc_id").isNotNull() & F.coalesce(same, F.lit(True))).select("doc_id", "text_id").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_id") == F.col("first_text"))
+    return out.where(F.col("first_text").isNull() | same).select("doc_id", "text_id").distinct()

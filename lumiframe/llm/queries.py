@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lumiframe.llm import bpe, langid, media, mixing, near_dup, sharding, suffix_dedup, token_count, topk, warc
 from lumiframe.llm.common import shared_path
 
-SHARDS, TOP = 24, 10
+#: Shards of op8, neighbours of op7, and the percentage that op5's contract links at (100 x intersection >= percent x union).
+SHARDS, TOP, LINK_PERCENT = 24, 10, 85
 
 
 def tokenizer() -> str:
@@ -48,7 +49,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=LINK_PERCENT)
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

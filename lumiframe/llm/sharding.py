@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lumiframe.llm.common import materialize
 
-#: Bits of each of the quantised dimensions, and the distinct values of a categorical one that get places of their own.
-BITS, MAX_VALUES = 4, 4096
+#: Bits of each of the quantised dimensions: 16 codes of equal depth.
+BITS = 4
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -48,33 +48,34 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
     return F.aggregate(corners, start, step, lambda acc: acc["h"])
 
 
-def _cut_points(df: DataFrame, column: str, bits: int) -> list[float]:
-    """Cut points of equal depth of a numeric column, at most 2^bits - 1."""
-    got = df.select(F.percentile_approx(F.col(column).cast("double"), [i / (1 << bits) for i in range(1, 1 << bits)], 1000)).first()[0]
-    return sorted(set(got or []))
+def depth_codes(df: DataFrame, column: str, bits: int) -> DataFrame:
+    """value, code (0 to 2^bits - 1) of every distinct value of a column that isn't null, in its order, so that codes hold about equally many rows.
 
+    A value's code is 2^bits times the share of rows with a smaller value. Values are counted, the counts are dealt by
+    range and summed up within a range, and the ranges' sums give the offsets: no task holds all values, however many
+    there are, and reruns agree.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.repartitionByRange(parts, "value").withColumn("r_part", F.spark_partition_id()), "value-counts")
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.groupBy("r_part").agg(F.sum("n").alias("n")).select("r_part", upto(Window.orderBy("r_part")).alias("r_before"))
+    offsets = materialize(offsets, "offsets")  # a row per range
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    place = F.col("r_before") + upto(Window.partitionBy("r_part").orderBy("value"))
+    return materialize(counts.join(offsets, "r_part").select("value", F.expr(f"{1 << bits}").alias("cells"), place.alias("before")).select("value", F.expr(f"cast((before * cells) div {total} as int)").alias("code")), "codes")
 
-def _ranked(df: DataFrame, column: str, bits: int) -> dict[str, int]:
-    """Codes of the values of a categorical column in their order, so that codes hold about equally many rows; the MAX_VALUES most frequent values only."""
-    rows = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(MAX_VALUES).collect()
-    total, before, out = sum(r["count"] for r in rows), 0, {}
-    for r in sorted(rows, key=lambda r: r["v"].encode()):
-        out[r["v"]] = min((1 << bits) - 1, (before << bits) // max(1, total))
-        before += r["count"]
-    return out
 
+def quantise(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
+    """df with q0, q1, ...: codes of its dimensions by depth_codes(); null takes code 0, with the smallest values.
 
-def quantise(df: DataFrame, categorical: list[str], numeric: list[str], bits: int = BITS) -> list[Column]:
-    """Codes of 0 to 2^bits - 1 by dimension; null takes code 0, as do values beyond the MAX_VALUES most frequent."""
-    out = []
-    for c in categorical:
-        codes = _ranked(df, c, bits)
-        table = F.create_map(*[x for v, k in codes.items() for x in (F.lit(v), F.lit(k))]) if codes else None
-        out.append(F.coalesce(F.try_element_at(table, F.col(c).cast("string")), F.lit(0)) if codes else F.lit(0))
-    for c in numeric:
-        cuts = _cut_points(df, c, bits)
-        out.append(F.coalesce(sum(((F.col(c).cast("double") > F.lit(x)).cast("int") for x in cuts), F.lit(0)), F.lit(0)))
-    return out
+    Codes are joined from written tables: small ones are broadcast, as Spark knows their size, and beyond that both sides
+    are shuffled by value.
+    """
+    for i, c in enumerate(dimensions):
+        codes = depth_codes(df, c, bits).toDF("q_value", f"q_{i}")
+        df = df.join(codes, F.col(c) == F.col("q_value"), "left").withColumn(f"q{i}", F.coalesce(f"q_{i}", F.lit(0))).drop("q_value", f"q_{i}")
+    return df
 
 
 def ranks(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
@@ -93,24 +94,44 @@ def ranks(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     return placed.join(offsets, "r_part").withColumn("rank", F.col("r_before") + F.col("r_place")).drop("r_part", "r_place", "r_before"), n
 
 
-def shard(docs: DataFrame, shards: int, categorical: list[str], numeric: list[str], key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+def shard(docs: DataFrame, shards: int, categorical: list[str], numeric: list[str], key: str = "doc_id", text: str = "text", bits: int = BITS, whole: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, curve, shard and slot of every row of docs, by the law of equal counts.
 
-    The dimensions are the categorical and numeric columns named and the size. Rows are sorted by curve index, then by a hash of key and text, key and text's crc32, and cut into runs whose
-    counts are at most one apart; with fewer rows than shards some shards are empty. size is the text's UTF-8 bytes
-    (null: none) plus 8. Null dimensions take code 0, a null key sorts first, and repeated rows take neighbouring slots.
-    The extra columns of docs are not carried.
+    The dimensions are the categorical and numeric columns named and the size, quantised to 2^bits codes each by equal
+    depth. Rows are sorted by curve index, then by a hash of the text, then key, and cut into runs whose counts are at
+    most one apart; with fewer rows than shards some shards are empty. Equal texts of a cell are neighbours, so a group
+    of them is cut only where the law of counts cuts a run through it; equal texts that differ in another dimension may
+    be in different cells. size is the text's UTF-8 bytes (null: none) plus 8. Null dimensions take code 0, a null key
+    sorts first, and repeated rows take neighbouring slots. The columns of docs aren't carried but with `whole`, as a
+    struct `row`.
     """
     plain = docs.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        *[F.col(c).alias(f"c{i}") for i, c in enumerate(categorical)],
-        *[F.col(c).alias(f"n{i}") for i, c in enumerate(numeric)],
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mix"),
+        *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(categorical)],
+        *[F.col(c).cast("double").alias(f"n{i}") for i, c in enumerate(numeric)],
+        *([F.struct("*").alias("row")] if whole else []),
     )
-    dims = quantise(plain, [f"c{i}" for i in range(len(categorical))], ["size", *[f"n{i}" for i in range(len(numeric))]], bits)
-    rows = plain.withColumn("curve", hilbert_index(dims, bits)).withColumn("mix", F.xxhash64("doc_id", "text_crc32")).select("doc_id", "size", "text_crc32", "curve", "mix")
+    dims = [*[f"c{i}" for i in range(len(categorical))], "size", *[f"n{i}" for i in range(len(numeric))]]
+    own = ["doc_id", "size", "text_crc32"]
+    kept = ["row"] if whole else []
+    rows = quantise(plain, dims, bits).withColumn("curve", hilbert_index([F.col(f"q{i}") for i in range(len(dims))], bits)).select(*own, "curve", "mix", *kept)
     ranked, n = ranks(rows, ["curve", "mix", "doc_id", "text_crc32", "size"])
     number = F.expr(f"(rank * {shards}) div {max(1, n)}")
     first = F.expr(f"(shard_ * {max(1, n)} + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard_", number).select("doc_id", "size", "text_crc32", "curve", F.col("shard_").cast("int").alias("shard"), (F.col("rank") - first).cast("long").alias("slot"))
+    return ranked.withColumn("shard_", number).select(*own, "curve", F.col("shard_").cast("int").alias("shard"), (F.col("rank") - first).cast("long").alias("slot"), *kept)
+
+
+def write_shards(docs: DataFrame, folder: str, shards: int, categorical: list[str], numeric: list[str], key: str = "doc_id", text: str = "text", bits: int = BITS) -> None:
+    """Write docs, with all their columns, as Parquet files of folders shard=0, shard=1, ..., in the order of slots.
+
+    A shard is a run of the curve, so its files span few values of every dimension, and the footers' least and largest
+    values let a reader skip files by a filter on any of them. A shard is one task's output.
+    """
+    out = shard(docs, shards, categorical, numeric, key, text, bits, whole=True)
+    if {"shard", "slot"} & set(docs.columns):
+        raise ValueError("docs has a column named shard or slot")
+    rows = out.select("shard", "slot", "row.*")
+    rows.repartition(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(folder)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumiframe.llm.common import bounded_batches, discard, materialize, release_shuffles, text_bytes, with_columns_from
+from lumiframe.llm.common import bounded_batches, discard, materialize, text_bytes, with_columns_from
 
 #: Bytes of a repeated string; bytes of the grams of each pass, the last one the whole window; different segments of one hash that a
 #: pass takes (those with more go to the next pass, whose last one has one segment a hash); windows of a segment; bytes of one transform.
@@ -344,7 +344,6 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, grams: tuple[float, ...
         discard(hits, wide)
         wide_before = again
         todo = docs.join(again, ["k1", "k2"]).select("k1", "k2", "text", "ranges")
-        release_shuffles(spark)
     if len(found) == 1:
         return found[0]
     both = found[0]
@@ -373,7 +372,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     key_at, text_at = f"o{own.index(key)}", f"o{own.index(text)}"
     rows = keyed(plain, key_at, text_at)
     spans = repeated_runs(rows.select("k1", "k2", F.col(text_at).alias("text")), length, **how)
-    release_shuffles(spark)
     joined = rows.join(spans.withColumnRenamed("k1", "s1").withColumnRenamed("k2", "s2"), (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left").select(*plain.columns, "spans")
 
     def one(t: bytes, x) -> tuple[list[dict], bytes]:

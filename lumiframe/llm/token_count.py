@@ -21,7 +21,8 @@ def write_token_files(df: DataFrame, folder: str, vocabulary: str, eod: int, key
     """Write the tokens of each text and eod after it to flat files; returns their order as doc_id, file, ordinal.
 
     Identifiers are little-endian uint16, or uint32 where the vocabulary needs it. Strings of special tokens are
-    ordinary text here, so eod stands at ends only. Null and empty texts are eod alone. Every attempt of a task has
+    ordinary text here, so eod stands at ends only. Null and empty texts are eod alone. Keys are numbers or text of whole
+    numbers, other text raises; null and repeated keys stay as they are. Every attempt of a task has
     names of its own; the returned table has those of the committed ones, whose files are complete.
     """
     from lumiframe.llm.bpe import shared_encoder
@@ -96,18 +97,20 @@ def scan(spark: SparkSession, folder: str, eod: int, size: int, block_bytes: int
                 ends = np.flatnonzero(ids == eod).astype(np.int64)
                 inner = np.diff(ends, prepend=-1) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([file]), pa.array([block], pa.int64()), pa.array([block * step], pa.int64()), pa.array([block * step + int(ends[-1]) if len(ends) else None], pa.int64()), pa.array([tokens], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), pa.array(inner))],
-                    names=["file", "block", "start", "last_eod", "tokens", "inner"],
+                    [pa.array([file]), pa.array([block], pa.int64()), pa.array([block * step], pa.int64()), pa.array([block * step + int(ends[-1]) if len(ends) else None], pa.int64()), pa.array([tokens], pa.int64()), pa.array([len(ends)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), pa.array(inner))],
+                    names=["file", "block", "start", "last_eod", "tokens", "n_ends", "inner"],
                 )
 
-    found = materialize(blocks.select("file", "tokens", "block").mapInArrow(run, "file string, block long, start long, last_eod long, tokens long, inner array<long>"), "token-blocks")
+    found = materialize(blocks.select("file", "tokens", "block").mapInArrow(run, "file string, block long, start long, last_eod long, tokens long, n_ends long, inner array<long>"), "token-blocks")
+    # the prefix scan sees a row of a few numbers per block, never what is in it
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    marked = found.select(
+    marks = found.select(
         "file",
-        "inner",
-        F.coalesce(F.sum(F.size("inner")).over(before), F.lit(0)).alias("docs_before"),
+        "block",
+        F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("docs_before"),
         (F.col("start") - F.coalesce(F.max("last_eod").over(before), F.lit(-1)) - 1).alias("carried"),
     )
+    marked = found.select("file", "block", "inner").join(materialize(marks, "token-marks"), ["file", "block"])
     ended = marked.select("file", "docs_before", "carried", F.posexplode("inner").alias("at", "n")).select("file", (F.col("docs_before") + F.col("at")).alias("ordinal"), (F.col("n") + F.when(F.col("at") == 0, F.col("carried")).otherwise(0)).alias("n_tokens"), F.lit(True).alias("terminated"))
-    tails = found.groupBy("file").agg(F.sum(F.size("inner")).alias("ordinal"), (F.max("tokens") - F.coalesce(F.max("last_eod"), F.lit(-1)) - 1).alias("n_tokens")).where("n_tokens > 0").withColumn("terminated", F.lit(False))
+    tails = found.groupBy("file").agg(F.sum("n_ends").alias("ordinal"), (F.max("tokens") - F.coalesce(F.max("last_eod"), F.lit(-1)) - 1).alias("n_tokens")).where("n_tokens > 0").withColumn("terminated", F.lit(False))
     return ended.unionByName(tails)

@@ -1,23 +1,22 @@
 """Exact nearest binary codes by incremental multi-index hashing.
 
-A code is cut in segments, each indexed by value. Probing goes on segment by segment at growing radius: once the first
-j + 1 segments are searched to radius r and the others to r - 1, every code within m * r + j bits has been met, so a
-query is done when its kth verified distance is no more than that.
+A code is cut in segments, and an index holds each code under (segment, value). Probing goes on at growing radius: a
+query looks up all values within r bits of each of its segments. Once radius r is done, every code within
+SEGMENTS * (r + 1) - 1 bits has been met, as one of its segments is within r; so a query is done when its kth verified
+distance is no more than that. Index and probes meet by equality, and only queries that aren't done go on.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumiframe.llm.common import materialize
+from lumiframe.llm.common import discard, materialize
 
-#: Segments of a 64-bit code; codes and queries of one task; queries probed at a time; bits of which a probe counts as verified cheaply.
-SEGMENTS, BLOCK_CODES, BLOCK_QUERIES, AT_ONCE = 4, 1 << 16, 1 << 12, 64
+#: Segments of a 64-bit code.
+SEGMENTS = 4
 
 
 def sign_code(vector: str = "embedding", bits: int = 64) -> F.Column:
@@ -30,95 +29,74 @@ def sign_code(vector: str = "embedding", bits: int = 64) -> F.Column:
     return F.when(v.isNotNull(), out)
 
 
-def masks(width: int, radius: int) -> np.ndarray:
+def segment(code: F.Column, s: int, segments: int = SEGMENTS) -> F.Column:
+    """A segment's value."""
+    width = 64 // segments
+    return F.shiftrightunsigned(code, s * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+
+
+def masks(width: int, radius: int) -> list[int]:
     """All masks of `width` bits with `radius` of them set."""
-    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], dtype=np.uint64)
-
-
-class MultiIndex:
-    """Index of distinct codes, each with how many rows it stands for (k at most) and the smallest id of these."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, ids: np.ndarray, segments: int = SEGMENTS):
-        self.codes, self.counts, self.ids, self.m = codes, counts, ids, segments
-        self.width = 64 // segments
-        self.order, self.first = [], []
-        for s in range(segments):
-            part = self._part(codes, s)
-            self.order.append(np.argsort(part, kind="stable"))
-            self.first.append(np.concatenate([[0], np.cumsum(np.bincount(part.astype(np.int64), minlength=1 << self.width))]))
-
-    def _part(self, codes: np.ndarray, s: int) -> np.ndarray:
-        return (codes >> np.uint64(s * self.width)) & np.uint64((1 << self.width) - 1)
-
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """query, code, distance (places) of the codes whose rows may be among the k nearest of a query: k at most, by distance and smallest id."""
-        n = len(self.codes)
-        k = min(k, int(self.counts.sum()))
-        best_q, best_c, best_d = [np.array([], np.int64)], [np.array([], np.int64)], [np.array([], np.int64)]
-        for at in range(0, len(queries), AT_ONCE):
-            q = queries[at : at + AT_ONCE]
-            seen = np.zeros((len(q), n), bool)
-            active = np.arange(len(q))
-            # rows met by distance, for each query
-            met = np.zeros((len(q), 65), np.int64)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for step in range(self.m * (self.width + 1)):
-                r, s = divmod(step, self.m)
-                probes = self._part(q[active], s)[:, None] ^ masks(self.width, r)[None, :]
-                a, b = self.first[s][probes.astype(np.int64)], self.first[s][probes.astype(np.int64) + 1]
-                lens = (b - a).ravel()
-                ends = np.cumsum(lens)
-                which = np.repeat(np.repeat(active, probes.shape[1]), lens)
-                codes = self.order[s][np.repeat(a.ravel() - ends + lens, lens) + np.arange(ends[-1])]
-                new = ~seen[which, codes]
-                which, codes = which[new], codes[new]
-                seen[which, codes] = True
-                d = np.bitwise_count(q[which] ^ self.codes[codes]).astype(np.int64)
-                np.add.at(met, (which, d), self.counts[codes])
-                found.append((which, codes, d))
-                active = active[met[active, : step + 1].sum(1) < k]
-                if not len(active):
-                    break
-            which, codes, d = (np.concatenate(x) for x in zip(*found, strict=True))
-            reach = (np.cumsum(met, 1) >= k).argmax(1)
-            near = d <= reach[which]
-            which, codes, d = which[near], codes[near], d[near]
-            order = np.lexsort((self.ids[codes], d, which))
-            which, codes, d = which[order], codes[order], d[order]
-            place = np.arange(len(which)) - np.searchsorted(which, which)
-            best_q.append(which[place < k] + at)
-            best_c.append(codes[place < k])
-            best_d.append(d[place < k])
-        return np.concatenate(best_q), np.concatenate(best_c), np.concatenate(best_d)
-
-
-def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int, block_codes: int = BLOCK_CODES, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    return [sum(1 << b for b in c) for c in combinations(range(width), radius)]
+
+
+def probes(active: DataFrame, radius: int, segments: int) -> DataFrame:
+    """q_code, seg, value: the values at exactly `radius` bits from each segment of the queries."""
+    spark = active.sparkSession
+    flips = spark.createDataFrame([(m,) for m in masks(64 // segments, radius)], "mask int")
+    each = active.select("q_code", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), segment(F.col("q_code"), s, segments).alias("own")) for s in range(segments)])).alias("p"))
+    # a row per mask of this radius, fixed by width and radius alone
+    return each.select("q_code", "p.seg", "p.own").crossJoin(F.broadcast(flips)).select("q_code", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+
+
+def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int, segments: int = SEGMENTS) -> DataFrame:
     """query_id, rank, vec_id, distance: for each row of queries the k rows nearest in Hamming distance, ties by vec_id, itself included.
 
     rows: vec_id, code; queries: query_id, code; codes are longs. Rows or queries without a code or an id are left out;
-    a repeated row is one row for each time, a repeated query_id is answered once for each of its codes and must have one only.
-    Equal codes are one entry with its k smallest ids. Blocks of codes and of queries meet in tasks of their own.
+    a repeated row is one row for each time, a repeated query_id is answered once for each of its codes and must have one
+    only. Other columns are ignored. Equal codes are one entry of the index, with its k smallest ids, and equal queries
+    one query. A pair of codes is taken up in one radius and segment only, those where it is first met, so nothing
+    needs to be told apart later; a query keeps its k best codes from radius to radius.
     """
+    width = 64 // segments
+    if segments * width != 64:
+        raise ValueError("segments must divide 64")
     by_code = Window.partitionBy("code").orderBy("vec_id")
     # the first k ids of each code: cut within each task before the shuffle
     ids = materialize(rows.select(F.col("vec_id").cast("long"), F.col("code").cast("long")).where("vec_id is not null and code is not null").withColumn("place", F.row_number().over(by_code)).where(F.col("place") <= k), "codes")
     codes = ids.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("id"))
+    index = materialize(codes.select("code", "n", "id", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), segment(F.col("code"), s, segments).alias("value")) for s in range(segments)])).alias("p")).select("code", "n", "id", "p.seg", "p.value"), "code-index")
+    total = index.where("seg = 0").agg(F.sum("n")).first()[0] or 0
     asked = queries.select(F.col("query_id").cast("long"), F.col("code").cast("long")).where("query_id is not null and code is not null")
-    distinct = asked.select("code").distinct()
-    n_codes, n_asked = codes.count(), distinct.count()
-    cb, qb = max(1, -(-n_codes // block_codes)), max(1, -(-n_asked // block_queries))
-    place = lambda n: F.pmod(F.xxhash64("code", F.lit("block")), F.lit(n)).cast("int")
-    left = codes.withColumn("cb", place(cb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    right = distinct.withColumn("qb", place(qb)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
-
-    def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(q):
-            return pd.DataFrame({"q_code": [], "code": [], "distance": []}).astype("int64")
-        index = MultiIndex(c["code"].to_numpy().view(np.uint64), c["n"].to_numpy(), c["id"].to_numpy())
-        a, b, d = index.search(q["code"].to_numpy().view(np.uint64), k)
-        return pd.DataFrame({"q_code": q["code"].to_numpy()[a], "code": c["code"].to_numpy()[b], "distance": d})
-
-    near = materialize(left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(run, "q_code long, code long, distance long"), "near")
+    active = materialize(asked.select(F.col("code").alias("q_code")).distinct(), "active")
+    best = materialize(active.select("q_code", F.lit(None).cast("long").alias("code"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("id"), F.lit(0).alias("distance")).limit(0), "best")
+    wanted = min(k, total)
+    other = F.col("code").bitwiseXOR(F.col("q_code"))
+    errors = [F.bit_count(segment(other, s, segments)) for s in range(segments)]
+    done = []
+    for radius in range(width + 1):
+        if not wanted or active.isEmpty():
+            break
+        looked = materialize(probes(active, radius, segments), "probes")
+        met = looked.join(index, ["seg", "value"])
+        first = F.array_position(F.array(*errors), F.array_min(F.array(*errors))) - 1
+        new = met.where((F.array_min(F.array(*errors)) == radius) & (first == F.col("seg"))).select("q_code", "code", "n", "id", F.bit_count(other).cast("int").alias("distance"))
+        order = Window.partitionBy("q_code").orderBy("distance", "id")
+        ranked = best.join(active, "q_code", "left_semi").unionByName(new).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
+        after = materialize(ranked, "best")
+        # the distance by which a query has k rows
+        reach = after.withColumn("rows", F.sum("n").over(Window.partitionBy("q_code").orderBy("distance"))).where(F.col("rows") >= wanted).groupBy("q_code").agg(F.min("distance").alias("reach"))
+        covered = materialize(reach.where(F.col("reach") <= segments * (radius + 1) - 1).select("q_code"), "covered")
+        done.append(materialize(after.join(covered, "q_code", "left_semi"), "near"))
+        left = materialize(active.join(covered, "q_code", "left_anti"), "active")
+        discard(looked, active, best, covered)
+        best, active = after, left
+    discard(index)
+    if not done:
+        return asked.select("query_id", F.lit(0).cast("long").alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("distance")).limit(0)
+    near = done[0]
+    for x in done[1:]:
+        near = near.unionByName(x)
     order = Window.partitionBy("q_code").orderBy("distance", "vec_id", "place")
-    top = near.join(ids, "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_code", "rank", "vec_id", "distance")
-    return asked.join(top, F.col("code") == F.col("q_code")).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", "distance")
+    top = near.select("q_code", "code", "distance").join(ids, "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_code", "rank", "vec_id", "distance")
+    return asked.join(top, F.col("code") == F.col("q_code")).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.col("distance").cast("long").alias("distance"))

@@ -25,6 +25,7 @@ DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 LINE_ENDS = re.compile(rb"[\r\n]*")
+VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 
 RECORD = T.StructType(
     [
@@ -64,7 +65,7 @@ def plan(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "
     """page_id, url, payload, refers_to of every row: the smallest key with an equal payload, null where that is its own.
 
     Payloads under `least` bytes, and rows whose key is null, are never revisits. A null html is an empty payload.
-    Repeated rows of the smallest key are responses all.
+    Repeated rows of the smallest key are responses all. Keys are numbers or text of whole numbers; other text raises.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.sha1("payload"))
     # written out, so that Spark can split the join's partition of a payload that very many pages share
@@ -78,6 +79,7 @@ def write(planned: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> Data
 
     Every attempt of a task has names of its own, and the returned table lists the files of those that were committed:
     give it to read(), and files of lost or repeated attempts don't count, in whatever order these had their rows.
+    A null url is empty, line ends in one become %0A, and an empty table writes no file.
     """
     bounded_batches(planned.sparkSession)
 
@@ -121,7 +123,7 @@ class Salvage:
     gzip member that begins with a version line, or the next version line that begins a sound record, is looked for
     from the byte after the failed one's first. The bytes between are one gap. A member may hold many records: once its
     crc is right, a record in it that fails a check is passed over in the same way, and every record and gap of it has the
-    member's offset and length. Memory: one plain record or unpacked member, and READ_BYTES.
+    member's offset and length. Headers may be of any length. Memory: one plain record or unpacked member, and READ_BYTES.
     """
 
     def __init__(self, read_at, size: int):
@@ -200,12 +202,18 @@ class Salvage:
         return b"".join(parts), fed - len(d.unused_data)
 
     def _plain(self, at: int) -> tuple[dict, int]:
-        data = self.read_at(READ_BYTES, at)
-        while (i := data.find(b"\r\n\r\n")) < 0:
-            more = self.read_at(READ_BYTES, at + len(data))
-            if not more or len(data) > 64 * READ_BYTES:
+        data = bytearray(self.read_at(READ_BYTES, at))
+        if not VERSION_LINE.match(data):
+            raise Damaged("no version line")
+        looked = 0
+        while (i := data.find(b"\r\n\r\n", looked)) < 0:
+            # a header may be of any length
+            more = self.read_at(max(READ_BYTES, len(data)), at + len(data))
+            if not more:
                 raise Damaged("a header without an end")
+            looked = max(0, len(data) - 3)
             data += more
+        data = bytes(data)
         need = i + 4 + length_of(headers(data[:i])) + 4
         if at + need > self.size:
             raise Damaged("a record ends early")
@@ -255,7 +263,7 @@ def length_of(h: dict[str, str]) -> int:
 
 def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     """The record that begins at a place of data, and the place where it ends without the end mark; Damaged if a check fails."""
-    i = data.find(b"\r\n\r\n", at, at + 64 * READ_BYTES)
+    i = data.find(b"\r\n\r\n", at) if VERSION_LINE.match(data, at) else -1
     if i < 0:
         raise Damaged("a header without an end")
     h = headers(data[at:i])

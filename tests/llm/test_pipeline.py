@@ -20,7 +20,7 @@ def test_stages(spark, sf):
     from test_near_dup import brute
 
     two = corpus_pipeline.near_duplicates(spark, one, sf)
-    kept = {d for d, _, c in brute([(r["doc_id"], r["text"]) for r in want]) if d == c}
+    kept = {d for d, _, c in brute([(r["doc_id"], r["text"]) for r in want], 80) if d == c}
     assert two.columns == columns and sorted(r["doc_id"] for r in two.collect()) == sorted(kept)
 
     three = corpus_pipeline.repeated_passages(spark, two, sf)
@@ -48,7 +48,7 @@ def test_stages(spark, sf):
     five = corpus_pipeline.tokens(spark, four, sf)
     text = {r["doc_id"]: r["text"] for r in four.collect()}
     assert all(list(r["ids"]) == encoder([text[r["doc_id"]] or ""])[0] for r in five.collect())
-    assert near_dup.PERCENT == 85
+    assert near_dup.PERCENT == corpus_pipeline.NEAR_PERCENT == 80 and queries.LINK_PERCENT == 85
 
 
 def test_run_and_rows_without_ids(spark, sf, tmp_path):
