@@ -20,12 +20,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+#: Near duplicates share this percentage of their five-word shingles, or more.
+NEAR_PERCENT = 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest doc_id. Of rows with equal doc_id and text one stays; rows without a doc_id all do."""
-    found = near_dup.kept_texts(docs).toDF("kept_id", "kept_text")
-    told = docs.withColumn("text_id", near_dup.text_id())
-    kept = told.join(found, (F.col("doc_id") == F.col("kept_id")) & (F.col("text_id") == F.col("kept_text"))).dropDuplicates(["doc_id", "text_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One document of each group: that with the smallest doc_id. Of rows with equal doc_id (or none) and equal text one stays."""
+    key = lambda c: F.xxhash64(F.col(c).cast("long"))
+    found = near_dup.kept_texts(docs, percent=NEAR_PERCENT).select(key("doc_id").alias("n_key"), F.col("text_id").alias("n_text")).distinct()
+    told = docs.select(key("doc_id").alias("n_key"), near_dup.text_id().alias("n_text"), F.struct("*").alias("n_row"))
+    return told.join(found, ["n_key", "n_text"]).dropDuplicates(["n_key", "n_text"]).select("n_row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
