@@ -71,6 +71,10 @@ def discard(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._lumiframe_path)
 
 
+#: Rows of one file of a round's tables.
+ROWS_A_FILE = 500_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
 
@@ -80,18 +84,20 @@ def stars(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Edges with a null end and loops are left out; repeated edges count once. No node's neighbours are ever gathered:
     the minimum of a node's neighbours is an aggregate, which is written out before it is joined, so that the join is of
-    two plain exchanges and Spark splits the partition of a hot node.
+    two plain exchanges and Spark splits the partition of a hot node. A round's tables are as many files as their rows
+    ask for, ROWS_A_FILE each.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     now = materialize(edges.where(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct(), "edges")
     state = _state(now)
     while True:
+        files = max(1, -(-2 * state[0] // ROWS_A_FILE))
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
-        parent = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), "parent")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(files), "least")
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct().coalesce(files), "large")
+        parent = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")).coalesce(files), "parent")
         small = large.join(parent, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(parent.select("hi", F.col("m").alias("lo"))).distinct()
-        after = materialize(small, "edges")
+        after = materialize(small.coalesce(files), "edges")
         discard(least, large, parent)
         after_state = _state(after)
         discard(now)
