@@ -7,8 +7,8 @@ than 15 of 32 do with 1.4e-4 at 0.8 and 3.5e-6 at 0.85; larger groups are connec
 
 Large buckets and candidate groups are worked off in two rounds. First they are dealt to blocks, and each block meets
 the first one, the pivots, in a task of its own: rows are shipped about twice, whatever the group's size. As near
-copies mostly lie near some pivot, that mostly connects a group. Then only what isn't in a group's largest component
-meets all other blocks, so that no pair goes unseen.
+copies mostly lie near some pivot, that mostly connects a group. Then only what its task didn't connect with the
+pivots' largest component meets all other blocks, so that no pair goes unseen.
 """
 
 from __future__ import annotations
@@ -152,38 +152,68 @@ def _groups(table: pa.Table, n_keys: int) -> np.ndarray:
     return np.concatenate([[0], change, [table.num_rows]])
 
 
+def _largest_component(n: int, edges: list[tuple[int, int]], among: np.ndarray) -> tuple[np.ndarray, int]:
+    """Labels of the components of a forest on 0..n-1, and of these the label that most of `among` have (the first of equal ones)."""
+    top = list(range(n))
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for x, y in edges:
+        top[root(y)] = root(x)
+    label = np.array([root(x) for x in range(n)])
+    return label, (np.bincount(label[among]).argmax() if len(among) else -1)
+
+
+def _compare(n: int, near, pivot: np.ndarray | None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges of a spanning forest, and the nodes that it doesn't connect with the pivots' largest component.
+
+    That component is found among the pivots alone, so all tasks of a group, which see the same pivots in the same order,
+    mean the same one. Without pivots nothing is left.
+    """
+    edges = spanning(n, near)
+    if pivot is None:
+        return edges, np.array([], int)
+    at = np.flatnonzero(pivot)
+    own = spanning(len(at), lambda i, rest: near(at[i], at[rest]))
+    label, top = _largest_component(len(at), own, np.arange(len(at)))
+    core = at[label == top]
+    label, top = _largest_component(n, edges, core)
+    return edges, np.flatnonzero(label != top)
+
+
 def _with_pivots(df: DataFrame, by: str) -> DataFrame:
-    """Round one: each row of a group of `blocks` blocks in the task of its block, (0, block), and the first block's rows in all of them."""
+    """Round one: each row of a group of `blocks` blocks in the task of its block, (0, block), and the first block's rows, the pivots, in all of them.
+
+    A group of one block is task (0, 0).
+    """
     own = F.pmod(F.xxhash64(F.col(by), F.lit("block")), F.col("blocks")).cast("int")
     out = df.withColumn("bi", F.lit(0)).withColumn("own_block", own)
     every = F.when(F.col("blocks") == 1, F.array(F.lit(0))).when(F.col("own_block") == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("own_block"))
-    return out.withColumn("bj", F.explode(every)).drop("own_block")
+    return out.withColumn("bj", F.explode(every)).withColumn("pivot", F.col("own_block") == 0).drop("own_block")
 
 
-def _rest_pairs(members: DataFrame, edges: DataFrame, group: str, node: str) -> DataFrame | None:
-    """Round two: group, node, bi, bj: what isn't in the largest component of a group of several blocks, against the group's others.
+def _rest_pairs(members: DataFrame, found: DataFrame, group: str, node: str) -> DataFrame | None:
+    """Round two: group, node, bi, bj, pivot (null): what round one left apart in a group of several blocks, against all of the group.
 
-    members: group, node, blocks, per_block. Null if round one connected every such group. The rest is dealt to blocks of
-    about `per_block` rows; block i of them meets block j of the whole group in task (i, j).
+    members: group, node, blocks, per_block; found: rows (a, null, group) of the nodes left apart. Null if there are
+    none. They are dealt to blocks of about `per_block` rows; block i of them meets block j of the whole group in task (i, j).
     """
-    large = members.where("blocks > 1").select(group, node, "per_block")
-    if large.isEmpty():
-        return None
-    label = components(edges).withColumnRenamed("node", "l_node")
-    marked = materialize(large.join(label, F.col(node) == F.col("l_node"), "left").select(group, node, "per_block", F.coalesce("component", node).alias("component")), "marked")
-    sizes = marked.groupBy(group, "component").agg(F.count(F.lit(1)).alias("n"), F.min("per_block").alias("per_block"))
-    # of each group: its size, its largest component, and how many rows that leaves
-    sums = sizes.groupBy(group).agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), F.min("per_block").alias("per_block")).where("parts > 1")
-    sums = materialize(sums.select(F.col(group).alias("s_group"), F.ceil(F.col("n") / F.col("per_block")).cast("int").alias("n_all"), F.ceil((F.col("n") - F.col("top.n")) / F.col("per_block")).cast("int").alias("n_rest"), F.col("top.component").alias("top")), "open")
-    if sums.isEmpty():
-        discard(marked, sums)
+    left = found.where("b is null")
+    if left.isEmpty():
         return None
+    left = left.select(F.col("grp").alias("l_group"), F.col("a").alias("l_node")).distinct()
+    counts = materialize(left.groupBy("l_group").agg(F.count(F.lit(1)).alias("l_n")), "left")
+    open_ = members.join(counts, F.col(group) == F.col("l_group")).withColumn("n_rest", F.ceil(F.col("l_n") / F.col("per_block")).cast("int"))
     at = lambda n: F.pmod(F.xxhash64(F.col(node), F.lit("rest")), F.col(n)).cast("int")
-    open_ = marked.drop("per_block").join(sums, F.col(group) == F.col("s_group"))
-    others = open_.withColumn("bj", at("n_all")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)))
-    rest = open_.where("component <> top").withColumn("bi", at("n_rest")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)))
-    out = materialize(others.unionByName(rest).select(group, node, "bi", "bj").distinct(), "rest")
-    discard(marked, sums)
+    others = open_.withColumn("bj", at("blocks")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.col("n_rest") - 1)))
+    rest = open_.drop("l_group").join(left, (F.col(group) == F.col("l_group")) & (F.col(node) == F.col("l_node"))).withColumn("bi", at("n_rest")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = [group, node, "bi", "bj"]
+    out = materialize(others.select(*own).unionByName(rest.select(*own)).distinct().withColumn("pivot", F.lit(None).cast("boolean")), "rest")
+    discard(counts)
     return out
 
 
@@ -203,40 +233,55 @@ def candidate_edges(classes: DataFrame, near: int = NEAR, block: int = BLOCK) ->
     shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = materialize(keyed.join(shared, "key").select("key", "rep", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.lit(block).alias("per_block")), "members")
     signatures = first.select("rep", "signature")
-    one = _near_edges(_with_pivots(members.join(signatures, "rep"), "rep").select("key", "bi", "bj", "rep", "signature"), near)
+    dealt = lambda places: _near_edges(places.join(signatures, "rep").select("key", "bi", "bj", "rep", "signature", "pivot"), near)
+    one = dealt(_with_pivots(members, "rep"))
     rest = _rest_pairs(members, one, "key", "rep")
-    more = [] if rest is None else [_near_edges(rest.join(signatures, "rep").select("key", "bi", "bj", "rep", "signature"), near)]
-    edges = one.unionByName(equal)
-    for x in more:
-        edges = edges.unionByName(x)
-    out = materialize(edges, "candidates")
+    more = [] if rest is None else [dealt(rest)]
+    edges = equal
+    for x in [one, *more]:
+        edges = edges.unionByName(x.where("b is not null").select("a", "b"))
+    out = materialize(edges.distinct(), "candidates")
     discard(first, shared, members, one, *more, *([] if rest is None else [rest]))
     return out
 
 
+#: Rows of a task's findings: edges (a, b, null), and nodes that are left apart (a, null, group).
+_FOUND = "a long, b long, grp long"
+
+
+def _found(a, b, apart: list, groups: list) -> pa.RecordBatch:
+    n, m = len(a), len(apart)
+    return pa.RecordBatch.from_arrays([pa.array([*a, *apart], pa.int64()), pa.array([*b, *[None] * m], pa.int64()), pa.array([*[None] * n, *groups], pa.int64())], names=["a", "b", "grp"])
+
+
 def _near_edges(dealt: DataFrame, near: int) -> DataFrame:
-    """a, b: a spanning forest of the near pairs of each task (key, bi, bj) of rows (..., rep, signature)."""
+    """Findings on the near pairs of each task (key, bi, bj) of rows (..., rep, signature, pivot)."""
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    dealt = dealt.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 3):
-            reps = t.column(3).to_numpy()
+            keys, bj, reps = (t.column(i).to_numpy() for i in (0, 2, 3))
+            pivots = t.column(5).to_pylist()
             sigs = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
             cuts = _groups(t, 3)
             sizes = np.diff(cuts)
-            two = cuts[:-1][sizes == 2]
+            small = (sizes == 2) & (bj[cuts[:-1]] == 0)
+            two = cuts[:-1][small]
             ok = two[(sigs[two] != sigs[two + 1]).sum(1) <= near]
-            pairs = [np.stack([reps[ok], reps[ok + 1]])]
-            for s, n in zip(cuts[:-1][sizes > 2], sizes[sizes > 2], strict=True):
+            pairs, apart, groups = [np.stack([reps[ok], reps[ok + 1]])], [], []
+            for s, n in zip(cuts[:-1][~small], sizes[~small], strict=True):
                 x = sigs[s : s + n]
-                e = spanning(n, lambda i, rest, x=x: (x[i] != x[rest]).sum(1) <= near)
+                pivot = None if bj[s] == 0 or pivots[s] is None else np.array(pivots[s : s + n], bool)
+                e, left = _compare(n, lambda i, rest, x=x: (x[i] != x[rest]).sum(1) <= near, pivot)
                 if e:
                     pairs.append(reps[s + np.array(e).T])
+                apart += reps[s + left].tolist()
+                groups += [int(keys[s])] * len(left)
             out = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+            yield _found(out[0].tolist(), out[1].tolist(), apart, groups)
 
-    return materialize(dealt.mapInArrow(run, "a long, b long").distinct(), "near-edges")
+    return materialize(dealt.mapInArrow(run, _FOUND), "near-edges")
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT, width: int = WIDTH, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -258,13 +303,13 @@ def exact_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT, widt
 
     def compare(places: DataFrame) -> DataFrame:
         # the groups grow with the corpus, so they are never broadcast: texts are shuffled once, at every size
-        rows = texts.hint("merge").join(places, same).select("group", "bi", "bj", "node", "set_id", "text")
+        rows = texts.hint("merge").join(places, same).select("group", "bi", "bj", "node", "set_id", "text", "pivot")
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(parts, "group", "bi", "bj").sortWithinPartitions("group", "bi", "bj")
+        rows = rows.repartition(parts, "group", "bi", "bj").sortWithinPartitions("group", "bi", "bj", "node")
         bounded_batches(docs.sparkSession)
-        return materialize(rows.mapInArrow(run, "a long, b long"), "links")
+        return materialize(rows.mapInArrow(run, _FOUND), "links")
 
-    def links(reps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    def links(sets: list[np.ndarray], pivot: np.ndarray | None) -> tuple[list[tuple[int, int]], np.ndarray]:
         n = len(sets)
         size = np.array([*map(len, sets)])
         starts = np.concatenate([[0], np.cumsum(size)])
@@ -280,34 +325,42 @@ def exact_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT, widt
             common = np.bincount(owner[np.repeat(first[own] - ends + lens, lens) + np.arange(ends[-1])], minlength=n)[rest]
             return 100 * common >= percent * (size[x] + size[rest] - common)
 
-        return [(int(reps[i]), int(reps[j])) for i, j in spanning(n, near)]
+        return _compare(n, near, pivot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, 3):
             cuts = _groups(t, 3)
-            out = []
+            a, b, apart, names = [], [], [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 g = t.slice(s, e - s)
-                sets, nodes, seen = [], [], set()
-                for node, want, text in zip(g.column(3).to_pylist(), g.column(4).to_pylist(), text_bytes(g.column(5).combine_chunks()), strict=True):
+                sets, nodes, pivots, seen = [], [], [], set()
+                for node, want, text, pivot in zip(g.column(3).to_pylist(), g.column(4).to_pylist(), text_bytes(g.column(5).combine_chunks()), g.column(6).to_pylist(), strict=True):
+                    if node in seen:
+                        continue
                     own = shingles(text, width)
-                    if node not in seen and set_id(own) == want:
+                    if set_id(own) == want:
                         seen.add(node)
                         sets.append(own)
                         nodes.append(node)
-                if len(sets) > 1:
-                    out += links(np.array(nodes), sets)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+                        pivots.append(pivot)
+                several = g.column(2)[0].as_py() > 0 and pivots and pivots[0] is not None
+                if len(sets) > 1 or several:
+                    edges, left = links(sets, np.array(pivots, bool) if several else None)
+                    a += [nodes[i] for i, _ in edges]
+                    b += [nodes[j] for _, j in edges]
+                    apart += [nodes[i] for i in left]
+                    names += [g.column(0)[0].as_py()] * len(left)
+            yield _found(a, b, apart, names)
 
     found = compare(_with_pivots(dealt, "node"))
     rest = _rest_pairs(dealt, found, "group", "node")
+    edges = found.where("b is not null").select("a", "b")
     if rest is not None:
-        more = compare(rest.select(F.col("group").alias("r_group"), F.col("node").alias("r_node"), "bi", "bj").join(dealt, (F.col("r_group") == F.col("group")) & (F.col("r_node") == F.col("node"))))
-        both = materialize(found.unionByName(more), "links")
+        more = compare(rest.select(F.col("group").alias("r_group"), F.col("node").alias("r_node"), "bi", "bj", "pivot").join(dealt, (F.col("r_group") == F.col("group")) & (F.col("r_node") == F.col("node"))))
+        edges = materialize(edges.unionByName(more.where("b is not null").select("a", "b")), "links")
         discard(found, more, rest)
-        found = both
     discard(dealt)
-    return found
+    return edges
 
 
 def _labelled(docs: DataFrame, key: str, text: str, percent: int, near: int) -> DataFrame:
@@ -334,7 +387,7 @@ def _labelled(docs: DataFrame, key: str, text: str, percent: int, near: int) ->
     head = classes.select(F.col("node").alias("component"), F.col("rep").alias("first_id"), F.col("text_id").alias("first_text"))
     labels = classes.select("set_id", "node").join(reached, "node", "left").select(F.col("set_id").alias("c_set"), F.coalesce("component", "node").alias("component")).join(head, "component").drop("component")
     labels = materialize(labels, "labels")
-    discard(edges, links, sets, classes)
+    discard(edges, sets, classes)
     return rows.join(labels, F.col("set_id") == F.col("c_set"), "left").select("doc_id", "text_id", "n_shingles", "first_id", "first_text")
 
 
