@@ -49,8 +49,20 @@ def fit_affine(p: np.ndarray, q: np.ndarray, w: np.ndarray | None = None) -> np.
     return np.hstack([a, (cq - a @ cp)[:, None]])
 
 
-FITS = {"identity": lambda p, q, w=None: np.hstack([np.eye(3), np.zeros((3, 1))]), "translation": fit_translation, "rigid": fit_rigid, "similarity": fit_similarity, "affine": fit_affine}
-LEAST_POINTS = {"identity": 0, "translation": 1, "rigid": 3, "similarity": 3, "affine": 4}
+def fit_plane_rigid(p: np.ndarray, q: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
+    """Rotation about the axis z and translation in the plane of least squares; z stays."""
+    cp, cq = np.average(p[:, :2], axis=0, weights=w), np.average(q[:, :2], axis=0, weights=w)
+    x, y = p[:, :2] - cp, q[:, :2] - cq
+    k = np.ones(len(p)) if w is None else np.asarray(w)
+    t = math.atan2((k * (x[:, 0] * y[:, 1] - x[:, 1] * y[:, 0])).sum(), (k * (x * y).sum(1)).sum())
+    m = np.hstack([np.eye(3), np.zeros((3, 1))])
+    m[:2, :2] = [[math.cos(t), -math.sin(t)], [math.sin(t), math.cos(t)]]
+    m[:2, 3] = cq - m[:2, :2] @ cp
+    return m
+
+
+FITS = {"identity": lambda p, q, w=None: np.hstack([np.eye(3), np.zeros((3, 1))]), "translation": fit_translation, "rigid": fit_rigid, "similarity": fit_similarity, "affine": fit_affine, "plane rigid": fit_plane_rigid}
+LEAST_POINTS = {"identity": 0, "translation": 1, "rigid": 3, "similarity": 3, "affine": 4, "plane rigid": 2}
 
 
 def fit_interpolated(model: str, other: str | None, share: float, p: np.ndarray, q: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
@@ -93,6 +105,8 @@ def samples(rng: np.random.Generator, n: int, k: int, rounds: int) -> np.ndarray
 
 def fit_many(model: str, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The 3 x 4 maps of many small samples (samples, points, 3); NaN where the points don't determine one."""
+    if model == "plane rigid":
+        return np.array([fit_plane_rigid(x, y) for x, y in zip(p, q, strict=True)])
     cp, cq = p.mean(1), q.mean(1)
     if model in ("identity", "translation"):
         a = np.broadcast_to(np.eye(3), (len(p), 3, 3))
@@ -201,10 +215,11 @@ def ransac_line(p: np.ndarray, q: np.ndarray, epsilon: float, least_ratio: float
     return best if len(best) >= max(least, 2) and len(best) > least_ratio * n else np.array([], int)
 
 
-def icp(p: np.ndarray, q: np.ndarray, model: str, reach: float, rounds: int, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+def icp(p: np.ndarray, q: np.ndarray, model: str, reach: float, rounds: int, least: int, robust: tuple[float, float, int] | None = None, seed: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
     """Map from p to q and its pairs by iterated nearest neighbours; pairs whose partner is taken twice are dropped.
 
-    Ends when count and mean error are as before, or after so many rounds. Too few pairs give an empty result.
+    robust: epsilon, least ratio and rounds of a RANSAC that every round's pairs go through first. Ends when count and
+    mean error are as before, or after so many rounds. Too few pairs give an empty result.
     """
     m = FITS["identity"](p, q)
     last, pairs, done = None, np.empty((0, 2), int), 0
@@ -212,6 +227,8 @@ def icp(p: np.ndarray, q: np.ndarray, model: str, reach: float, rounds: int, lea
         x = transform(m, p)
         j, e = nearest_rows(x, q)
         i = np.flatnonzero(e <= reach)
+        if robust is not None:
+            i = i[ransac(p[i], q[j[i]], model, robust[0], robust[1], robust[2], least, seed)]
         used = np.bincount(j[i], minlength=len(q))
         i = i[used[j[i]] == 1]
         if len(i) < max(least, LEAST_POINTS[model]):
@@ -225,6 +242,211 @@ def icp(p: np.ndarray, q: np.ndarray, model: str, reach: float, rounds: int, lea
     return m, pairs, done
 
 
+# ---- joint placement of many images -------------------------------------------------------------------------------
+
+
+def fit_moments(model: str, cross: np.ndarray, moment: np.ndarray) -> np.ndarray:
+    """Maps of least squares of many point sets from their moments: cross (n, 3, 4) of target and (source, 1), moment (n, 4, 4) of (source, 1).
+
+    The identity where there is no weight; an affine map whose points lie in a plane moves as little as it can.
+    """
+    w = moment[:, 3, 3]
+    safe = np.where(w > 0, w, 1.0)
+    source, target = moment[:, :3, 3] / safe[:, None], cross[:, :, 3] / safe[:, None]
+    eye = np.broadcast_to(np.eye(3), (len(w), 3, 3))
+    spread = moment[:, :3, :3] / safe[:, None, None] - source[:, :, None] * source[:, None, :]
+    both = cross[:, :, :3] / safe[:, None, None] - target[:, :, None] * source[:, None, :]
+    if model in ("identity", "translation"):
+        a = eye
+    elif model == "affine":
+        a = eye + (both - spread) @ np.linalg.pinv(spread, rcond=1e-10, hermitian=True)
+    else:
+        u, _, vt = np.linalg.svd(both)
+        flip = np.sign(np.linalg.det(u @ vt))
+        u[:, :, 2] *= np.where(flip == 0, 1, flip)[:, None]
+        a = u @ vt
+        if model == "similarity":
+            size = np.trace(spread, axis1=1, axis2=2)
+            a = a * np.where(size > 0, (a * both).sum((1, 2)) / np.where(size > 0, size, 1), 1.0)[:, None, None]
+    shift = np.zeros_like(target) if model == "identity" else target - np.einsum("nij,nj->ni", a, source)
+    out = np.concatenate([a, shift[:, :, None]], 2)
+    out[w <= 0] = np.eye(3, 4)
+    return out
+
+
+def tree_placement(n: int, a: np.ndarray, b: np.ndarray, pp: np.ndarray, pq: np.ndarray, qq: np.ndarray, model: str, fixed: np.ndarray) -> np.ndarray:
+    """Maps of n images placed one after the other along links, the heaviest first, from those that are fixed."""
+    from heapq import heappop, heappush
+
+    out = np.broadcast_to(np.eye(3, 4), (n, 3, 4)).copy()
+    beside: list[list[int]] = [[] for _ in range(n)]
+    for e, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        beside[i].append(e)
+        beside[j].append(e)
+    done, heap = fixed.copy(), []
+    for i in np.flatnonzero(fixed):
+        for e in beside[i]:
+            heappush(heap, (-pp[e, 3, 3], e))
+    while heap:
+        _, e = heappop(heap)
+        i, j = int(a[e]), int(b[e])
+        if done[i] and done[j]:
+            continue
+        new, known, own, cross = (j, i, qq[e], pq[e]) if done[i] else (i, j, pp[e], pq[e].T)
+        out[new] = fit_moments(model, (out[known] @ cross)[None], own[None])[0]
+        done[new] = True
+        for f in beside[new]:
+            heappush(heap, (-pp[f, 3, 3], f))
+    return out
+
+
+def _turned(v: np.ndarray) -> np.ndarray:
+    """Rotations about many vectors by their lengths."""
+    angle = np.linalg.norm(v, axis=1)
+    k = np.zeros((len(v), 3, 3))
+    unit = v / np.where(angle > 0, angle, 1)[:, None]
+    k[:, 0, 1], k[:, 0, 2], k[:, 1, 2] = -unit[:, 2], unit[:, 1], -unit[:, 0]
+    k -= k.transpose(0, 2, 1)
+    return np.eye(3) + np.sin(angle)[:, None, None] * k + (1 - np.cos(angle))[:, None, None] * (k @ k)
+
+
+def _directions(model: str, maps: np.ndarray) -> np.ndarray:
+    """The ways (n, k, 3, 4) in which a small step of a model's parameters changes each map."""
+    n = len(maps)
+    shifts = np.zeros((n, 3, 3, 4))
+    shifts[:, np.arange(3), np.arange(3), 3] = 1
+    if model == "translation":
+        return shifts
+    if model == "affine":
+        return np.broadcast_to(np.eye(12).reshape(12, 3, 4), (n, 12, 3, 4))
+    turns = np.zeros((n, 3, 3, 4))
+    for k in range(3):
+        cross = np.zeros((3, 3))
+        cross[(k + 2) % 3, (k + 1) % 3], cross[(k + 1) % 3, (k + 2) % 3] = 1, -1
+        turns[:, k, :, :3] = cross @ maps[:, :, :3]
+    if model == "rigid":
+        return np.concatenate([turns, shifts], 1)
+    scale = np.zeros((n, 1, 3, 4))
+    scale[:, 0, :, :3] = maps[:, :, :3]
+    return np.concatenate([turns, scale, shifts], 1)
+
+
+def place_images(n: int, a: np.ndarray, b: np.ndarray, pp: np.ndarray, pq: np.ndarray, qq: np.ndarray, model: str, fixed: np.ndarray, other: str | None = None, share: float = 0.1, rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
+    """Maps (n, 3, 4) under which linked points of n images meet with the least sum of squares; fixed ones stay identity.
+
+    Link e says that p of image a[e] is q of image b[e]; pp, pq, qq (e, 4, 4) are the weighted moments of (p, 1) and (q, 1),
+    which are all that least squares need. Starts from tree_placement(), then takes Gauss-Newton steps, one for models
+    that are linear, each solved by conjugate gradients over the links; memory is a few numbers per link and image, never
+    their square. other: every image's map is the blend of its own best map of the two models, with `share` of the other;
+    that is found by rounds in which each image goes halfway to its blend.
+    """
+    maps = tree_placement(n, a, b, pp, pq, qq, model, fixed)
+    free = ~fixed
+    qp = pq.transpose(0, 2, 1)
+    own = np.zeros((n, 4, 4))
+    np.add.at(own, a, pp)
+    np.add.at(own, b, qq)
+
+    def pull(x: np.ndarray) -> np.ndarray:
+        """Half the gradient of the sum of squares at maps (or their changes) x."""
+        out = np.zeros((n, 3, 4))
+        np.add.at(out, a, x[a] @ pp - x[b] @ qp)
+        np.add.at(out, b, x[b] @ qq - x[a] @ pq)
+        return out
+
+    for _ in range(1 if model in ("translation", "affine") else rounds):
+        g = _directions(model, maps)
+        block = np.einsum("nkij,njl,nmil->nkm", g, own, g)
+        size = np.trace(block, axis1=1, axis2=2) / block.shape[1]
+        block += np.eye(block.shape[1]) * (np.maximum(size, 1e-300) * 1e-12)[:, None, None]
+        inverse = np.linalg.inv(block)
+        into = lambda x: np.einsum("nkij,nij->nk", g, x) * free[:, None]  # noqa: B023, E731
+        step = lambda t: np.einsum("nk,nkij->nij", t, g)  # noqa: B023, E731
+        t = conjugate_gradients(lambda x: into(pull(step(x))), -into(pull(maps)), lambda r: np.einsum("nkm,nm->nk", inverse, r))  # noqa: B023
+        t *= free[:, None]
+        if model in ("translation", "affine"):
+            maps = maps + step(t)
+        else:
+            maps = maps.copy()
+            maps[:, :, 3] += t[:, -3:]
+            maps[:, :, :3] = _turned(t[:, :3]) @ maps[:, :, :3]
+            if model == "similarity":
+                maps[:, :, :3] *= np.exp(t[:, 3])[:, None, None]
+        if np.abs(t).max(initial=0) < tolerance:
+            break
+    if other is None:
+        return maps
+    for _ in range(rounds * 10):
+        cross = np.zeros((n, 3, 4))
+        np.add.at(cross, a, maps[b] @ qp)
+        np.add.at(cross, b, maps[a] @ pq)
+        best = (1 - share) * fit_moments(model, cross, own) + share * fit_moments(other, cross, own)
+        change = np.where((free & (own[:, 3, 3] > 0))[:, None, None], (best - maps) / 2, 0)
+        maps = maps + change
+        if np.abs(change).max(initial=0) < tolerance:
+            break
+    return maps
+
+
+def least_lines(n: int, i: np.ndarray, j: np.ndarray, w, p, q, pp, qq, pq, rigidity: float) -> np.ndarray:
+    """Lines (n, 2) of slope and offset that bring linked values of n nodes together by least squares, the first staying identity; see solve_fields()."""
+    add = lambda x, y: np.bincount(i, x, n) + np.bincount(j, y, n)
+    # a node's own moments: of its values, and of values by one
+    own = np.stack([add(pp, qq), add(p, q), add(w, w)], 1)
+    held = own[:, [0, 2]] * rigidity
+    free = (np.arange(n) > 0)[:, None]
+
+    def pull(x: np.ndarray) -> np.ndarray:
+        a, b = x[:, 0], x[:, 1]
+        slope = own[:, 0] * a + own[:, 1] * b - add(pq * a[j] + p * b[j], pq * a[i] + q * b[i])
+        offset = own[:, 1] * a + own[:, 2] * b - add(q * a[j] + w * b[j], p * a[i] + w * b[i])
+        return (np.stack([slope, offset], 1) + held * x) * free
+
+    still = np.tile([1.0, 0.0], (n, 1))
+    det = own[:, 0] * own[:, 2] * (1 + rigidity) ** 2 - own[:, 1] ** 2
+    safe = det > 1e-12 * np.maximum(own[:, 0] * own[:, 2], 1e-300)
+
+    def precondition(r: np.ndarray) -> np.ndarray:
+        both = np.stack([own[:, 2] * (1 + rigidity) * r[:, 0] - own[:, 1] * r[:, 1], own[:, 0] * (1 + rigidity) * r[:, 1] - own[:, 1] * r[:, 0]], 1) / np.where(safe, det, 1)[:, None]
+        plain = r / np.maximum(own[:, [0, 2]] * (1 + rigidity), 1e-300)
+        return np.where(safe[:, None], both, plain) * free
+
+    # what is to be added to identity
+    return still + conjugate_gradients(pull, held * still * free - pull(still), precondition)
+
+
+def place_lines(n: int, a: np.ndarray, b: np.ndarray, w, p, q, pp, qq, pq, shift: float, stay: float, rounds: int, damping: float, tolerance: float) -> np.ndarray:
+    """Lines (n, 2) of slope and offset that bring linked values of n nodes together, the first staying identity; see solve_field_maps()."""
+    maps = least_lines(n, a, b, w, p, q, pp, qq, pq, 1e-9)
+    add = lambda x, y: np.bincount(a, x, n) + np.bincount(b, y, n)
+    s, sv, svv = add(w, w), add(p, q), add(pp, qq)
+    spread = svv - sv * sv / np.where(s > 0, s, 1)
+    steep = spread > 1e-12 * np.maximum(svv, 1e-300)
+    for _ in range(rounds):
+        # where each node's values are to go: the partners' values under the partners' maps
+        y = add(maps[b, 0] * q + maps[b, 1] * w, maps[a, 0] * p + maps[a, 1] * w)
+        vy = add(maps[b, 0] * pq + maps[b, 1] * p, maps[a, 0] * pq + maps[a, 1] * q)
+        mean = y / np.where(s > 0, s, 1)
+        slope = np.where(steep, (vy - sv * mean) / np.where(steep, spread, 1), 1.0)
+        offset = mean - slope * sv / np.where(s > 0, s, 1)
+        moved = mean - sv / np.where(s > 0, s, 1)
+        best = np.stack([(1 - shift) * slope + shift, (1 - shift) * offset + shift * moved], 1)
+        best = (1 - stay) * best + stay * np.array([1.0, 0.0])
+        change = damping * (best - maps)
+        change[0] = 0
+        maps += change
+        if np.abs(change).max() < tolerance:
+            break
+    return maps
+
+
+def link_errors(maps: np.ndarray, a: np.ndarray, b: np.ndarray, pp: np.ndarray, pq: np.ndarray, qq: np.ndarray) -> np.ndarray:
+    """Root of each link's weighted mean square distance."""
+    x, y = maps[a], maps[b]
+    square = np.einsum("eij,ejk,eik->e", x, pp, x) - 2 * np.einsum("eij,ejk,eik->e", x, pq, y) + np.einsum("eij,ejk,eik->e", y, qq, y)
+    return np.sqrt(np.maximum(square / pp[:, 3, 3], 0))
+
+
 # ---- descriptors ------------------------------------------------------------------------------------------------
 
 
@@ -279,17 +501,22 @@ def redundant_distance(a: np.ndarray, b: np.ndarray, neighbours: int) -> np.ndar
 
 
 def local_frames(x: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
-    """Six rotation-invariant numbers of each point and its three nearest others; rows without a frame are NaN."""
-    b, c, d = (x[neighbours[:, i]] - x for i in range(3))
+    """Six rotation-invariant numbers of each point and its three nearest others; rows without a frame are NaN.
+
+    Three places around a point have nine coordinates, of which a rotation takes three away. The frame that does so has
+    its first axis towards the farthest of the three, its second in the plane that the nearest one opens with it, and its
+    third across that plane, to the side of the one between. Left are the farthest one's distance, the nearest one's
+    two coordinates in the plane, and all three of the one between.
+    """
+    nearest, between, farthest = (x[neighbours[:, i]] - x for i in range(3))
+    inner = lambda u, v: (u * v).sum(1)
+    unit = lambda u: u / np.linalg.norm(u, axis=1, keepdims=True)
     with np.errstate(all="ignore"):
-        ex = d / np.linalg.norm(d, axis=1, keepdims=True)
-        n = np.cross(b, ex)
-        n = n / np.linalg.norm(n, axis=1, keepdims=True)
-        n = np.where((n * c).sum(1, keepdims=True) < 0, -n, n)
-        ey = np.cross(n, ex)
-        ey = ey / np.linalg.norm(ey, axis=1, keepdims=True)
-    dot = lambda u, v: (u * v).sum(1)
-    return np.stack([np.linalg.norm(d, axis=1), dot(b, ex), dot(b, ey), dot(c, ex), dot(c, ey), dot(c, n)], 1)
+        first = unit(farthest)
+        across = unit(np.cross(nearest, first))
+        across = np.where(inner(across, between)[:, None] < 0, -across, across)
+        second = unit(np.cross(across, first))
+    return np.stack([np.linalg.norm(farthest, axis=1), inner(nearest, first), inner(nearest, second), inner(between, first), inner(between, second), inner(between, across)], 1)
 
 
 def ratio_matches(d: np.ndarray, ratio: float, strict: bool, threshold: float = np.inf) -> np.ndarray:
@@ -390,6 +617,54 @@ def refine(response: np.ndarray, place: np.ndarray, moves: int = 10) -> tuple[np
     return place + np.clip(step, -1, 1), value
 
 
+#: Steps of the cosine ramp's table.
+RAMP = 30
+
+
+def blend_weight(at: np.ndarray, size: int, border: float, width: float) -> np.ndarray:
+    """Weight of places on one axis of an image: 0 in the border, half a cosine wave over `width`, 1 within, and the same on the far side.
+
+    The wave is looked up between RAMP + 1 points joined by straight lines. Where the ramps would cross, they meet in the middle.
+    """
+    table = (np.cos((1 - np.arange(RAMP + 1) / RAMP) * np.pi) + 1) / 2
+    ramp = lambda d: np.interp(np.clip(d, 0, 1) * RAMP, np.arange(RAMP + 1), table) if width > 0 else np.ones_like(d)
+    far = size - 1 - border
+    w = np.where(at < (size - 1) / 2, ramp((at - border) / max(width, 1e-300)), ramp((far - at) / max(width, 1e-300)))
+    return np.where((at < border) | (at > far) | ((at >= far) & (width > 0)), 0.0, w)
+
+
+def sample_blocks(at: np.ndarray, where: dict[tuple[int, int, int], int], blocks: list, size: tuple[int, int, int], dims: np.ndarray, linear: bool) -> np.ndarray:
+    """Values at places (x, y, z) of an image that is held as blocks with x fastest; `where` has a block's number by its place. A missing block is 0."""
+    if not len(at):
+        return np.zeros(0)
+    n = np.array(size)
+    data = np.concatenate([np.asarray(b, float) for b in blocks] + [np.zeros(n.prod())])
+    low = np.min(list(where), axis=0)
+    high = np.max(list(where), axis=0)
+    table = np.full(high - low + 1, len(blocks))
+    for k, v in where.items():
+        table[tuple(np.array(k) - low)] = v
+
+    def value(p: np.ndarray) -> np.ndarray:
+        b = p // n
+        ok = ((b >= low) & (b <= high)).all(1)
+        number = np.full(len(p), len(blocks))
+        number[ok] = table[tuple((b[ok] - low).T)]
+        o = p % n
+        return data[number * n.prod() + o[:, 0] + n[0] * (o[:, 1] + n[1] * o[:, 2])]
+
+    if not linear:
+        return value(np.minimum(np.floor(at + 0.5).astype(int), dims - 1))
+    base = np.minimum(np.floor(at).astype(int), np.maximum(dims - 2, 0))
+    part = at - base
+    out = np.zeros(len(at))
+    for corner in np.ndindex(2, 2, 2):
+        w = np.prod(np.where(corner, part, 1 - part), axis=1)
+        use = w > 0
+        out[use] += w[use] * value(np.minimum(base[use] + corner, dims - 1))
+    return out
+
+
 def content_weights(image: np.ndarray, small: float = 20, large: float = 40) -> np.ndarray:
     return gauss((image - gauss(image, small)) ** 2, large) / 2048
 
@@ -430,20 +705,26 @@ def psf_pair(psfs: list[np.ndarray], view: int, kind: str) -> tuple[np.ndarray,
     raise ValueError(kind)
 
 
+def deconvolve_round(psi: np.ndarray, images: list[np.ndarray], weights: list[np.ndarray], pairs: list[tuple[np.ndarray, np.ndarray]], top: float, least: float = 1e-4, damping: float = 0.0) -> np.ndarray:
+    """The next estimate: views update it one after the other, each by its weight."""
+    for image, weight, (k1, k2) in zip(images, weights, pairs, strict=True):
+        blurred = convolve(psi, k1)
+        ratio = np.where(image > 0, image / np.maximum(blurred, least), 1.0)
+        value = psi * convolve(ratio, k2) / top
+        if damping:
+            value = (np.sqrt(1 + 2 * damping * np.maximum(value, 0)) - 1) / damping
+        adjusted = np.where(np.isfinite(value) & (value > 0), np.maximum(least, value * top), least)
+        psi = psi + (adjusted - psi) * weight
+    return psi
+
+
 def deconvolve(images: list[np.ndarray], weights: list[np.ndarray], psfs: list[np.ndarray], rounds: int, kind: str = "optimization II", least: float = 1e-4, damping: float = 0.0) -> np.ndarray:
-    """Multi-view Richardson-Lucy: views update the estimate one after the other, each by its weight."""
+    """Multi-view Richardson-Lucy of whole images."""
     psi = np.full(images[0].shape, max(least, float(np.mean([i.mean() for i in images]))))
     pairs = [psf_pair(psfs, v, kind) for v in range(len(images))]
     top = max(float(i.max()) for i in images)
     for _ in range(rounds):
-        for image, weight, (k1, k2) in zip(images, weights, pairs, strict=True):
-            blurred = convolve(psi, k1)
-            ratio = np.where(image > 0, image / np.maximum(blurred, least), 1.0)
-            value = psi * convolve(ratio, k2) / top
-            if damping:
-                value = (np.sqrt(1 + 2 * damping * np.maximum(value, 0)) - 1) / damping
-            adjusted = np.where(np.isfinite(value) & (value > 0), np.maximum(least, value * top), least)
-            psi = psi + (adjusted - psi) * weight
+        psi = deconvolve_round(psi, images, weights, pairs, top, least, damping)
     return psi
 
 
@@ -503,6 +784,28 @@ def moving_least_squares(at: np.ndarray, p: np.ndarray, q: np.ndarray, alpha: fl
 # ---- graphs -----------------------------------------------------------------------------------------------------
 
 
+def conjugate_gradients(apply, right: np.ndarray, precondition, share: float = 1e-28) -> np.ndarray:
+    """x with apply(x) = right, of a symmetric map that has no negative directions; memory is a few arrays as large as x."""
+    x = np.zeros_like(right)
+    r = right.copy()
+    z = precondition(r)
+    d, rz = z.copy(), float((r * z).sum())
+    first = rz
+    for _ in range(20 * len(right) + 200):
+        if rz <= first * share or rz <= 1e-300:
+            break
+        h = apply(d)
+        along = float((d * h).sum())
+        if along <= 0:
+            break
+        x += rz / along * d
+        r -= rz / along * h
+        z = precondition(r)
+        after = float((r * z).sum())
+        d, rz = z + after / rz * d, after
+    return x
+
+
 def solve_translations(n: int, edges: list[tuple[int, int, float, np.ndarray]], fixed: set[int]) -> np.ndarray:
     """Positions of least squares of a graph: each edge asks x[a] - x[b] = shift, with its weight; fixed nodes stay at 0.
 
@@ -521,17 +824,18 @@ def solve_translations(n: int, edges: list[tuple[int, int, float, np.ndarray]],
     fixed = set(fixed)
     for c in {top(i) for i in range(n)} - {top(i) for i in fixed}:
         fixed.add(c)
-    free = [i for i in range(n) if i not in fixed]
-    place = {i: k for k, i in enumerate(free)}
-    lap, rhs = np.zeros((len(free), len(free))), np.zeros((len(free), 3))
-    for a, b, w, shift in edges:
-        for i, j, s in ((a, b, 1), (b, a, -1)):
-            if i in place:
-                lap[place[i], place[i]] += w
-                rhs[place[i]] += s * w * shift
-                if j in place:
-                    lap[place[i], place[j]] -= w
-    out = np.zeros((n, 3))
-    if free:
-        out[free] = np.linalg.solve(lap, rhs)
+    free = np.ones(n, bool)
+    free[list(fixed)] = False
+    a, b = np.array([e[0] for e in edges], int), np.array([e[1] for e in edges], int)
+    w = np.array([e[2] for e in edges], float)
+    shift = np.array([e[3] for e in edges], float).reshape(-1, 3)
+
+    def gather(v: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, 3))
+        np.add.at(out, a, v)
+        np.add.at(out, b, -v)
+        return out * free[:, None]
+
+    weight = np.bincount(a, w, n) + np.bincount(b, w, n)
+    out = conjugate_gradients(lambda x: gather(w[:, None] * (x[a] - x[b])), gather(w[:, None] * shift), lambda r: r / np.where(weight > 0, weight, 1.0)[:, None])
     return out

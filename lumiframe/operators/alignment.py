@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumiframe.functions import affine
 from lumiframe.functions import kernels as K
 from lumiframe.operators.iterate import components, materialize
 
@@ -45,16 +46,16 @@ def stitching_links(pairs: DataFrame, threshold: float) -> DataFrame:
     return out.select("a", "b", *[f"{e}{c}" for e in "pq" for c in ("x", "y", "z")], F.col("r").alias("quality"))
 
 
-def weak_links(boxes: DataFrame, key: str, group: str) -> DataFrame:
-    """The eight corners of what two views of different groups have in common, in world coordinates."""
+def weak_links(boxes: DataFrame, key: str, group: str, by: list[str] | None = None) -> DataFrame:
+    """The eight corners of what two views of different groups have in common, in world coordinates; by: columns that must agree."""
     from lumiframe.operators.spatial import overlap_pairs
 
     axes = [("lo_x", "hi_x"), ("lo_y", "hi_y"), ("lo_z", "hi_z")]
-    out = overlap_pairs(boxes, key, axes, keep=(group,)).where(f"{group}_a <> {group}_b")
+    out = overlap_pairs(boxes, key, axes, keep=(group,), by=by).where(f"{group}_a <> {group}_b")
     for lo, hi in axes:
         c = lo[-1]
         out = out.withColumn(c, F.explode(F.array(F.greatest(f"{lo}_a", f"{lo}_b"), F.least(f"{hi}_a", f"{hi}_b"))))
-    return out.select(f"{key}_a", f"{key}_b", "x", "y", "z")
+    return out.select(*(by or []), f"{key}_a", f"{key}_b", "x", "y", "z")
 
 
 def link_scores(matches: DataFrame) -> DataFrame:
@@ -132,6 +133,99 @@ def solve_two_rounds(strong: DataFrame, weak: DataFrame, views: DataFrame, fixed
     return placed.join(two, "component", "left").select("view", *[(F.col(f"t{c}") + F.coalesce(f"u{c}", F.lit(0.0))).alias(f"t{c}") for c in "xyz"])
 
 
+def tiles(views: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """view, tile: views that move as one. Groups (group_id, view) that share a view are merged; a tile is named by its smallest view.
+
+    Views without a group are tiles of their own, and a null view or group counts for nothing.
+    """
+    own = views.select(F.col("view").cast("long").alias("view")).where("view is not null").distinct()
+    if groups is None:
+        return own.select("view", F.col("view").alias("tile"))
+    m = groups.select(F.col("group_id"), F.col("view").cast("long").alias("view")).where("group_id is not null and view is not null")
+    first = m.groupBy("group_id").agg(F.min("view").alias("a"))
+    merged = components(m.join(first, "group_id").select("a", F.col("view").alias("b"))).select(F.col("node").alias("g_view"), "component")
+    every = own.union(m.select("view")).distinct()
+    return every.join(merged, F.col("view") == F.col("g_view"), "left").select("view", F.coalesce("component", "view").alias("tile"))
+
+
+def pair_moments(matches: DataFrame) -> DataFrame:
+    """a, b, n, pp, pq, qq, quality of each linked pair: the weighted moments of (p, 1) and (q, 1), 16 numbers each, row by row.
+
+    matches: a, b, px .. qz, weight, quality. That is all that a solution needs of them; sums are formed before the shuffle.
+    """
+    w = F.col("weight").cast("double")
+    side = lambda s: [*[F.col(f"{s}{c}").cast("double") for c in "xyz"], F.lit(1.0)]
+    p, q = side("p"), side("q")
+    table = lambda u, v: F.array(*[F.sum(w * x * y) for x in u for y in v])
+    rows = matches.where("a <> b and weight > 0")
+    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), table(p, p).alias("pp"), table(p, q).alias("pq"), table(q, q).alias("qq"), F.max("quality").alias("quality"))
+
+
+def solve_models(matches: DataFrame, views: DataFrame, fixed: DataFrame, model: str = "rigid", other: str | None = None, share: float = 0.1, groups: DataFrame | None = None, relative: float | None = None, absolute: float = 3.5, rounds: int = 200) -> DataFrame:
+    """view, tile, component, m: maps of a kind (translation, rigid, similarity, affine) that bring matched points together, for all views.
+
+    Views of a group move as one tile; tiles that hold a fixed view stay identity, or a component's first tile if it
+    holds none. other: blends each map with that of a stiffer model. relative: links are dropped, the worst first, until
+    converged(); the worst has the largest error, weighed by its quality, and both of its tiles keep a link; a link's
+    error is the root of its mean square distance. Tiles without links have the identity and a component of their own.
+    Matches stay where they are: they are summed to moments per pair. A component's pairs, 48 numbers each, are one task.
+    """
+    tile = materialize(tiles(views.select("view").union(matches.select("a")).union(matches.select("b")), groups))
+    at = lambda s: tile.select(F.col("view").alias(s), F.col("tile").alias(f"t_{s}"))
+    linked = matches.join(at("a"), "a").join(at("b"), "b").withColumns({"a": F.col("t_a"), "b": F.col("t_b")}).drop("t_a", "t_b")
+    pairs = materialize(pair_moments(linked))
+    found = materialize(components(pairs.select("a", "b")))
+    held = fixed.select(F.col("view").cast("long").alias("view")).join(tile, "view").join(found, F.col("tile") == F.col("node")).groupBy("component").agg(F.collect_set("tile").alias("fixed"))
+    rows = pairs.join(found.select(F.col("node").alias("a"), "component"), "a").join(held, "component", "left")
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["a", "b"])
+        names = np.unique(np.concatenate([g["a"], g["b"]]))
+        a, b = np.searchsorted(names, g["a"].to_numpy()), np.searchsorted(names, g["b"].to_numpy())
+        pp, pq, qq = (np.stack(g[c].to_list()).astype(float).reshape(-1, 4, 4) for c in ("pp", "pq", "qq"))
+        quality = np.clip(g["quality"].to_numpy(float), 0.01, 1.0)
+        stay = np.isin(names, g["fixed"].iloc[0]) if g["fixed"].iloc[0] is not None else np.arange(len(names)) == 0
+        keep = np.ones(len(a), bool)
+        while True:
+            e = [x[keep] for x in (a, b, pp, pq, qq)]
+            maps = K.place_images(len(names), *e, model, stay, other, share, rounds)
+            if relative is None:
+                break
+            off = K.link_errors(maps, *e)
+            degree = np.bincount(np.concatenate(e[:2]), minlength=len(names))
+            if converged(float(off.mean()), float(off.max()), relative, absolute):
+                break
+            score = np.where((degree[e[0]] > 1) & (degree[e[1]] > 1), (1.01 - quality[keep]) * off, -1)
+            if score.max() <= 0:
+                break
+            keep[np.flatnonzero(keep)[score.argmax()]] = False
+        return pd.DataFrame({"tile": names, "component": g["component"].iloc[0], "m": [m.ravel().tolist() for m in maps]})
+
+    placed = rows.groupBy("component").applyInPandas(work, "tile long, component long, m array<double>")
+    placed = placed.withColumnRenamed("tile", "p_tile")
+    identity = F.array(*[F.lit(float(i in (0, 5, 10))) for i in range(12)])
+    out = tile.join(placed, F.col("tile") == F.col("p_tile"), "left")
+    return out.select("view", "tile", F.coalesce("component", "tile").alias("component"), F.coalesce("m", identity).alias("m"))
+
+
+def solve_models_two_rounds(strong: DataFrame, weak: DataFrame, views: DataFrame, fixed: DataFrame, model: str = "rigid", groups: DataFrame | None = None, relative: float | None = None, absolute: float = 3.5, second: str | None = None) -> DataFrame:
+    """view, m: strong links first; then each component is one tile, and the weak links between them move them as wholes.
+
+    Weak links are matches in the views' own coordinates, as strong ones are; they are carried along by round one, and
+    their points' places in the world are what round two brings together, with a model of its own if `second` names
+    one. A component with a fixed view stays. The map is round two's after round one's.
+    """
+    one = materialize(solve_models(strong, views, fixed, model, groups=groups, relative=relative, absolute=absolute))
+    side = lambda s: one.select(F.col("view").alias(s), F.col("component").alias(f"c_{s}"), F.col("m").alias(f"m_{s}"))
+    moved = weak.join(side("a"), "a").join(side("b"), "b").where("c_a <> c_b")
+    p = affine.apply(F.col("m_a"), F.col("px"), F.col("py"), F.col("pz"))
+    q = affine.apply(F.col("m_b"), F.col("qx"), F.col("qy"), F.col("qz"))
+    world = moved.select("a", "b", *[x.alias(f"{s}{c}") for s, v in (("p", p), ("q", q)) for x, c in zip(v, "xyz", strict=True)], "weight", "quality")
+    two = solve_models(world, one.select("view"), fixed, second or model, groups=one.select(F.col("component").alias("group_id"), "view"))
+    two = two.select(F.col("view").alias("w_view"), F.col("m").alias("m_two"))
+    return one.join(two, F.col("view") == F.col("w_view")).select("view", affine.composed(F.col("m_two"), F.col("m")).alias("m"))
+
+
 def fix_views(members: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """component, view of the views that stay: the chosen ones, or each component's first."""
     if chosen is not None:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiframe.functions import affine
+from lumiframe.operators.iterate import materialize
+from lumiframe.operators.spatial import typical_extent
 
 AXES = ("x", "y", "z")
 
@@ -16,23 +20,60 @@ def view_bounds(views: DataFrame, model: str = "m") -> DataFrame:
     return views.withColumns({f"lo_{c}": lo[i] for i, c in enumerate(AXES)} | {f"hi_{c}": hi[i] for i, c in enumerate(AXES)})
 
 
+def corners(views: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """The corner voxels of each view's image: 0 or size - 1 on each axis, a row each."""
+    for c in axes:
+        views = views.withColumn(c, F.explode(F.array(F.lit(0).cast("long"), (F.col(f"s{c}") - 1).cast("long"))))
+    return views
+
+
 def maximal_box(bounds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Whole-numbered box around all views: floor of the least, ceiling of the most."""
     out = [F.floor(F.min(f"lo_{c}")).cast("int").alias(f"min_{c}") for c in AXES] + [F.ceil(F.max(f"hi_{c}")).cast("int").alias(f"max_{c}") for c in AXES]
     return bounds.groupBy(*(by or [])).agg(*out)
 
 
+ENDS = [f"{e}_{c}" for c in AXES for e in ("lo", "hi")]
+
+
+def _merged(boxes: DataFrame) -> DataFrame:
+    """Boxes that cover the same places: on each axis, those that agree on the other two and touch are joined."""
+    for c in AXES:
+        lo, hi = f"lo_{c}", f"hi_{c}"
+        w = Window.partitionBy(*[e for e in ENDS if e not in (lo, hi)]).orderBy(lo, hi)
+        before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        runs = boxes.withColumn("run", F.when(before.isNull() | (before < F.col(lo)), 1).otherwise(0)).withColumn("run", F.sum("run").over(w))
+        others = [e for e in ENDS if e not in (lo, hi)]
+        boxes = runs.groupBy(*others, "run").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).select(*ENDS)
+    return boxes
+
+
 def group_overlap_box(bounds: DataFrame, group: str) -> DataFrame:
-    """Box around what each choice of one view per group has in common, over all choices that have something.
+    """Box around what each choice of one view per group has in common on all axes, over all choices that have something.
 
-    On one axis, the intersections reach from the largest lower end of a choice to the smallest upper one. The least
-    start is the largest of the groups' least ends, and the last stop the smallest of the groups' greatest; choices
-    that reach them exist on each axis, so no product of groups is formed. Where even these cross, there is no box.
+    What the choices have in common, taken together, are the places that some view of every group covers. So groups are
+    taken one after the other: the places covered so far, as boxes, are intersected with the next group's boxes, which are
+    found by cells of x; boxes that repeat or continue one another are joined. Where nothing is left there is no box.
+    Views without a box or a group are left out. One step per group, of which there are a few (angles, channels).
     """
-    per = bounds.groupBy(group).agg(*[F.min(f"lo_{c}").alias(f"lo_{c}") for c in AXES], *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in AXES])
-    ends = per.agg(*[F.max(f"lo_{c}").alias(f"lo_{c}") for c in AXES], *[F.min(f"hi_{c}").alias(f"hi_{c}") for c in AXES])
-    empty = (F.col("lo_x") > F.col("hi_x")) | (F.col("lo_y") > F.col("hi_y")) | (F.col("lo_z") > F.col("hi_z"))
-    return ends.where(~empty).select(*[F.floor(f"lo_{c}").cast("int").alias(f"min_{c}") for c in AXES], *[F.ceil(f"hi_{c}").cast("int").alias(f"max_{c}") for c in AXES])
+    views = bounds.where(functools.reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [group, *ENDS]])).select(F.col(group).alias("g"), *ENDS).distinct()
+    groups = [r["g"] for r in views.select("g").distinct().orderBy("g").collect()]
+    if not groups:
+        return _whole_box(views)
+    cell = typical_extent(views, "lo_x", "hi_x")
+    deal = lambda d, a, b: d.withColumn("cell", F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))))
+    now = materialize(_merged(views.where(F.col("g") == groups[0]).select(*ENDS)))
+    for g in groups[1:]:
+        other = deal(views.where(F.col("g") == g).select(*[F.col(c).alias(f"o_{c}") for c in ENDS]), "o_lo_x", "o_hi_x")
+        both = deal(now, "lo_x", "hi_x").join(other.hint("merge"), "cell")
+        met = both.select(*[f(f"{e}_{c}", f"o_{e}_{c}").alias(f"{e}_{c}") for c in AXES for e, f in (("lo", F.greatest), ("hi", F.least))])
+        now = materialize(_merged(met.where(functools.reduce(lambda x, y: x & y, [F.col(f"lo_{c}") <= F.col(f"hi_{c}") for c in AXES])).distinct()))
+    return _whole_box(now)
+
+
+def _whole_box(boxes: DataFrame) -> DataFrame:
+    ends = boxes.agg(*[f(f"{e}_{c}").alias(f"{e}_{c}") for c in AXES for e, f in (("lo", F.min), ("hi", F.max))]).where("lo_x is not null")
+    return ends.select(*[F.floor(f"lo_{c}").cast("int").alias(f"min_{c}") for c in AXES], *[F.ceil(f"hi_{c}").cast("int").alias(f"max_{c}") for c in AXES])
 
 
 def scaled_box(lo: Column, hi: Column, factor: Column) -> tuple[Column, Column]:
@@ -40,6 +81,11 @@ def scaled_box(lo: Column, hi: Column, factor: Column) -> tuple[Column, Column]:
     return affine.round_half_up(lo / factor), affine.round_half_up(hi / factor)
 
 
+def scaled_offset(lo: Column, factor: Column) -> Column:
+    """What rounding takes off a scaled box's lower end, so that its transform can make up for it."""
+    return lo / factor - affine.round_half_up(lo / factor)
+
+
 def anisotropic_box(lo: Column, hi: Column, anisotropy: float) -> tuple[Column, Column]:
     """Ends of the z axis shrunk by the anisotropy: floor and ceiling."""
     return F.floor(lo / anisotropy), F.ceil(hi / anisotropy)
@@ -52,8 +98,6 @@ def integer_box(lo: Column, hi: Column) -> tuple[Column, Column]:
 
 def threshold_box(cells: DataFrame, by: list[str], axis: str, value: str, share: float, radius: int) -> DataFrame:
     """Extent of the cells whose least neighbour value within radius is above min + share x (max - min), grown by 3 radii."""
-    from pyspark.sql import Window
-
     near = Window.partitionBy(*by).orderBy(axis).rangeBetween(-radius, radius)
     all_ = Window.partitionBy(*by)
     lo, hi = F.min(value).over(all_), F.max(value).over(all_)
@@ -114,11 +158,38 @@ def split_views(setups: DataFrame, size: int, overlap: int, axis: str = "x") ->
     n = F.greatest(F.lit(1), F.ceil((length - F.lit(overlap)) / F.lit(step))).cast("int")
     tiles = setups.withColumn("part", F.explode(F.sequence(F.lit(0), n - 1)))
     start = (F.col("part") * step).cast("long")
-    from pyspark.sql import Window
-
     return tiles.withColumns({"from": start, "to": F.least(length, start + size) - 1}).withColumn("new_setup", F.row_number().over(Window.orderBy("setup", "part")) - 1)
 
 
+def split_volumes(views: DataFrame, size: tuple[int, int, int], overlap: tuple[int, int, int]) -> DataFrame:
+    """Sub-views of views (tp, setup, m, sx, sy, sz) on three axes: new_setup, part, from_x .. to_z, and the map m of the part's own voxels.
+
+    A part's map is the view's after the translation by the part's first voxel. New setups number (setup, part) from 0,
+    for all timepoints alike; the last part of an axis may be shorter. Views without a size are left out.
+    """
+    out = views.where("sx is not null and sy is not null and sz is not null")
+    place = F.lit(0)
+    for c, s, o in zip(AXES, size, overlap, strict=True):
+        if s <= o:
+            raise ValueError("parts are longer than their overlap")
+        n = F.greatest(F.lit(1), F.ceil((F.col(f"s{c}") - o) / (s - o))).cast("int")
+        out = out.withColumn(f"n_{c}", n).withColumn(f"i_{c}", F.explode(F.sequence(F.lit(0), F.col(f"n_{c}") - 1)))
+        out = out.withColumn(f"from_{c}", (F.col(f"i_{c}") * (s - o)).cast("long")).withColumn(f"to_{c}", F.least(F.col(f"s{c}").cast("long"), F.col(f"from_{c}") + s) - 1)
+    place = F.col("i_x") + F.col("n_x") * (F.col("i_y") + F.col("n_y") * F.col("i_z"))
+    out = out.withColumn("part", place.cast("int")).drop(*[f"{k}_{c}" for k in "ni" for c in AXES])
+    # a row per setup and part of one timepoint, whatever the points and voxels count
+    numbers = out.select("setup", "part").distinct().withColumn("new_setup", (F.row_number().over(Window.orderBy("setup", "part")) - 1).cast("int"))
+    moved = affine.compose(F.col("m"), affine.translation(*[F.col(f"from_{c}") for c in AXES]))
+    return out.join(numbers, ["setup", "part"]).withColumn("m", moved).withColumns({f"s{c}": F.col(f"to_{c}") - F.col(f"from_{c}") + 1 for c in AXES})
+
+
+def points_of_volumes(points: DataFrame, parts: DataFrame) -> DataFrame:
+    """Points that lie in a part of their view on all axes, in its coordinates and under its id; one in an overlap is in several."""
+    p = parts.select("tp", "setup", "new_setup", *[f"{e}_{c}" for c in AXES for e in ("from", "to")])
+    inside = functools.reduce(lambda a, b: a & b, [F.col(c).between(F.col(f"from_{c}"), F.col(f"to_{c}")) for c in AXES])
+    return points.join(p, ["tp", "setup"]).where(inside).withColumns({c: F.col(c) - F.col(f"from_{c}") for c in AXES}).drop(*[f"{e}_{c}" for c in AXES for e in ("from", "to")])
+
+
 def points_of_parts(points: DataFrame, parts: DataFrame, axis: str = "x") -> DataFrame:
     """Points that lie in a sub-view, in its coordinates and under its id."""
     p = parts.select("setup", "new_setup", "from", "to")
@@ -130,27 +201,58 @@ def fake_points(voxels: Column, density: float, least: int, most: int) -> Column
     return F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(voxels * F.lit(density) / 1e6))).cast("int")
 
 
-def farthest_pairs(points: DataFrame, by: list[str]) -> DataFrame:
+def farthest_pairs(points: DataFrame, by: list[str], most: int = 256) -> DataFrame:
     """by, id_a, id_b, d2: the two points of each group that are farthest apart; ties by (id_a, id_b); groups of one have none.
 
-    A pair longer than a known one has both ends at least (that length - largest radius) from the centre; the known one
-    is the longest from an extreme point of an axis. So only points near the rim are paired.
+    The groups' points are dealt to cells of their box, refined until two cells' boxes tell enough: of all pairs of
+    occupied cells, those whose farthest corners are nearer than the nearest corners of another pair are dropped, and
+    what is left is halved on each axis; a cell whose points share a place is final. Once so few pairs of points are left
+    that they are under `most` squared a group, they are measured. So points on a sphere cost their surface's opposite
+    cells, not all pairs.
     """
-    centre = points.groupBy(*by).agg(*[F.avg(c).alias(f"c{c}") for c in AXES], *[F.max_by(F.struct(*AXES), c).alias(f"e{c}") for c in AXES])
-    p = points.join(centre, by)
-    square = lambda q, r: sum((F.pow(q(c) - r(c), 2) for c in AXES[1:]), F.pow(q(AXES[0]) - r(AXES[0]), 2))
-    p = p.withColumn("rim", F.sqrt(square(F.col, lambda c: F.col(f"c{c}"))))
-    known = F.greatest(*[F.sqrt(square(F.col, lambda c, e=e: F.col(f"e{e}")[c])) for e in AXES])
-    bound = p.groupBy(*by).agg((F.max(known) - F.max("rim")).alias("least"))
-    rim = p.join(bound, by).where(F.col("rim") >= F.col("least") - 1e-9)
-    a = rim.select(*by, F.col("id").alias("id_a"), *[F.col(c).alias(f"a{c}") for c in AXES])
-    b = rim.select(*by, F.col("id").alias("id_b"), *[F.col(c).alias(f"b{c}") for c in AXES])
-    pairs = a.join(b, by).where("id_a < id_b").withColumn("d2", square(lambda c: F.col(f"a{c}"), lambda c: F.col(f"b{c}")))
+    p = points.where(functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*AXES, "id"]])).select(*by, "id", *AXES)
+    box = p.groupBy(*by).agg(*[f(c).alias(f"b{e}_{c}") for c in AXES for e, f in (("lo", F.min), ("hi", F.max))])
+    p = materialize(p.join(box, by))
+    kept, depth = None, 1
+    far = lambda a, b: functools.reduce(lambda x, y: x + y, [F.pow(F.greatest(F.abs(F.col(f"hi_{c}_{a}") - F.col(f"lo_{c}_{b}")), F.abs(F.col(f"hi_{c}_{b}") - F.col(f"lo_{c}_{a}"))), 2) for c in AXES])
+    near = lambda a, b: functools.reduce(lambda x, y: x + y, [F.pow(F.greatest(F.lit(0.0), F.col(f"lo_{c}_{a}") - F.col(f"hi_{c}_{b}"), F.col(f"lo_{c}_{b}") - F.col(f"hi_{c}_{a}")), 2) for c in AXES])
+    while True:
+        cell = [F.least(F.lit((1 << depth) - 1), F.floor(F.coalesce(F.try_divide(F.col(c) - F.col(f"blo_{c}"), F.col(f"bhi_{c}") - F.col(f"blo_{c}")), F.lit(0.0)) * (1 << depth))).cast("int").alias(f"c_{c}") for c in AXES]
+        dealt = p.select("*", *cell)
+        places = [f"c_{c}" for c in AXES]
+        if kept is not None:
+            up = kept.select(*by, F.explode(F.array(*[F.struct(*[F.col(f"c_{c}_{s}").alias(f"u_{c}") for c in AXES]) for s in "ab"])).alias("u")).select(*by, "u.*").distinct()
+            dealt = dealt.withColumns({f"u_{c}": F.shiftright(f"c_{c}", 1) for c in AXES}).join(up, [*by, *[f"u_{c}" for c in AXES]], "left_semi").drop(*[f"u_{c}" for c in AXES])
+        cells = materialize(dealt.groupBy(*by, *places).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{e}_{c}") for c in AXES for e, f in (("lo", F.min), ("hi", F.max))]))
+        side = lambda s: cells.select(*by, *[F.col(x).alias(f"{x}_{s}") for x in [*places, "n", *[f"{e}_{c}" for c in AXES for e in ("lo", "hi")]]])  # noqa: B023, E731
+        order = F.struct(*[F.col(f"{x}_a") for x in places]) <= F.struct(*[F.col(f"{x}_b") for x in places])
+        if kept is None:
+            pairs = side("a").join(side("b"), by).where(order)
+        else:
+            # only children of pairs that were kept
+            old = kept.select(*by, *[F.col(f"c_{c}_{s}").alias(f"u_{c}_{s}") for s in "ab" for c in AXES])
+            one = old.join(side("a").withColumns({f"u_{c}_a": F.shiftright(f"c_{c}_a", 1) for c in AXES}), [*by, *[f"u_{c}_a" for c in AXES]])
+            pairs = one.join(side("b").withColumns({f"u_{c}_b": F.shiftright(f"c_{c}_b", 1) for c in AXES}), [*by, *[f"u_{c}_b" for c in AXES]])
+            pairs = pairs.select(*by, *[F.when(order, F.col(f"{x}_{s}")).otherwise(F.col(f"{x}_{t}")).alias(f"{x}_{s}") for s, t in ("ab", "ba") for x in [*places, "n", *[f"{e}_{c}" for c in AXES for e in ("lo", "hi")]]]).distinct()
+        w = Window.partitionBy(*by)
+        pairs = pairs.withColumns({"most": far("a", "b"), "least": near("a", "b")}).withColumn("known", F.max("least").over(w)).where("most >= known - 1e-9 * (1 + known)")
+        kept = materialize(pairs.withColumn("rows", F.sum(F.col("n_a") * F.col("n_b")).over(w)))
+        worst = kept.agg(F.max("rows")).first()[0]
+        if worst is None or worst <= most * most or depth >= 20:
+            break
+        depth += 1
+    at = dealt.select(*by, "id", *AXES, *places)
+    a = at.select(*by, F.col("id").alias("id_1"), *[F.col(c).alias(f"a{c}") for c in AXES], *[F.col(x).alias(f"{x}_a") for x in places])
+    b = at.select(*by, F.col("id").alias("id_2"), *[F.col(c).alias(f"b{c}") for c in AXES], *[F.col(x).alias(f"{x}_b") for x in places])
+    met = kept.select(*by, *[f"{x}_{s}" for s in "ab" for x in places]).join(a, [*by, *[f"{x}_a" for x in places]]).join(b, [*by, *[f"{x}_b" for x in places]]).where("id_1 <> id_2")
+    d2 = functools.reduce(lambda x, y: x + y, [(F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in AXES])
+    met = met.select(*by, F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"), d2.alias("d2"))
     best = F.max_by(F.struct("id_a", "id_b", "d2"), F.struct("d2", -F.col("id_a"), -F.col("id_b")))
-    return pairs.groupBy(*by).agg(best.alias("p")).select(*by, "p.id_a", "p.id_b", "p.d2")
+    return met.groupBy(*by).agg(best.alias("p")).select(*by, "p.id_a", "p.id_b", "p.d2")
 
 
 def rotation_xyz(a: float, b: float, c: float) -> list[list[float]]:
+    """Rotation about x, then y, then z."""
     import numpy as np
 
     def about(i: int, t: float) -> np.ndarray:
@@ -162,34 +264,67 @@ def rotation_xyz(a: float, b: float, c: float) -> list[list[float]]:
     return (about(2, c) @ about(1, b) @ about(0, a)).tolist()
 
 
-def smallest_box(points: DataFrame, steps: int = 8, first: float = 0.4, margin: float = 0.0) -> dict:
-    """Rotation of the axes under which the box around all points is smallest, found by halving steps.
+def onto_x(v) -> list[list[float]]:
+    """The rotation about the shortest way that takes a direction to the axis x."""
+    import numpy as np
+
+    x = np.asarray(v, float) / np.linalg.norm(v)
+    if x[0] < -1 + 1e-12:
+        return np.diag([-1.0, -1.0, 1.0]).tolist()
+    k = np.array([[0, x[1], x[2]], [-x[1], 0, 0], [-x[2], 0, 0]])
+    return (np.eye(3) + k + k @ k / (1 + x[0])).tolist()
+
+
+#: The steps of the search.
+SEARCH_STEPS = (0.4, 0.2, 0.1, 0.05, 0.025, 0.01, 0.005, 0.001)
+
 
-    Each of the steps measures the 27 neighbouring rotations in one aggregate over the points, which stay where they
-    are, and goes to the best. Returns angles, low and high ends (grown by the margin's share) and volume; None without points.
+def smallest_box(points: DataFrame, margin: float = 0.0, steps: tuple[float, ...] = SEARCH_STEPS) -> dict | None:
+    """Rotation under which the box around all points (id, x, y, z) is smallest, found from their farthest pair on.
+
+    The pair's direction is to be the axis x; each step measures the 27 directions around the best one so far, in one
+    aggregate over the points, which stay where they are. As an axis leaves the turn about it open, the rotation itself is
+    then refined in the same steps. Returns axis, rotation, low and high ends (grown by the margin's
+    share of the extent) and volume; None without two different points.
     """
     from itertools import product
 
-    angles, size, best = (0.0, 0.0, 0.0), first, None
-    for _ in range(steps):
-        tries = [tuple(a + size * d for a, d in zip(angles, move, strict=True)) for move in product((-1, 0, 1), repeat=3)]
-        ends = []
-        for t in tries:
-            for row in rotation_xyz(*t):
-                at = sum((F.col(c) * F.lit(v) for c, v in zip(AXES[1:], row[1:], strict=True)), F.col("x") * F.lit(row[0]))
-                ends += [F.min(at), F.max(at)]
-        got = list(points.agg(*ends).first())
-        if got[0] is None:
-            return None
-        boxes_ = [[(got[6 * i + 2 * k], got[6 * i + 2 * k + 1]) for k in range(3)] for i in range(27)]
-        volume = [(b[0][1] - b[0][0]) * (b[1][1] - b[1][0]) * (b[2][1] - b[2][0]) for b in boxes_]
-        k = min(range(27), key=lambda i: (volume[i], sum(abs(x) for x in tries[i])))
-        if best is None or volume[k] < best["volume"]:
-            angles = tries[k]
-            grow = [margin * (h - l) for l, h in boxes_[k]]
-            best = {"angles": angles, "low": [l - g for (l, _), g in zip(boxes_[k], grow, strict=True)], "high": [h + g for (_, h), g in zip(boxes_[k], grow, strict=True)], "volume": volume[k]}
-        size /= 2
-    return best
+    import numpy as np
+
+    p = points.select("id", *AXES).where("x is not null and y is not null and z is not null")
+    pair = farthest_pairs(p.withColumn("all", F.lit(0)), ["all"]).first()
+    if pair is None or pair["d2"] == 0:
+        return None
+    at = {r["id"]: np.array([r["x"], r["y"], r["z"]], float) for r in p.where(F.col("id").isin(pair["id_a"], pair["id_b"])).collect()}
+    ends = sorted(at.values(), key=lambda v: v[0])
+    axis = (ends[-1] - ends[0]) / np.linalg.norm(ends[-1] - ends[0])
+    turn = lambda v: np.array(rotation_xyz(*v))
+    best = None
+
+    def measure(tries: list[np.ndarray]) -> None:
+        """Boxes under many rotations in one aggregate; the best one so far is kept."""
+        nonlocal best
+        cells = []
+        for r in tries:
+            for row in r:
+                value = sum((F.col(c) * F.lit(float(k)) for c, k in zip(AXES[1:], row[1:], strict=True)), F.col("x") * F.lit(float(row[0])))
+                cells += [F.min(value), F.max(value)]
+        got = np.array(list(p.agg(*cells).first()), float).reshape(len(tries), 3, 2)
+        volume = np.prod(got[:, :, 1] - got[:, :, 0], axis=1)
+        k = int(volume.argmin())
+        if best is None or volume[k] < best[0]:
+            best = (float(volume[k]), tries[k], got[k])
+
+    moves = list(product((-1, 0, 1), repeat=3))
+    for step in steps:
+        measure([np.array(onto_x(v)) for d in moves if np.linalg.norm(v := axis + step * np.array(d)) > 1e-12])
+        axis = best[1][0]
+    for step in steps:
+        base = best[1]
+        measure([turn(step * np.array(d)) @ base for d in moves])
+    volume, rotation, ends_ = best
+    grow = margin * (ends_[:, 1] - ends_[:, 0])
+    return {"axis": rotation[0].tolist(), "rotation": rotation.tolist(), "low": (ends_[:, 0] - grow).tolist(), "high": (ends_[:, 1] + grow).tolist(), "volume": volume}
 
 
 def add_fake_points(overlaps: DataFrame, density: float, least: int, most: int, error: float, label: str, seed: int = 23424459) -> DataFrame:

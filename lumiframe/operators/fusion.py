@@ -118,16 +118,29 @@ def views_for_deformation(views: DataFrame, fused: DataFrame, across_time: bool)
     return views.join(times, "tp", "left_semi")
 
 
-def content_weight(signal: DataFrame, by: list[str], axis: str, value: str, small: int, large: int) -> DataFrame:
-    """Local contrast: mean over `large` neighbours of the squared deviation from the mean over `small` ones."""
-    near = lambda r: Window.partitionBy(*by).orderBy(axis).rangeBetween(-r, r)
-    s = signal.withColumn("dev", F.pow(F.col(value) - F.avg(value).over(near(small)), 2))
-    return s.withColumn("content", F.avg("dev").over(near(large))).drop("dev")
+def displacement(parts: list[Column], scale: float = 1.0) -> Column:
+    """Length of a displacement, times a scale for display."""
+    return scale * F.sqrt(sum((c * c for c in parts[1:]), parts[0] * parts[0]))
+
+
+def content_weight(signal: DataFrame, by: list[str], axis: str, value: str, small: float = 20.0, large: float = 40.0, effective: int = 4096) -> DataFrame:
+    """by, axis, value, content: local contrast along lines without gaps: a wide Gaussian of the squared difference from a narrow one, over 2048.
+
+    Lines are handled block by block with a halo as far as both Gaussians reach; at a line's ends they see its mirror
+    image. Volumes go to content_weight_blocks() of the restoration operators.
+    """
+    from lumiframe.functions import kernels as K
+    from lumiframe.operators.restoration import blockwise
+
+    halo = len(K.gauss_kernel(small)) // 2 + len(K.gauss_kernel(large)) // 2
+    found = blockwise(signal, by, axis, value, effective, halo, lambda v: K.content_weights(v, small, large), "content")
+    return signal.join(found, [*by, axis])
 
 
 def approximate_min_max(voxels: DataFrame, by: list[str], share: float, value: str = "v", seed: int = 1) -> DataFrame:
-    """Least and largest value of a share of each image's voxels, chosen by hash: bounds from within."""
-    chosen = F.pmod(F.xxhash64(*by, "x", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))
+    """Least and largest value of a share of each image's voxels, chosen by md5 of the seed and their place: bounds from within."""
+    draw = F.conv(F.substring(F.md5(F.concat_ws(",", F.lit(str(seed)), *[F.col(c).cast("string") for c in [*by, "x"]])), 1, 5), 16, 10).cast("long")
+    chosen = draw < int(share * (1 << 20))
     return min_max(voxels.where(chosen), by, value)
 
 

@@ -27,6 +27,43 @@ def manhattan_distance(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
+def linear_distance(a: str, b: str, points: int):
+    """Sum of the distances of the points of two descriptors, over the number of axes; a descriptor is its points' coordinates, one after the other."""
+    size = F.size(a) / points
+    one = lambda i: F.sqrt(F.aggregate(F.sequence(F.lit(0), (size - 1).cast("int")), F.lit(0.0), lambda s, k: s + F.pow(F.get(a, (i * size + k).cast("int")) - F.get(b, (i * size + k).cast("int")), 2)))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(points - 1)), F.lit(0.0), lambda s, i: s + one(i)) / size
+
+
+def prior_weight(m, prior, slack: float = 5.0):
+    """Factor on a descriptor distance by how far its map's rotation is from that of a prior, both as columns of 12 numbers: 1 + 0.03 (degrees beyond the slack)^2."""
+    same = sum((m[4 * r + c] * prior[4 * r + c] for r in range(3) for c in range(3)), F.lit(0.0))
+    angle = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (same - 1) / 2))))
+    beyond = F.greatest(F.lit(slack), angle) - slack
+    return 1 + 0.03 * beyond * beyond
+
+
+def centre_match(a: DataFrame, b: DataFrame, how: str = "mean") -> DataFrame:
+    """task, id_a, id_b and both places of the one made-up match of each task: the centres of its two lists (task, x, y, z)."""
+    one = lambda d, s: centre_of_mass(d, ["task"], how).select("task", F.lit(0).cast("long").alias(f"id_{s}"), *[F.col(c).alias(f"{c}{s}") for c in "xyz"])
+    return one(a, "a").join(one(b, "b"), "task")
+
+
+def point_matches(links: DataFrame, points: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """a, b, px .. qz, weight, quality of correspondences (tp, setup, label, id, c_tp, ...) whose points are there: what a solution takes.
+
+    A view is named tp * 2^32 + setup; weight is the mean weight of the two labels, 1 for those not listed (label, weight).
+    """
+    own = ["tp", "setup", "label", "id"]
+    view = lambda p: (F.col(f"{p}tp").cast("long") * (1 << 32) + F.col(f"{p}setup"))
+    out = links.join(points.select(*own, *[F.col(c).alias(f"p{c}") for c in "xyz"]), own).join(points.select(*[F.col(c).alias(f"c_{c}") for c in own], *[F.col(c).alias(f"q{c}") for c in "xyz"]), [f"c_{c}" for c in own])
+    if weights is not None:
+        out = out.join(weights.select("label", F.col("weight").alias("w_a")), "label", "left").join(weights.select(F.col("label").alias("c_label"), F.col("weight").alias("w_b")), "c_label", "left")
+        weight = (F.coalesce("w_a", F.lit(1.0)) + F.coalesce("w_b", F.lit(1.0))) / 2
+    else:
+        weight = F.lit(1.0)
+    return out.select(view("").alias("a"), view("c_").alias("b"), *[f"{s}{c}" for s in "pq" for c in "xyz"], weight.alias("weight"), F.lit(1.0).alias("quality"))
+
+
 def best_two(candidates: DataFrame, left: str, right: str, distance: str) -> DataFrame:
     """left, right, best, second of each left row: its nearest candidate and the next one's distance (null if there is none)."""
     w = Window.partitionBy(left).orderBy(distance, right)
@@ -139,28 +176,73 @@ def descriptor_matches(a: DataFrame, b: DataFrame, method: str, ratio: float, ne
 PAIR = ["xa", "ya", "za", "xb", "yb", "zb"]
 
 
+def map_groups(df: DataFrame, key: str, order: list[str], work, schema: str) -> DataFrame:
+    """work(key, table) -> list of columns, for the rows of each key as an Arrow table in the given order; a task has whole groups, one after the other.
+
+    As applyInPandas, for very many small groups: rows are sorted once per partition, and a group costs its slice alone.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    columns = [key, *[c for c in df.columns if c != key]]
+    out_schema = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches):
+        held: list = []
+
+        def done(table):
+            keys = table.column(0).combine_chunks()
+            cuts = [0, *(np.flatnonzero(np.asarray(pc.not_equal(keys[1:], keys[:-1]))) + 1).tolist(), len(keys)] if len(keys) else [0]
+            made = [work(keys[a].as_py(), table.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            cols = [np.concatenate([m[k] for m in made]) if made else [] for k in range(len(out_schema))]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema, strict=True)], schema=out_schema)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            last = t.column(0)[-1]
+            same = np.asarray(pc.equal(t.column(0), last))
+            cut = len(same) - int(same[::-1].argmin() if not same.all() else len(same))
+            if cut:
+                yield done(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    rows = df.where(F.col(key).isNotNull()).select(*columns).repartition(key).sortWithinPartitions(key, *order)
+    return rows.mapInArrow(run, schema)
+
+
 def ransac_inliers(matches: DataFrame, model: str = "translation", epsilon: float = 5.0, least_ratio: float = 0.1, rounds: int = 1000, least: int = 12, multi: bool = False) -> DataFrame:
     """Inliers of matches (task, id_a, id_b, places of both), with the number of their consensus set; samples are seeded by task."""
 
-    def work(m: pd.DataFrame) -> pd.DataFrame:
-        m = m.sort_values(["id_a", "id_b"])
-        p, q = m[PAIR[:3]].to_numpy(float), m[PAIR[3:]].to_numpy(float)
-        args = (model, epsilon, least_ratio, rounds, least, task_seed(m["task"].iloc[0]))
+    def work(task: str, t) -> list:
+        at = np.stack([t.column(c).to_numpy() for c in PAIR], 1).astype(float)
+        args = (model, epsilon, least_ratio, rounds, least, task_seed(task))
+        p, q = at[:, :3], at[:, 3:]
         sets = K.multi_consensus(p, q, *args) if multi else [s for s in [K.ransac(p, q, *args)] if len(s)]
-        return pd.concat([m.iloc[s][["task", "id_a", "id_b"]].assign(consensus=i) for i, s in enumerate(sets)] or [m.iloc[:0][["task", "id_a", "id_b"]].assign(consensus=pd.Series(dtype="int64"))])
+        every = np.concatenate(sets) if sets else np.array([], int)
+        which = np.concatenate([np.full(len(s), i) for i, s in enumerate(sets)]) if sets else np.array([], int)
+        return [np.full(len(every), task, object), t.column("id_a").to_numpy()[every], t.column("id_b").to_numpy()[every], which]
 
-    return matches.groupBy("task").applyInPandas(work, MATCH + ", consensus long")
+    rows = matches.select("task", F.col("id_a").cast("long"), F.col("id_b").cast("long"), *[F.col(c).cast("double").alias(c) for c in PAIR])
+    return map_groups(rows, "task", ["id_a", "id_b"], work, MATCH + ", consensus long")
 
 
-def icp_matches(a: DataFrame, b: DataFrame, model: str = "translation", reach: float = 5.0, rounds: int = 100, least: int = 12) -> DataFrame:
-    """task, id_a, id_b and the map of iterated closest points, from identity; tasks without enough pairs give no row."""
+def icp_matches(a: DataFrame, b: DataFrame, model: str = "translation", reach: float = 5.0, rounds: int = 100, least: int = 12, robust: tuple[float, float, int] | None = None) -> DataFrame:
+    """task, id_a, id_b and the map of iterated closest points, from identity; tasks without enough pairs give no row.
+
+    robust: epsilon, least ratio and rounds of a RANSAC over the pairs of every round, its samples seeded by task.
+    """
 
     def work(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         cols = {"task": "object", "id_a": "int64", "id_b": "int64", "m": "object"}
         if not len(p) or not len(q):
             return pd.DataFrame({c: [] for c in cols}).astype(cols)
         p, q = p.sort_values("id"), q.sort_values("id")
-        m, pairs, _ = K.icp(p[XYZ].to_numpy(float), q[XYZ].to_numpy(float), model, reach, rounds, least)
+        m, pairs, _ = K.icp(p[XYZ].to_numpy(float), q[XYZ].to_numpy(float), model, reach, rounds, least, robust, task_seed(p["task"].iloc[0]))
         return pd.DataFrame({"task": p["task"].iloc[0], "id_a": p["id"].to_numpy()[pairs[:, 0]], "id_b": q["id"].to_numpy()[pairs[:, 1]], "m": [m.ravel().tolist()] * len(pairs)}).astype({"id_a": "int64", "id_b": "int64"})
 
     return _cogroup(a, b, ["task"], work, MATCH + ", m array<double>")

@@ -91,16 +91,16 @@ def local_extrema(signal: DataFrame, by: str, at: str, value: str, threshold: fl
     return s.withColumn("kind", kind).where(F.col("kind").isNotNull() & (F.abs(v) >= threshold)).drop("before", "after")
 
 
-def suppress(points: DataFrame, radius: float, seed: int = 234) -> DataFrame:
+def suppress(points: DataFrame, radius: float, seed: int = 234, order: Column | None = None) -> DataFrame:
     """Points that stay when each, in an order of hashes, takes away those of other views within radius that are still there.
 
-    The order is xxhash64(tp, setup, id, seed). A point goes if an earlier one that stays is near. Each round settles
+    The order is xxhash64(tp, setup, id, seed), or the column given. A point goes if an earlier one that stays is near. Each round settles
     the points whose earlier neighbours are settled: a point stays once all of them went, and goes once one stays.
     """
     from lumiframe.operators.iterate import materialize
 
     key = ["tp", "label", "setup", "id"]
-    p = points.select(*key, *AXES).withColumn("o", F.xxhash64("tp", "setup", "id", F.lit(seed)))
+    p = points.select(*key, *AXES).withColumn("o", F.xxhash64("tp", "setup", "id", F.lit(seed)) if order is None else order)
     near = spatial.within_radius(p, p, AXES, radius, ["tp", "label"]).where((F.col("setup_a") != F.col("setup_b")) & (F.struct("o_b", "setup_b", "id_b") < F.struct("o_a", "setup_a", "id_a")))
     links = materialize(near.select(*[F.col(f"{c}_a").alias(c) for c in key], *[F.col(f"{c}_b").alias(f"n_{c}") for c in key]))
     state = materialize(p.select(*key, F.lit(None).cast("boolean").alias("stays")))
@@ -121,6 +121,34 @@ def blob_labels(cells: DataFrame, by: list[str], axis: str, value: str, threshol
     return run.groupBy(*by, "run").agg(F.count(F.lit(1)).alias("size"), F.min(axis).alias("first"), F.max(axis).alias("last"), F.max(value).alias("peak")).drop("run")
 
 
+def cell_components(cells: DataFrame, by: list[str], axes: list[str], value: str, threshold: float, corners: bool = True) -> DataFrame:
+    """by, size, peak, min_x, max_x, ...: connected cells above a threshold, on any number of axes; with corners, cells that meet at one touch.
+
+    Each cell joins its neighbours by equality, and components come from alternating stars, so none is gathered.
+    """
+    from itertools import product
+
+    from lumiframe.operators.iterate import components, materialize
+
+    bright = cells.where(F.col(value) > threshold).select(*by, *axes, F.col(value).alias("b_value")).dropDuplicates([*by, *axes])
+    bright = materialize(bright.withColumn("b_id", F.monotonically_increasing_id()))
+    ways = [w for w in product((-1, 0, 1), repeat=len(axes)) if w > (0,) * len(axes) and (corners or sum(map(abs, w)) == 1)]
+    beside = bright.select(*by, F.col("b_id").alias("a"), F.inline(F.array(*[F.struct(*[(F.col(c) + s).alias(c) for c, s in zip(axes, w, strict=True)]) for w in ways])))
+    edges = beside.join(bright.select(*by, *axes, F.col("b_id").alias("b")), [*by, *axes]).select("a", "b")
+    found = components(edges)
+    label = bright.join(found, F.col("b_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "b_id"))
+    ends = [f(c).alias(f"{n}_{c}") for c in axes for n, f in (("min", F.min), ("max", F.max))]
+    return label.groupBy(*by, "component").agg(F.count(F.lit(1)).alias("size"), F.max("b_value").alias("peak"), *ends).drop("component")
+
+
+def drop_weaker(points: DataFrame, radius: float) -> DataFrame:
+    """Points without a stronger one (by absolute intensity, of equal ones the smaller id) of the same list within radius."""
+    p = points.select(*VIEW, "id", *AXES, F.abs("intensity").alias("strength"))
+    near = spatial.within_radius(p, p, AXES, radius, VIEW).where("strength_b > strength_a or (strength_b = strength_a and id_b < id_a)")
+    weaker = near.select(*[F.col(f"{c}_a").alias(c) for c in [*VIEW, "id"]]).distinct()
+    return points.join(weaker, [*VIEW, "id"], "left_anti")
+
+
 def box_filter(points: DataFrame, low: list[float], high: list[float], inside: bool) -> DataFrame:
     """Points inside a box, or outside it."""
     at: Column = functools.reduce(lambda a, b: a & b, [F.col(c).between(low[i], high[i]) for i, c in enumerate(AXES[: len(low)])])

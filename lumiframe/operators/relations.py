@@ -44,6 +44,17 @@ def split_by(views: DataFrame, factors: list[str]) -> DataFrame:
     return group_views(views, factors)
 
 
+def group_predicates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b, overlaps, contained: pairs of a group of a and one of b (group_id, tp, setup) that share a view, and whether all views of a's are in b's.
+
+    A join by member, so pairs of groups that share nothing aren't formed: they neither overlap nor contain each other.
+    """
+    x, y = (m.where("tp is not null and setup is not null").select(F.col("group_id").alias(n), "tp", "setup").distinct() for m, n in ((a, "a"), (b, "b")))
+    size = x.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    common = x.join(y, ["tp", "setup"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    return common.join(size, "a").select("a", "b", F.lit(True).alias("overlaps"), (F.col("common") == F.col("n")).alias("contained"))
+
+
 def switch_attributes(setups: DataFrame, a: str, b: str) -> DataFrame:
     """Setups with two attributes exchanged."""
     return setups.withColumns({a: F.col(b), b: F.col(a)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumiframe.functions import kernels as K
+from lumiframe.operators.iterate import materialize
 
 
 def quotient(image: Column, blurred: Column) -> Column:
@@ -55,13 +57,50 @@ def normalise_weights(weights: DataFrame, voxel: list[str], weight: str = "w", s
     return weights.withColumn("normal", F.when(total <= 0, 0.0).otherwise(F.least(F.lit(1.0), out * speed)))
 
 
-def initial_estimate(voxels: DataFrame, voxel: list[str], how: str) -> DataFrame:
-    """blurred fused: the weighted average per voxel; average: the mean of all views' means everywhere."""
-    if how == "average":
-        mean = voxels.agg(F.avg("v").alias("psi"))
-        return voxels.select(*voxel).distinct().crossJoin(F.broadcast(mean))  # one row
+def initial_estimate(voxels: DataFrame, voxel: list[str], how: str, blur: float = 0.0, given: DataFrame | None = None) -> DataFrame:
+    """The voxels' first estimate psi.
+
+    blurred fused: the weighted average per voxel, with `blur` then softened along the first axis of `voxel`. average: the
+    mean of all views' means everywhere; approximate average: the mean over the voxels in the middle of the first axis.
+    given: psi of a table (voxel, psi), 1 where it has none.
+    """
+    every = voxels.select(*voxel).distinct()
+    if how == "given":
+        return every.join(given.select(*voxel, F.col("psi").alias("g_psi")), voxel, "left").select(*voxel, F.coalesce("g_psi", F.lit(1.0)).alias("psi"))
+    if how in ("average", "approximate average"):
+        rows = voxels
+        if how == "approximate average":
+            ends = voxels.agg(F.floor((F.min(voxel[0]) + F.max(voxel[0])) / 2).alias("e_middle"))
+            rows = voxels.join(F.broadcast(ends), F.col(voxel[0]) == F.col("e_middle"))  # one row
+        mean = rows.agg(F.avg("v").alias("psi"))
+        return every.crossJoin(F.broadcast(mean))  # one row
+    if how != "blurred fused":
+        raise ValueError(f"no such estimate: {how}")
     t = F.sum("w")
-    return voxels.groupBy(*voxel).agg(F.when(t > 0, F.sum(F.col("w") * F.col("v")) / t).otherwise(1.0).alias("psi"))
+    fused = voxels.groupBy(*voxel).agg(F.when(t > 0, F.sum(F.col("w") * F.col("v")) / t).otherwise(1.0).alias("psi"))
+    if blur <= 0:
+        return fused
+    return gauss_line(fused, voxel[1:], voxel[0], "psi", blur).withColumnRenamed("soft", "psi")
+
+
+def group_inputs(voxels: DataFrame, by: list[str], group: str) -> DataFrame:
+    """by, group, v, w: a group's views as one: their average where they overlap, by weight, and the sum of their weights."""
+    t = F.sum("w")
+    return voxels.groupBy(*by, group).agg(F.when(t > 0, F.sum(F.col("w") * F.col("v")) / t).otherwise(0.0).alias("v"), t.alias("w"))
+
+
+def batches(blocks: DataFrame, places: list[str]) -> DataFrame:
+    """Blocks with the number of a batch, 0 to 2^n - 1: no two blocks of a batch are neighbours, so they may be written at the same time."""
+    return blocks.withColumn("batch", sum(((F.pmod(F.col(c), F.lit(2)) * (1 << i)) for i, c in enumerate(places)), F.lit(0)).cast("int"))
+
+
+def block_grid(lengths: tuple[int, int, int], block: tuple[int, int, int], kernel: tuple[int, int, int]) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
+    """Effective size and halo of blocks of a fixed size, or of one that covers the whole where it is larger: block - kernel + 1, and half a kernel."""
+    halo = tuple(k // 2 for k in kernel)
+    effective = tuple(min(n, b - k + 1) for n, b, k in zip(lengths, block, kernel, strict=True))
+    if min(effective) < 1:
+        raise ValueError("blocks are larger than their kernels")
+    return effective, halo
 
 
 def blocks(length: int, effective: int, halo: int) -> list[tuple[int, int, int, int]]:
@@ -73,7 +112,8 @@ def with_halo(cells: DataFrame, axis: str, effective: int, halo: int) -> DataFra
     """Cells dealt to every block that reads them, marked where they are the block's own."""
     x = F.col(axis)
     first, last = F.floor((x - halo) / effective), F.floor((x + halo) / effective)
-    return cells.withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last))).withColumn("own", F.floor(x / effective) == F.col("block"))
+    dealt = cells.withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    return dealt.withColumn("own", F.floor(x / effective) == F.col("block"))
 
 
 def blockwise(cells: DataFrame, by: list[str], axis: str, value: str, effective: int, halo: int, kernel, name: str) -> DataFrame:
@@ -128,20 +168,53 @@ def content_weight_blocks(images: DataFrame, small: float, large: float) -> Data
     return images.mapInPandas(run, "block long, weight array<double>")
 
 
-def deconvolve_blocks(images: DataFrame, psf: list[float], rounds: int, kind: str = "optimization II", damping: float = 0.006) -> DataFrame:
-    """block, data: estimate of each block from its views (block, view, data, weight), which have equal sizes.
-
-    Views are lines; a block with its halo is one group, and no block needs another's estimate within a run.
-    """
-    kernel = np.asarray(psf, float)
+def update_kernels(psfs: DataFrame, kind: str) -> DataFrame:
+    """grp, view, data: the kernels that spread a view's ratios back, of the psfs (grp, view, data) of each group's views."""
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("view")
-        i = [np.asarray(x, float) for x in g["data"]]
-        w = [np.asarray(x, float) for x in g["weight"]]
-        return pd.DataFrame({"block": [g["block"].iloc[0]], "data": [K.deconvolve(i, w, [kernel] * len(i), rounds, kind, damping=damping).tolist()]})
+        every = [np.asarray(x, float) for x in g["data"]]
+        return g[["grp", "view"]].assign(data=[K.psf_pair(every, v, kind)[1].tolist() for v in range(len(every))])
 
-    return images.groupBy("block").applyInPandas(work, "block long, data array<double>")
+    return psfs.groupBy("grp").applyInPandas(work, "grp long, view int, data array<double>")
+
+
+def deconvolve_lines(cells: DataFrame, by: list[str], axis: str, psfs: list[list[float]], rounds: int, kind: str = "optimization II", damping: float = 0.006, least: float = 1e-4, effective: int = 4096) -> DataFrame:
+    """by, axis, psi: multi-view Richardson-Lucy along lines, block by block, as if each line were whole.
+
+    cells: by, axis (whole places without gaps), view (0 to the number of psfs less one), v, w, a row for each view of
+    every place; a null value or weight is 0. Every round reads the last one's estimate of all blocks: a block gets its
+    neighbours' places as far as a round's kernels reach through all views, and gives back its own part, so results
+    don't depend on the blocks. The estimate starts at the mean of a line's values. It is written out each round, and a
+    task holds one block of all views.
+    """
+    kernels = [np.asarray(p, float) for p in psfs]
+    pairs = [K.psf_pair(kernels, v, kind) for v in range(len(kernels))]
+    halo = sum(len(a) // 2 + len(b) // 2 for a, b in pairs)
+    dtypes = dict(cells.dtypes)
+    kinds = ", ".join(f"`{c}` {dtypes[c]}" for c in [*by, axis])
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    views = range(len(kernels))
+    pick = lambda c, v: F.max(F.when(F.col("view") == v, value(c)))
+    wide = materialize(cells.groupBy(*by, axis).agg(*[F.coalesce(pick(c, v), F.lit(0.0)).alias(f"{c}{v}") for v in views for c in "vw"]))
+    each = [F.col(f"v{v}") for v in views]
+    start = wide.groupBy(*by).agg(F.greatest(F.lit(least), sum((F.avg(c) for c in each[1:]), F.avg(each[0])) / len(each)).alias("d_first"), F.greatest(*[F.max(c) for c in each], F.lit(least)).alias("d_top"))
+    start = materialize(start.select(*[F.col(c).alias(f"d_{c}") for c in by], "d_first", "d_top"))
+    images = wide.join(start, functools.reduce(lambda a, b: a & b, [F.col(c) == F.col(f"d_{c}") for c in by])).drop(*[f"d_{c}" for c in by])
+    images = materialize(with_halo(images, axis, effective, halo))
+    psi = images.where("own").select(*by, axis, F.col("d_first").alias("psi"))
+
+    def work(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        g, p = g.sort_values(axis), p.sort_values(axis)
+        x = p["psi"].to_numpy(float)
+        out = K.deconvolve_round(x, [g[f"v{v}"].to_numpy(float) for v in views], [g[f"w{v}"].to_numpy(float) for v in views], pairs, float(g["d_top"].iloc[0]), least, damping)
+        own = g["own"].to_numpy(bool)
+        return g[own][[*by, axis]].assign(psi=out[own])
+
+    for _ in range(rounds):
+        now = with_halo(psi, axis, effective, halo)
+        psi = materialize(images.groupBy(*by, "block").cogroup(now.groupBy(*by, "block")).applyInPandas(work, f"{kinds}, psi double"))
+    return psi.select(*by, axis, "psi")
 
 
 def psf_extract(voxels: DataFrame, points: DataFrame, radius: int, axis: str = "x") -> DataFrame:
@@ -154,6 +227,50 @@ def psf_extract(voxels: DataFrame, points: DataFrame, radius: int, axis: str = "
     return s.withColumn("psf", F.coalesce(F.try_divide(F.col("mean") - F.min("mean").over(w), F.max("mean").over(w) - F.min("mean").over(w)), F.lit(0.0))).select("setup", "offset", "psf")
 
 
+def psf_extract_volume(voxels: DataFrame, points: DataFrame, radius: tuple[int, int, int], remove_minima: bool = False) -> DataFrame:
+    """setup, dx, dy, dz, psf: sum of the neighbourhoods of the points (setup, x, y, z) in their images (setup, x, y, z, v), scaled to [0, 1].
+
+    Neighbourhoods are sampled n-linearly at the points' own places, 0 outside the image. remove_minima: on each axis in
+    turn, the least value along it is taken off first.
+    """
+    from lumiframe.operators.volume import interpolate
+
+    at = points.where("x is not null and y is not null and z is not null")
+    for c, r in zip("xyz", radius, strict=True):
+        at = at.withColumn(f"d{c}", F.explode(F.sequence(F.lit(-r), F.lit(r)))).withColumn(f"p{c}", F.col(c).cast("double") + F.col(f"d{c}"))
+    places = {"px": "x", "py": "y", "pz": "z"}
+    values = interpolate(at, voxels, ["setup"], places, outside=0.0)
+    own = ["setup", "dx", "dy", "dz"]
+    out = at.select(*own, *places).join(values, ["setup", *places]).groupBy(*own).agg(F.sum("v").alias("psf"))
+    if remove_minima:
+        for c in "xyz":
+            along = Window.partitionBy("setup", *[f"d{o}" for o in "xyz" if o != c])
+            out = out.withColumn("psf", F.col("psf") - F.min("psf").over(along))
+    w = Window.partitionBy("setup")
+    lo, hi = F.min("psf").over(w), F.max("psf").over(w)
+    return out.withColumn("psf", F.coalesce(F.try_divide(F.col("psf") - lo, hi - lo), F.lit(0.0)))
+
+
+def quality_places(volumes: DataFrame, distance: int, step_z: int, first_z: int, square: int | None = None, tolerance: float = 0.0) -> DataFrame:
+    """volumes (sx, sy, sz) with x, y, z of the centres of quality measurements: evenly spread squares of every `step_z`-th plane.
+
+    Squares are as many as fit in `distance`, one more for a rest. square: tiles of that size instead, one more where the
+    rest is at least `tolerance` of one. Planes run from first_z to sz - first_z, the end left out.
+    """
+    out = volumes
+    for c in "xy":
+        size = F.col(f"s{c}")
+        if square is None:
+            n = F.greatest(F.lit(1), F.floor(size / distance)) + F.when(size % distance > 0, 1).otherwise(0)
+        else:
+            whole = F.floor(size / square)
+            n = whole + F.when(((size % square) / square >= tolerance) | (whole == 0), 1).otherwise(0)
+        out = out.withColumn(f"q_{c}", n).withColumn(c, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"q_{c}") - 1)))
+        out = out.withColumn(c, F.floor(size / (F.col(f"q_{c}") * 2.0) + F.col(c) * (size / F.col(f"q_{c}")) + 0.5)).drop(f"q_{c}")
+    out = out.where(F.col("sz") - first_z > first_z)
+    return out.withColumn("z", F.explode(F.sequence(F.lit(first_z).cast("long"), F.col("sz").cast("long") - first_z - 1, F.lit(step_z).cast("long"))))
+
+
 def psf_average(psfs: DataFrame, common: str = "most") -> DataFrame:
     """Mean of point spread functions aligned at their centres; over the largest extent (missing is 0), or the smallest."""
     n = psfs.agg(F.count_distinct("setup").alias("views"))

@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumiframe.functions import affine
 from lumiframe.operators.iterate import materialize
 
 
@@ -19,21 +20,32 @@ def typical_extent(df: DataFrame, low: str, high: str) -> float:
     return max(1e-9, float(df.agg(F.avg(F.col(high) - F.col(low))).first()[0] or 1.0))
 
 
-def overlap_pairs(df: DataFrame, key: str, axes: list[tuple[str, str]], cell: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs key_a < key_b whose closed intervals meet on every axis, each once, with the ends of both.
+def overlap_pairs(df: DataFrame, key: str, axes: list[tuple[str, str]], cell: float | None = None, keep: tuple[str, ...] = (), by: list[str] | None = None) -> DataFrame:
+    """Pairs key_a < key_b whose closed intervals meet on every axis, each once, with the ends of both; by: columns that must agree, which come first.
 
     Intervals are dealt to the cells that they cover on the first axis, so the join is by equality; a pair is kept in
-    the first cell that both cover.
+    the first cell that both cover. Cells grow with the interval: one of length l is dealt at the level whose cells are
+    about as long, and to coarser levels too, so very long intervals cover two cells of their own and no more; of two
+    levels, a pair meets at the coarser one. Rows with a null end are in no pair.
     """
+    by = by or []
     cell = cell or typical_extent(df, *axes[0])
     ends = [c for a in axes for c in a]
     cols = list(dict.fromkeys([key, *ends, *keep]))
-    dealt = df.withColumn("grid_cell", F.explode(_cells(F.col(axes[0][0]), F.col(axes[0][1]), cell)))
-    a = dealt.select("grid_cell", *[F.col(c).alias(f"{c}_a") for c in cols])
-    b = dealt.select("grid_cell", *[F.col(c).alias(f"{c}_b") for c in cols])
+    low, high = F.col(axes[0][0]), F.col(axes[0][1])
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((high - low) / cell, F.lit(1.0)))).cast("int"))
+    ready = df.where(functools.reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in ends])).withColumn("grid_level", level)
+    top = ready.agg(F.max("grid_level")).first()[0] or 0
+    size = lambda c: F.lit(cell) * F.pow(F.lit(2.0), c)
+    # levels of intervals are few: a row meets its own level and those above
+    dealt = ready.withColumn("grid_at", F.explode(F.sequence("grid_level", F.lit(top))))
+    dealt = dealt.withColumn("grid_cell", F.explode(F.sequence(F.floor(low / size(F.col("grid_at"))), F.floor(high / size(F.col("grid_at"))))))
+    side = lambda s: dealt.select(*by, "grid_at", "grid_cell", F.col("grid_level").alias(f"grid_level_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in cols])
     meets = functools.reduce(lambda x, y: x & y, [(F.col(f"{lo}_a") <= F.col(f"{hi}_b")) & (F.col(f"{lo}_b") <= F.col(f"{hi}_a")) for lo, hi in axes])
-    first = F.floor(F.greatest(F.col(f"{axes[0][0]}_a"), F.col(f"{axes[0][0]}_b")) / cell) == F.col("grid_cell")
-    return a.join(b, "grid_cell").where((F.col(f"{key}_a") < F.col(f"{key}_b")) & meets & first).drop("grid_cell")
+    first = F.floor(F.greatest(f"{axes[0][0]}_a", f"{axes[0][0]}_b") / size(F.col("grid_at"))) == F.col("grid_cell")
+    own = F.greatest("grid_level_a", "grid_level_b") == F.col("grid_at")
+    out = side("a").join(side("b"), [*by, "grid_at", "grid_cell"]).where(own & (F.col(f"{key}_a") < F.col(f"{key}_b")) & meets & first)
+    return out.drop("grid_at", "grid_cell", "grid_level_a", "grid_level_b")
 
 
 def overlap_interval(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) -> tuple[Column, Column]:
@@ -42,6 +54,19 @@ def overlap_interval(lo_a: Column, hi_a: Column, lo_b: Column, hi_b: Column) ->
     return F.when(lo <= hi, lo), F.when(lo <= hi, hi)
 
 
+def overlap_boxes(pairs: DataFrame, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """Pairs (lo_x_a, hi_x_a, lo_x_b, ...) with lo_x .. hi_z of what their boxes have in common; those without an extent on some axis are left out.
+
+    Two images of one plane each (sz_a and sz_b are 1) that both lie at 0 of the last axis have [0, 1] there.
+    """
+    last = axes[-1]
+    for c in axes:
+        lo, hi = F.greatest(f"lo_{c}_a", f"lo_{c}_b"), F.least(f"hi_{c}_a", f"hi_{c}_b")
+        flat = (lo == hi) & (lo == 0) & (F.col(f"s{c}_a") == 1) & (F.col(f"s{c}_b") == 1) if c == last else F.lit(False)
+        pairs = pairs.withColumns({f"lo_{c}": lo, f"hi_{c}": F.when(flat, 1.0).otherwise(hi)})
+    return pairs.where(functools.reduce(lambda x, y: x & y, [F.col(f"lo_{c}") < F.col(f"hi_{c}") for c in axes]))
+
+
 def inside_intervals(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, cell: float, condition: Column | None = None) -> DataFrame:
     """Points that lie in some interval (semi-join), found by cells."""
     dealt = intervals.withColumn("i_cell", F.explode(_cells(F.col(low), F.col(high), cell)))
@@ -49,6 +74,21 @@ def inside_intervals(points: DataFrame, intervals: DataFrame, at: str, low: str,
     return points.join(dealt, on if condition is None else on & condition, "left_semi")
 
 
+def points_in_other_views(points: DataFrame, views: DataFrame, group: str, cell: float, slack: float = 1e-9) -> DataFrame:
+    """Points (tp, setup, the group, world place wx, wy, wz) that lie in the image of a view of their timepoint and of another group.
+
+    Views have tp, the group, m and sizes sx, sy, sz. A point's candidates are the views whose world box covers its cell
+    of x; each then maps the point back by its inverse, and the image has it if it lies between 0 and size - 1 on every
+    axis, or beyond by `slack` at most. Views whose map has no inverse contain nothing.
+    """
+    lo, hi = affine.bounds(F.col("m"), [F.lit(0.0)] * 3, [(F.col(f"s{c}") - 1).cast("double") for c in "xyz"])
+    v = views.select(F.col("tp").alias("v_tp"), F.col(group).alias("v_group"), affine.inverse(F.col("m")).alias("v_back"), *[F.col(f"s{c}").alias(f"v_s{c}") for c in "xyz"], lo[0].alias("v_lo"), hi[0].alias("v_hi"))
+    v = v.where("v_back is not null").withColumn("v_cell", F.explode(_cells(F.col("v_lo") - slack, F.col("v_hi") + slack, cell)))
+    at = affine.apply(F.col("v_back"), F.col("wx"), F.col("wy"), F.col("wz"))
+    inside = functools.reduce(lambda x, y: x & y, [(a >= -slack) & (a <= F.col(f"v_s{c}") - 1 + slack) for a, c in zip(at, "xyz", strict=True)])
+    return points.join(v.hint("merge"), (F.col("tp") == F.col("v_tp")) & (F.floor(F.col("wx") / cell) == F.col("v_cell")) & (F.col(group) != F.col("v_group")) & inside, "left_semi")
+
+
 def distance_squared(axes: list[str]) -> Column:
     return functools.reduce(lambda x, y: x + y, [(F.col(f"{c}_a") - F.col(f"{c}_b")) * (F.col(f"{c}_a") - F.col(f"{c}_b")) for c in axes])
 

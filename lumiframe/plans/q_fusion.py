@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumiframe.operators import fusion as E
 from lumiframe.plans import bindings as B
-from lumiframe.plans.bindings import sql
+from lumiframe.plans.bindings import gauss_sql, sql
 from lumiframe.plans.registry import query
 
 #: Border and ramp of the blending weight of the images here, which are 51 long.
@@ -70,21 +70,28 @@ def mask_weight(spark, d):
     return placed(spark, d).select("setup", "cx", "v", "mask")
 
 
-@query(sql("""WITH k AS (SELECT setup, x, v, avg(v) OVER (PARTITION BY setup ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM voxel),
- c AS (SELECT *, avg((v - m) ** 2) OVER (PARTITION BY setup ORDER BY x RANGE BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS w FROM k)
- SELECT x, round(sum(w * v) / sum(w), 5) AS fused, count(*) FILTER (w > 0) AS n FROM c GROUP BY x""", "voxel"))
+#: Content weights of lines: Gaussians of 2 and 8 voxels.
+CONTENT = f"""WITH g AS ({gauss_sql("line", "v", 2.0)}), e AS MATERIALIZED (SELECT l.setup, l.x, (l.v - g.g) ** 2 AS e FROM line l JOIN g ON g.setup = l.setup AND g.x = l.x),
+ h AS ({gauss_sql("e", "e", 8.0)}), c AS (SELECT l.setup, l.x, l.v, h.g / 2048 AS w0 FROM line l JOIN h ON h.setup = l.setup AND h.x = l.x)"""
+
+
+def weighed(spark, d):
+    return E.content_weight(B.line(spark, d), ["setup"], "x", "v", 2.0, 8.0, 64)
+
+
+@query(sql(CONTENT + " SELECT x, round(CASE WHEN sum(m) <> 0 THEN sum(m * v) / sum(m) ELSE 0 END, 5) AS fused, count(*) FILTER (m > 0) AS n FROM (SELECT *, w0 * CASE WHEN x BETWEEN 5 AND 250 THEN 1 ELSE 0 END AS m FROM c) GROUP BY x", "line"))
 def fuse_avg_content(spark, d):
-    v = E.content_weight(B.voxel(spark, d), ["setup"], "x", "v", 2, 8).withColumnRenamed("content", "w")
+    """The product of the content weight and the mask, in blocks of 64."""
+    v = weighed(spark, d).withColumn("w", F.col("content") * E.mask_weight(F.col("x").cast("double"), F.lit(256.0), 5.0))
     return E.weighted_average(v, ["x"]).select("x", F.round("fused", 5).alias("fused"), "n")
 
 
-@query(sql(f"""WITH r AS (SELECT {RAMP_SQL} AS t), k AS (SELECT setup, x, v, avg(v) OVER (PARTITION BY setup ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM voxel),
- c AS (SELECT *, avg((v - m) ** 2) OVER (PARTITION BY setup ORDER BY x RANGE BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS w0 FROM k),
+@query(sql(CONTENT + f""", r AS (SELECT {RAMP_SQL} AS t),
  b AS (SELECT c.*, w0 * CASE WHEN x < 1 OR x >= 254 THEN 0 WHEN x < 41 THEN {_lerp('(x - 1) / 40.0')} WHEN x < 214 THEN 1 ELSE {_lerp('(254 - x) / 40.0')} END AS w FROM c, r)
- SELECT x, round(CASE WHEN sum(w) <> 0 THEN sum(w * v) / sum(w) ELSE 0 END, 5) AS fused, count(*) FILTER (w > 0) AS n FROM b GROUP BY x""", "voxel"))
+ SELECT x, round(CASE WHEN sum(w) <> 0 THEN sum(w * v) / sum(w) ELSE 0 END, 5) AS fused, count(*) FILTER (w > 0) AS n FROM b GROUP BY x""", "line"))
 def fuse_avg_blend_content(spark, d):
-    """The product of the blending and the content weight."""
-    v = E.content_weight(B.voxel(spark, d), ["setup"], "x", "v", 2, 8)
+    """The product of the content and the blending weight."""
+    v = weighed(spark, d)
     v = v.withColumn("w", F.col("content") * E.blend_weight(F.col("x").cast("double"), F.lit(256.0), 1.0, 40.0))
     return E.weighted_average(v, ["x"]).select("x", F.round("fused", 5).alias("fused"), "n")
 
@@ -140,4 +147,4 @@ def deformation_views(spark, d):
 @query(sql("SELECT setup, x, round(10 * sqrt(v * v + x * x), 4) AS d FROM voxel", "voxel"))
 def deformation_distance(spark, d):
     """Length of a displacement, scaled for display."""
-    return B.voxel(spark, d).select("setup", "x", F.round(10 * F.sqrt(F.col("v") * F.col("v") + F.col("x") * F.col("x")), 4).alias("d"))
+    return B.voxel(spark, d).select("setup", "x", F.round(E.displacement([F.col("v"), F.col("x")], 10.0), 4).alias("d"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumiframe.functions import affine
 from lumiframe.functions import kernels as K
 from lumiframe.operators import alignment as O
 from lumiframe.operators import boxes
@@ -81,9 +83,9 @@ def found(spark, d, matches):
 FOUND = sql("SELECT concat(tp, '-', setup, '-', label) AS task, count(*) AS n, 0.0::DOUBLE AS off FROM point GROUP BY tp, setup, label HAVING count(*) > 4", "point")
 
 
-@query()
+@query(FOUND)
 def redundant_descriptor_matches(spark, d):
-    return M.descriptor_matches(*shifted(spark, d), "redundant", 3.0, threshold=1e9)
+    return found(spark, d, M.descriptor_matches(*shifted(spark, d), "redundant", 3.0, threshold=1e9))
 
 
 @query(FOUND)
@@ -128,9 +130,18 @@ def rigid_models(spark, d):
     return out.select("task", F.round("error", 6).alias("error"))
 
 
-@query()
+def jittered(spark, d):
+    """Points on a grid of 20 and the same points moved by (3, -2, 1), nearer to their own partner than to any other; a list's points share no place."""
+    w = Window.partitionBy("tp", "setup", "label").orderBy("id")
+    p = B.interest_point(spark, d).withColumn("k", F.row_number().over(w) - 1)
+    p = p.select(F.format_string("%d-%d-%s", "tp", "setup", "label").alias("task"), F.col("id").cast("long").alias("id"), *[(F.expr(e) * 20 + F.col("z") % 3).alias(c) for c, e in (("x", "k % 10"), ("y", "k div 10 % 10"), ("z", "k div 100"))])
+    return p, p.select("task", (F.col("id") + 1000).alias("id"), (F.col("x") + 3).alias("x"), (F.col("y") - 2).alias("y"), (F.col("z") + 1).alias("z"))
+
+
+@query(sql("SELECT concat(tp, '-', setup, '-', label) AS task, CAST(id AS BIGINT) AS id_a, CAST(id + 1000 AS BIGINT) AS id_b, round(m.v, 5) AS m3 FROM (SELECT *, count(*) OVER (PARTITION BY tp, setup, label) AS n FROM point), (SELECT 3.0::DOUBLE AS v) m WHERE n >= 6", "point"))
 def icp_matches(spark, d):
-    return M.icp_matches(*shifted(spark, d), reach=6.0, least=6).select("task", "id_a", "id_b")
+    """Every point finds its own partner, and the map is the shift."""
+    return M.icp_matches(*jittered(spark, d), reach=6.0, least=6).select("task", "id_a", "id_b", F.round(F.col("m")[3], 5).alias("m3"))
 
 
 @query(sql(f"WITH l AS ({LINK}), w(label, weight) AS (VALUES ('A', 0.5), ('N', 2.0)), k AS (SELECT l.*, (coalesce(a.weight, 1) + coalesce(b.weight, 1)) / 2 AS weight FROM l LEFT JOIN w a ON a.label = l.label LEFT JOIN w b ON b.label = l.c_label) SELECT tp, setup, label, id, c_tp, c_setup, c_label, c_id, weight::DOUBLE AS weight FROM k UNION ALL SELECT c_tp, c_setup, c_label, c_id, tp, setup, label, id, weight::DOUBLE FROM k", "point"))
@@ -190,10 +201,10 @@ def stitching_links(spark, d):
     return O.stitching_links(e, 0.25)
 
 
-@query(sql("WITH b AS (SELECT setup, channel, tx AS lx, tx + sx - 1 AS hx, ty AS ly, ty + sy - 1 AS hy, tz AS lz, tz + sz - 1 AS hz FROM model WHERE tp = 1), p AS (SELECT i.setup AS setup_a, j.setup AS setup_b, greatest(i.lx, j.lx) AS lx, least(i.hx, j.hx) AS hx, greatest(i.ly, j.ly) AS ly, least(i.hy, j.hy) AS hy, greatest(i.lz, j.lz) AS lz, least(i.hz, j.hz) AS hz FROM b i, b j WHERE i.setup < j.setup AND i.channel <> j.channel) SELECT setup_a, setup_b, CASE WHEN q.i % 2 = 0 THEN lx ELSE hx END AS x, CASE WHEN q.i // 2 % 2 = 0 THEN ly ELSE hy END AS y, CASE WHEN q.i // 4 = 0 THEN lz ELSE hz END AS z FROM p, range(8) q(i) WHERE lx <= hx AND ly <= hy AND lz <= hz", "model"))
+@query(sql("WITH b AS (SELECT tp, setup, channel, tx AS lx, tx + sx - 1 AS hx, ty AS ly, ty + sy - 1 AS hy, tz AS lz, tz + sz - 1 AS hz FROM model), p AS (SELECT i.tp, i.setup AS setup_a, j.setup AS setup_b, greatest(i.lx, j.lx) AS lx, least(i.hx, j.hx) AS hx, greatest(i.ly, j.ly) AS ly, least(i.hy, j.hy) AS hy, greatest(i.lz, j.lz) AS lz, least(i.hz, j.hz) AS hz FROM b i JOIN b j ON i.tp = j.tp AND i.setup < j.setup AND i.channel <> j.channel) SELECT tp, setup_a, setup_b, CASE WHEN q.i % 2 = 0 THEN lx ELSE hx END AS x, CASE WHEN q.i // 2 % 2 = 0 THEN ly ELSE hy END AS y, CASE WHEN q.i // 4 = 0 THEN lz ELSE hz END AS z FROM p, range(8) q(i) WHERE lx <= hx AND ly <= hy AND lz <= hz", "model"))
 def weak_links(spark, d):
-    v = boxes.view_bounds(B.view_model(spark, d).where("tp = 1"))
-    return O.weak_links(v, "setup", "channel")
+    v = boxes.view_bounds(B.view_model(spark, d))
+    return O.weak_links(v, "setup", "channel", ["tp"])
 
 
 @query(sql("WITH p AS (SELECT CAST(a % 20 AS INT) AS tp_a, CAST(b % 20 AS INT) AS tp_b, CASE WHEN a % 11 = 0 THEN NULL ELSE r END AS error, (b % 7) / 10.0::DOUBLE AS ratio FROM edge), q AS (SELECT tp_a AS tp, error, ratio FROM p UNION ALL SELECT tp_b, error, ratio FROM p WHERE tp_a <> tp_b) SELECT tp, round(min(error) FILTER (ratio > 0), 4) AS least, round(avg(error) FILTER (ratio > 0), 4) AS mean, round(max(error) FILTER (ratio > 0), 4) AS most, count(*) FILTER (error IS NOT NULL AND ratio > 0) AS valid, count(*) FILTER (NOT (error IS NOT NULL AND ratio > 0)) AS invalid FROM q GROUP BY tp", "edge"))
@@ -249,6 +260,80 @@ def global_solve_two_rounds(spark, d):
     return out.select("view", *[(F.round(c, 6) + 0.0).alias(c) for c in ("tx", "ty", "tz")])
 
 
+def truth(spark, d, shear: bool):
+    """view, m: made-up placements of as many views as there are customers, in lines of ten whose first stays: turned by 0.8/0.6 about z, sheared, moved."""
+    k = F.col("view") % 10
+    t = k % 3
+    c, s = 1 - 0.2 * t, F.when(t == 0, 0.0).otherwise(0.4 + 0.2 * t)
+    h = (0.1 * (k % 4)) if shear else F.lit(0.0)
+    nil, one = F.lit(0.0), F.lit(1.0)
+    v = B.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("view"))
+    return v.withColumn("m", affine.from_columns(c, h * c - s, nil, 7 * k, s, h * s + c, nil, -11 * k, nil, nil, one, 3 * k))
+
+
+def truth_matches(spark, d, shear: bool):
+    """Twelve places in the world seen by each view and by the next two of its line."""
+    m = truth(spark, d, shear)
+    step = m.select(F.col("view").alias("a"), F.col("m").alias("m_a"), F.explode(F.array(F.lit(1), F.lit(2))).alias("by")).where("a % 10 + by < 10")
+    step = step.join(m.select(F.col("view").alias("b"), F.col("m").alias("m_b")), F.col("b") == F.col("a") + F.col("by"))
+    w = step.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    at = [(F.col("i") * 17 % 29 + F.col("a") % 5).cast("double"), (F.col("i") * 11 % 23).cast("double"), (F.col("i") * 5 % 13).cast("double")]
+    p, q = (affine.apply(affine.inverse(F.col(f"m_{e}")), *at) for e in "ab")
+    return w.select("a", "b", *[x.alias(f"{s}{c}") for s, v in (("p", p), ("q", q)) for x, c in zip(v, "xyz", strict=True)], F.lit(1.0).alias("weight"), F.lit(0.9).alias("quality"))
+
+
+def placed(out):
+    return out.select("view", F.posexplode("m").alias("i", "v")).select("view", F.col("i").cast("long").alias("i"), (F.round("v", 4) + 0.0).alias("v"))
+
+
+TRUTH = """WITH t AS (SELECT CAST(c_custkey AS BIGINT) AS view, c_custkey % 10 AS k, c_custkey % 10 % 3 AS t FROM customer),
+ c AS (SELECT view, k, 1 - 0.2::DOUBLE * t AS c, CASE WHEN t = 0 THEN 0 ELSE 0.4::DOUBLE + 0.2::DOUBLE * t END AS s, {shear} AS h FROM t)
+ SELECT view, CAST(i AS BIGINT) AS i, round(v, 4) AS v FROM (SELECT view, unnest(range(12)) AS i, unnest([c, h * c - s, 0, 7 * k, s, h * s + c, 0, -11 * k, 0, 0, 1, 3 * k]) AS v FROM c)"""
+RIGID, SHEARED = TRUTH.format(shear="0"), TRUTH.format(shear="0.1::DOUBLE * (k % 4)")
+
+
+@query(RIGID)
+def global_solve_rigid(spark, d):
+    """Turned views come back from their matches."""
+    return placed(O.solve_models(truth_matches(spark, d, False), truth(spark, d, False).select("view"), spark.createDataFrame([], "view long"), "rigid"))
+
+
+@query(SHEARED)
+def global_solve_affine(spark, d):
+    return placed(O.solve_models(truth_matches(spark, d, True), truth(spark, d, True).select("view"), spark.createDataFrame([], "view long"), "affine"))
+
+
+@query(RIGID)
+def global_solve_rigid_iterative(spark, d):
+    """A wrong link from each line's first to its last view is found and dropped."""
+    good = truth_matches(spark, d, False)
+    first = good.where("a % 10 = 0 and b % 10 = 1")
+    last = truth(spark, d, False).select(F.col("view").alias("last")).where("last % 10 = 9")
+    wrong = first.join(last, F.col("last") == F.col("a") + 9).withColumns({"b": F.col("last"), "qx": F.col("qx") + 400, "quality": F.lit(0.1)}).drop("last")
+    return placed(O.solve_models(good.unionByName(wrong), truth(spark, d, False).select("view"), spark.createDataFrame([], "view long"), "rigid", relative=2.5, absolute=3.5))
+
+
+@query(RIGID)
+def global_solve_rigid_two_rounds(spark, d):
+    """Links over the middle of each line are weak: round one places its halves, round two the second half as a whole."""
+    m = truth_matches(spark, d, False)
+    over = "a % 10 < 5 and b % 10 >= 5"
+    lines = truth(spark, d, False).select("view").where("view % 10 = 0")
+    return placed(O.solve_models_two_rounds(m.where(f"not ({over})"), m.where(over), truth(spark, d, False).select("view"), lines, "rigid"))
+
+
+@query("""WITH t AS (SELECT CAST(c_custkey AS BIGINT) AS view, c_custkey % 10 AS k FROM customer) SELECT view, CAST(i AS BIGINT) AS i, round(v, 4) AS v
+ FROM (SELECT view, unnest(range(12)) AS i, unnest([1, 0, 0, 6.0 * (k // 2), 0, 1, 0, 2.0 * (k // 2), 0, 0, 1, 0]) AS v FROM t)""")
+def global_solve_groups(spark, d):
+    """Views in pairs that move as one tile: links between neighbouring pairs move both alike."""
+    v = truth(spark, d, False).select("view")
+    at = v.select(F.col("view").alias("a")).where("a % 10 < 9 and a % 2 = 1").join(v.select(F.col("view").alias("b")), F.col("b") == F.col("a") + 1)
+    m = at.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(5)))).select("a", "b", *[(F.col("i") * k % 11).cast("double").alias(f"p{c}") for c, k in zip("xyz", (3, 5, 7), strict=True)], F.lit(1.0).alias("weight"), F.lit(0.9).alias("quality"))
+    m = m.withColumns({"qx": F.col("px") - 6, "qy": F.col("py") - 2, "qz": F.col("pz")})
+    groups = v.select(F.expr("view div 2").alias("group_id"), "view")
+    return placed(O.solve_models(m, v, spark.createDataFrame([], "view long"), "translation", groups=groups))
+
+
 @query(sql("SELECT CAST(setup - setup % 10 AS BIGINT) AS component, CAST(setup - setup % 10 AS BIGINT) AS view FROM view_setup WHERE setup % 10 = 0", "view_setup"))
 def fix_views(spark, d):
     m = B.view_setup(spark, d).select(F.col("setup").cast("long").alias("view"), (F.col("setup") - F.col("setup") % 10).cast("long").alias("component"))

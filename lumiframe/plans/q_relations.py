@@ -62,12 +62,10 @@ def group_by_channel(spark, d):
 
 @query(sql("""WITH g AS (SELECT a.tile, b.angle, count(*) FILTER (a.setup = b.setup AND a.tp = b.tp) AS common, max(na) AS na, max(nb) AS nb
   FROM (SELECT *, count(*) OVER (PARTITION BY tile) AS na FROM view) a, (SELECT *, count(*) OVER (PARTITION BY angle) AS nb FROM view) b GROUP BY 1, 2)
-  SELECT tile, angle, common > 0 AS overlaps, common = na AS contained FROM g""", "view"))
+  SELECT tile, angle, true AS overlaps, common = na AS contained FROM g WHERE common > 0""", "view"))
 def group_predicates(spark, d):
-    v = B.view(spark, d)
-    a, b = R.split_by(v, ["tile"]).withColumnRenamed("members", "x"), R.split_by(v, ["angle"]).withColumnRenamed("members", "y")
-    joined = a.drop("n").crossJoin(F.broadcast(b.drop("n")))  # a few angles
-    return joined.select("tile", "angle", F.arrays_overlap("x", "y").alias("overlaps"), (F.size(F.array_except("x", "y")) == 0).alias("contained"))
+    m = B.view(spark, d).select("tp", "setup", F.col("tile").alias("group_id")), B.view(spark, d).select("tp", "setup", F.col("angle").alias("group_id"))
+    return R.group_predicates(*m).select(F.col("a").alias("tile"), F.col("b").alias("angle"), "overlaps", "contained")
 
 
 @query(sql("SELECT setup, angle AS channel, channel AS angle FROM view_setup", "view_setup"))
@@ -184,13 +182,20 @@ def match_tasks(spark, d):
     return R.match_tasks(R.pairs(B.view(spark, d), time_range=0, within=["tile"]).select(*PAIR), labels, across_labels=True)
 
 
-def correspondences(spark, d):
-    """Made-up links between points of neighbouring setups with equal ids."""
-    p = B.interest_point(spark, d).select("tp", "setup", "label", "id").where("id < 5 and setup % 2 = 0")
+def stored_links(spark, d):
+    """Made-up links from every point to that of the next setup whose id is larger by two, whether or not it's there."""
+    p = B.interest_point(spark, d).select("tp", "setup", "label", "id")
     return p.select("*", F.col("tp").alias("c_tp"), (F.col("setup") + 1).alias("c_setup"), F.col("label").alias("c_label"), (F.col("id") + 2).alias("c_id"))
 
 
-LINK = "SELECT tp, setup, label, id, tp AS c_tp, setup + 1 AS c_setup, label AS c_label, id + 2 AS c_id FROM point WHERE id < 5 AND setup % 2 = 0"
+def correspondences(spark, d):
+    """The stored links both of whose points are there."""
+    there = B.interest_point(spark, d).select(*[F.col(c).alias(f"c_{c}") for c in ("tp", "setup", "label", "id")])
+    return stored_links(spark, d).join(there, there.columns, "left_semi")
+
+
+STORED = "SELECT tp, setup, label, id, tp AS c_tp, setup + 1 AS c_setup, label AS c_label, id + 2 AS c_id FROM point"
+LINK = f"SELECT l.* FROM ({STORED}) l JOIN point t ON l.c_tp = t.tp AND l.c_setup = t.setup AND l.c_label = t.label AND l.c_id = t.id"
 
 
 @query(sql(f"SELECT p.tp, p.setup, p.label, p.id FROM point p SEMI JOIN ({LINK}) l ON p.tp = l.tp AND p.setup = l.setup AND p.label = l.label AND p.id = l.id", "point"))
@@ -203,9 +208,9 @@ def points_from_correspondences(spark, d):
     return R.points_from_links(B.interest_point(spark, d), correspondences(spark, d), "linked").select("tp", "setup", "label", "id", "old_label", "old_id")
 
 
-@query(sql(f"WITH l AS ({LINK}), t AS (SELECT l.* FROM l SEMI JOIN point q ON l.c_tp = q.tp AND l.c_setup = q.setup AND l.c_label = q.label AND l.c_id = q.id) SELECT * FROM (SELECT tp, setup, label, id, c_tp, c_setup, c_label, c_id, count(*) OVER (PARTITION BY tp, setup, c_tp, c_setup) AS n FROM t) WHERE n >= 8", "point"))
+@query(sql(f"WITH t AS ({LINK}) SELECT * FROM (SELECT tp, setup, label, id, c_tp, c_setup, c_label, c_id, count(*) OVER (PARTITION BY tp, setup, c_tp, c_setup) AS n FROM t) WHERE n >= 8", "point"))
 def load_correspondences(spark, d):
-    return R.stored_matches(correspondences(spark, d), B.interest_point(spark, d), 8).select("tp", "setup", "label", "id", "c_tp", "c_setup", "c_label", "c_id", "n")
+    return R.stored_matches(stored_links(spark, d), B.interest_point(spark, d), 8).select("tp", "setup", "label", "id", "c_tp", "c_setup", "c_label", "c_id", "n")
 
 
 @query(sql(f"WITH l AS ({LINK}) SELECT * FROM l UNION SELECT c_tp, c_setup, c_label, c_id, tp, setup, label, id FROM l", "point"))

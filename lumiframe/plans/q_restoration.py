@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumiframe.operators import intensity as I
@@ -65,24 +66,26 @@ def unbleach(spark, d):
 
 
 def _noisy_pairs(spark, d):
-    v = B.voxel(spark, d).where("setup < 4")
+    v = B.voxel(spark, d)
     p = v.select("setup", "x", F.col("v").alias("p"))
     wrong = F.when(F.col("x") % 5 == 0, 50.0 + F.col("x")).otherwise(0.0)
     return p.withColumn("q", (1 + F.col("setup") / 4) * F.col("p") + F.col("setup") + wrong)
 
 
-@query(sql("SELECT DISTINCT setup, round(1 + setup / 4.0, 5)::DOUBLE AS slope, setup::DOUBLE AS intercept FROM voxel WHERE setup < 4", "voxel"))
+@query(sql("SELECT DISTINCT setup, round(1 + setup / 4.0, 5)::DOUBLE AS slope, setup::DOUBLE AS intercept FROM voxel", "voxel"))
 def intensity_ransac(spark, d):
     """A fifth of the pairs is off; the line through the others comes back."""
     m = I.ransac_match(_noisy_pairs(spark, d), ["setup"], 0.01, 0.1, 200, 10, 1000.0)
     return m.select("setup", R("slope", 5).alias("slope"), (R("intercept", 4) + 0.0).alias("intercept"))
 
 
-@query()
+@query(sql("SELECT CAST(setup AS BIGINT) AS node, round(1 + setup / 4.0, 5)::DOUBLE AS a, round(setup * 3.0, 4)::DOUBLE AS b FROM (SELECT DISTINCT setup FROM voxel)", "voxel"))
 def intensity_solve(spark, d):
-    """Joint value maps of all views; no SQL for the linear system, which a test solves densely."""
-    p = I.voxel_pairs(B.voxel(spark, d)).select(F.col("setup_a").cast("long").alias("node_a"), F.col("setup_b").cast("long").alias("node_b"), "p", "q", F.lit(1.0).alias("weight"))
-    return I.subtract_least(I.solve_fields(p)).select("node", R("a", 6).alias("a"), R("b", 6).alias("b"))
+    """Joint value maps of all views, which are one signal under a line each: the lines come back, relative to the first view."""
+    signal = B.line(spark, d).groupBy("x").agg(F.avg("v").alias("u"))
+    v = B.line(spark, d).select("setup", "x").join(signal, "x").select("setup", "x", ((F.col("u") - 3 * F.col("setup")) / (1 + F.col("setup") / 4)).alias("v"))
+    p = I.voxel_pairs(v).select(F.col("setup_a").cast("long").alias("node_a"), F.col("setup_b").cast("long").alias("node_b"), "p", "q", F.lit(1.0).alias("weight"))
+    return I.subtract_least(I.solve_fields(p, rigidity=0.0)).select("node", R("a", 5).alias("a"), (R("b", 4) + 0.0).alias("b"))
 
 
 @query(sql("SELECT setup, x, round(CASE WHEN v > 40 THEN v / (v * 0.5 + x + 1) ELSE 1 END, 6) AS r FROM (SELECT setup, x, v, v FROM voxel)", "voxel"))
@@ -169,12 +172,23 @@ def tiles(spark, d):
     return full.toDF("a", "first").join(full.toDF("b", "second"), F.col("a") < F.col("b")).select((F.col("a") * 8 + F.col("b")).cast("long").alias("location"), "first", "second")
 
 
-@query()
+#: The same by sums over all frequencies: tiles of 16, tapered over two places, rings of radius 1 to 6.
+RINGS = """WITH s AS (SELECT setup, list(v ORDER BY x) AS s FROM voxel GROUP BY setup), e AS (SELECT setup, CAST(i AS INT) AS i, s[i % len(s) + 1] AS v FROM s, range(256) q(i)), m AS (SELECT setup, avg(v) AS m FROM e GROUP BY setup),
+ w AS (SELECT CAST(k AS INT) AS k, (1 - cos(pi() * least(1, least(k, 15 - k) / 2.0))) / 2 AS t FROM range(16) q(k)),
+ t AS MATERIALIZED (SELECT e.setup, i // 16 AS y, i % 16 AS x, (v - m) * wy.t * wx.t AS v FROM e JOIN m USING (setup) JOIN w wy ON wy.k = i // 16 JOIN w wx ON wx.k = i % 16),
+ f AS MATERIALIZED (SELECT setup, (fy + 8) % 16 AS y, (fx + 8) % 16 AS x, sum(v * cos(pi() * (fy * y + fx * x) / 8.0)) AS re, -sum(v * sin(pi() * (fy * y + fx * x) / 8.0)) AS im FROM t, range(16) a(fy), range(16) b(fx) GROUP BY setup, fy, fx),
+ p AS (SELECT r, k, 8 + r * cos(k * (1.0::DOUBLE / r)) AS x, 8 + r * sin(k * (1.0::DOUBLE / r)) AS y FROM range(1, 7) q(r), range(25) u(k) WHERE k * (1.0::DOUBLE / r) < pi()),
+ c AS MATERIALIZED (SELECT f.setup, r, k, sum(re * (CASE WHEN a = 1 THEN p.y - floor(p.y) ELSE 1 - p.y + floor(p.y) END) * (CASE WHEN b = 1 THEN p.x - floor(p.x) ELSE 1 - p.x + floor(p.x) END)) AS re, sum(im * (CASE WHEN a = 1 THEN p.y - floor(p.y) ELSE 1 - p.y + floor(p.y) END) * (CASE WHEN b = 1 THEN p.x - floor(p.x) ELSE 1 - p.x + floor(p.x) END)) AS im
+  FROM p, range(2) g(a), range(2) h(b), f WHERE f.y = floor(p.y) + a AND f.x = floor(p.x) + b GROUP BY f.setup, r, k),
+ o AS (SELECT CAST(a.setup * 8 + b.setup AS BIGINT) AS location, CAST(a.r AS INT) AS ring, sum(a.re * b.re + a.im * b.im) / sqrt(sum(a.re * a.re + a.im * a.im) * sum(b.re * b.re + b.im * b.im)) AS value FROM c a JOIN c b ON a.r = b.r AND a.k = b.k AND a.setup < b.setup GROUP BY ALL)"""
+
+
+@query(sql(RINGS + " SELECT location, ring, round(value, 6) AS value FROM o", "voxel"))
 def ring_correlation(spark, d):
     return X.ring_correlations(tiles(spark, d), 16).select("location", "ring", R("value", 6).alias("value"))
 
 
-@query()
+@query(sql(RINGS + " SELECT location, round(sum(value), 6) AS quality FROM o GROUP BY location", "voxel"))
 def local_quality(spark, d):
     """Sum of each location's curve."""
     return X.ring_correlations(tiles(spark, d), 16).groupBy("location").agg(R(F.sum("value"), 6).alias("quality"))
@@ -201,23 +215,76 @@ def detect_blobs(spark, d):
     return X.detect_blobs(images(spark, d), 1.8, 0.05).select("block", R("x", 1).alias("x"), R("y", 1).alias("y"))
 
 
-@query()
-def content_weight_blocks(spark, d):
-    return X.content_weight_blocks(images(spark, d), 2.0, 4.0).select("block", F.size("weight").alias("n"), R(F.array_max("weight"), 6).alias("most"))
+def _gauss_plane(source: str, column: str, sigma: float) -> str:
+    """A Gaussian of images (block, x, y from 0 to 31) along x and then along y, mirrored at their edges: block, x, y, g."""
+    r = max(1, int(-(-3 * sigma // 1)))
+    kernel = f"(SELECT o, exp(-(o * o) / (2.0 * {sigma} * {sigma})) / (SELECT sum(exp(-(i * i) / (2.0 * {sigma} * {sigma}))) FROM range(-{r}, {r} + 1) q(i)) AS w FROM range(-{r}, {r} + 1) t(o))"
+    place = lambda c: f"CASE WHEN a.{c} + k.o < 0 THEN -(a.{c} + k.o) WHEN a.{c} + k.o > 31 THEN 62 - (a.{c} + k.o) ELSE a.{c} + k.o END"
+    one = f"SELECT a.block, a.x, a.y, sum(k.w * b.{column}) AS g FROM {source} a CROSS JOIN {kernel} k JOIN {source} b ON b.block = a.block AND b.y = a.y AND b.x = {place('x')} GROUP BY a.block, a.x, a.y"
+    return f"WITH h AS MATERIALIZED ({one}) SELECT a.block, a.x, a.y, sum(k.w * b.g) AS g FROM h a CROSS JOIN {kernel} k JOIN h b ON b.block = a.block AND b.x = a.x AND b.y = {place('y')} GROUP BY a.block, a.x, a.y"
 
 
-@query()
+@query(sql(f"WITH im AS MATERIALIZED (SELECT CAST(setup AS BIGINT) AS block, CAST(i % 32 AS INT) AS x, CAST(i // 32 AS INT) AS y, 100 * exp(-(((i % 32) - (10 + setup % 11)) ** 2 + ((i // 32) - (9 + setup % 13)) ** 2) / 8.0) AS v FROM view_setup, range(1024) q(i)), a AS ({_gauss_plane('im', 'v', 2.0)}), dev AS MATERIALIZED (SELECT im.block, im.x, im.y, (v - g) ** 2 AS v FROM im JOIN a ON a.block = im.block AND a.x = im.x AND a.y = im.y), c AS ({_gauss_plane('dev', 'v', 4.0)}) SELECT block, 1024 AS n, round(max(g) / 2048, 6) AS most, round(sum(g) / 2048, 4) AS total FROM c GROUP BY block", "view_setup"))
+def content_weight_blocks(spark, d):
+    w = X.content_weight_blocks(images(spark, d), 2.0, 4.0)
+    return w.select("block", F.size("weight").alias("n"), R(F.array_max("weight"), 6).alias("most"), R(F.aggregate("weight", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+def _kernels_sql() -> str:
+    """Kernels of three taps of each two neighbouring setups, by kind."""
+    conv = lambda x, k: f"[{k}[1] * {x}[2] + {k}[2] * {x}[1] + {k}[3] * {x}[1], {k}[1] * {x}[3] + {k}[2] * {x}[2] + {k}[3] * {x}[1], {k}[1] * {x}[3] + {k}[2] * {x}[3] + {k}[3] * {x}[2]]"
+    turn = lambda x: f"list_reverse({x})"
+    times = lambda x, y: f"list_transform(list_zip({x}, {y}), lambda p: p[1] * p[2])"
+    unit = lambda x: f"list_transform({x}, lambda v: v / list_sum({x}))"
+    made = {"independent": turn("a"), "optimization II": turn(unit(times("a", "a"))), "optimization I": turn(unit(times("a", "c1"))), "efficient Bayesian": unit(times("m", "c3"))}
+    rows = " UNION ALL ".join(f"SELECT grp, view, '{k}' AS kind, {e} AS data FROM u3" for k, e in made.items())
+    return f"""WITH k AS (SELECT setup, list(v + 1 ORDER BY x) AS k FROM line WHERE x BETWEEN 100 AND 102 GROUP BY setup), n AS (SELECT setup, {unit('k')} AS k FROM k),
+ u AS (SELECT CAST(x.setup AS BIGINT) AS grp, v AS view, CASE WHEN v = 0 THEN x.k ELSE y.k END AS a, CASE WHEN v = 0 THEN y.k ELSE x.k END AS b FROM n x JOIN n y ON y.setup = x.setup + 1, range(2) t(v)),
+ u1 AS (SELECT *, list_reverse(a) AS m, list_reverse(b) AS mb FROM u), u2 AS (SELECT *, {conv('a', 'mb')} AS c1, {conv('m', 'b')} AS c2 FROM u1), u3 AS (SELECT *, {conv('c2', 'mb')} AS c3 FROM u2),
+ r AS ({rows}) SELECT grp, CAST(view AS INT) AS view, kind, CAST(i AS INT) AS i, round(data[i + 1], 6) AS v FROM r, range(3) q(i)"""
+
+
+@query(sql(_kernels_sql(), "line"))
+def psf_kinds(spark, d):
+    """The four ways to make a view's second kernel from its own and another view's."""
+    k = B.line(spark, d).where("x between 100 and 102").groupBy("setup").agg(F.array_sort(F.collect_list(F.struct("x", (F.col("v") + 1).alias("v")))).alias("k")).select("setup", F.col("k")["v"].alias("data"))
+    pairs = k.select(F.col("setup").cast("long").alias("grp"), F.lit(0).alias("view"), "data").unionByName(k.select((F.col("setup") - 1).cast("long").alias("grp"), F.lit(1).alias("view"), "data"))
+    full = pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("grp"))).where("n = 2").drop("n")
+    out = None
+    for kind in ("independent", "optimization I", "optimization II", "efficient Bayesian"):
+        one = X.update_kernels(full, kind).select("grp", "view", F.lit(kind).alias("kind"), F.posexplode("data").alias("i", "v"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("v", R("v", 6))
+
+
+@query(sql(f"SELECT setup, x, round(g, 6) AS soft FROM ({B.gauss_sql('line', 'v', 2.0)})", "line"))
 def gauss_blocks(spark, d):
-    return X.gauss_line(B.voxel(spark, d), ["setup"], "x", "v", 2.0, 64).select("setup", "x", R("soft", 6).alias("soft"))
+    """A Gaussian in blocks of 64 is that of the whole line."""
+    return X.gauss_line(B.line(spark, d), ["setup"], "x", "v", 2.0, 64).select("setup", "x", R("soft", 6).alias("soft"))
+
+
+def _deconvolved(rounds: int) -> str:
+    """Rounds of two views with kernels of three taps, each step a table expression: location, x, psi."""
+    beside = lambda c: (f"coalesce(lag({c}) OVER w, {c})", f"coalesce(lead({c}) OVER w, {c})")
+    out = ["p AS (SELECT a.setup * 8 + b.setup AS location, a.x, a.v AS v0, b.v AS v1 FROM line a JOIN line b ON a.x = b.x AND a.setup < b.setup)", "z AS (SELECT location, greatest(max(v0), max(v1)) AS top, (avg(v0) + avg(v1)) / 2 AS first FROM p GROUP BY location)", "s0 AS (SELECT p.*, z.top, z.first AS psi FROM p JOIN z USING (location))"]
+    for i in range(2 * rounds):
+        a, b = beside("psi")
+        out.append(f"b{i} AS MATERIALIZED (SELECT *, 0.25 * {a} + 0.5 * psi + 0.25 * {b} AS soft FROM s{i} WINDOW w AS (PARTITION BY location ORDER BY x))")
+        out.append(f"r{i} AS (SELECT *, CASE WHEN v{i % 2} > 0 THEN v{i % 2} / greatest(soft, 1e-4) ELSE 1 END AS r FROM b{i})")
+        a, b = beside("r")
+        out.append(f"y{i} AS MATERIALIZED (SELECT *, psi * ({a} / 6 + r * 2 / 3 + {b} / 6) / top AS y FROM r{i} WINDOW w AS (PARTITION BY location ORDER BY x))")
+        out.append(f"s{i + 1} AS (SELECT location, x, v0, v1, top, psi + (CASE WHEN y > 0 THEN greatest(1e-4, (sqrt(1 + 2 * 0.006 * y) - 1) / 0.006 * top) ELSE 1e-4 END - psi) * 0.5 AS psi FROM y{i})")
+    return "WITH " + ", ".join(out) + f" SELECT CAST(location AS BIGINT) AS location, x, round(psi, 4) AS psi FROM s{2 * rounds}"
 
 
-@query()
+@query(sql(_deconvolved(3), "line"))
 def deconvolve(spark, d):
-    """Two views of lines, five rounds."""
-    v = tiles(spark, d)
-    rows = v.select(F.col("location").alias("block"), F.inline(F.array(F.struct(F.lit(0).alias("view"), F.col("first").alias("data")), F.struct(F.lit(1).alias("view"), F.col("second").alias("data"))))).withColumn("weight", F.transform("data", lambda x: F.lit(0.5)))
-    out = X.deconvolve_blocks(rows, [0.25, 0.5, 0.25], 5)
-    return out.select("block", R(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    """Two views of each pair of lines, three rounds, in blocks of 64 that exchange their edges every round."""
+    v = B.line(spark, d)
+    pairs = v.toDF("a", "x", "v0").join(v.toDF("b", "x", "v1"), "x").where("a < b")
+    cells = pairs.select((F.col("a") * 8 + F.col("b")).cast("long").alias("location"), "x", F.inline(F.array(*[F.struct(F.lit(i).alias("view"), F.col(f"v{i}").alias("v"), F.lit(0.5).alias("w")) for i in range(2)])))
+    out = X.deconvolve_lines(cells, ["location"], "x", [[0.25, 0.5, 0.25]] * 2, 3, effective=64)
+    return out.select("location", "x", R("psi", 4).alias("psi"))
 
 
 @query(sql("SELECT CAST(setup AS BIGINT) AS view, x, y, round(x + tx, 5) AS wx, round(y + ty, 5) AS wy FROM (SELECT DISTINCT setup, tx, ty FROM model) m, (VALUES (0.0::DOUBLE), (10.0), (20.0)) a(x), (VALUES (0.0::DOUBLE), (10.0), (20.0)) b(y)", "model"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from lumiframe.operators import boxes, fusion
@@ -59,10 +61,15 @@ def farthest_points(spark, d):
     return boxes.farthest_pairs(p, ["setup"]).select("setup", R("d2", 5).alias("d2"))
 
 
-@query()
+@query(sql("SELECT count(*) AS points, count(*) AS inside, true AS no_larger FROM point", "point"))
 def smallest_box(spark, d):
-    b = boxes.smallest_box(B.interest_point(spark, d), steps=4)
-    return spark.createDataFrame([(i, b["angles"][i], b["low"][i], b["high"][i]) for i in range(3)], "axis int, angle double, low double, high double")
+    """The box holds all points, and isn't larger than that along the axes."""
+    p = B.interest_point(spark, d).select(F.xxhash64("tp", "setup", "label", "id").alias("id"), (F.col("x") + F.col("y")).alias("x"), (F.col("y") - F.col("x")).alias("y"), "z")
+    b = boxes.smallest_box(p)
+    at = [F.col("x") * r[0] + F.col("y") * r[1] + F.col("z") * r[2] for r in b["rotation"]]
+    inside = functools.reduce(lambda x, y: x & y, [a.between(lo - 1e-6, hi + 1e-6) for a, lo, hi in zip(at, b["low"], b["high"], strict=True)])
+    whole = functools.reduce(lambda x, y: x * y, [F.max(c) - F.min(c) for c in "xyz"])
+    return p.agg(F.count(F.lit(1)).alias("points"), F.count_if(inside).alias("inside"), (whole >= b["volume"] - 1e-6).alias("no_larger"))
 
 
 @query(sql("SELECT CAST(s.i AS INT) AS setup, count(*) AS n FROM range(20) s(i), range(30) k(i) WHERE k.i < CASE WHEN s.i IN (0, 19) THEN 15 ELSE 30 END GROUP BY s.i", "view_setup"))
@@ -71,9 +78,9 @@ def fake_points(spark, d):
     return boxes.add_fake_points(o, 15000.0, 1, 50, 0.5, "fake").groupBy("setup").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(sql("SELECT setup, round(min(v), 6) AS lo, round(max(v), 6) AS hi FROM voxel WHERE CAST(concat('0x', substr(md5(concat('1,', setup, ',', x)), 1, 5)) AS BIGINT) < 524288 GROUP BY setup", "voxel"))
 def approximate_min_max(spark, d):
-    """No SQL: the sample is chosen by a hash of Spark's; a test holds it between the true ends."""
+    """Half of the voxels, chosen by a hash of their place."""
     return fusion.approximate_min_max(B.voxel(spark, d), ["setup"], 0.5).select("setup", R("lo", 6).alias("lo"), R("hi", 6).alias("hi"))
 
 

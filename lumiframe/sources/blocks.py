@@ -132,7 +132,9 @@ class _RawVolumeReader(DataSourceReader):
             data = np.frombuffer(f.read_at(plane * chunk.count * kind.itemsize, plane * chunk.offset * kind.itemsize), kind)
         if len(data) != plane * chunk.count:
             raise OSError(f"{chunk.file} is shorter than its dimensions say")
-        yield (chunk.file, chunk.offset, self.dims[0], self.dims[1], chunk.count, [float(v) for v in data])
+        from lumiframe.sources.images import _row
+
+        yield _row("file string, oz long, nx int, ny int, nz int, data array<float>", [chunk.file, chunk.offset, self.dims[0], self.dims[1], chunk.count], data)
 
 
 def register(spark: SparkSession) -> None:

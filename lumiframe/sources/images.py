@@ -59,6 +59,17 @@ def decode(data: bytes, compressor: dict | None) -> bytes:
     raise ValueError(f"compressor {compressor['id']} isn't supported")
 
 
+def _row(schema: str, values: list, samples: np.ndarray):
+    """One row of a source as an Arrow batch, whose samples are a numpy buffer; workers can't parse schemas, so the few types are spelt out."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "array<double>": pa.list_(pa.float64()), "array<float>": pa.list_(pa.float32())}
+    fields = pa.schema([pa.field(n, kinds[t]) for n, t in (f.split(" ") for f in schema.split(", "))])
+    flat = np.ascontiguousarray(samples).ravel().astype(fields[-1].type.value_type.to_pandas_dtype())
+    data = pa.ListArray.from_arrays(pa.array([0, flat.size], pa.int32()), pa.array(flat))
+    return pa.RecordBatch.from_arrays([*[pa.array([v], f.type) for v, f in zip(values, list(fields)[:-1], strict=True)], data], schema=fields)
+
+
 class _Part(InputPartition):
     def __init__(self, *what):
         self.what = what
@@ -115,7 +126,7 @@ class _ZarrReader(DataSourceReader):
         block = block.reshape([1] * (3 - block.ndim) + list(block.shape))
         n = [min(s, z - g * s) for g, s, z in zip(at, step, size, strict=True)]
         block = block[: n[0], : n[1], : n[2]]
-        yield (self.uri, at[2], at[1], at[0], at[2] * step[2], at[1] * step[1], at[0] * step[0], n[2], n[1], n[0], [float(v) for v in block.ravel()])
+        yield _row(BLOCK, [self.uri, at[2], at[1], at[0], at[2] * step[2], at[1] * step[1], at[0] * step[0], n[2], n[1], n[0]], block)
 
 
 def write_zarr(blocks: DataFrame, path: str, shape: list[int], chunks: list[int], kind: str = "<u2", compressor: dict | None = None, separator: str = "/") -> int:
@@ -231,7 +242,7 @@ class _TiffReader(DataSourceReader):
         with store.open_input_file(part.what[0]) as f:
             for z, tags in enumerate(tiff_pages(f.read_at)):
                 v = tiff_plane(tags, f.read_at)
-                yield (part.what[0], 0, 0, z, 0, 0, z, v.shape[1], v.shape[0], 1, [float(x) for x in v.ravel()])
+                yield _row(BLOCK, [part.what[0], 0, 0, z, 0, 0, z, v.shape[1], v.shape[0], 1], v)
 
 
 def write_tiff(stacks: DataFrame, path: str) -> int:

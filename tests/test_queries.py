@@ -49,14 +49,19 @@ def test_entry(spark):
 
 
 def test_the_library_without_the_training_data_package(tmp_path):
-    """The folders taken away, the entry still imports and has the other queries."""
+    """The folders taken away, the entry still imports and has the other queries, and the other tests run."""
     import shutil
     import subprocess
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for x in ("lumiframe", "__spark_entry__.py"):
+    for x in ("lumiframe", "tests", "__spark_entry__.py"):
         (shutil.copytree if os.path.isdir(f"{root}/{x}") else shutil.copy)(f"{root}/{x}", tmp_path / x)
     shutil.rmtree(tmp_path / "lumiframe" / "llm", ignore_errors=True)
+    shutil.rmtree(tmp_path / "tests" / "llm", ignore_errors=True)
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert run.returncode == 0 and run.stdout.split()[0] == str(len(QUERIES)), run.stderr
+    # a few of the others, as this run has them all
+    few = [sys.executable, "-m", "pytest", "tests", "-q", "-x", "-p", "no:cacheprovider", "-k", "test_entry or test_rows and (fuse_max or pairs_range or thin_out) or test_fits or test_components"]
+    run = subprocess.run(few, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert run.returncode == 0, run.stdout[-2000:]
