@@ -57,3 +57,17 @@ def test_merges_of_a_small_vocabulary(tmp_path):
     for _ in range(400):
         x = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 14)))
         assert e([x])[0] == t.encode(x, add_special_tokens=False).ids
+
+
+def test_files_that_ask_for_more_are_refused(tmp_path):
+    import json
+
+    import pytest
+
+    vocab = {s: i for i, s in enumerate([*bpe.byte_symbols(), "ab", "abc", "bc"])}
+    good = {"added_tokens": [], "normalizer": None, "model": {"type": "BPE", "vocab": vocab, "merges": ["a b", "ab c"]}}
+    put = lambda d: (path := tmp_path / "t.json").write_text(json.dumps(d)) and str(path)
+    assert bpe.Vocabulary(put(good)).size == len(vocab)
+    for change in ({"normalizer": {"type": "NFC"}}, {"model": good["model"] | {"ignore_merges": True}}, {"model": good["model"] | {"merges": ["a b", "b c", "ab c", "a bc"]}}, {"added_tokens": [{"id": 400, "content": "<x>", "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(put(good | change))

@@ -28,3 +28,28 @@ def test_written_tables(spark):
     assert df.count() == 5 and df.columns == ["id"]
     common.discard(df)
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_shared_folders_are_asked_for_on_clusters(spark, monkeypatch):
+    import pytest
+
+    from lumiframe.operators import iterate
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        iterate.shared_dir(Session())
+
+
+def test_shuffle_files_go_with_the_plan(spark):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    common.materialize(spark.range(100).repartition(3), "t")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == before

@@ -63,3 +63,63 @@ def test_long_clean_texts_are_kept(spark):
     classify = langid.Classifier(dictionaries)
     short = {l: classify(t[: 1 << 20].encode())[1] for l, t in long}
     assert all(0.8 * short[r["lang"]] < r["score"] < 1.25 * short[r["lang"]] for r in out)
+
+
+def plain_prediction(text, dictionaries):
+    """Sizes under each dictionary, one text and one language after the other."""
+    import zstandard as z
+
+    words = (text or "").lower()
+    if not any(c.isalpha() for c in words) or not dictionaries:
+        return "und", 0.0
+    data, sizes = words.encode(), {}
+    n = -(-len(data) // langid.PIECE)
+    for l, d in dictionaries.items():
+        coder = z.ZstdCompressor(level=langid.LEVEL, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+        sizes[l] = sum(len(coder.compress(data[i * len(data) // n : (i + 1) * len(data) // n] + b"\0" * 512)) for i in range(n))
+    order = sorted(sizes, key=lambda l: (sizes[l], l))
+    return order[0], (1.0 if len(order) == 1 else (sizes[order[1]] - sizes[order[0]]) / sizes[order[1]])
+
+
+def test_predictions_equal_plain_compression(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    dictionaries = langid.fit(docs.where(~langid.held_out()))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in queries.op1_language_id(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    agree = 0
+    for r in rows:
+        lang, score = plain_prediction(r["text"], dictionaries)
+        agree += got[r["doc_id"]][0] == lang and abs(got[r["doc_id"]][1] - score) < 0.01
+    assert agree >= 0.99 * len(rows)  # a digested dictionary may parse a few bytes otherwise
+
+
+def test_one_rule_for_all_lengths(spark):
+    """Texts of 1023 and 1024 bytes are handled alike: their scores differ no more than those of 1022 and 1023."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 1100 and lang is not null").limit(60)
+    classify = langid.Classifier(langid.fit(docs))
+    texts = [r["text"].encode()[:1024] for r in docs.select("text").collect()]
+    step = [[abs(classify(t[:n])[1] - classify(t[: n + 1])[1]) for t in texts] for n in (1021, 1022, 1023)]
+    assert sum(step[2]) <= 3 * max(sum(step[0]), sum(step[1])) + 0.01
+
+
+def test_samples_don_t_depend_on_keys(spark):
+    """One key for all rows, null keys, and many copies: every language is learned, and what is collected stays bounded."""
+    words = {l: [f"{l}{i}" for i in range(50)] for l in ("en", "de")}
+    rng = random.Random(2)
+    rows = [(5 if l == "en" else None, " ".join(rng.choices(words[l], k=30)), l) for l in words for _ in range(5000)] + [(5, "the same text of a copy", "en")] * 5000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    d = langid.fit(docs)
+    assert set(d) == {"en", "de"} and all(len(x) <= langid.DICT_BYTES for x in d.values())
+    assert all(x.count(b"\n") == langid.SAMPLE_DOCS - 1 for x in d.values()) and d["en"].count(b"the same text of a copy") <= 1
+    assert langid.fit(docs.withColumn("doc_id", docs["doc_id"] * 7)) == d
+    assert langid.fit(docs.limit(0)) == {}
+
+
+def test_three_hundred_languages(spark):
+    rows = [(i, f"wort{i % 300} satz{i % 300} " * 8 + str(i), f"l{i % 300:03d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    d = langid.fit(docs)
+    assert len(d) == 300 and sum(map(len, d.values())) <= langid.ALL_BYTES
+    out = langid.predict(docs.where("doc_id < 30"), d).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in out) >= 28

@@ -61,3 +61,11 @@ def test_edges_of_the_input(spark):
     assert out[(1, "a")]["size"] == 0 and out[(1, "a")]["target"] == 0 and out[(3, None)]["size"] == 50000
     assert mixing.mix(docs.toDF("doc_id", "text", "source", "size", "rate")).columns == ["doc_id", "text", "source", "size", "rate"]
     assert mixing.copies(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_ties_of_limits(spark):
+    """Sources whose limits per weight are equal: whichever comes first, all are met together."""
+    for sizes in ({"a": 100, "b": 200, "c": 300, "d": 10000}, {"a": 7, "b": 7, "c": 7, None: 7}, {"a": 0, "b": 0, "c": 50}, {"x": 1}):
+        out = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, size long")).collect()}
+        want = water(sizes)
+        assert all(abs(out[s] - want[s]) < 1e-6 for s in sizes), sizes

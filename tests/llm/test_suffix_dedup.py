@@ -65,3 +65,28 @@ def test_whole_characters(spark):
     docs = spark.createDataFrame([(1, "éa" * 30 + "z"), (2, "qa" * 2 + "éa" * 30)], "doc_id long, text string")
     for r in suffix_dedup.remove_repeats(docs, length=11, whole_characters=True).collect():
         assert bytes(r["kept"]).decode() in ("z", "qa" * 2, "qaqa", "qaq", "")
+
+
+def test_texts_beyond_a_piece(spark):
+    """A text of more than a mebibyte, at production parameters: a long passage of it stands in another text, and at its own end."""
+    rng = random.Random(12)
+    part = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = part(900)
+    long = part(700_000) + passage + part(500_000) + passage[:400]
+    docs = spark.createDataFrame([(1, long), (2, "x" + passage[100:700] + "y"), (3, part(5000))], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    at = 700_000
+    assert [(x["start"], x["stop"]) for x in out[1]["removed"]] == [(at, at + 700), (at + 900 + 500_000, len(long))]
+    assert [(x["start"], x["stop"]) for x in out[2]["removed"]] == [(1, 601)] and not out[3]["removed"]
+
+
+def test_the_last_pass_at_default_parameters(spark):
+    """More than MOST_SEGMENTS different texts around one passage, so that its hashes go from pass to pass."""
+    rng = random.Random(13)
+    part = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage = part(230)
+    n = suffix_dedup.MOST_SEGMENTS + 200
+    docs = spark.createDataFrame([(i, part(40) + passage + part(40)) for i in range(n)], "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(docs).collect()
+    assert len(out) == n and all([(x["start"], x["stop"]) for x in r["removed"]][0] == (40, 270) or r["removed"][0]["start"] >= 38 for r in out)
+    assert sum([(x["start"], x["stop"]) for x in r["removed"]] == [(40, 270)] for r in out) > 0.9 * n

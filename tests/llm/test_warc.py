@@ -88,3 +88,13 @@ def test_salvage_of_a_member_with_many_records():
     alone = warc.record("urn:page:9", "http://x/", b"alone", None)
     assert names(alone + one + alone) == [("response", "urn:page:9"), *sound, ("response", "urn:page:9")]
     assert names(one[:-9] + alone) == [("gap", None), ("response", "urn:page:9")]
+
+
+def test_headers_of_any_length():
+    plain = zlib.decompress(warc.record("urn:page:1", "http://x/", b"some text", None), 31)
+    wide = plain.replace(b"WARC-Date", b"X-Long: " + b"a" * (17 << 20) + b"\r\nWARC-Date", 1)
+    assert [(r[0], r[3]) for r in salvaged(wide + plain)] == [("response", "urn:page:1")] * 2
+    pack = lambda x: (c := zlib.compressobj(1, zlib.DEFLATED, 31)).compress(x) + c.flush()
+    assert [(r[0], r[3]) for r in salvaged(pack(wide) + pack(plain))] == [("response", "urn:page:1")] * 2
+    # a version line whose header never ends costs itself alone
+    assert [r[0] for r in salvaged(b"WARC/1.1\r\nX: y" + plain)] == ["gap", "response"]
