@@ -83,6 +83,24 @@ def map_back(m: np.ndarray, size: np.ndarray, model: str = "rigid") -> np.ndarra
     return FITS[model](transform(m, corners), corners)
 
 
+def blended_maps(m: np.ndarray, low: np.ndarray, step: float, p: np.ndarray) -> np.ndarray:
+    """Images of points under maps (nx, ny, nz, 3, 4) at the knots of a grid of so wide a step, n-linearly blended between the eight around each point.
+
+    low: whole numbers of the first knot. Beyond the grid its outer maps go on.
+    """
+    at = np.clip(p / step - low, 0, np.array(m.shape[:3]) - 1)
+    base = np.minimum(np.floor(at).astype(int), np.maximum(np.array(m.shape[:3]) - 2, 0))
+    part = at - base
+    out = np.zeros_like(p, dtype=float)
+    for corner in np.ndindex(2, 2, 2):
+        w = np.prod(np.where(corner, part, 1 - part), axis=1)
+        use = np.flatnonzero(w)
+        knot = np.minimum(base[use] + corner, np.array(m.shape[:3]) - 1)
+        a = m[tuple(knot.T)]
+        out[use] += w[use, None] * (np.einsum("nij,nj->ni", a[:, :, :3], p[use]) + a[:, :, 3])
+    return out
+
+
 # ---- robust estimation ------------------------------------------------------------------------------------------
 
 
@@ -465,26 +483,100 @@ def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Points up to which all distances are taken, and points that a cell of the grid has on average beyond that.
+FEW, A_CELL = 1500, 4
+
+
+def nearest(a: np.ndarray, b: np.ndarray, k: int, skip_self: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places in b and distances of the k nearest rows of b for each row of a, by distance and place; k is cut to what there is.
+
+    Few points are compared one and all. Of many, b is put in a grid of cells with A_CELL points on average, and a row
+    looks into the cells around its own; rows whose kth distance isn't within a cell's edge look into wider grids, and at
+    last at all. Distances are held for a block of rows. skip_self: a is b, and a row isn't its own neighbour.
+    """
+    k = min(k, len(b) - skip_self)
+    at, far = np.zeros((len(a), max(k, 0)), int), np.full((len(a), max(k, 0)), np.inf)
+    if k <= 0 or not len(a):
+        return at, far
+    todo, axes = np.arange(len(a)), b.shape[1]
+    span = np.ptp(b, axis=0)
+    span = np.maximum(span, max(1e-12, span.max() * 1e-3))
+    cell = float((span.prod() * A_CELL * max(1, k / 2) / len(b)) ** (1 / axes))
+    while len(todo) and len(b) > FEW and cell < span.max():
+        shape = np.floor(span / cell).astype(np.int64) + 3
+        place = np.floor((b - b.min(0)) / cell).astype(np.int64) + 1
+        number = np.ravel_multi_index(tuple(place.T), shape)
+        order = np.argsort(number, kind="stable")
+        ordered = number[order]
+        own = np.floor((a[todo] - b.min(0)) / cell).astype(np.int64) + 1
+        left = []
+        around = np.stack(np.meshgrid(*[(-1, 0, 1)] * axes, indexing="ij"), -1).reshape(-1, axes)
+        inside = ((own >= 0) & (own < shape)).all(1)
+        left.append(todo[~inside])
+        todo, own = todo[inside], own[inside]
+        for rows in row_blocks(len(todo), 3**axes * A_CELL * 8):
+            beside = own[rows][:, None, :] + around[None]
+            ok = ((beside >= 0) & (beside < shape)).all(2)
+            cells = np.ravel_multi_index(tuple(np.where(ok[..., None], beside, 0).transpose(2, 0, 1)), shape)
+            start, stop = np.searchsorted(ordered, cells), np.searchsorted(ordered, cells, "right")
+            count = np.where(ok, stop - start, 0)
+            if count.sum() > 16 * AT_ONCE:
+                left.append(todo[rows])
+                continue
+            which = np.repeat(np.arange(len(count)), count.sum(1))
+            lens = count.ravel()
+            ends = np.cumsum(lens)
+            j = order[np.repeat(start.ravel() - ends + lens, lens) + np.arange(ends[-1])]
+            i = todo[rows][which]
+            if skip_self:
+                which, i, j = which[i != j], i[i != j], j[i != j]
+            d = ((a[i] - b[j]) ** 2).sum(1)
+            sort = np.lexsort((j, d, which))
+            which, j, d = which[sort], j[sort], d[sort]
+            rank = np.arange(len(which)) - np.searchsorted(which, which)
+            best_at, best_far = np.zeros((len(count), k), int), np.full((len(count), k), np.inf)
+            take = rank < k
+            best_at[which[take], rank[take]], best_far[which[take], rank[take]] = j[take], d[take]
+            done = best_far[:, -1] <= cell * cell
+            at[todo[rows][done]], far[todo[rows][done]] = best_at[done], best_far[done]
+            left.append(todo[rows][~done])
+        todo = np.concatenate(left)
+        cell *= 3
+    for rows in row_blocks(len(todo), len(b)):
+        d = square_distances(a[todo[rows]], b)
+        if skip_self:
+            d[np.arange(len(d)), todo[rows]] = np.inf
+        first = np.argsort(d, axis=1, kind="stable")[:, :k]
+        at[todo[rows]], far[todo[rows]] = first, np.take_along_axis(d, first, 1)
+    return at, np.sqrt(far)
+
+
 def nearest_rows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of a the place of the nearest row of b, the first of equal ones, and its distance."""
-    at, far = np.zeros(len(a), int), np.full(len(a), np.inf)
-    for rows in row_blocks(len(a), len(b)):
-        d = square_distances(a[rows], b)
-        at[rows] = d.argmin(1)
-        far[rows] = np.sqrt(d[np.arange(len(d)), at[rows]])
-    return at, far
+    at, far = nearest(a, b, 1)
+    return at[:, 0], far[:, 0]
 
 
-def nearest_others(x: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k nearest other points of each point, by distance and place; distances are held for a block of rows."""
-    out = np.empty((len(x), min(k, max(0, len(x) - 1))), int)
-    for rows in row_blocks(len(x), len(x)):
-        d = square_distances(x[rows], x)
-        d[np.arange(len(d)), np.arange(rows.start, rows.stop)] = np.inf
-        out[rows] = np.argsort(d, axis=1, kind="stable")[:, : out.shape[1]]
+def row_blocks(n: int, width: int) -> list[slice]:
+    """Slices of n rows of `width` cells, so that a dense array over one of them has at most about AT_ONCE cells."""
+    step = max(1, AT_ONCE // max(1, width))
+    return [slice(i, min(n, i + step)) for i in range(0, n, step)]
+
+
+def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of squared differences of rows of a by rows of b."""
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        d = a[:, i, None] - b[None, :, i]
+        out += d * d
     return out
 
 
+def nearest_others(x: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest other points of each point, by distance and place."""
+    return nearest(x, x, k, True)[0]
+
+
 def subsets(n: int, k: int) -> list[tuple[int, ...]]:
     """All k of n, in the order of their places."""
     return list(combinations(range(n), k))

@@ -96,7 +96,7 @@ def from_blocks(blocks: DataFrame, by: list[str], size: tuple[int, int, int] = B
 MODES = ("average", "blend", "content", "blend and content", "maximum", "lowest view", "highest view", "closest", "minimum", "sum")
 
 
-def fuse_blocks(images: DataFrame, views: DataFrame, grid: DataFrame, mode: str = "blend", size: tuple[int, int, int] = BLOCK, input_size: tuple[int, int, int] = BLOCK, border: tuple[float, float, float] = (0, 0, 0), ramp: tuple[float, float, float] = (40, 40, 40), linear: bool = True, order: str = "setup", convert: tuple[float, float, int] | None = None) -> DataFrame:
+def fuse_blocks(images: DataFrame, views: DataFrame, grid: DataFrame, mode: str = "blend", size: tuple[int, int, int] = BLOCK, input_size: tuple[int, int, int] = BLOCK, border: tuple[float, float, float] = (0, 0, 0), ramp: tuple[float, float, float] = (40, 40, 40), linear: bool = True, order: str = "setup", convert: tuple[float, float, int] | None = None, knots: DataFrame | None = None, step: float = 10.0, grow: float = 1.0) -> DataFrame:
     """bx, by, bz, data of the blocks of an output grid, fused from the views that meet them through their affine maps.
 
     images: tp, setup, bx, by, bz, data (blocks of input_size, x fastest), and `weight` of the same form for the content
@@ -107,6 +107,10 @@ def fuse_blocks(images: DataFrame, views: DataFrame, grid: DataFrame, mode: str
     high and bits of whole numbers that the values are scaled to. Axes of a single voxel take no ramp, so planes fuse
     as volumes do.
 
+    knots: tp, setup, gx, gy, gz, back: maps from the world into a view at the knots of a grid of so wide a `step` in the
+    world, as non-rigid registration makes them; a voxel's map is then their n-linear blend, and views are looked for
+    `grow` voxels beyond their own box. Blocks need the knots around them; a view without any is left out.
+
     The plan: blocks join views by cells; a pair's box, mapped back and grown by a voxel, tells the input blocks that
     it needs, which join by equality; a task holds what one output block needs. So blocks may have any size, and the
     result doesn't depend on it.
@@ -119,23 +123,36 @@ def fuse_blocks(images: DataFrame, views: DataFrame, grid: DataFrame, mode: str
     ready = ready.where("back is not null").withColumns({f"lo_{c}": lo[i] for i, c in enumerate(AXES)} | {f"hi_{c}": hi[i] for i, c in enumerate(AXES)})
     out = grid.select(*[F.col(f"b{c}").alias(f"o{c}") for c in AXES]).distinct()
     out = out.select("*", *[e for c, s in zip(AXES, size, strict=True) for e in ((F.col(f"o{c}") * float(s)).alias(f"lo_{c}"), (F.col(f"o{c}") * float(s) + s - 1).alias(f"hi_{c}"))])
-    pairs = block_views(out, ready, list(AXES), 1.0, float(size[0]))
-    b_lo, b_hi = affine.bounds(F.col("back"), [F.col(f"o{c}") * float(s) for c, s in zip(AXES, size, strict=True)], [F.col(f"o{c}") * float(s) + (s - 1) for c, s in zip(AXES, size, strict=True)])
-    need = pairs
+    pairs = block_views(out, ready, list(AXES), max(1.0, grow), float(size[0]))
+    own = ["ox", "oy", "oz", "tp", "setup"]
+    block = [F.col(f"o{c}") * float(s) for c, s in zip(AXES, size, strict=True)], [F.col(f"o{c}") * float(s) + (s - 1) for c, s in zip(AXES, size, strict=True)]
+    if knots is None:
+        b_lo, b_hi = affine.bounds(F.col("back"), *block)
+        need = pairs.withColumns({f"b_lo{i}": b_lo[i] for i in range(3)} | {f"b_hi{i}": b_hi[i] for i in range(3)}).withColumn("knots", F.lit(None).cast("array<struct<gx:int,gy:int,gz:int,back:array<double>>>"))
+    else:
+        around = pairs
+        for c, s in zip(AXES, size, strict=True):
+            around = around.withColumn(f"g{c}", F.explode(F.sequence(F.floor(F.col(f"o{c}") * float(s) / step).cast("int"), (F.floor((F.col(f"o{c}") * float(s) + (s - 1)) / step) + 1).cast("int"))))
+        maps = knots.select("tp", "setup", *[F.col(f"g{c}").cast("int").alias(f"g{c}") for c in AXES], F.col("back").alias("k_back"))
+        met = around.join(maps, ["tp", "setup", "gx", "gy", "gz"])
+        k_lo, k_hi = affine.bounds(F.col("k_back"), *block)
+        # a blend of places lies between them, so the box of all knots' images has it
+        seen = met.groupBy(*own).agg(F.collect_list(F.struct("gx", "gy", "gz", F.col("k_back").alias("back"))).alias("knots"), *[F.min(k_lo[i]).alias(f"b_lo{i}") for i in range(3)], *[F.max(k_hi[i]).alias(f"b_hi{i}") for i in range(3)])
+        need = pairs.join(seen, own)
     for i, (c, s) in enumerate(zip(AXES, input_size, strict=True)):
-        first = F.greatest(F.lit(0), F.floor((F.floor(b_lo[i]) - 1) / s))
-        last = F.least(F.floor((F.col(f"s{c}") - 1) / s), F.floor((F.floor(b_hi[i]) + 2) / s))
+        first = F.greatest(F.lit(0), F.floor((F.floor(f"b_lo{i}") - 1) / s))
+        last = F.least(F.floor((F.col(f"s{c}") - 1) / s), F.floor((F.floor(f"b_hi{i}") + 2) / s))
         need = need.withColumns({f"f_{c}": first.cast("int"), f"l_{c}": last.cast("int")})
     need = need.where("f_x <= l_x and f_y <= l_y and f_z <= l_z")
     for c in AXES:
         need = need.withColumn(f"n{c}", F.explode(F.sequence(f"f_{c}", f"l_{c}")))
-    need = need.select("ox", "oy", "oz", "tp", "setup", "back", "f_order", "sx", "sy", "sz", "nx", "ny", "nz")
+    need = need.select("ox", "oy", "oz", "tp", "setup", "back", "knots", "f_order", "sx", "sy", "sz", "nx", "ny", "nz")
     parts = images.select("tp", "setup", F.col("bx").alias("nx"), F.col("by").alias("ny"), F.col("bz").alias("nz"), "data", *(["weight"] if content else []))
     rows = need.join(parts, ["tp", "setup", "nx", "ny", "nz"])
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         origin = g[["ox", "oy", "oz"]].iloc[0].to_numpy(int) * size
-        fused = _combine(g, origin, mode, size, input_size, border, ramp, linear, content)
+        fused = _combine(g, origin, mode, size, input_size, border, ramp, linear, content, step)
         if convert is not None:
             low, high, bits = convert
             fused = np.clip(np.floor((fused - low) / (high - low) * ((1 << bits) - 1) + 0.5), 0, (1 << bits) - 1)
@@ -144,7 +161,17 @@ def fuse_blocks(images: DataFrame, views: DataFrame, grid: DataFrame, mode: str
     return rows.groupBy("ox", "oy", "oz").applyInPandas(work, "bx int, `by` int, bz int, data array<double>")
 
 
-def _combine(g: pd.DataFrame, origin: np.ndarray, mode: str, size, input_size, border, ramp, linear: bool, content: bool) -> np.ndarray:
+def _deformed(knots: list, step: float, world: np.ndarray) -> np.ndarray:
+    """Places in a view of world places, by the maps at the knots around; a knot that isn't there has the nearest one's."""
+    places = np.array([[k["gx"], k["gy"], k["gz"]] for k in knots], int)
+    maps = np.stack([np.asarray(k["back"], float).reshape(3, 4) for k in knots])
+    low, high = places.min(0), places.max(0)
+    every = np.stack(np.meshgrid(*[np.arange(a, b + 1) for a, b in zip(low, high, strict=True)], indexing="ij"), -1)
+    which, _ = K.nearest_rows(every.reshape(-1, 3).astype(float), places.astype(float))
+    return K.blended_maps(maps[which].reshape(*every.shape[:3], 3, 4), low, step, world.astype(float))
+
+
+def _combine(g: pd.DataFrame, origin: np.ndarray, mode: str, size, input_size, border, ramp, linear: bool, content: bool, step: float) -> np.ndarray:
     """One output block, x fastest, of the input blocks that its views need."""
     z, y, x = np.meshgrid(*[np.arange(n) for n in size[::-1]], indexing="ij")
     world = np.stack([x.ravel(), y.ravel(), z.ravel()], 1) + origin
@@ -153,7 +180,7 @@ def _combine(g: pd.DataFrame, origin: np.ndarray, mode: str, size, input_size, b
     for _, v in sorted(g.groupby(["f_order", "tp", "setup"]), key=lambda kv: kv[0]):
         r = v.iloc[0]
         dims = np.array([r["sx"], r["sy"], r["sz"]], int)
-        at = K.transform(np.asarray(r["back"], float).reshape(3, 4), world)
+        at = K.transform(np.asarray(r["back"], float).reshape(3, 4), world) if r["knots"] is None else _deformed(r["knots"], step, world)
         inside = ((at >= -SLACK) & (at <= dims - 1 + SLACK)).all(1)
         at = np.clip(at, 0, dims - 1)
         where = {(i, j, k): n for n, (i, j, k) in enumerate(zip(v["nx"], v["ny"], v["nz"], strict=True))}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumiframe.functions import affine
 from lumiframe.operators import volume as V
 from lumiframe.plans import bindings as B
 from lumiframe.plans.q_fusion import RAMP_SQL, _lerp
@@ -30,7 +31,7 @@ def views(spark, d):
     return spark.createDataFrame(rows, "tp int, setup int, m array<double>, sx int, sy int, sz int")
 
 
-def fused(spark, d, mode, plane=False, linear=True, ramp=3.0, border=0.45, block=8):
+def fused(spark, d, mode, plane=False, linear=True, ramp=3.0, border=0.45, block=8, **how):
     v = volumes(spark, d)
     w = views(spark, d)
     if plane:
@@ -40,7 +41,7 @@ def fused(spark, d, mode, plane=False, linear=True, ramp=3.0, border=0.45, block
     n, deep = stop - first, -(-GRID // block)
     cells = spark.range(n * n).select((F.col("id") % n + first).cast("int").alias("bx"), (F.floor(F.col("id") / n) + first).cast("int").alias("by"), F.explode(F.sequence(F.lit(0), F.lit(deep - 1))).alias("bz"))
     size = (block, block, block)
-    out = V.fuse_blocks(images, w, cells, mode, size, (4, 4, 4), (border,) * 3, (ramp,) * 3, linear)
+    out = V.fuse_blocks(images, w, cells, mode, size, (4, 4, 4), (border,) * 3, (ramp,) * 3, linear, **how)
     return V.from_blocks(out, [], size).select("x", "y", "z", F.round(F.col("v") + 1e-9, 4).alias("v")).where("v <> 0")
 
 
@@ -104,3 +105,13 @@ def fuse_plane_minimum(spark, d):
 @query(_fused_sql("sum", plane=True))
 def fuse_plane_sum(spark, d):
     return fused(spark, d, "sum", plane=True)
+
+
+@query(_fused_sql("blend"))
+def fuse_deformed(spark, d):
+    """Through a grid of maps that all are the view's own, fusion is as without a grid."""
+    back = affine.inverse(F.col("m"))
+    k = views(spark, d).select("tp", "setup", back.alias("back"))
+    for c, ends in zip("xyz", ((-2, 7), (-2, 7), (0, 2)), strict=True):
+        k = k.withColumn(f"g{c}", F.explode(F.sequence(*map(F.lit, ends))))
+    return fused(spark, d, "blend", knots=k, step=5.0, grow=4.0)

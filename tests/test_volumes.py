@@ -266,3 +266,46 @@ def test_rotation_axes(spark):
         assert math.isclose(r["angle"], math.degrees(n), abs_tol=1e-4) and min(np.abs(got - np.array(r["v"]) / n).max(), np.abs(got + np.array(r["v"]) / n).max() if abs(n - math.pi) < 1e-9 else 9) < 1e-4
     one = spark.range(1).select(*transforms.rotation_axis(affine.literal(affine.IDENTITY))[0]).first()
     assert list(one) == [0, 0, 0]
+
+
+def test_nearest_of_many_points():
+    """The grid finds what all distances give, in dense and in empty places, with repeated points and outliers."""
+    sets = [rng.uniform(0, 100, (4000, 3)), np.concatenate([rng.normal(0, 1, (3000, 3)), rng.uniform(-500, 500, (200, 3)), np.zeros((50, 3))]), rng.uniform(0, 9, (2500, 2)), np.c_[rng.uniform(0, 9, (2000, 2)), np.zeros(2000)]]
+    for x in sets:
+        d = K.square_distances(x, x)
+        np.fill_diagonal(d, np.inf)
+        want = np.argsort(d, axis=1, kind="stable")[:, :5]
+        got, far = K.nearest(x, x, 5, True)
+        assert np.allclose(far, np.sqrt(np.take_along_axis(d, want, 1))) and (got == want).mean() > 0.999
+        y = rng.uniform(x.min() - 20, x.max() + 20, (700, x.shape[1]))
+        e = K.square_distances(y, x)
+        assert np.allclose(K.nearest_rows(y, x)[1], np.sqrt(e.min(1)))
+
+
+def test_fusion_through_a_deformed_grid(spark):
+    """Maps that differ from knot to knot: every voxel by itself, blended between the eight knots around it."""
+    images, views = tables(spark, (4, 4, 3))
+    r = np.random.default_rng(3)
+    step, low, n = 4.0, -1, 7
+    maps = {}
+    for s, m in enumerate(MAPS):
+        inverse = np.linalg.inv(np.vstack([m, [0, 0, 0, 1]]))[:3]
+        for g in product(range(low, low + n), repeat=3):
+            maps[s, g] = inverse + r.normal(0, 0.01, (3, 4)) * [1, 1, 1, 30]
+    knots = spark.createDataFrame([(0, s, *g, m.ravel().tolist()) for (s, g), m in maps.items()], "tp int, setup int, gx int, gy int, gz int, back array<double>")
+    got = []
+    for size in ((5, 4, 3), (16, 16, 8)):
+        grid = spark.createDataFrame([(x, y, z) for x in range(-(-16 // size[0])) for y in range(-(-12 // size[1])) for z in range(-(-6 // size[2]))], "bx int, `by` int, bz int")
+        out = volume.fuse_blocks(images, views, grid, "average", size, (4, 4, 3), knots=knots, step=step, grow=6.0)
+        got.append({(x["x"], x["y"], x["z"]): x["v"] for x in volume.from_blocks(out, [], size).collect()})
+    for at in product(range(16), range(12), range(6)):
+        values = []
+        for s, image in enumerate(IMAGES):
+            base = [int(math.floor(v / step)) for v in at]
+            part = [v / step - b for v, b in zip(at, base, strict=True)]
+            p = sum(math.prod(q if u else 1 - q for q, u in zip(part, up, strict=True)) * (maps[s, tuple(b + u for b, u in zip(base, up, strict=True))] @ [*at, 1]) for up in product((0, 1), repeat=3))
+            if all(-1e-9 <= v <= k - 1 + 1e-9 for v, k in zip(p, DIMS, strict=True)):
+                b = [min(max(int(math.floor(v)), 0), k - 2) for v, k in zip(p, DIMS, strict=True)]
+                values.append(sum(math.prod(v - c if u else 1 - v + c for v, c, u in zip(p, b, up, strict=True)) * float(image[b[2] + up[2], b[1] + up[1], b[0] + up[0]]) for up in product((0, 1), repeat=3)))
+        want = sum(values) / len(values) if values else 0.0
+        assert all(math.isclose(g.get(at, 0.0), want, rel_tol=1e-6, abs_tol=1e-6) for g in got), at
