@@ -182,10 +182,10 @@ def initial_estimates(spark, d):
     return a.join(b, "x").join(c, "x")
 
 
-@query(sql("SELECT setup % 2 AS grp, x, round(CASE WHEN sum(x % 4) > 0 THEN sum(v * (x % 4)) / sum(x % 4) ELSE 0 END, 5) AS v, CAST(sum(x % 4) AS BIGINT) AS w FROM line GROUP BY 1, 2", "line"))
+@query(sql("SELECT setup % 2 AS grp, x, round(CASE WHEN sum(x % 4) > 0 THEN sum(v * (x % 4)) / sum(x % 4) ELSE 0 END + 1e-9, 5) AS v, CAST(sum(x % 4) AS BIGINT) AS w FROM line GROUP BY 1, 2", "line"))
 def group_inputs(spark, d):
     v = B.line(spark, d).withColumns({"grp": F.col("setup") % 2, "w": F.col("x") % 4})
-    return X.group_inputs(v, ["x"], "grp").select("grp", "x", R("v", 5).alias("v"), F.col("w").cast("long").alias("w"))
+    return X.group_inputs(v, ["x"], "grp").select("grp", "x", R(F.col("v") + 1e-9, 5).alias("v"), F.col("w").cast("long").alias("w"))
 
 
 @query(sql("SELECT setup, x, CAST(x % 2 + 2 * (setup % 2) AS INT) AS batch FROM voxel", "voxel"))
