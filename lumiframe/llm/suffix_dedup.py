@@ -124,6 +124,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return a[:n], b[:n]
 
 
+def _cut_by(fresh: np.ndarray, boundary: np.ndarray, before: np.ndarray, back: np.ndarray) -> np.ndarray | None:
+    """Places that boundaries of the last round cut, found from these alone; null where too many suffixes are behind them.
+
+    A suffix q is the tail of back[q]; the place there is cut if the tail before it, before[back[q]], lies in front of the
+    last boundary up to q. That is a fresh one only for the suffixes from it to the next boundary.
+    """
+    i = back[fresh]
+    found = [i[before[i] < fresh]]
+    p = fresh[~boundary[fresh + 1]]
+    if len(p):
+        every = np.flatnonzero(boundary)
+        lens = every[np.searchsorted(every, p, "right")] - p - 1
+        ends = np.cumsum(lens)
+        if ends[-1] * 3 > len(back):
+            return None
+        first = np.repeat(p, lens)
+        i = back[first + (np.arange(ends[-1]) - np.repeat(ends - lens, lens) + 1)]
+        found.append(i[before[i] < first])
+    out = np.concatenate(found)
+    return out[~boundary[out]]
+
+
 def repeated_windows(blocks: list[bytes], length: int = LENGTH, copies: np.ndarray | None = None) -> list[np.ndarray]:
     """For each byte string, the places where a window starts that also starts elsewhere in any of them.
 
@@ -190,20 +212,26 @@ def repeated_windows(blocks: list[bytes], length: int = LENGTH, copies: np.ndarr
     boundary[1:total] = (head[1:] != head[:-1]) | (head[1:] == 0)
     open_ = np.flatnonzero(~boundary[:total])
     low, high = tail[open_ - 1], tail[open_]
-    known = -1
+    back = np.empty(total, np.int32)
+    back[tail] = np.arange(total, dtype=np.int32)
+    before = np.roll(tail, 1).astype(np.int32)
+    fresh = np.flatnonzero(boundary[:total])
     for _ in range(length - 1):
         # an interval of prefixes of l bytes, extended backwards by a byte, is cut where a boundary lies between the tails
-        number = np.cumsum(boundary[:total], dtype=np.int32)
-        if number[-1] == known or not len(open_):
+        after = _cut_by(fresh, boundary, before, back) if len(fresh) * 16 < total else None
+        if after is None:
+            number = np.cumsum(boundary[:total], dtype=np.int32)
+            cut = number.take(low) != number.take(high)
+            after = open_.take(np.flatnonzero(cut))
+            after = after[~boundary[after]]
+            # those that are cut are cut again until they are swept out, which is done when there are many
+            if np.count_nonzero(cut) * 8 > len(cut):
+                keep = ~cut
+                open_, low, high = open_[keep], low[keep], high[keep]
+        if not len(after):
             break
-        known = number[-1]
-        cut = number.take(low) != number.take(high)
-        at = np.flatnonzero(cut)
-        boundary[open_.take(at)] = True
-        # those that are cut are cut again until they are swept out, which is done when there are many
-        if len(at) * 8 > len(cut):
-            keep = ~cut
-            open_, low, high = open_[keep], low[keep], high[keep]
+        boundary[after] = True
+        fresh = after
     open_ = open_[~boundary[open_]]
     shared = np.zeros(total, bool)
     shared[open_] = True
