@@ -592,21 +592,30 @@ def redundant_distance(a: np.ndarray, b: np.ndarray, neighbours: int) -> np.ndar
     return best
 
 
+#: Share of their lengths' product up to which vectors are in one line or plane.
+FLAT = 1e-9
+
+
 def local_frames(x: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
     """Six rotation-invariant numbers of each point and its three nearest others; rows without a frame are NaN.
 
     Three places around a point have nine coordinates, of which a rotation takes three away. The frame that does so has
     its first axis towards the farthest of the three, its second in the plane that the nearest one opens with it, and its
     third across that plane, to the side of the one between. Left are the farthest one's distance, the nearest one's
-    two coordinates in the plane, and all three of the one between.
+    two coordinates in the plane, and all three of the one between. If all three lie in a plane with the point, the one
+    between has no side, and the third axis keeps that of the nearest one and the first axis; the two must open a plane.
+    Both are told within a share of FLAT, so that rounding decides neither.
     """
     nearest, between, farthest = (x[neighbours[:, i]] - x for i in range(3))
     inner = lambda u, v: (u * v).sum(1)
-    unit = lambda u: u / np.linalg.norm(u, axis=1, keepdims=True)
+    length = lambda u: np.linalg.norm(u, axis=1, keepdims=True)
+    unit = lambda u: u / length(u)
     with np.errstate(all="ignore"):
         first = unit(farthest)
-        across = unit(np.cross(nearest, first))
-        across = np.where(inner(across, between)[:, None] < 0, -across, across)
+        across = np.cross(nearest, first)
+        beside = inner(across, between)[:, None] < -FLAT * length(nearest) * length(between)
+        across = np.where(length(across) > FLAT * length(nearest), unit(across), np.nan)
+        across = np.where(beside, -across, across)
         second = unit(np.cross(across, first))
     return np.stack([np.linalg.norm(farthest, axis=1), inner(nearest, first), inner(nearest, second), inner(between, first), inner(between, second), inner(between, across)], 1)
 
