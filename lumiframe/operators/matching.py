@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumiframe.functions import batches
 from lumiframe.functions import kernels as K
 
 MATCH = "task string, id_a long, id_b long"
@@ -128,8 +129,18 @@ def centre_of_mass(points: DataFrame, by: list[str], how: str = "mean") -> DataF
     return points.groupBy(*by).agg(*[f(c).alias(c) for c in ("x", "y", "z")], F.count(F.lit(1)).alias("n"))
 
 
-def _cogroup(a: DataFrame, b: DataFrame, by: list[str], work, schema: str) -> DataFrame:
-    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(work, schema)
+def _both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of a and b (task, id, x, y, z) as one table, told apart by `side`."""
+    side = lambda d, n: d.select("task", F.lit(n).cast("byte").alias("side"), F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in XYZ])
+    return side(a, 0).unionByName(side(b, 1))
+
+
+def _sides(t, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First row, number of rows of side 0, and of side 1, of each task of a table of _both()."""
+    start, n = cuts[:-1], np.diff(cuts)
+    second = np.concatenate([[0], np.cumsum(t.column("side").to_numpy().astype(np.int64))])
+    nb = second[cuts[1:]] - second[start]
+    return start, n - nb, nb
 
 
 XYZ = ["x", "y", "z"]
@@ -140,46 +151,57 @@ def descriptor_matches(a: DataFrame, b: DataFrame, method: str, ratio: float, ne
 
     redundant: translation-invariant neighbourhoods with some neighbours too many, compared in all subsets, strict
     ratio. fast: one vector per subset, ratio not strict. hashing: rotation-invariant frames, ratio not strict.
-    A task is one pair of views and is bounded by a view's points.
+    A task is one pair of views and is bounded by a view's points; small ones are stacked, many at a time.
     """
+    k = neighbours + redundancy
 
-    def work(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"task": [], "id_a": [], "id_b": []}).astype({"task": "object", "id_a": "int64", "id_b": "int64"})
-        k = neighbours + redundancy
-        if len(p) <= k or len(q) <= k:
-            return empty
-        p, q = p.sort_values("id"), q.sort_values("id")
-        x, y = p[XYZ].to_numpy(float), q[XYZ].to_numpy(float)
+    def one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         nx, ny = K.nearest_others(x, k), K.nearest_others(y, k)
         if method == "redundant":
-            m = K.matches_by_ratio(x[nx] - x[:, None], y[ny] - y[:, None], ratio, True, threshold, lambda u, v: K.redundant_distance(u, v, neighbours))
-        else:
-            own_a, own_b, va, vb = [], [], [], []
-            for s in K.subsets(k, neighbours):
-                for own, vec, pts, near in ((own_a, va, x, nx), (own_b, vb, y, ny)):
-                    own.append(np.arange(len(pts)))
-                    sub = near[:, list(s)]
-                    vec.append((pts[sub] - pts[:, None]).reshape(len(pts), -1) if method == "fast" else K.local_frames(pts, sub))
-            own_a, own_b, va, vb = (np.concatenate(v) for v in (own_a, own_b, va, vb))
-            fa, fb = np.isfinite(va).all(1), np.isfinite(vb).all(1)
-            own_a, own_b, va, vb = own_a[fa], own_b[fb], va[fa], vb[fb]
-            scale = 3 if method == "fast" else 1
-            m = K.matches_by_ratio(va, vb, ratio, False, threshold, lambda u, v: K.square_distances(u, v) / scale)
-            m = np.unique(np.stack([own_a[m[:, 0]], own_b[m[:, 1]]], 1), axis=0) if len(m) else m
-        if not len(m):
-            return empty
-        return pd.DataFrame({"task": p["task"].iloc[0], "id_a": p["id"].to_numpy()[m[:, 0]], "id_b": q["id"].to_numpy()[m[:, 1]]})
-
-    return _cogroup(a, b, ["task"], work, MATCH)
+            return K.matches_by_ratio(x[nx] - x[:, None], y[ny] - y[:, None], ratio, True, threshold, lambda u, v: K.redundant_distance(u, v, neighbours))
+        own_a, own_b, va, vb = [], [], [], []
+        for s in K.subsets(k, neighbours):
+            for own, vec, pts, near in ((own_a, va, x, nx), (own_b, vb, y, ny)):
+                own.append(np.arange(len(pts)))
+                sub = near[:, list(s)]
+                vec.append((pts[sub] - pts[:, None]).reshape(len(pts), -1) if method == "fast" else K.local_frames(pts, sub))
+        own_a, own_b, va, vb = (np.concatenate(v) for v in (own_a, own_b, va, vb))
+        fa, fb = np.isfinite(va).all(1), np.isfinite(vb).all(1)
+        own_a, own_b, va, vb = own_a[fa], own_b[fb], va[fa], vb[fb]
+        scale = 3 if method == "fast" else 1
+        m = K.matches_by_ratio(va, vb, ratio, False, threshold, lambda u, v: K.square_distances(u, v) / scale)
+        return np.unique(np.stack([own_a[m[:, 0]], own_b[m[:, 1]]], 1), axis=0) if len(m) else m
+
+    def work(t, cuts: np.ndarray) -> list:
+        at = np.stack([t.column(c).to_numpy() for c in XYZ], 1).astype(float)
+        start, na, nb = _sides(t, cuts)
+        found = [np.empty((0, 2), int)]
+        use = np.flatnonzero((na > k) & (nb > k))
+        small = use[np.maximum(na[use], nb[use]) <= batches.SMALL]
+        width = lambda s: s * s * (k * k if method == "redundant" else len(K.subsets(k, neighbours)) ** 2)
+        for size, which in batches.stacks(na[small], nb[small], width):
+            g = small[which]
+            (x, in_x), (y, in_y) = batches.padded(at, start[g], na[g], size), batches.padded(at, start[g] + na[g], nb[g], size)
+            i, r, c = batches.descriptor_matches(x, in_x, y, in_y, method, ratio, neighbours, redundancy, threshold)
+            found.append(np.stack([start[g[i]] + r, start[g[i]] + na[g[i]] + c], 1))
+        for g in np.setdiff1d(use, small):
+            middle = start[g] + na[g]
+            m = one(at[start[g] : middle], at[middle : middle + nb[g]])
+            found.append(m + [start[g], middle])
+        rows = np.concatenate(found)
+        ids = t.column("id").to_numpy()
+        return [t.column("task").take(rows[:, 0]).combine_chunks(), ids[rows[:, 0]], ids[rows[:, 1]]]
+
+    return map_chunks(_both(a, b), "task", ["side", "id"], work, MATCH)
 
 
 PAIR = ["xa", "ya", "za", "xb", "yb", "zb"]
 
 
-def map_groups(df: DataFrame, key: str, order: list[str], work, schema: str) -> DataFrame:
-    """work(key, table) -> list of columns, for the rows of each key as an Arrow table in the given order; a task has whole groups, one after the other.
+def map_chunks(df: DataFrame, key: str, order: list[str], work, schema: str) -> DataFrame:
+    """work(table, cuts) -> list of columns, for Arrow tables of whole groups of a key, one after the other in the given order; cuts: their first rows, and the end.
 
-    As applyInPandas, for very many small groups: rows are sorted once per partition, and a group costs its slice alone.
+    Rows are sorted once per partition, so that very many small groups cost no more than their rows.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -188,26 +210,26 @@ def map_groups(df: DataFrame, key: str, order: list[str], work, schema: str) ->
     columns = [key, *[c for c in df.columns if c != key]]
     out_schema = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
-    def run(batches):
+    def run(batches_):
         held: list = []
 
         def done(table):
             keys = table.column(0).combine_chunks()
-            cuts = [0, *(np.flatnonzero(np.asarray(pc.not_equal(keys[1:], keys[:-1]))) + 1).tolist(), len(keys)] if len(keys) else [0]
-            made = [work(keys[a].as_py(), table.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
-            cols = [np.concatenate([m[k] for m in made]) if made else [] for k in range(len(out_schema))]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out_schema, strict=True)], schema=out_schema)
+            cuts = np.array([0, *(np.flatnonzero(np.asarray(pc.not_equal(keys[1:], keys[:-1]))) + 1).tolist(), len(keys)])
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(work(table, cuts), out_schema, strict=True)], schema=out_schema)
 
-        for b in batches:
+        for b in batches_:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([*held, b])
-            last = t.column(0)[-1]
-            same = np.asarray(pc.equal(t.column(0), last))
+            last = b.column(0)[b.num_rows - 1]
+            same = np.asarray(pc.equal(b.column(0), last))
             cut = len(same) - int(same[::-1].argmin() if not same.all() else len(same))
-            if cut:
-                yield done(t.slice(0, cut))
-            held = t.slice(cut).to_batches()
+            # a batch that is of one group: the held rows are of it, or are whole groups
+            if cut or (held and held[-1].column(0)[-1] != last):
+                held.append(b.slice(0, cut))
+                yield done(pa.Table.from_batches([h for h in held if h.num_rows]))
+                held = []
+            held.append(b.slice(cut))
         if held:
             yield done(pa.Table.from_batches(held))
 
@@ -215,6 +237,20 @@ def map_groups(df: DataFrame, key: str, order: list[str], work, schema: str) ->
     return rows.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, key: str, order: list[str], work, schema: str) -> DataFrame:
+    """work(key, table) -> list of columns, for the rows of each key as an Arrow table in the given order; a task has whole groups, one after the other.
+
+    As applyInPandas, for very many small groups: a group costs its slice alone.
+    """
+
+    def chunk(t, cuts: np.ndarray) -> list:
+        keys = t.column(0)
+        made = [work(keys[int(a)].as_py(), t.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return [np.concatenate(m) for m in zip(*made, strict=True)]
+
+    return map_chunks(df, key, order, chunk, schema)
+
+
 def ransac_inliers(matches: DataFrame, model: str = "translation", epsilon: float = 5.0, least_ratio: float = 0.1, rounds: int = 1000, least: int = 12, multi: bool = False) -> DataFrame:
     """Inliers of matches (task, id_a, id_b, places of both), with the number of their consensus set; samples are seeded by task."""
 
@@ -237,15 +273,22 @@ def icp_matches(a: DataFrame, b: DataFrame, model: str = "translation", reach: f
     robust: epsilon, least ratio and rounds of a RANSAC over the pairs of every round, its samples seeded by task.
     """
 
-    def work(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        cols = {"task": "object", "id_a": "int64", "id_b": "int64", "m": "object"}
-        if not len(p) or not len(q):
-            return pd.DataFrame({c: [] for c in cols}).astype(cols)
-        p, q = p.sort_values("id"), q.sort_values("id")
-        m, pairs, _ = K.icp(p[XYZ].to_numpy(float), q[XYZ].to_numpy(float), model, reach, rounds, least, robust, task_seed(p["task"].iloc[0]))
-        return pd.DataFrame({"task": p["task"].iloc[0], "id_a": p["id"].to_numpy()[pairs[:, 0]], "id_b": q["id"].to_numpy()[pairs[:, 1]], "m": [m.ravel().tolist()] * len(pairs)}).astype({"id_a": "int64", "id_b": "int64"})
+    import pyarrow as pa
 
-    return _cogroup(a, b, ["task"], work, MATCH + ", m array<double>")
+    def work(t, cuts: np.ndarray) -> list:
+        at = np.stack([t.column(c).to_numpy() for c in XYZ], 1).astype(float)
+        start, na, nb = _sides(t, cuts)
+        names, found, maps = t.column("task"), [np.empty((0, 2), int)], [np.empty((0, 12))]
+        for s, n, k in zip(start, na, nb, strict=True):
+            if n and k:
+                m, pairs, _ = K.icp(at[s : s + n], at[s + n : s + n + k], model, reach, rounds, least, robust, task_seed(names[int(s)].as_py()) if robust else 0)
+                found.append(pairs + [s, s + n])
+                maps.append(np.broadcast_to(m.ravel(), (len(pairs), 12)))
+        rows, ids = np.concatenate(found), t.column("id").to_numpy()
+        cells = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * 12), pa.array(np.concatenate(maps).ravel()))
+        return [names.take(rows[:, 0]).combine_chunks(), ids[rows[:, 0]], ids[rows[:, 1]], cells]
+
+    return map_chunks(_both(a, b), "task", ["side", "id"], work, MATCH + ", m array<double>")
 
 
 def fit_models(matches: DataFrame, model: str, other: str | None = None, share: float = 0.1) -> DataFrame:
