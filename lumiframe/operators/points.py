@@ -91,16 +91,61 @@ def local_extrema(signal: DataFrame, by: str, at: str, value: str, threshold: fl
     return s.withColumn("kind", kind).where(F.col("kind").isNotNull() & (F.abs(v) >= threshold)).drop("before", "after")
 
 
+#: Open points of a cell of half a radius, in the mean of points, from which suppress() goes by cells.
+DENSE = 2
+
+
 def suppress(points: DataFrame, radius: float, seed: int = 234, order: Column | None = None) -> DataFrame:
     """Points that stay when each, in an order of hashes, takes away those of other views within radius that are still there.
 
-    The order is xxhash64(tp, setup, id, seed), or the column given. A point goes if an earlier one that stays is near. Each round settles
-    the points whose earlier neighbours are settled: a point stays once all of them went, and goes once one stays.
+    The order is xxhash64(tp, setup, id, seed), or the column given. A point goes if an earlier one that stays is near.
+
+    While points are dense, no pairs are formed: each round, a cell's earliest point, and those of its view that come
+    before all others, stay if no cell in reach has an earlier one of another view; they then take away what is near, and
+    both leave. All that stay in a cell are of few views, so what a round compares grows with the cells. Once cells have
+    about DENSE open points, links are made: each round then settles the points whose earlier neighbours are settled.
     """
-    from lumiframe.operators.iterate import materialize
+    from lumiframe.operators.iterate import discard, materialize
 
     key = ["tp", "label", "setup", "id"]
-    p = points.select(*key, *AXES).withColumn("o", F.xxhash64("tp", "setup", "id", F.lit(seed)) if order is None else order)
+    side = radius / 2 * (1 + 1e-9)
+    places = [f"c_{c}" for c in AXES]
+    cell = ["tp", "label", *places]
+    p = points.select(*key, *AXES).where(functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*key, *AXES]]))
+    p = p.withColumn("o", F.xxhash64("tp", "setup", "id", F.lit(seed)) if order is None else order)
+    p = materialize(p.withColumns({f"c_{c}": F.floor(F.col(c) / side) for c in AXES}))
+    rank = F.struct("o", "setup", "id")
+    stayed = [points.where(functools.reduce(lambda a, b: a | b, [F.col(c).isNull() for c in AXES])).select(*key)]
+
+    def reach(d: DataFrame) -> DataFrame:
+        """Rows once for each cell that a ball around a point of theirs may touch."""
+        for c in places:
+            d = d.withColumn(c, F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2)))
+        return d
+
+    while True:
+        n, crowd = p.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if not n or crowd <= DENSE * n:
+            break
+        # the first points of the first two views of each cell
+        firsts = p.groupBy(*cell, "setup").agg(F.min(rank).alias("r"))
+        firsts = firsts.withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy("r"))).where("place <= 2")
+        firsts = materialize(firsts.groupBy(*cell).agg(F.min("r").alias("r_1"), F.max(F.when(F.col("place") == 2, F.col("r"))).alias("r_2")))
+        own = firsts.select(*cell, F.col("r_1.setup").alias("own_setup"))
+        limit = reach(firsts).join(own.hint("merge"), cell).groupBy(*cell, "own_setup").agg(F.min(F.when(F.col("r_1.setup") != F.col("own_setup"), F.col("r_1")).otherwise(F.col("r_2"))).alias("limit"))
+        stay = p.join(limit.withColumnRenamed("own_setup", "setup"), [*cell, "setup"]).where(F.col("limit").isNull() | (rank < F.col("limit")))
+        stay = materialize(stay.select(*key, *AXES, *places))
+        stayed.append(stay.select(*key))
+        near = reach(stay.select("tp", "label", *places, F.col("setup").alias("n_setup"), F.col("id").alias("n_id"), *[F.col(c).alias(f"n_{c}") for c in AXES]))
+        gone = (F.col("setup") == F.col("n_setup")) & (F.col("id") == F.col("n_id"))
+        for c in AXES:
+            near = near.withColumnRenamed(f"c_{c}", f"m_{c}")
+        near = near.withColumnsRenamed({"tp": "m_tp", "label": "m_label"})
+        d2 = functools.reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"n_{c}")) * (F.col(c) - F.col(f"n_{c}")) for c in AXES])
+        same = functools.reduce(lambda a, b: a & b, [F.col(c) == F.col(f"m_{c.removeprefix('c_')}") for c in cell])
+        left = materialize(p.join(near.hint("merge"), same & (gone | ((F.col("setup") != F.col("n_setup")) & (d2 <= radius * radius))), "left_anti"))
+        discard(p, firsts)
+        p = left
     near = spatial.within_radius(p, p, AXES, radius, ["tp", "label"]).where((F.col("setup_a") != F.col("setup_b")) & (F.struct("o_b", "setup_b", "id_b") < F.struct("o_a", "setup_a", "id_a")))
     links = materialize(near.select(*[F.col(f"{c}_a").alias(c) for c in key], *[F.col(f"{c}_b").alias(f"n_{c}") for c in key]))
     state = materialize(p.select(*key, F.lit(None).cast("boolean").alias("stays")))
@@ -108,9 +153,11 @@ def suppress(points: DataFrame, radius: float, seed: int = 234, order: Column |
         other = state.select(*[F.col(c).alias(f"n_{c}") for c in key], F.col("stays").alias("n_stays"))
         seen = links.join(other, [f"n_{c}" for c in key]).groupBy(*key).agg(F.coalesce(F.bool_or("n_stays"), F.lit(False)).alias("taken"), F.count_if(F.col("n_stays").isNull()).alias("open"))
         after = state.join(seen, key, "left").select(*key, F.when(F.col("stays").isNotNull(), F.col("stays")).when(F.col("taken"), False).when(F.coalesce("open", F.lit(0)) == 0, True).alias("stays"))
-        state = materialize(after)
+        before, state = state, materialize(after)
+        discard(before)
         if state.where("stays is null").isEmpty():
-            return points.join(state.where("stays").select(*key), key, "left_semi")
+            stayed.append(state.where("stays").select(*key))
+            return points.join(functools.reduce(DataFrame.unionByName, stayed), key, "left_semi")
 
 
 def blob_labels(cells: DataFrame, by: list[str], axis: str, value: str, threshold: float) -> DataFrame:
