@@ -187,7 +187,8 @@ def points_of_volumes(points: DataFrame, parts: DataFrame) -> DataFrame:
     """Points that lie in a part of their view on all axes, in its coordinates and under its id; one in an overlap is in several."""
     p = parts.select("tp", "setup", "new_setup", *[f"{e}_{c}" for c in AXES for e in ("from", "to")])
     inside = functools.reduce(lambda a, b: a & b, [F.col(c).between(F.col(f"from_{c}"), F.col(f"to_{c}")) for c in AXES])
-    return points.join(p, ["tp", "setup"]).where(inside).withColumns({c: F.col(c) - F.col(f"from_{c}") for c in AXES}).drop(*[f"{e}_{c}" for c in AXES for e in ("from", "to")])
+    # parts are many more than the file that views come from tells of, so they're never broadcast
+    return points.join(p.hint("merge"), ["tp", "setup"]).where(inside).withColumns({c: F.col(c) - F.col(f"from_{c}") for c in AXES}).drop(*[f"{e}_{c}" for c in AXES for e in ("from", "to")])
 
 
 def points_of_parts(points: DataFrame, parts: DataFrame, axis: str = "x") -> DataFrame:
