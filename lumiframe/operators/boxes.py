@@ -161,6 +161,16 @@ def split_views(setups: DataFrame, size: int, overlap: int, axis: str = "x") ->
     return tiles.withColumns({"from": start, "to": F.least(length, start + size) - 1}).withColumn("new_setup", F.row_number().over(Window.orderBy("setup", "part")) - 1)
 
 
+def running_total(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with `before`, the sum of the values of all smaller keys. Keys are dealt by range; a row per partition meets in one task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(parts, key).withColumn("r_part", F.spark_partition_id()))
+    earlier = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy("r_part").agg(F.sum(value).alias(value)).select("r_part", earlier(Window.orderBy("r_part")).alias("r_before"))
+    within = dealt.withColumn("before", earlier(Window.partitionBy("r_part").orderBy(key)))
+    return within.join(F.broadcast(offsets), "r_part").withColumn("before", F.col("before") + F.col("r_before")).drop("r_part", "r_before")
+
+
 def split_volumes(views: DataFrame, size: tuple[int, int, int], overlap: tuple[int, int, int]) -> DataFrame:
     """Sub-views of views (tp, setup, m, sx, sy, sz) on three axes: new_setup, part, from_x .. to_z, and the map m of the part's own voxels.
 
@@ -168,19 +178,22 @@ def split_volumes(views: DataFrame, size: tuple[int, int, int], overlap: tuple[i
     for all timepoints alike; the last part of an axis may be shorter. Views without a size are left out.
     """
     out = views.where("sx is not null and sy is not null and sz is not null")
-    place = F.lit(0)
+    n = {}
     for c, s, o in zip(AXES, size, overlap, strict=True):
         if s <= o:
             raise ValueError("parts are longer than their overlap")
-        n = F.greatest(F.lit(1), F.ceil((F.col(f"s{c}") - o) / (s - o))).cast("int")
-        out = out.withColumn(f"n_{c}", n).withColumn(f"i_{c}", F.explode(F.sequence(F.lit(0), F.col(f"n_{c}") - 1)))
+        n[c] = F.greatest(F.lit(1), F.ceil((F.col(f"s{c}") - o) / (s - o))).cast("int")
+    # a setup's parts are numbered without gaps, so new setups go on from the number of all parts before: a row per setup
+    before = running_total(out.groupBy("setup").agg(F.max((n["x"] * n["y"] * n["z"]).cast("long")).alias("parts")), "setup", "parts")
+    out = out.join(before.withColumnRenamed("before", "first_setup").select("setup", "first_setup"), "setup")
+    for c, s, o in zip(AXES, size, overlap, strict=True):
+        out = out.withColumn(f"n_{c}", n[c]).withColumn(f"i_{c}", F.explode(F.sequence(F.lit(0), F.col(f"n_{c}") - 1)))
         out = out.withColumn(f"from_{c}", (F.col(f"i_{c}") * (s - o)).cast("long")).withColumn(f"to_{c}", F.least(F.col(f"s{c}").cast("long"), F.col(f"from_{c}") + s) - 1)
     place = F.col("i_x") + F.col("n_x") * (F.col("i_y") + F.col("n_y") * F.col("i_z"))
-    out = out.withColumn("part", place.cast("int")).drop(*[f"{k}_{c}" for k in "ni" for c in AXES])
-    # a row per setup and part of one timepoint, whatever the points and voxels count
-    numbers = out.select("setup", "part").distinct().withColumn("new_setup", (F.row_number().over(Window.orderBy("setup", "part")) - 1).cast("int"))
+    out = out.withColumn("part", place.cast("int")).withColumn("new_setup", (F.col("first_setup") + F.col("part")).cast("int"))
     moved = affine.compose(F.col("m"), affine.translation(*[F.col(f"from_{c}") for c in AXES]))
-    return out.join(numbers, ["setup", "part"]).withColumn("m", moved).withColumns({f"s{c}": F.col(f"to_{c}") - F.col(f"from_{c}") + 1 for c in AXES})
+    out = out.withColumn("m", moved).withColumns({f"s{c}": F.col(f"to_{c}") - F.col(f"from_{c}") + 1 for c in AXES})
+    return out.drop("first_setup", *[f"{k}_{c}" for k in "ni" for c in AXES])
 
 
 def points_of_volumes(points: DataFrame, parts: DataFrame) -> DataFrame:
