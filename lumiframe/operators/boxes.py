@@ -215,6 +215,40 @@ def fake_points(voxels: Column, density: float, least: int, most: int) -> Column
     return F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(voxels * F.lit(density) / 1e6))).cast("int")
 
 
+#: Points of a group up to which farthest_pairs() measures its pairs in arrays.
+FEW = 4096
+
+
+def _farthest_of_few(points: DataFrame, by: list[str]) -> DataFrame:
+    """farthest_pairs() of groups of some thousand points at most: each group's distances in arrays of bounded size."""
+    import numpy as np
+
+    from lumiframe.functions import kernels as K
+    from lumiframe.operators.matching import map_chunks
+
+    def work(t, cuts) -> list:
+        at, ids = np.stack([t.column(c).to_numpy() for c in AXES], 1).astype(float), t.column("id").to_numpy()
+        found = []
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            x, own, best = at[s:e], ids[s:e], None
+            for rows in K.row_blocks(e - s, int(e - s)):
+                d = K.square_distances(x[rows], x)
+                d[own[rows, None] == own[None, :]] = -1.0
+                k = int(d.argmax())
+                i, j = divmod(k, d.shape[1])
+                if d[i, j] >= 0 and (best is None or d[i, j] > best[2]):
+                    best = (s + rows.start + i, s + j, d[i, j])
+            if best is not None:
+                found.append(best)
+        a, b, d2 = (np.array([f[k] for f in found], np.float64 if k == 2 else np.int64) for k in range(3))
+        return [*[t.column(c).take(a).combine_chunks() for c in ("group", *by)], ids[a], ids[b], d2]
+
+    rows = points.withColumn("group", F.to_json(F.struct(*by))).select("group", *by, "id", *[F.col(c).cast("double").alias(c) for c in AXES])
+    kind = dict(points.dtypes)["id"]
+    ordered = ", ".join(f"`{c}` {dict(points.dtypes)[c]}" for c in by)
+    return map_chunks(rows, "group", ["id"], work, f"group string, {ordered}, id_a {kind}, id_b {kind}, d2 double").drop("group")
+
+
 def farthest_pairs(points: DataFrame, by: list[str], most: int = 256) -> DataFrame:
     """by, id_a, id_b, d2: the two points of each group that are farthest apart; ties by (id_a, id_b); groups of one have none.
 
@@ -222,11 +256,15 @@ def farthest_pairs(points: DataFrame, by: list[str], most: int = 256) -> DataFra
     occupied cells, those whose farthest corners are nearer than the nearest corners of another pair are dropped, and
     what is left is halved on each axis; a cell whose points share a place is final. Once so few pairs of points are left
     that they are under `most` squared a group, they are measured. So points on a sphere cost their surface's opposite
-    cells, not all pairs.
+    cells, not all pairs. Groups of FEW points at most are measured as they are, so that very many of them form no cells.
     """
     p = points.where(functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*AXES, "id"]])).select(*by, "id", *AXES)
     box = p.groupBy(*by).agg(*[f(c).alias(f"b{e}_{c}") for c in AXES for e, f in (("lo", F.min), ("hi", F.max))])
-    p = materialize(p.join(box, by))
+    counted = p.join(p.groupBy(*by).agg(F.count(F.lit(1)).alias("b_n")), by)
+    few = _farthest_of_few(counted.where(F.col("b_n") <= FEW).drop("b_n"), by)
+    p = materialize(counted.where(F.col("b_n") > FEW).drop("b_n").join(box, by))
+    if p.isEmpty():
+        return few
     kept, depth = None, 1
     far = lambda a, b: functools.reduce(lambda x, y: x + y, [F.pow(F.greatest(F.abs(F.col(f"hi_{c}_{a}") - F.col(f"lo_{c}_{b}")), F.abs(F.col(f"hi_{c}_{b}") - F.col(f"lo_{c}_{a}"))), 2) for c in AXES])
     near = lambda a, b: functools.reduce(lambda x, y: x + y, [F.pow(F.greatest(F.lit(0.0), F.col(f"lo_{c}_{a}") - F.col(f"hi_{c}_{b}"), F.col(f"lo_{c}_{b}") - F.col(f"hi_{c}_{a}")), 2) for c in AXES])
@@ -262,7 +300,7 @@ def farthest_pairs(points: DataFrame, by: list[str], most: int = 256) -> DataFra
     d2 = functools.reduce(lambda x, y: x + y, [(F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in AXES])
     met = met.select(*by, F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"), d2.alias("d2"))
     best = F.max_by(F.struct("id_a", "id_b", "d2"), F.struct("d2", -F.col("id_a"), -F.col("id_b")))
-    return met.groupBy(*by).agg(best.alias("p")).select(*by, "p.id_a", "p.id_b", "p.d2")
+    return few.unionByName(met.groupBy(*by).agg(best.alias("p")).select(*by, "p.id_a", "p.id_b", "p.d2"))
 
 
 def rotation_xyz(a: float, b: float, c: float) -> list[list[float]]:
