@@ -292,21 +292,41 @@ def icp_matches(a: DataFrame, b: DataFrame, model: str = "translation", reach: f
 
 
 def fit_models(matches: DataFrame, model: str, other: str | None = None, share: float = 0.1) -> DataFrame:
-    """task, m, error: map of least squares of each task's matches (weight optional); null where they are too few or lie badly."""
+    """task, m, error: map of least squares of each task's matches (weight optional); null where they are too few or lie badly.
 
-    def work(m: pd.DataFrame) -> pd.DataFrame:
-        p, q = m[PAIR[:3]].to_numpy(float), m[PAIR[3:]].to_numpy(float)
-        w = m["weight"].to_numpy(float) if "weight" in m else None
+    Tasks are fitted many at a time; those whose points lie badly for the model one by one.
+    """
+    import pyarrow as pa
+
+    weighted = "weight" in matches.columns
+
+    def one(p: np.ndarray, q: np.ndarray, w: np.ndarray | None) -> np.ndarray | None:
         try:
-            if len(p) < K.LEAST_POINTS[model]:
-                raise np.linalg.LinAlgError
-            f = K.fit_interpolated(model, other, share, p, q, w)
-            error = float(np.sqrt(((K.transform(f, p) - q) ** 2).sum(1)).mean())
-            return pd.DataFrame({"task": [m["task"].iloc[0]], "m": [f.ravel().tolist()], "error": [error]})
+            return K.fit_interpolated(model, other, share, p, q, w) if len(p) >= K.LEAST_POINTS[model] else None
         except np.linalg.LinAlgError:
-            return pd.DataFrame({"task": [m["task"].iloc[0]], "m": [None], "error": [None]})
+            return None
 
-    return matches.groupBy("task").applyInPandas(work, "task string, m array<double>, error double")
+    def work(t, cuts: np.ndarray) -> list:
+        at = np.stack([t.column(c).to_numpy() for c in PAIR], 1).astype(float)
+        p, q, w = at[:, :3], at[:, 3:], t.column("weight").to_numpy().astype(float) if weighted else np.ones(len(at))
+        start, count = cuts[:-1], np.diff(cuts)
+        maps, known = batches.fits(model, p, q, w, start, count)
+        if other is not None:
+            stiff, also = batches.fits(other, p, q, w, start, count)
+            maps, known = (1 - share) * maps + share * stiff, known & also
+        for g in np.flatnonzero(~known):
+            rows = slice(start[g], cuts[g + 1])
+            m = one(p[rows], q[rows], w[rows] if weighted else None)
+            if m is not None:
+                maps[g], known[g] = m, True
+        of = maps[np.repeat(np.arange(len(start)), count)]
+        off = np.einsum("nij,nj->ni", of[:, :, :3], p) + of[:, :, 3] - q
+        error = np.add.reduceat(np.sqrt((off * off).sum(1)), start) / count
+        cells = [m.ravel().tolist() if ok else None for m, ok in zip(maps, known, strict=True)]
+        return [t.column("task").take(start).combine_chunks(), pa.array(cells, pa.list_(pa.float64())), pa.array(error, mask=~known)]
+
+    rows = matches.select("task", *[F.col(c).cast("double").alias(c) for c in [*PAIR, *(["weight"] if weighted else [])]])
+    return map_chunks(rows, "task", [], work, "task string, m array<double>, error double")
 
 
 def fit_translations(matches: DataFrame) -> DataFrame:
