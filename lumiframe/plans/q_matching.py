@@ -277,7 +277,8 @@ def truth_matches(spark, d, shear: bool):
     """Twelve places in the world seen by each view and by the next two of its line."""
     m = truth(spark, d, shear)
     step = m.select(F.col("view").alias("a"), F.col("m").alias("m_a"), F.explode(F.array(F.lit(1), F.lit(2))).alias("by")).where("a % 10 + by < 10")
-    step = step.join(m.select(F.col("view").alias("b"), F.col("m").alias("m_b")), F.col("b") == F.col("a") + F.col("by"))
+    # maps are many times the file's column of keys, so they're never broadcast
+    step = step.join(m.select(F.col("view").alias("b"), F.col("m").alias("m_b")).hint("merge"), F.col("b") == F.col("a") + F.col("by"))
     w = step.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(11))))
     at = [(F.col("i") * 17 % 29 + F.col("a") % 5).cast("double"), (F.col("i") * 11 % 23).cast("double"), (F.col("i") * 5 % 13).cast("double")]
     p, q = (affine.apply(affine.inverse(F.col(f"m_{e}")), *at) for e in "ab")
