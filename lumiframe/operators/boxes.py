@@ -48,18 +48,66 @@ def _merged(boxes: DataFrame) -> DataFrame:
     return boxes
 
 
+#: Boxes of a group that the first choices are made of, and choices held while they are made.
+SEEDS, CHOICES = 24, 4096
+
+
+def _seed_choices(rows: list, groups: list, end: str):
+    """What choices of some boxes of each group have in common, as arrays of ENDS; those that reach farthest are held."""
+    import numpy as np
+
+    at, sign = ENDS.index(end), 1 if end.startswith("lo") else -1
+    lows = np.array([e.startswith("lo") for e in ENDS])
+    now = None
+    for g in groups:
+        other = np.array([[r[e] for e in ENDS] for r in rows if r["g"] == g], float)
+        if now is None:
+            now = other
+            continue
+        met = np.where(lows, np.maximum(now[:, None], other[None]), np.minimum(now[:, None], other[None])).reshape(-1, len(ENDS))
+        now = met[(met[:, lows] <= met[:, ~lows]).all(1)]
+        now = now[np.argsort(sign * now[:, at], kind="stable")[:CHOICES]]
+    return now
+
+
 def group_overlap_box(bounds: DataFrame, group: str) -> DataFrame:
     """Box around what each choice of one view per group has in common on all axes, over all choices that have something.
 
-    What the choices have in common, taken together, are the places that some view of every group covers. So groups are
-    taken one after the other: the places covered so far, as boxes, are intersected with the next group's boxes, which are
-    found by cells of x; boxes that repeat or continue one another are joined. Where nothing is left there is no box.
-    Views without a box or a group are left out. One step per group, of which there are a few (angles, channels).
+    Each of its six ends is that of one choice. A first choice is made of some boxes of each group that reach farthest to
+    the end; only choices of boxes that all reach beyond it can be better, and where some group has no such box, the end
+    is found. Else all choices of the boxes that do are tried by _common(). Views without a box or a group are left out.
     """
-    views = bounds.where(functools.reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [group, *ENDS]])).select(F.col(group).alias("g"), *ENDS).distinct()
+    views = bounds.where(functools.reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [group, *ENDS]])).select(F.col(group).alias("g"), *[F.col(e).cast("double").alias(e) for e in ENDS]).distinct()
+    views = materialize(views)
     groups = [r["g"] for r in views.select("g").distinct().orderBy("g").collect()]
     if not groups:
         return _whole_box(views)
+    lower = lambda e: e.startswith("lo")
+    first = lambda e: views.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(F.col(e) if lower(e) else F.desc(e), *[c for c in ENDS if c != e]))).where(F.col("place") <= SEEDS).select(F.lit(e).alias("end"), "g", *ENDS)
+    seeds = functools.reduce(DataFrame.unionByName, [first(e) for e in ENDS]).collect()
+    best: dict[str, float] = {}
+    for e in ENDS:
+        made = _seed_choices([r for r in seeds if r["end"] == e], groups, e)
+        for k, c in enumerate(ENDS):
+            if len(made):
+                v = float(made[:, k].min() if lower(c) else made[:, k].max())
+                best[c] = v if c not in best else min(best[c], v) if lower(c) else max(best[c], v)
+    beyond = {e: F.lit(True) if e not in best else F.col(e) < best[e] if lower(e) else F.col(e) > best[e] for e in ENDS}
+    left = views.groupBy("g").agg(*[F.count_if(beyond[e]).alias(e) for e in ENDS]).collect()
+    found = [views.sparkSession.createDataFrame([tuple(best[e] for e in ENDS)], ", ".join(f"{e} double" for e in ENDS))] if best else []
+    for e in ENDS if best else ENDS[:1]:
+        if all(r[e] for r in left):
+            found.append(_common(views.where(beyond[e]), groups))
+    return _whole_box(functools.reduce(DataFrame.unionByName, found))
+
+
+def _common(views: DataFrame, groups: list) -> DataFrame:
+    """What the choices have in common, taken together: the places that some view of every group covers, as boxes.
+
+    Groups are taken one after the other: the places covered so far are intersected with the next group's boxes, which
+    are found by cells of x; boxes that repeat or continue one another are joined. One step per group, of which there are
+    a few (angles, channels).
+    """
     cell = typical_extent(views, "lo_x", "hi_x")
     deal = lambda d, a, b: d.withColumn("cell", F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))))
     now = materialize(_merged(views.where(F.col("g") == groups[0]).select(*ENDS)))
@@ -68,7 +116,7 @@ def group_overlap_box(bounds: DataFrame, group: str) -> DataFrame:
         both = deal(now, "lo_x", "hi_x").join(other.hint("merge"), "cell")
         met = both.select(*[f(f"{e}_{c}", f"o_{e}_{c}").alias(f"{e}_{c}") for c in AXES for e, f in (("lo", F.greatest), ("hi", F.least))])
         now = materialize(_merged(met.where(functools.reduce(lambda x, y: x & y, [F.col(f"lo_{c}") <= F.col(f"hi_{c}") for c in AXES])).distinct()))
-    return _whole_box(now)
+    return now
 
 
 def _whole_box(boxes: DataFrame) -> DataFrame:
