@@ -465,6 +465,21 @@ def link_errors(maps: np.ndarray, a: np.ndarray, b: np.ndarray, pp: np.ndarray,
     return np.sqrt(np.maximum(square / pp[:, 3, 3], 0))
 
 
+def later_within(part: np.ndarray, at: np.ndarray, ids: np.ndarray, radius: float) -> np.ndarray:
+    """Which places have one of the same part with a smaller id within radius; rows are in the order of part and the first axis."""
+    gone = np.zeros(len(part), bool)
+    i, k = np.arange(len(part)), 0
+    while len(i):
+        k += 1
+        i = i[i + k < len(part)]
+        i = i[(part[i] == part[i + k]) & (at[i + k, 0] - at[i, 0] <= radius * (1 + 1e-12))]
+        d = at[i + k] - at[i]
+        near = i[d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2] <= radius * radius]
+        gone[near[ids[near] > ids[near + k]]] = True
+        gone[near[ids[near] < ids[near + k]] + k] = True
+    return gone
+
+
 # ---- descriptors ------------------------------------------------------------------------------------------------
 
 

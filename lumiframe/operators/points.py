@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumiframe.functions import kernels as K
 from lumiframe.operators import spatial
 
 VIEW = ["tp", "setup", "label"]
@@ -61,10 +63,45 @@ def histogram(values: DataFrame, column: str, bins: int = 100) -> DataFrame:
 
 
 def drop_duplicates_within(points: DataFrame, radius: float) -> DataFrame:
-    """Points without an earlier one (by id) of the same list within radius."""
-    p = points.select(*VIEW, "id", *AXES)
-    near = spatial.within_radius(p, p, AXES, radius, VIEW).where("id_b < id_a").select(*[F.col(f"{c}_a").alias(c) for c in [*VIEW, "id"]]).distinct()
-    return points.join(near, [*VIEW, "id"], "left_anti")
+    """Points without an earlier one (by id) of the same list within radius.
+
+    Each list is swept along x: a task holds the points of a slab of one radius, and pairs are neither written nor
+    shuffled. Lists come from a window, so points that were numbered by one aren't shuffled again. Points with a null
+    coordinate or id, or of a list with a null in its name, stay.
+    """
+    columns = points.columns
+    listed = points.withColumn("s_place", F.row_number().over(Window.partitionBy(*VIEW).orderBy("x")))
+    whole = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*VIEW, *AXES, "id"]])
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute
+
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t.append_column("s_gone", pa.array(np.zeros(len(t), bool)))
+            t = pa.concat_tables([held, t]).combine_chunks() if held is not None else t
+            if not len(t):
+                continue
+            column = lambda c: t.column(c).to_numpy()  # noqa: B023, E731
+            n, use = len(t), np.flatnonzero(column("s_whole"))
+            part = np.cumsum(column("s_place") == 1)
+            at = np.stack([t.column(c).cast(pa.float64()).to_numpy()[use] for c in AXES], 1)
+            gone = column("s_gone").copy()
+            gone[use] |= K.later_within(part[use], at, column("id")[use], radius)
+            t = t.set_column(t.schema.get_field_index("s_gone"), "s_gone", pa.array(gone))
+            # what may still meet a point of the last list
+            last = use[part[use] == part[-1]]
+            open_ = last[at[-1, 0] - at[len(use) - len(last) :, 0] <= radius * (1 + 1e-12)] if len(last) else last
+            wait = np.zeros(n, bool)
+            wait[open_] = True
+            held = t.filter(pa.array(wait))
+            yield from t.filter(pa.array(~wait & ~gone)).select(columns).to_batches()
+        if held is not None:
+            yield from held.filter(pa.compute.invert(held.column("s_gone"))).select(columns).to_batches()
+
+    return listed.withColumn("s_whole", whole).mapInArrow(run, points.schema)
 
 
 def labels(points: DataFrame, links: DataFrame) -> DataFrame:
