@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+#: Bytes that one task reads of a folder of files, and what opening a file counts as.
+TASK_BYTES, FILE_COST = 32 << 20, 256 << 10
 BLOCK = "array string, gx long, gy long, gz long, ox long, oy long, oz long, nx int, ny int, nz int, data array<double>"
 
 
@@ -235,14 +237,18 @@ class _TiffReader(DataSourceReader):
         info = store.get_file_info(path)
         if info.is_file:
             return [_Part(path)]
-        return [_Part(f.path) for f in sorted(store.get_file_info(fs.FileSelector(path)), key=lambda f: f.path) if f.path.lower().endswith((".tif", ".tiff"))]
+        found = sorted((f for f in store.get_file_info(fs.FileSelector(path)) if f.path.lower().endswith((".tif", ".tiff"))), key=lambda f: f.path)
+        # small files share a task, large ones have their own
+        lot = np.cumsum([FILE_COST + (f.size or 0) for f in found]) // TASK_BYTES
+        return [_Part(*(f.path for _, f in g)) for _, g in itertools.groupby(zip(lot.tolist(), found, strict=True), key=lambda x: x[0])]
 
     def read(self, part):
         store, _ = open_store(self.uri)
-        with store.open_input_file(part.what[0]) as f:
-            for z, tags in enumerate(tiff_pages(f.read_at)):
-                v = tiff_plane(tags, f.read_at)
-                yield _row(BLOCK, [part.what[0], 0, 0, z, 0, 0, z, v.shape[1], v.shape[0], 1], v)
+        for path in part.what:
+            with store.open_input_file(path) as f:
+                for z, tags in enumerate(tiff_pages(f.read_at)):
+                    v = tiff_plane(tags, f.read_at)
+                    yield _row(BLOCK, [path, 0, 0, z, 0, 0, z, v.shape[1], v.shape[0], 1], v)
 
 
 def write_tiff(stacks: DataFrame, path: str) -> int:
