@@ -297,25 +297,43 @@ def tree_placement(n: int, a: np.ndarray, b: np.ndarray, pp: np.ndarray, pq: np.
     from heapq import heappop, heappush
 
     out = np.broadcast_to(np.eye(3, 4), (n, 3, 4)).copy()
+    _, steps = tree_steps(n, a, b, pp[:, 3, 3], fixed)
+    for e, forth in steps:
+        known, to = np.where(forth, a[e], b[e]), np.where(forth, b[e], a[e])
+        turn = forth[:, None, None]
+        out[to] = fit_moments(model, out[known] @ np.where(turn, pq[e], pq[e].transpose(0, 2, 1)), np.where(turn, qq[e], pp[e]))
+    return out
+
+
+def tree_steps(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray, fixed: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Which of n images links reach from the fixed ones, the heaviest link first, and the links taken, by how many lie before: places, and whether from a to b."""
+    from heapq import heappop, heappush
+
     beside: list[list[int]] = [[] for _ in range(n)]
-    for e, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+    first, second, heavy = a.tolist(), b.tolist(), (-weight).tolist()
+    for e, (i, j) in enumerate(zip(first, second, strict=True)):
         beside[i].append(e)
         beside[j].append(e)
-    done, heap = fixed.copy(), []
-    for i in np.flatnonzero(fixed):
+    depth = np.where(fixed, 0, -1).tolist()
+    heap: list = []
+    for i in np.flatnonzero(fixed).tolist():
         for e in beside[i]:
-            heappush(heap, (-pp[e, 3, 3], e))
+            heappush(heap, (heavy[e], e))
+    steps: list[list[tuple[int, bool]]] = []
     while heap:
         _, e = heappop(heap)
-        i, j = int(a[e]), int(b[e])
-        if done[i] and done[j]:
+        i, j = first[e], second[e]
+        if depth[i] >= 0 and depth[j] >= 0:
             continue
-        new, known, own, cross = (j, i, qq[e], pq[e]) if done[i] else (i, j, pp[e], pq[e].T)
-        out[new] = fit_moments(model, (out[known] @ cross)[None], own[None])[0]
-        done[new] = True
+        forth = depth[i] >= 0
+        known, new = (i, j) if forth else (j, i)
+        depth[new] = depth[known] + 1
+        if len(steps) < depth[new]:
+            steps.append([])
+        steps[depth[new] - 1].append((e, forth))
         for f in beside[new]:
-            heappush(heap, (-pp[f, 3, 3], f))
-    return out
+            heappush(heap, (heavy[f], f))
+    return np.array(depth) >= 0, [(np.array([e for e, _ in s]), np.array([f for _, f in s])) for s in steps]
 
 
 def _turned(v: np.ndarray) -> np.ndarray:
@@ -406,6 +424,96 @@ def place_images(n: int, a: np.ndarray, b: np.ndarray, pp: np.ndarray, pq: np.nd
     return maps
 
 
+#: Images of a component up to which its steps are solved in one dense system, and cells of a stack of systems.
+FEW_IMAGES, SYSTEM_CELLS = 32, 1 << 22
+
+
+def place_components(of: np.ndarray, a: np.ndarray, b: np.ndarray, pp: np.ndarray, pq: np.ndarray, qq: np.ndarray, model: str, fixed: np.ndarray, other: str | None = None, share: float = 0.1, rounds: int = 200, tolerance: float = 1e-10) -> np.ndarray:
+    """place_images() of many components at once; `of` is each image's component, 0 and up, and images are in its order.
+
+    The steps of rigid and similarity models of small components are solved in stacked dense systems, and a component
+    leaves the stack when its steps have ended. Components that are large or that links don't hold together go one by one.
+    """
+    size = np.bincount(of)
+    start = np.cumsum(size) - size
+    alone = np.ones(len(size), bool)
+    if model in ("rigid", "similarity") and other is None:
+        reached, _ = tree_steps(len(of), a, b, pp[:, 3, 3], fixed)
+        alone = (size > FEW_IMAGES) | (np.bincount(of, ~reached) > 0)
+    out = np.broadcast_to(np.eye(3, 4), (len(of), 3, 4)).copy()
+    group = of[a]
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(len(size) + 1))
+    for g in np.flatnonzero(alone):
+        e, i = order[ends[g] : ends[g + 1]], slice(start[g], start[g] + size[g])
+        out[i] = place_images(int(size[g]), a[e] - start[g], b[e] - start[g], pp[e], pq[e], qq[e], model, fixed[i], other, share, rounds, tolerance)
+    small = np.flatnonzero(~alone)
+    small = small[np.argsort(size[small], kind="stable")]
+    step = max(1, SYSTEM_CELLS // (7 * int(size[small].max(initial=1))) ** 2)
+    for at in range(0, len(small), step):
+        chosen = np.zeros(len(size), bool)
+        chosen[small[at : at + step]] = True
+        i, e = np.flatnonzero(chosen[of]), np.flatnonzero(chosen[group])
+        out[i] = _placed_together(np.unique(of[i], return_inverse=True)[1], *(np.searchsorted(i, x[e]) for x in (a, b)), pp[e], pq[e], qq[e], model, fixed[i], rounds, tolerance)
+    return out
+
+
+def _placed_together(of: np.ndarray, a: np.ndarray, b: np.ndarray, pp: np.ndarray, pq: np.ndarray, qq: np.ndarray, model: str, fixed: np.ndarray, rounds: int, tolerance: float) -> np.ndarray:
+    """Gauss-Newton steps of place_images() of small components, each system dense and all of them in one array."""
+    n, count = len(of), int(of.max(initial=-1)) + 1
+    maps = tree_placement(n, a, b, pp, pq, qq, model, fixed)
+    own = np.zeros((n, 4, 4))
+    np.add.at(own, a, pp)
+    np.add.at(own, b, qq)
+    size = np.bincount(of)
+    place = np.arange(n) - (np.cumsum(size) - size)[of]
+    width = int(size.max(initial=0))
+    work = np.ones(count, bool)
+    for _ in range(rounds):
+        # images and links of the components whose steps haven't ended
+        i, e = np.flatnonzero(work[of]), np.flatnonzero(work[of[a]])
+        if not len(i):
+            break
+        c, p = np.searchsorted(np.flatnonzero(work), of[i]), place[i]
+        u, v = np.searchsorted(i, a[e]), np.searchsorted(i, b[e])
+        x, g = maps[i], _directions(model, maps[i])
+        k = g.shape[1]
+        flat = g.reshape(len(i), k, 12)
+        through = lambda m, t: (g[m].reshape(-1, k * 3, 4) @ t).reshape(-1, k, 12)  # noqa: B023, E731
+        block = through(slice(None), own[i]) @ flat.transpose(0, 2, 1)
+        scale = np.maximum(np.trace(block, axis1=1, axis2=2) / k, 1e-300)
+        block += np.eye(k) * (scale * 1e-9)[:, None, None]
+        cross = through(u, pq[e]) @ flat[v].transpose(0, 2, 1)
+        pull = np.zeros((len(i), 3, 4))
+        np.add.at(pull, u, x[u] @ pp[e] - x[v] @ pq[e].transpose(0, 2, 1))
+        np.add.at(pull, v, x[v] @ qq[e] - x[u] @ pq[e])
+        free = ~fixed[i]
+        system = np.zeros((int(work.sum()), width, width, k, k))
+        system[:, np.arange(width), np.arange(width)] = np.eye(k)
+        system[c, p, p] = np.where(free[:, None, None], block, np.eye(k))
+        both = (free[u] & free[v])[:, None, None]
+        np.subtract.at(system, (c[u], p[u], p[v]), np.where(both, cross, 0))
+        np.subtract.at(system, (c[u], p[v], p[u]), np.where(both, cross.transpose(0, 2, 1), 0))
+        right = np.zeros((len(system), width, k))
+        right[c, p] = -(flat @ pull.reshape(-1, 12, 1))[:, :, 0] * free[:, None]
+        # systems of several scales stay well balanced
+        rows = np.ones((len(system), width))
+        rows[c, p] = np.where(free, np.sqrt(scale), 1)
+        system /= (rows[:, :, None] * rows[:, None, :])[..., None, None]
+        right /= rows[:, :, None]
+        full = system.transpose(0, 1, 3, 2, 4).reshape(len(system), width * k, width * k)
+        t = np.linalg.solve(full, right.reshape(len(system), width * k, 1)).reshape(len(system), width, k) / rows[:, :, None]
+        t = t[c, p] * free[:, None]
+        maps[i, :, 3] += t[:, -3:]
+        maps[i, :, :3] = _turned(t[:, :3]) @ maps[i, :, :3]
+        if model == "similarity":
+            maps[i, :, :3] *= np.exp(t[:, 3])[:, None, None]
+        most = np.zeros(count)
+        np.maximum.at(most, of[i], np.abs(t).max(1))
+        work &= most >= tolerance
+    return maps
+
+
 def least_lines(n: int, i: np.ndarray, j: np.ndarray, w, p, q, pp, qq, pq, rigidity: float) -> np.ndarray:
     """Lines (n, 2) of slope and offset that bring linked values of n nodes together by least squares, the first staying identity; see solve_fields()."""
     add = lambda x, y: np.bincount(i, x, n) + np.bincount(j, y, n)

@@ -161,6 +161,10 @@ def pair_moments(matches: DataFrame) -> DataFrame:
     return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), table(p, p).alias("pp"), table(p, q).alias("pq"), table(q, q).alias("qq"), F.max("quality").alias("quality"))
 
 
+#: Pairs of components that are solved together.
+LOT = 1 << 12
+
+
 def solve_models(matches: DataFrame, views: DataFrame, fixed: DataFrame, model: str = "rigid", other: str | None = None, share: float = 0.1, groups: DataFrame | None = None, relative: float | None = None, absolute: float = 3.5, rounds: int = 200) -> DataFrame:
     """view, tile, component, m: maps of a kind (translation, rigid, similarity, affine) that bring matched points together, for all views.
 
@@ -168,7 +172,8 @@ def solve_models(matches: DataFrame, views: DataFrame, fixed: DataFrame, model:
     holds none. other: blends each map with that of a stiffer model. relative: links are dropped, the worst first, until
     converged(); the worst has the largest error, weighed by its quality, and both of its tiles keep a link; a link's
     error is the root of its mean square distance. Tiles without links have the identity and a component of their own.
-    Matches stay where they are: they are summed to moments per pair. A component's pairs, 48 numbers each, are one task.
+    Matches stay where they are: they are summed to moments per pair. Components are dealt to lots of about LOT pairs, 48
+    numbers each, which are solved together; a component is never cut, so a large one is a lot.
     """
     tile = materialize(tiles(views.select("view").union(matches.select("a")).union(matches.select("b")), groups))
     at = lambda s: tile.select(F.col("view").alias(s), F.col("tile").alias(f"t_{s}"))
@@ -177,31 +182,50 @@ def solve_models(matches: DataFrame, views: DataFrame, fixed: DataFrame, model:
     found = materialize(components(pairs.select("a", "b")))
     held = fixed.select(F.col("view").cast("long").alias("view")).join(tile, "view").join(found, F.col("tile") == F.col("node")).groupBy("component").agg(F.collect_set("tile").alias("fixed"))
     rows = pairs.join(found.select(F.col("node").alias("a"), "component"), "a").join(held, "component", "left")
+    lots = max(1, -(-pairs.count() // LOT))
+    # work counts, not bytes: the number is given, so that small lots aren't put together again
+    rows = rows.withColumn("lot", F.pmod(F.xxhash64("component"), F.lit(lots)).cast("int")).repartition(lots, "lot")
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["a", "b"])
-        names = np.unique(np.concatenate([g["a"], g["b"]]))
-        a, b = np.searchsorted(names, g["a"].to_numpy()), np.searchsorted(names, g["b"].to_numpy())
+        g = g.sort_values(["component", "a", "b"])
+        kinds, first_row, own = np.unique(g["component"].to_numpy(), return_index=True, return_inverse=True)
+        ends = pd.DataFrame({"c": np.concatenate([own, own]), "v": np.concatenate([g["a"], g["b"]])}).drop_duplicates().sort_values(["c", "v"])
+        of, names = ends["c"].to_numpy(), ends["v"].to_numpy()
+        # components share no tile
+        by_name = np.argsort(names)
+        a, b = (by_name[np.searchsorted(names, g[s].to_numpy(), sorter=by_name)] for s in "ab")
         pp, pq, qq = (np.stack(g[c].to_list()).astype(float).reshape(-1, 4, 4) for c in ("pp", "pq", "qq"))
         quality = np.clip(g["quality"].to_numpy(float), 0.01, 1.0)
-        stay = np.isin(names, g["fixed"].iloc[0]) if g["fixed"].iloc[0] is not None else np.arange(len(names)) == 0
-        keep = np.ones(len(a), bool)
-        while True:
-            e = [x[keep] for x in (a, b, pp, pq, qq)]
-            maps = K.place_images(len(names), *e, model, stay, other, share, rounds)
+        stay = np.concatenate([[True], of[1:] != of[:-1]])
+        for k, hold in enumerate(g["fixed"].to_numpy()[first_row]):
+            if hold is not None:
+                stay[of == k] = np.isin(names[of == k], hold)
+        keep, open_ = np.ones(len(a), bool), np.ones(len(kinds), bool)
+        maps = np.zeros((len(names), 3, 4))
+        while open_.any():
+            i, e = np.flatnonzero(open_[of]), np.flatnonzero(keep & open_[own])
+            at = np.unique(of[i], return_inverse=True)[1]
+            links = [np.searchsorted(i, a[e]), np.searchsorted(i, b[e]), pp[e], pq[e], qq[e]]
+            maps[i] = K.place_components(at, *links, model, stay[i], other, share, rounds)
             if relative is None:
                 break
-            off = K.link_errors(maps, *e)
-            degree = np.bincount(np.concatenate(e[:2]), minlength=len(names))
-            if converged(float(off.mean()), float(off.max()), relative, absolute):
-                break
-            score = np.where((degree[e[0]] > 1) & (degree[e[1]] > 1), (1.01 - quality[keep]) * off, -1)
-            if score.max() <= 0:
-                break
-            keep[np.flatnonzero(keep)[score.argmax()]] = False
-        return pd.DataFrame({"tile": names, "component": g["component"].iloc[0], "m": [m.ravel().tolist() for m in maps]})
-
-    placed = rows.groupBy("component").applyInPandas(work, "tile long, component long, m array<double>")
+            off = K.link_errors(maps[i], *links)
+            degree = np.bincount(np.concatenate(links[:2]), minlength=len(i))
+            score = np.where((degree[links[0]] > 1) & (degree[links[1]] > 1), (1.01 - quality[e]) * off, -1)
+            # each component's worst link, the first of equal ones
+            worst = np.lexsort((np.arange(len(e)), -score, own[e]))
+            worst = worst[np.unique(own[e][worst], return_index=True)[1]]
+            n = np.bincount(own[e], minlength=len(kinds))
+            mean, largest = np.bincount(own[e], off, len(kinds)) / np.maximum(n, 1), np.zeros(len(kinds))
+            np.maximum.at(largest, own[e], off)
+            open_ &= [not converged(float(x), float(y), relative, absolute) for x, y in zip(mean, largest, strict=True)]
+            left = np.zeros(len(kinds), bool)
+            left[own[e][worst]] = score[worst] > 0
+            open_ &= left
+            keep[e[worst[open_[own[e][worst]]]]] = False
+        return pd.DataFrame({"tile": names, "component": kinds[of], "m": list(maps.reshape(-1, 12))})
+
+    placed = rows.groupBy("lot").applyInPandas(work, "tile long, component long, m array<double>")
     placed = placed.withColumnRenamed("tile", "p_tile")
     identity = F.array(*[F.lit(float(i in (0, 5, 10))) for i in range(12)])
     out = tile.join(placed, F.col("tile") == F.col("p_tile"), "left")
