@@ -34,8 +34,7 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
     """Pairs of cells of different views whose bounds meet: setup, cell, lo, hi."""
     from lumiframe.operators.spatial import overlap_pairs
 
-    keyed = cells.withColumn("k", F.struct("setup", "cell"))
-    return overlap_pairs(keyed, "k", [("lo", "hi")], keep=("setup", "cell")).where("setup_a <> setup_b")
+    return overlap_pairs(cells, "setup", [("lo", "hi")], keep=("cell",))
 
 
 def thin(pairs: DataFrame, most: int, by: list[str], seed: int = 344) -> DataFrame:
