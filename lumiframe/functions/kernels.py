@@ -695,6 +695,56 @@ def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def two_nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in b and squared distances of the two nearest rows of b for each row of a, by distance and place; fewer if b has fewer.
+
+    A matrix product tells which rows of b can be among them, by more than its rounding may be off; their distances are
+    then summed as square_distances() does, so the result is the same. Rows with very many such take all distances.
+    """
+    k = min(2, len(b))
+    sq_a, sq_b = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    with np.errstate(all="ignore"):
+        d = a @ b.T
+        d *= -2
+        d += sq_b
+        # of sums of n products, whose sizes are at most those of the two rows
+        slack = (a.shape[1] + 8) * 4 * np.finfo(float).eps * (sq_a + sq_b.max(initial=0.0)) + np.finfo(float).tiny
+        # the second smallest, in two passes over the rows
+        first = d.argmin(1) if k else np.zeros(len(a), int)
+        least = d[np.arange(len(a)), first] if k else np.zeros(len(a))
+        if k == 2:
+            d[np.arange(len(a)), first] = np.inf
+            most = d.min(1)
+            d[np.arange(len(a)), first] = least
+        else:
+            most = least
+        close = d <= (most + slack)[:, None]
+        close[~np.isfinite(least + most + slack)] = True
+    at, found = np.empty((len(a), k), int), np.empty((len(a), k))
+    r, c = np.nonzero(close)
+    start = np.searchsorted(r, np.arange(len(a) + 1))
+    for rows in _runs(start, AT_ONCE // 8):
+        i, j = r[start[rows.start] : start[rows.stop]], c[start[rows.start] : start[rows.stop]]
+        e = np.zeros(len(i))
+        for n in range(a.shape[1]):
+            t = a[i, n] - b[j, n]
+            e += t * t
+        order = np.lexsort((j, e, i))
+        take = (start[rows] - start[rows.start])[:, None] + np.arange(k)
+        at[rows], found[rows] = j[order][take], e[order][take]
+    return at, found
+
+
+def _runs(start: np.ndarray, most: int) -> list[slice]:
+    """Slices of groups that begin at start[i], of at most so many members together, or of one group."""
+    out, i, n = [], 0, len(start) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(start, start[i] + most, "right")) - 1)
+        out.append(slice(i, min(j, n)))
+        i = min(j, n)
+    return out
+
+
 def nearest_others(x: np.ndarray, k: int) -> np.ndarray:
     """Places of the k nearest other points of each point, by distance and place."""
     return nearest(x, x, k, True)[0]

@@ -77,7 +77,7 @@ def nearest_two(a: DataFrame, b: DataFrame, block: int = 1 << 12) -> DataFrame:
     """id_a, id_b, best, second: of each row of a (id, vec) the nearest row of b in squared distance, ties by id, and the next distance.
 
     Every row of a is compared with every row of b, block by block: both sides are dealt to blocks of about `block` rows,
-    a task compares a pair of blocks in arrays of bounded size, and two rows per row of a and block are shuffled. That
+    a task compares a pair of blocks in arrays of bounded size, by a matrix product and then exactly, and two rows per row of a and block are shuffled. That
     is a stated query set against all rows; rows without an id or a vector are left out, null components count as 0.
     """
     a, b = (x.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where("id is not null and vec is not null") for x in (a, b))
@@ -92,13 +92,13 @@ def nearest_two(a: DataFrame, b: DataFrame, block: int = 1 << 12) -> DataFrame:
             return pd.DataFrame({"id_a": [], "id_b": [], "d": []}).astype({"id_a": "int64", "id_b": "int64", "d": "float64"})
         q = q.sort_values("id")
         width = max(max(map(len, p["vec"])), max(map(len, q["vec"])))
-        full = lambda v: np.array([np.pad(np.nan_to_num(np.asarray(x, float)), (0, width - len(x))) for x in v])
+        even = lambda v: list(v) if set(map(len, v)) == {width} else [np.pad(np.asarray(x, float), (0, width - len(x))) for x in v]
+        full = lambda v: np.nan_to_num(np.array(even(v), float).reshape(len(v), width))
         x, y, ids = full(p["vec"]), full(q["vec"]), q["id"].to_numpy()
         out = []
         for rows in K.row_blocks(len(x), len(y)):
-            d = K.square_distances(x[rows], y)
-            order = np.argsort(d, axis=1, kind="stable")[:, :2]
-            out.append(pd.DataFrame({"id_a": np.repeat(p["id"].to_numpy()[rows], order.shape[1]), "id_b": ids[order].ravel(), "d": np.take_along_axis(d, order, 1).ravel()}))
+            at, d = K.two_nearest(x[rows], y)
+            out.append(pd.DataFrame({"id_a": np.repeat(p["id"].to_numpy()[rows], at.shape[1]), "id_b": ids[at].ravel(), "d": d.ravel()}))
         return pd.concat(out)
 
     near = left.groupBy("block_a", "block_b").cogroup(right.groupBy("block_a", "block_b")).applyInPandas(work, "id_a long, id_b long, d double")
