@@ -51,7 +51,7 @@ def weak_links(boxes: DataFrame, key: str, group: str, by: list[str] | None = No
     from lumiframe.operators.spatial import overlap_pairs
 
     axes = [("lo_x", "hi_x"), ("lo_y", "hi_y"), ("lo_z", "hi_z")]
-    out = overlap_pairs(boxes, key, axes, keep=(group,), by=by).where(f"{group}_a <> {group}_b")
+    out = overlap_pairs(boxes, key, axes, keep=(group,), by=by, near=(group,)).where(f"{group}_a <> {group}_b")
     # a corner is a number of three bits, so no array is made for a pair
     out = out.withColumn("corner", F.explode(F.array(*map(F.lit, range(8)))))
     for i, (lo, hi) in enumerate(axes):

@@ -34,7 +34,7 @@ def cell_pairs(cells: DataFrame) -> DataFrame:
     """Pairs of cells of different views whose bounds meet: setup, cell, lo, hi."""
     from lumiframe.operators.spatial import overlap_pairs
 
-    return overlap_pairs(cells, "setup", [("lo", "hi")], keep=("cell",))
+    return overlap_pairs(cells, "setup", [("lo", "hi")], keep=("cell",), near=("cell",))
 
 
 def thin(pairs: DataFrame, most: int, by: list[str], seed: int = 344) -> DataFrame:

@@ -21,7 +21,7 @@ def typical_extent(df: DataFrame, low: str, high: str) -> float:
     return max(1e-9, float(df.agg(F.avg(F.col(high) - F.col(low))).first()[0] or 1.0))
 
 
-def overlap_pairs(df: DataFrame, key: str, axes: list[tuple[str, str]], cell: float | None = None, keep: tuple[str, ...] = (), by: list[str] | None = None) -> DataFrame:
+def overlap_pairs(df: DataFrame, key: str, axes: list[tuple[str, str]], cell: float | None = None, keep: tuple[str, ...] = (), by: list[str] | None = None, near: tuple[str, ...] = ()) -> DataFrame:
     """Pairs key_a < key_b whose closed intervals meet on every axis, each once, with the ends of both; by: columns that must agree, which come first.
 
     Intervals are dealt to the cells that they cover on the first axis, so the join is by equality; a pair is kept in
@@ -45,8 +45,8 @@ def overlap_pairs(df: DataFrame, key: str, axes: list[tuple[str, str]], cell: fl
     from_ = F.floor(low / size(F.col("grid_at")))
     dealt = dealt.withColumn("grid_cell", F.explode(F.sequence(from_, F.floor(high / size(F.col("grid_at")))))).withColumn("grid_starts", from_ == F.col("grid_cell"))
     place, kind = [*by, "grid_at", "grid_cell"], ["grid_level", "grid_starts", "first", "last"]
-    # intervals that are alike are neighbours in a block
-    own = [c for c in dict.fromkeys([*keep, *ends, key]) if c not in by]
+    # intervals that are alike are neighbours in a block: by the columns `near` of those kept, and then by their ends
+    own = [c for c in dict.fromkeys([*near, *ends, *keep, key]) if c not in by]
     parts = blocks(dealt, [*place, *kind[:2]], key, own)
     side = lambda s: parts.select(*place, *[F.col(c).alias(f"{c}_{s}") for c in (*kind, "rows")])
     at = F.col("grid_at")
